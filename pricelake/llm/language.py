@@ -35,9 +35,16 @@ BATCH_BYTES = 4_000_000
 STEP = np.uint32(0x9E3779B1)
 
 
+#: ASCII code points that are no lower-case letter stand for a space, so that punctuation and digits tell nothing.
+PLAIN = np.array([c if 97 <= c <= 122 else 32 for c in range(128)], dtype=np.uint32)
+
+
 def ngram_counts(text: str, dims: int = DIMS) -> np.ndarray:
-    """Hashed counts of the 1-, 2- and 3-grams of the text, a space put on both ends."""
+    """Hashed counts of the 1-, 2- and 3-grams of the text's words, a single space put between and around them."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = np.where(codes < 128, PLAIN[np.minimum(codes, 127)], codes)
+    space = codes == 32
+    codes = codes[~(space & np.concatenate([[False], space[:-1]]))]
     one = codes * STEP
     two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + one[1:]
     three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(0xC2B2AE35) + one[2:]

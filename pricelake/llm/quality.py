@@ -32,6 +32,9 @@ PIECE = 2048
 LEVEL = 3
 SEED = "quality-1"
 PASS = 0.7
+#: Bytes of an empty piece when compressed, and of the prior that the difference is shrunk by.
+HEADER = 9
+SHRINK = 128
 
 
 def pieces(text: str | None) -> list[bytes]:
@@ -55,11 +58,15 @@ class Sizes:
 
 
 def features(sizes: np.ndarray) -> np.ndarray:
-    """Rows (plain, good, bad) to what the calibration sees: the normalised difference, both rates, and their squares."""
-    plain, good, bad = np.maximum(sizes, 1).T
-    d = (good - bad) / np.maximum(good, bad)
-    rate = np.minimum(np.minimum(good, bad) / plain, 2)
-    return np.stack([d, rate, d * rate, rate**2, d**2, np.log(plain)], axis=1)
+    """Rows (plain, good, bad) to what the calibration sees: the normalised difference, the rate to the plain size, the
+    length, and their products. Frame headers don't count; SHRINK bytes of no difference steady short texts."""
+    plain = sizes[:, 0]
+    headers = HEADER * np.ceil(plain / PIECE)
+    good, bad = np.maximum(sizes[:, 1] - headers, 1), np.maximum(sizes[:, 2] - headers, 1)
+    d = (good - bad) / (np.maximum(good, bad) + SHRINK)
+    rate = np.minimum(good, bad) / (np.maximum(plain, 1) + SHRINK)
+    size = np.log(np.maximum(plain, 1))
+    return np.stack([d, rate, d * rate, rate**2, d**2, size, size**2, d * size, rate * size], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict:
