@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, language, mixing, quality
+from . import chat, decontam, language, mixing, pii, quality
 
-MODULES = (language, quality, chat, mixing)
+MODULES = (language, quality, pii, chat, decontam, mixing)
 
 
 def queries() -> dict:
