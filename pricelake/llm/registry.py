@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, language, mixing, pii, quality
+from . import chat, decontam, language, lm, mixing, pii, quality
 
-MODULES = (language, quality, pii, chat, decontam, mixing)
+MODULES = (language, quality, pii, lm, chat, decontam, mixing)
 
 
 def queries() -> dict:
