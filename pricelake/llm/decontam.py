@@ -39,7 +39,9 @@ def words(text: str | None) -> list[bytes]:
 
 def rolling(ids: np.ndarray, n: int) -> np.ndarray:
     """Karp-Rabin hashes of all runs of n ids, modulo 2**64."""
-    out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+    if len(ids) < n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(ids) - n + 1, np.uint64)
     for k in range(n):
         out = out * BASE + (ids[k : len(ids) - n + 1 + k].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     return out
