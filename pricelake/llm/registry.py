@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, fingerprint, language, lm, mixing, pii, quality
+from . import chat, decontam, fingerprint, language, lm, mixing, ngram_join, pii, quality
 
-MODULES = (language, quality, pii, lm, fingerprint, chat, decontam, mixing)
+MODULES = (language, quality, pii, lm, fingerprint, chat, decontam, mixing, ngram_join)
 
 
 def queries() -> dict:
