@@ -330,6 +330,17 @@ def link_components(docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone)
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, without those that link, directly or not, to one of a smaller id. Of rows with one id one
+    stays; rows without an id all stay."""
+    found = materialize(link_components(docs), "ngram-components")
+    kept = _among(docs, materialize(found.filter("component_id < doc_id").select("doc_id"), "ngram-dropped"), "doc_id", "left_anti")
+    twice = materialize(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "ngram-twice")
+    if twice.isEmpty():
+        return kept
+    return _among(kept, twice, "doc_id", "left_anti").unionByName(_among(kept, twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

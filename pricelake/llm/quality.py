@@ -153,6 +153,17 @@ def score(docs: DataFrame, model: dict, keys: list[str | Column]) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
+def keep(docs: DataFrame, model: dict, least: float = PASS) -> DataFrame:
+    """The documents, all columns, whose score is ``least`` or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes = Sizes(model["good"], model["bad"]) if model["curve"] else None
+        for batch in batches:
+            yield batch[scores(list(batch["text"]), model, sizes)["score"].to_numpy() >= least]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
     """Learns from the labels outside the held-out fold."""
     return fit(docs, labels.filter(fold(F.col("doc_id"), 4) != 2))
