@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, tokens
+from .common import discard, materialize, table, tokens
 
 WORDS = 5
 #: 7 * intersection >= 3 * (sum of sizes) is 100 * intersection >= 75 * union.
@@ -41,8 +41,13 @@ OFTEN = 3
 COMMON = 100_000
 #: Sides of joins with at most so many ids are broadcast (8 bytes each), others shuffled.
 BROADCAST_IDS = 1_000_000
-PART = 1024
+PART = 512
 FANOUT = 8
+#: Node pairs that are looked at together, and members up to which a block is walked without a tree.
+FRONTIER = 4096
+SMALL = 12
+#: Keys packed together before they are sent.
+FLUSH = 2_000_000
 MANY = 4
 ROUNDS = 3
 CHUNK_WORDS = 2_000_000
@@ -82,8 +87,9 @@ class Shingles:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """At least four bits a shingle, a power of two; the low bits of a hash choose its bit, so halves fold onto each other."""
-    size = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
+    """Two bits a shingle at least (four for small sets), a power of two; the low bits of a hash choose its bit, so halves fold
+    onto each other."""
+    size = max(64, 1 << int((4 if len(shingles) <= 256 else 2) * len(shingles) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -135,14 +141,53 @@ def _among(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
+def shared_keys(sets: DataFrame) -> DataFrame:
+    """key: the leading bits of first shingles that more than one set has. They travel packed: a bucket of leading bits, as many
+    as keep buckets small, and arrays of the next 32 bits. Shingles that only look alike cost work, not results."""
+    bits = max(4, min(16, (max(1, sets.count() // 4000)).bit_length()))
+
+    def pack(keys: list) -> pd.DataFrame:
+        k = np.sort(np.concatenate(keys))
+        bucket = (k >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        low = k.astype(np.uint32)
+        return pd.DataFrame({"bucket": bucket[cuts], "keys": [low[x:y].tobytes() for x, y in zip(cuts, np.append(cuts[1:], len(k)), strict=True)]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, held = [], 0
+        for batch in batches:
+            for first in batch["first"]:
+                keys.append(np.asarray(first, np.int64).view(np.uint64) >> np.uint64(32 - bits))
+                held += len(first)
+            if held > FLUSH:
+                yield pack(keys)
+                keys, held = [], 0
+        if keys:
+            yield pack(keys)
+
+    def often(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["keys"]]), return_counts=True)
+        return pd.DataFrame({"key": (np.int64(pdf["bucket"].iloc[0]) << 32) | k[n > 1].astype(np.int64)})
+
+    packed = sets.select("first").mapInPandas(run, "bucket long, keys binary")
+    found = packed.groupBy("bucket").applyInPandas(often, "key long")
+    return found.withColumn("bits", F.lit(bits))
+
+
 def blocks(sets: DataFrame) -> DataFrame:
     """block, doc_id, members: sets that share a first shingle; one block for each choice of members."""
+    keys = materialize(shared_keys(sets), "ngram-keys")
+    bits = keys.select("bits").first()
+    if bits is None:
+        return materialize(sets.limit(0).select(F.col("doc_id").alias("block"), "doc_id", F.lit(0).cast("long").alias("members")), "ngram-blocks")
     first = sets.select(F.explode("first").alias("h"), "doc_id")
-    shared = first.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h")
-    held = materialize(first.join(shared, "h"), "ngram-shared")
-    chosen = held.groupBy("h").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
+    first = first.withColumn("key", F.shiftrightunsigned("h", 32 - bits["bits"]))
+    held = materialize(first.join(keys.select("key"), "key").select("h", "doc_id"), "ngram-shared")
+    chosen = held.groupBy("h").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).filter("members > 1")
     chosen = chosen.groupBy("members", "x", "y").agg(F.min("h").alias("h"))
-    return materialize(held.join(chosen.select("h", "members"), "h").select(F.col("h").alias("block"), "doc_id", "members"), "ngram-blocks")
+    out = materialize(held.join(chosen.select("h", "members"), "h").select(F.col("h").alias("block"), "doc_id", "members"), "ngram-blocks")
+    discard(keys, held)
+    return out
 
 
 def dealt(members: DataFrame) -> DataFrame:
@@ -179,62 +224,95 @@ def fold_to(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def walk(s: Tree, t: Tree) -> np.ndarray:
-    """Row pairs of leaves whose largest possible overlap is enough. s and t may be the same tree."""
+    """Row pairs of leaves whose largest possible overlap is enough. s and t may be the same tree. Node pairs wait on a
+    stack in portions, so that memory follows the depth, not the number of pairs."""
     words = min(s.levels[0][0].shape[1], t.levels[0][0].shape[1])
-    a_level, b_level = len(s.levels) - 1, len(t.levels) - 1
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(s.levels[-1][1])), np.arange(len(t.levels[-1][1])), indexing="ij"))
-    while True:
+    stack, out = [(len(s.levels) - 1, len(t.levels) - 1, i, j)], [np.zeros((0, 2), np.int64)]
+    while stack:
+        a_level, b_level, i, j = stack.pop()
+        if len(i) > FRONTIER:
+            stack.append((a_level, b_level, i[FRONTIER:], j[FRONTIER:]))
+            i, j = i[:FRONTIER], j[:FRONTIER]
         if s is t:
             i, j = i[i <= j], j[i <= j]
-        (ab, al, ah, ae), (bb, bl, bh, be) = s.levels[a_level], t.levels[b_level]
-        near = (4 * ah[i] >= 3 * bl[j]) & (4 * bh[j] >= 3 * al[i])
-        i, j = i[near], j[near]
-        keep = np.zeros(len(i), bool)
-        step = max(1, CHUNK_WORDS // ab.shape[1])
-        for k in range(0, len(i), step):
-            x, y = fold_to(ab[i[k : k + step]], words), fold_to(bb[j[k : k + step]], words)
-            both = np.bitwise_count(x & y).sum(axis=1).astype(np.int64)
-            p, q = i[k : k + step], j[k : k + step]
-            if a_level == b_level == 0:  # what only one has shows as bits that the other lacks
-                most = np.minimum(al[p] - np.bitwise_count(x).sum(axis=1) + both, bl[q] - np.bitwise_count(y).sum(axis=1) + both)
-            else:
-                fa, fb = (ah[p] if ab.shape[1] > words else ae[p]), (bh[q] if bb.shape[1] > words else be[q])
-                most = np.minimum(np.minimum(ah[p], bh[q]), np.minimum(fa, fb) + both)
-            keep[k : k + step] = SHARE * most >= OF_BOTH * (al[p] + bl[q])
-        i, j = i[keep], j[keep]
+        i, j = _near(s.levels[a_level], t.levels[b_level], i, j, words, a_level == b_level == 0)
         if a_level == b_level == 0:
             own = s.rows[i] != t.rows[j]
-            return np.stack([s.rows[i][own], t.rows[j][own]], axis=1)
-        down_a, down_b = a_level >= b_level and a_level > 0, b_level >= a_level and b_level > 0
-        a = s.children(a_level, i) if down_a else i[:, None]
-        b = t.children(b_level, j) if down_b else j[:, None]
-        a_level, b_level = a_level - down_a, b_level - down_b
-        i, j = np.repeat(a, b.shape[1], axis=1).ravel(), np.tile(b, (1, a.shape[1])).ravel()
-        real = (i < len(s.levels[a_level][1])) & (j < len(t.levels[b_level][1]))
-        i, j = i[real], j[real]
-
-
-def pairs_of(pdf: pd.DataFrame, last: bool) -> tuple[np.ndarray, bool]:
+            out.append(np.stack([s.rows[i][own], t.rows[j][own]], axis=1))
+        elif len(i):
+            down_a, down_b = a_level >= b_level and a_level > 0, b_level >= a_level and b_level > 0
+            a = s.children(a_level, i) if down_a else i[:, None]
+            b = t.children(b_level, j) if down_b else j[:, None]
+            a_level, b_level = a_level - down_a, b_level - down_b
+            i, j = np.repeat(a, b.shape[1], axis=1).ravel(), np.tile(b, (1, a.shape[1])).ravel()
+            real = (i < len(s.levels[a_level][1])) & (j < len(t.levels[b_level][1]))
+            stack.append((a_level, b_level, i[real], j[real]))
+    return np.concatenate(out)
+
+
+def _near(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, words: int, leaves: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of nodes of two levels that can hold a linked pair."""
+    (ab, al, ah, ae), (bb, bl, bh, be) = a, b
+    near = (4 * ah[i] >= 3 * bl[j]) & (4 * bh[j] >= 3 * al[i])
+    i, j = i[near], j[near]
+    keep = np.zeros(len(i), bool)
+    step = max(1, CHUNK_WORDS // max(ab.shape[1], bb.shape[1]))
+    for k in range(0, len(i), step):
+        p, q = i[k : k + step], j[k : k + step]
+        x, y = fold_to(ab[p], words), fold_to(bb[q], words)
+        both = np.bitwise_count(x & y).sum(axis=1).astype(np.int64)
+        if leaves:  # what only one has shows as bits that the other lacks
+            most = np.minimum(al[p] - np.bitwise_count(x).sum(axis=1) + both, bl[q] - np.bitwise_count(y).sum(axis=1) + both)
+        else:
+            fa, fb = (ah[p] if ab.shape[1] > words else ae[p]), (bh[q] if bb.shape[1] > words else be[q])
+            most = np.minimum(np.minimum(ah[p], bh[q]), np.minimum(fa, fb) + both)
+        keep[k : k + step] = SHARE * most >= OF_BOTH * (al[p] + bl[q])
+    return i[keep], j[keep]
+
+
+def _few(n: list[int], bits: list[bytes], own: list[int], i: int, j: int) -> list[tuple[int, int]]:
+    """walk() for a handful of sets: their leaves, pair by pair."""
+    whole = [int.from_bytes(b, "little") for b in bits]
+    out = []
+    for p in range(len(n)):
+        for q in range(p + 1, len(n)):
+            if {own[p], own[q]} != {i, j} or 4 * n[p] < 3 * n[q] or 4 * n[q] < 3 * n[p]:
+                continue
+            x, y, a, b = whole[p], whole[q], len(bits[p]), len(bits[q])
+            while a > b:
+                a //= 2
+                x = (x & ((1 << 8 * a) - 1)) | (x >> 8 * a)
+            while b > a:
+                b //= 2
+                y = (y & ((1 << 8 * b) - 1)) | (y >> 8 * b)
+            both = (x & y).bit_count()
+            if SHARE * min(n[p] - x.bit_count() + both, n[q] - y.bit_count() + both) >= OF_BOTH * (n[p] + n[q]):
+                out.append((p, q))
+    return out
+
+
+def pairs_of(n: np.ndarray, bits: list[bytes], own: np.ndarray, group: np.ndarray, i: int, j: int, last: bool) -> tuple[np.ndarray, bool]:
     """Pairs of rows of a block's two parts to be counted, and whether some were left for another round."""
-    n, own = pdf["n"].to_numpy(np.int64), pdf["own"].to_numpy()
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    sizes = pdf["bits"].map(len).to_numpy()
-    trees: dict[tuple[int, int], Tree] = {}
-    for part in {i, j}:
-        for size in np.unique(sizes[own == part]):
-            rows = np.flatnonzero((own == part) & (sizes == size))
-            trees[part, int(size)] = Tree(rows, n[rows], np.stack([np.frombuffer(pdf["bits"].iloc[r], np.uint64) for r in rows]))
-    found = [np.zeros((0, 2), np.int64)]
-    for (p, x), s in trees.items():
-        for (q, y), t in trees.items():
-            if p == i and q == j and (i != j or x <= y) and max(x, y) <= 2 * min(x, y):
-                found.append(walk(s, t))
-    pairs = np.concatenate(found)
-    group = pdf["component"].to_numpy()
+    if len(n) <= SMALL:
+        pairs = np.array(_few(n.tolist(), bits, own.tolist(), i, j), np.int64).reshape(-1, 2)
+    else:
+        sizes = np.array([len(b) for b in bits])
+        trees: dict[tuple[int, int], Tree] = {}
+        for part in {i, j}:
+            for size in np.unique(sizes[own == part]):
+                rows = np.flatnonzero((own == part) & (sizes == size))
+                trees[part, int(size)] = Tree(rows, n[rows], np.stack([np.frombuffer(bits[r], np.uint64) for r in rows]))
+        found = [np.zeros((0, 2), np.int64)]
+        for (p, x), s in trees.items():
+            for (q, y), t in trees.items():
+                if p == i and q == j and (i != j or x <= y) and max(x, y) <= 4 * min(x, y):
+                    found.append(walk(s, t))
+        pairs = np.concatenate(found)
     pairs = pairs[group[pairs[:, 0]] != group[pairs[:, 1]]]
-    if last or len(pairs) <= MANY * len(pdf):
+    if last or len(pairs) <= MANY * len(n):
         return pairs, False
-    degree = np.bincount(pairs.ravel(), minlength=len(pdf))
+    degree = np.bincount(pairs.ravel(), minlength=len(n))
     by = np.argsort(np.concatenate([pairs[:, 0], pairs[:, 1]]), kind="stable")
     other = np.concatenate([pairs[:, 1], pairs[:, 0]])[by]
     start = np.concatenate([[0], np.cumsum(degree)])
@@ -251,13 +329,41 @@ def pairs_of(pdf: pd.DataFrame, last: bool) -> tuple[np.ndarray, bool]:
 def candidates(members: DataFrame, last: bool) -> DataFrame:
     """a, b (a < b), and rows with only ``again``: blocks that have more pairs to send."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs, more = pairs_of(pdf, last)
-        ids = pdf["doc_id"].to_numpy(np.int64)[pairs]
-        out = pd.DataFrame({"a": ids.min(axis=1), "b": ids.max(axis=1), "again": None}, dtype="Int64") if len(ids) else pd.DataFrame({"a": [], "b": [], "again": []}, dtype="Int64")
-        return pd.concat([out, pd.DataFrame({"a": [None], "b": [None], "again": [key[0]]}, dtype="Int64")]) if more else out
+    def of(rows: pd.DataFrame) -> tuple[list, list]:
+        """The pairs of each block and parts in rows, which stand together."""
+        block, i, j = rows["block"].to_numpy(), rows["i"].to_numpy(), rows["j"].to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        ids, n, own, group, bits = rows["doc_id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["own"].to_numpy(), rows["component"].to_numpy(np.int64), rows["bits"].tolist()
+        found, again = [], []
+        for p, q in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True):
+            if q - p > 1:
+                pairs, more = pairs_of(n[p:q], bits[p:q], own[p:q], group[p:q], int(i[p]), int(j[p]), last)
+                found.append(ids[p:q][pairs])
+                if more:
+                    again.append(int(block[p]))
+        return found, again
 
-    return dealt(members).groupBy("block", "i", "j").applyInPandas(run, "a long, b long, again long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            same = (rows["block"] == rows["block"].iloc[-1]) & (rows["i"] == rows["i"].iloc[-1]) & (rows["j"] == rows["j"].iloc[-1])
+            held = rows[same]  # the last group may go on in the next batch
+            yield told(*of(rows[~same]))
+        if held is not None:
+            yield told(*of(held))
+
+    def told(found: list, again: list) -> pd.DataFrame:
+        ids = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        blank = pd.array([None] * len(again), "Int64")
+        return pd.DataFrame({
+            "a": pd.array([*ids.min(axis=1, initial=2**63 - 1), *blank], "Int64"), "b": pd.array([*ids.max(axis=1, initial=-(2**63)), *blank], "Int64"), "again": pd.array([*[None] * len(ids), *again], "Int64"),
+        })
+
+    rows = dealt(members).select("block", "i", "j", "own", "doc_id", "n", "bits", "component")
+    return rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id").mapInPandas(run, "a long, b long, again long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -282,7 +388,9 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sets = materialize(sets.mapInPandas(run, "doc_id long, s binary"), "ngram-sets")
     x = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(count, "a long, b long")
+    out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(count, "a long, b long"), "ngram-linked")
+    discard(ids, sets)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -307,14 +415,16 @@ def link_components(docs: DataFrame) -> DataFrame:
     classes = materialize(known.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "ngram-classes")
     copies = known.select("doc_id", "set_id").join(classes, "set_id").filter("doc_id <> rep").select("doc_id")
     sets = _among(known, materialize(copies, "ngram-copies"), "doc_id", "left_anti")
+    about = materialize(sets.select("doc_id", "n", "bits"), "ngram-about")
     held, links, labels = blocks(sets), None, None
-    about = sets.select("doc_id", "n", "bits")
+    narrow = materialize(all_sets.select("doc_id", "n", "set_id"), "ngram-sizes")
+    discard(all_sets)
     for k in range(ROUNDS):
         members = held.join(about, "doc_id")
         members = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")) if labels is not None else members.withColumn("component", F.col("doc_id"))
         sent = materialize(candidates(members, k == ROUNDS - 1), "ngram-candidates")
         pairs = sent.filter("again is null").select("a", "b").distinct()
-        found = materialize(verify(pairs, docs), "ngram-linked")
+        found = verify(pairs, docs)
         links = found if links is None else links.unionByName(found).distinct()
         labels = components(links)
         again = sent.filter("again is not null").select(F.col("again").alias("block")).distinct()
@@ -324,7 +434,8 @@ def link_components(docs: DataFrame) -> DataFrame:
     n_links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").join(n_links, "rep", "left")
     classes = materialize(classes.select("set_id", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "ngram-classes")
-    out = all_sets.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
+    discard(about, held)
+    out = narrow.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
     alone = out.filter("set_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     linked = out.filter("set_id is not null").join(classes, "set_id").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
     return linked.unionByName(alone)
