@@ -7,10 +7,11 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts in a documen
    the window alone. A run of windows with one minimiser is a segment. Minimisers of a single document can't be of a
    repeated window; the others go on.
 3. Segments of one bucket of minimisers meet in a task as shards. Each shard's suffixes are sorted once; the shards'
-   transforms are then merged without sorting again: an interleave of shard numbers is refined LENGTH times by stable
-   counting on the transforms' symbols, and blocks of equal prefixes split along with it. After that, a block of more
+   transforms are then merged without sorting again: an interleave of their rows is refined by stable counting on the
+   transforms' symbols, two at a time, until LENGTH, and blocks of equal prefixes split along with it. After that, a block of more
    than one row is a repeated interval; the smallest id in it decides which windows go.
-4. Minimisers of more than ``HOT`` segments would gather too much: their windows are summed up one by one, by key.
+4. Minimisers of more than ``HOT`` documents would gather too much: their equal segments are summed up first. If more than
+   HOT differ even then, their windows are summed up one by one, by key.
 5. Windows become spans, spans are merged, and the bytes between them are kept.
 
 Defined cases: null text is empty; texts under LENGTH bytes lose nothing; ids are unique up to repeated rows, which count as one
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 LENGTH = 50
 GRAM = 20
@@ -36,7 +37,7 @@ CHUNK = 60_000
 #: Bytes of text for each bucket of minimisers, segments for each bucket of segments, and bytes of a shard.
 BUCKET_BYTES = 2_000_000
 BUCKET_SEGMENTS = 20_000
-SHARD_BYTES = 64_000
+SHARD_BYTES = 128_000
 HOT = 1500
 FLUSH = 2_000_000
 BROADCAST_ROWS = 1_000_000
@@ -125,7 +126,7 @@ SEGMENTS = "route long, id long, at long, seg binary, hot boolean"
 
 
 def segments(docs: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
-    """The segments of shared minimisers; of hot ones each window by itself."""
+    """The segments of shared minimisers, and whether they are hot."""
     packed = keys.groupBy("id").agg(F.collect_list(F.when(F.col("n") > HOT, -F.col("key") - 1).otherwise(F.col("key"))).alias("keys"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,10 +139,7 @@ def segments(docs: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
                     for hot, wanted in ((False, key), (True, -key - 1)):
                         k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                         for a, c, r in zip(first[keys[k] == wanted].tolist(), n[keys[k] == wanted].tolist(), key[keys[k] == wanted].tolist(), strict=True):
-                            if hot:
-                                out += [(r, doc, w, raw[w : w + LENGTH], True) for w in range(a, a + c)]
-                            else:
-                                out.append((r, doc, a, raw[a : a + c + LENGTH - 1], False))
+                            out.append((r, doc, a, raw[a : a + c + LENGTH - 1], hot))
                 if len(out) > 200_000:
                     yield pd.DataFrame(out, columns=["route", "id", "at", "seg", "hot"])
                     out = []
@@ -152,98 +150,143 @@ def segments(docs: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
 
 
 class Shard:
-    """The transform of sorted texts, each with an end of its own (symbol 0, ordered like the texts)."""
+    """The transform of sorted texts, each with an end of its own (symbol 0, ordered like the texts). ``last`` is the symbol
+    before each row's suffix, ``back`` the row of the suffix that starts with it."""
 
     def __init__(self, texts: list[bytes], number: np.ndarray):
         sizes = np.array([len(t) + 1 for t in texts])
-        self.raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + 1
+        raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
         ends = np.cumsum(sizes) - 1
-        self.raw[ends] = 0
+        raw[ends] = 0
         starts = ends - sizes + 1
         text = np.repeat(np.arange(len(texts)), sizes)
-        n = len(self.raw)
-        rank, step = self.raw.astype(np.int64), 1
-        longest = int(sizes.max())
+        n = len(raw)
         place = np.arange(n)
         left = ends[text] - place  # to the end of the own text
-        while step < longest:  # prefix doubling inside this one shard
-            follow = np.where(step <= left, rank[np.minimum(place + step, n - 1)] + 1, 0)
-            pair = rank * (int(follow.max()) + 1) + follow
-            order = np.argsort(pair, kind="stable")
-            new = np.cumsum(np.concatenate([[0], pair[order][1:] != pair[order][:-1]]))
+        key, step = np.zeros(n, np.int64), 7  # the first seven symbols, then prefix doubling inside this one shard
+        for k in range(step):
+            key = key * 256 + np.where(k <= left, raw[np.minimum(place + k, n - 1)], 0)
+        longest = int(sizes.max())
+        while True:
+            order = np.argsort(key)
+            new = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
             rank = np.empty(n, np.int64)
             rank[order] = new
+            if step >= longest or new[-1] == n - 1:
+                break
+            follow = np.where(step <= left, rank[np.minimum(place + step, n - 1)] + 1, 0)
+            key = rank * (n + 1) + follow
             step *= 2
-        self.rows = np.argsort(rank, kind="stable")  # equal suffixes stay in the order of their texts
-        before = np.where(place == starts[text], ends[text], place - 1)
-        self.last = self.raw[before][self.rows].astype(np.uint16)
-        self.text, self.offset = number[text[self.rows]], (place - starts[text])[self.rows]
-        self.size = sizes[text[self.rows]] - 1
+        rows = np.argsort(rank * n + place)  # equal suffixes stay in the order of their texts
+        at = np.empty(n, np.int64)
+        at[rows] = np.arange(n)
+        before = np.where(place == starts[text], ends[text], place - 1)[rows]
+        self.last, self.back = raw[before], at[before]
+        self.text, self.offset = number[text[rows]], (place - starts[text])[rows]
+        self.size = sizes[text[rows]] - 1
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the shards' rows ordered by their first ``depth`` symbols (as shard numbers), and the number of each
-    row's block of equal ones. Each round moves every row's preceding symbol in front of it."""
+    """The interleave of the shards' rows (numbered one shard after the other) ordered by their first ``depth`` symbols, an even
+    number, and each row's block of equal ones. A round moves every row's two preceding symbols in front of it; rows are
+    only counted into place by these, never compared."""
     last = np.concatenate([s.last for s in shards])
-    which = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.last) for s in shards])
-    block = np.zeros(len(last), np.int64)
-    symbols = np.empty_like(last)
-    for _ in range(depth):
-        symbols[np.argsort(which, kind="stable")] = last  # the k-th row of a shard has its k-th symbol
+    firsts = np.cumsum([0, *(len(s.last) for s in shards[:-1])])
+    back = np.concatenate([s.back + f for s, f in zip(shards, firsts, strict=True)])
+    pair = last[back].astype(np.uint16) * np.uint16(256) + last
+    ended = (last == 0) | (last[back] == 0)
+    twice = back[back]
+    rows, block = np.arange(len(last)), np.zeros(len(last), np.int32)
+    for _ in range(depth // 2):
+        symbols = pair[rows]
         order = np.argsort(symbols, kind="stable")
-        which, came, of = which[order], block[order], symbols[order]
-        # ends differ from one another
-        new = (of[1:] != of[:-1]) | (came[1:] != came[:-1]) | (of[1:] == 0)
-        block = np.concatenate([[0], np.cumsum(new)])
-    return which, block
+        came, of, was = block[order], symbols[order], rows[order]
+        new = (of[1:] != of[:-1]) | (came[1:] != came[:-1]) | ended[was[1:]]  # ends differ from one another
+        rows = twice[was]
+        block = np.concatenate([[0], np.cumsum(new)]).astype(np.int32)
+    return rows, block
 
 
-def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """id, start, end of the windows of a bucket's segments that a smaller id has too."""
-    segs, inverse = np.unique(np.array(pdf["seg"].tolist(), dtype=object), return_inverse=True)
-    ids = pdf["id"].to_numpy(np.int64)
-    least = np.full(len(segs), LAST, np.int64)
-    np.minimum.at(least, inverse, ids)
-    sizes = np.array([len(s) for s in segs])
+def repeated_windows(segs: list[bytes], least: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """For sorted distinct segments, each with the smallest id that has it: the spans of windows that some other segment
+    of a still smaller id has."""
     shards, at = [], 0
-    ends = np.cumsum(sizes + 1)
+    ends = np.cumsum([len(s) + 1 for s in segs])
     while at < len(segs):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SHARD_BYTES)))
-        shards.append(Shard(list(segs[at:to]), np.arange(at, to)))
+        shards.append(Shard(segs[at:to], np.arange(at, to)))
         at = to
-    which, block = merge(shards, LENGTH)
-    row = np.argsort(which, kind="stable")  # rows of the shards one after the other
-    text, offset, size = np.empty(len(which), np.int64), np.empty(len(which), np.int64), np.empty(len(which), np.int64)
-    text[row], offset[row], size[row] = (np.concatenate([getattr(s, k) for s in shards]) for k in ("text", "offset", "size"))
+    rows, block = merge(shards, LENGTH)
+    text, offset, size = (np.concatenate([getattr(s, k) for s in shards])[rows] for k in ("text", "offset", "size"))
     window = offset + LENGTH <= size
     text, offset, block = text[window], offset[window], block[window]
     first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
     smallest = np.repeat(np.minimum.reduceat(least[text], first), np.diff(np.append(first, len(block))))
     gone = smallest < least[text]
-    # windows that go from the segment of the smallest id itself, as spans
     order = np.lexsort((offset[gone], text[gone]))
     t, o = text[gone][order], offset[gone][order]
-    cut = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1] + 1)])) if len(t) else np.zeros(0, int)
+    if not len(t):
+        return {}
+    cut = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1] + 1)]))
     own: dict[int, list[tuple[int, int]]] = {}
-    for a, b in zip(cut.tolist(), np.append(cut[1:], len(t)).tolist() if len(cut) else [], strict=True):
+    for a, b in zip(cut.tolist(), np.append(cut[1:], len(t)).tolist(), strict=True):
         own.setdefault(int(t[a]), []).append((int(o[a]), int(o[b - 1]) + LENGTH))
-    places = pdf["at"].to_numpy(np.int64)
-    whole = ids > least[inverse]
-    out = [np.stack([ids[whole], places[whole], places[whole] + sizes[inverse[whole]]], axis=1)]
+    return own
+
+
+def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+    """id, start, end of the windows of a bucket's segments that a smaller id has too."""
+    segs, inverse = np.unique(np.array(pdf["seg"].tolist(), dtype=object), return_inverse=True)
+    ids, places = pdf["id"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64)
+    least = np.full(len(segs), LAST, np.int64)
+    np.minimum.at(least, inverse, ids)
+    own, sizes = repeated_windows(segs.tolist(), least), np.array([len(s) for s in segs])
+    whole = ids > least[inverse]  # the segment itself is one of a smaller id
     some = [(ids[k], places[k] + a, places[k] + b) for k in np.flatnonzero(~whole) for a, b in own.get(int(inverse[k]), ())]
-    out.append(np.array(some, np.int64).reshape(-1, 3))
+    out = [np.stack([ids[whole], places[whole], places[whole] + sizes[inverse[whole]]], axis=1), np.array(some, np.int64).reshape(-1, 3)]
     return pd.DataFrame(np.concatenate(out), columns=["id", "start", "end"])
 
 
-def spans(found: DataFrame, n_rows: int) -> DataFrame:
+def repeated_distinct(pdf: pd.DataFrame) -> pd.DataFrame:
+    """seg and own: the spans to go from the distinct segments (with their least ids) of a bucket."""
+    pdf = pdf.groupby("seg", as_index=False)["least"].min().sort_values("seg")
+    own = repeated_windows(pdf["seg"].tolist(), pdf["least"].to_numpy(np.int64))
+    return pd.DataFrame({"route": 0, "seg": pdf["seg"], "own": [[{"start": a, "end": b} for a, b in own.get(k, ())] for k in range(len(pdf))]})
+
+
+def _buckets(df: DataFrame, rows: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("route"), F.lit(max(1, -(-rows // BUCKET_SEGMENTS)))))
+
+
+def spans(found: DataFrame) -> DataFrame:
     """id and the merged (start, end) byte spans to be removed."""
-    buckets = max(1, -(-n_rows // BUCKET_SEGMENTS))
-    cold = found.filter("not hot").withColumn("bucket", F.pmod(F.xxhash64("route"), F.lit(buckets))).select("bucket", "id", "at", "seg")
-    cold = cold.groupBy("bucket").applyInPandas(lambda pdf: repeated(pdf), "id long, start long, end long")
-    hot = found.filter("hot").select("id", "at", "seg")
-    least = hot.groupBy("seg").agg(F.min("id").alias("least"))
-    hot = hot.join(least, "seg").filter("least < id").select("id", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
-    return cold.unionByName(hot).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    where = "id long, start long, end long"
+    n = {r["hot"]: r["n"] for r in found.groupBy("hot").agg(F.count("*").alias("n")).collect()}
+    cold = _buckets(found.filter("not hot").select("route", "id", "at", "seg"), n.get(False, 0)).groupBy("bucket").applyInPandas(lambda pdf: repeated(pdf), where)
+    if not n.get(True):
+        return _merged(cold)
+    # Hot minimisers: equal segments are summed up before they meet.
+    hot = found.filter("hot").select("route", "id", "at", "seg")
+    distinct = materialize(hot.groupBy("route", "seg").agg(F.min("id").alias("least")), "suffix-distinct")
+    many = distinct.groupBy("route").agg(F.count("*").alias("n"))
+    many = materialize(many.filter(F.col("n") > HOT).select("route"), "suffix-many")
+    few = distinct.join(F.broadcast(many), "route", "left_anti") if many.count() <= BROADCAST_ROWS else distinct.join(many, "route", "left_anti")
+    few = materialize(few, "suffix-few")
+    told = _buckets(few, few.count()).groupBy("bucket").applyInPandas(lambda pdf: repeated_distinct(pdf), "route long, seg binary, own array<struct<start: long, end: long>>").select("seg", "own")
+    length = F.octet_length("seg").cast("long")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), length.alias("end")))
+    gone = F.explode(F.when(F.col("id") > F.col("least"), whole).otherwise(F.col("own")))
+    warm = hot.join(few, ["route", "seg"]).join(told, "seg").select("id", "at", gone.alias("g")).select("id", (F.col("at") + F.col("g.start")).alias("start"), (F.col("at") + F.col("g.end")).alias("end"))
+    # What is still too much for a task, window by window.
+    ones = hot.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, "route", "left_semi")
+    ones = ones.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("seg") - (LENGTH - 1)), lambda k: F.substring("seg", k, F.lit(LENGTH)))).alias("k", "seg"), "at")
+    least = ones.groupBy("seg").agg(F.min("id").alias("least"))
+    single = ones.join(least, "seg").filter("least < id").select("id", (F.col("at") + F.col("k")).alias("start"), (F.col("at") + F.col("k") + LENGTH).alias("end"))
+    return _merged(cold.unionByName(warm).unionByName(single))
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    return found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -274,7 +317,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     bits = max(6, min(24, (max(1, total // BUCKET_BYTES) - 1).bit_length()))
     keys = materialize(shared(minimisers(one, bits)), "suffix-keys")
     found = materialize(segments(one, keys, bits), "suffix-segments")
-    gone = materialize(spans(found, found.count()), "suffix-spans")
+    discard(keys)
+    gone = materialize(spans(found), "suffix-spans")
+    discard(found)
     gone = gone.unionByName(copies.select("id", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(LAST).alias("end"))).alias("spans")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

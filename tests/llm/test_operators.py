@@ -249,13 +249,9 @@ def test_merge_of_transforms_orders_prefixes():
     rng = np.random.default_rng(4)
     texts = sorted({bytes(rng.integers(97, 99, rng.integers(6, 30)).astype(np.uint8)) for _ in range(40)})
     shards = [suffix_dedup.Shard(texts[:13], np.arange(13)), suffix_dedup.Shard(texts[13:], np.arange(13, len(texts)))]
-    which, block = suffix_dedup.merge(shards, 6)
-    rows = [list(zip(s.text.tolist(), s.offset.tolist(), strict=True)) for s in shards]
-    taken, prefixes = [0, 0], []
-    for z in which.tolist():
-        t, o = rows[z][taken[z]]
-        taken[z] += 1
-        prefixes.append(texts[t][o : o + 6])
+    order, block = suffix_dedup.merge(shards, 6)
+    rows = [(t, o) for s in shards for t, o in zip(s.text.tolist(), s.offset.tolist(), strict=True)]
+    prefixes = [texts[rows[k][0]][rows[k][1] : rows[k][1] + 6] for k in order.tolist()]
     whole = [(p, b) for p, b in zip(prefixes, block.tolist(), strict=True) if len(p) == 6]
     assert [p for p, _ in whole] == sorted(p for p, _ in whole)
     assert len({b for _, b in whole}) == len({p for p, _ in whole}) and len(set(whole)) == len({b for _, b in whole})
