@@ -60,7 +60,8 @@ def reference_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference_window_sparse(spark: SparkSession, d: str) -> DataFrame:
-    obs = A.sparse_observations(spark, d).withColumn("us", F.col("day") * F.lit(86_400_000_000))
+    obs = A.sparse_observations(spark, d).groupBy("offer_id", "seq").agg(F.min("day").alias("day"), F.min("price").alias("price"))
+    obs = obs.withColumn("us", F.col("day") * F.lit(86_400_000_000))
     return history.reference_window(obs, 365).select("offer_id", "seq", "thirty_day_low", "window_n")
 
 
@@ -139,7 +140,7 @@ def window_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def genuine_savings(spark: SparkSession, d: str) -> DataFrame:
     rows = deals.window_statistics(A.observations(spark, d), DAYS)
-    return rows.select("seq", F.round("genuine_savings", 3).alias("savings"), deals.legal_discount(F.col("genuine_savings")).alias("is_legal"))
+    return rows.select("seq", F.round("genuine_savings", 6).alias("savings"), deals.legal_discount(F.col("genuine_savings")).alias("is_legal"))
 
 
 def fake_discount(spark: SparkSession, d: str) -> DataFrame:
@@ -199,9 +200,9 @@ SQL = {
     "lifetime_stats": f"WITH {O} SELECT offer_id, min(price) AS all_time_low, max(price) AS all_time_high, min(day) AS first_seen, count(*) AS n FROM obs GROUP BY offer_id",
     "previous_price": f"WITH {WIN} SELECT seq, previous_price, prior_low, round(previous_price - price, 4) AS drop_value, round((previous_price - price) / previous_price * 100, 4) AS drop_percent FROM prior",
     "reference_window": f"WITH {WIN} SELECT seq, thirty_day_low, window_n, history_days FROM win",
-    "reference_window_sparse": f"""WITH {S}, prev AS (SELECT *, lag(price) OVER (PARTITION BY offer_id ORDER BY day, seq) AS p FROM sparse)
+    "reference_window_sparse": f"""WITH {S}, one AS (SELECT offer_id, seq, min(day) AS day, min(price) AS price FROM sparse GROUP BY ALL), prev AS (SELECT *, lag(price) OVER (PARTITION BY offer_id ORDER BY day, seq) AS p FROM one)
       SELECT a.offer_id, a.seq, coalesce(min(b.price), any_value(a.p)) AS thirty_day_low, count(b.price) AS window_n
-      FROM prev a LEFT JOIN sparse b ON b.offer_id = a.offer_id AND (b.day, b.seq) < (a.day, a.seq) AND b.day >= a.day - 365 GROUP BY a.offer_id, a.seq""",
+      FROM prev a LEFT JOIN one b ON b.offer_id = a.offer_id AND (b.day, b.seq) < (a.day, a.seq) AND b.day >= a.day - 365 GROUP BY a.offer_id, a.seq""",
     "window_provenance": f"""WITH {O}, w AS (SELECT a.seq, count(b.seq) AS n FROM obs a LEFT JOIN obs b ON b.offer_id = a.offer_id AND (b.us, b.seq) < (a.us, a.seq) AND b.day >= a.day - 1 GROUP BY a.seq)
       SELECT CASE WHEN seq % 10 = 0 THEN 'unknown' WHEN n = 0 THEN 'confirmed_empty' ELSE 'genuine' END AS provenance, count(*) AS n FROM w GROUP BY 1""",
     "merge_aliases": f"""WITH {S}, b AS (SELECT offer_id, day, price, seq, 0 AS side FROM sparse WHERE run % 4 <> 0 UNION ALL SELECT offer_id, day, price, seq, 1 FROM sparse WHERE run % 4 <> 1 AND run % 7 <> 0)
@@ -228,7 +229,7 @@ SQL = {
         round(list_aggregate(prices, 'quantile_cont', 0.75), 6) AS p75, round(list_avg(prices[cut + 1 : window_n - cut]), 6) AS trimmed_mean,
         round(list_aggregate(list_transform(prices, lambda p: abs(p - median)), 'median'), 6) AS mad,
         round(CASE WHEN list_aggregate(prices, 'stddev_samp') > 0 THEN (price - mean) / list_aggregate(prices, 'stddev_samp') END, 6) AS z_score FROM x""",
-    "genuine_savings": f"WITH {WIN} SELECT seq, round(savings, 3) AS savings, savings > 0 AS is_legal FROM stats",
+    "genuine_savings": f"WITH {WIN} SELECT seq, round(savings, 6) AS savings, savings > 0 AS is_legal FROM stats",
     "fake_discount": f"""WITH {WIN} SELECT seq, concat_ws(',', CASE WHEN price >= window_low AND reference_price > median * 1.25 THEN 'ADVERTISED_ORIGINAL_INFLATED' END,
         CASE WHEN price >= window_low AND previous_price > median * 1.25 AND price < previous_price THEN 'OBSERVED_PRE_SALE_HIKE' END) AS reasons FROM stats""",
     "days_at_current_price": f"""WITH {O}, p AS (SELECT seq, offer_id, us, day, ceil(price / 50) * 50.0 AS price FROM obs),

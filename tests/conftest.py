@@ -37,14 +37,15 @@ def duck() -> duckdb.DuckDBPyConnection:
 
 def cells(pdf) -> tuple[list[str], list[tuple]]:
     """Columns and rows in an order that both engines share; numbers to six digits."""
+    import numpy as np
     import pandas as pd
 
     def cell(x) -> str:
         if x is None or (not hasattr(x, "__len__") and pd.isna(x)):
             return "null"
-        if isinstance(x, bool) or type(x).__name__ == "bool_":
+        if isinstance(x, bool | np.bool_):
             return str(bool(x))
-        return f"{float(x):.6g}" if isinstance(x, int | float) or type(x).__module__ == "numpy" else str(x)
+        return f"{float(x) + 0.0:.6g}" if isinstance(x, int | float) or type(x).__module__ == "numpy" else str(x)
 
     pdf = pdf[sorted(pdf.columns)]
     return list(pdf.columns), sorted(tuple(map(cell, r)) for r in pdf.itertuples(index=False))
