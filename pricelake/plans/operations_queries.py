@@ -214,7 +214,13 @@ ing AS (SELECT n.seq, CASE WHEN n.callback_id IN (SELECT callback_id FROM old) O
   WHEN n.alert_id IN (SELECT alert_id FROM sent) THEN 'stored' ELSE 'rejected' END AS outcome FROM label_log n WHERE n.seq >= 2000)"""
 CUR = L + ", cur AS (SELECT * FROM label_log QUALIFY row_number() OVER (PARTITION BY alert_id, rater ORDER BY seq DESC) = 1)"
 EFF = X + ", eff AS (SELECT * FROM outbox QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY seq DESC) = 1)"
+CLEAN, HITS = "text", []
+for _name, _pattern in T.SECRETS.items():
+    _quoted = _pattern.replace("'", "''")
+    HITS.append(f"len(regexp_extract_all(text, '{_quoted}')) AS {_name}")
+    CLEAN = f"regexp_replace({CLEAN}, '{_quoted}', '[REDACTED]', 'g')"
 SQL = {
+    "redact_secrets": f"SELECT doc_id, md5({CLEAN}) AS clean, {', '.join(HITS)} FROM documents",
     "store_run_health": f"WITH {H} SELECT store, run, requested, parsed, matched, failures, rate_limit_hits, challenged, round(latency, 6) AS latency, started_us FROM h",
     "last_known_good": f"WITH {H} SELECT store, run, (max(CASE WHEN parsed > 0 THEN started_us END) OVER (PARTITION BY store ORDER BY run))::VARCHAR AS last_good_us FROM h",
     "quarantined_stores": f"WITH {H} SELECT store FROM {_bad('c')}",
