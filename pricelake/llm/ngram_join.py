@@ -48,7 +48,8 @@ FRONTIER = 4096
 SMALL = 12
 #: Keys packed together before they are sent.
 FLUSH = 2_000_000
-MANY = 4
+#: A block sends at most so many pairs a member at first.
+MANY = 1
 ROUNDS = 3
 CHUNK_WORDS = 2_000_000
 CACHE = 500_000
@@ -408,8 +409,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for each row of docs (doc_id, text). n_links counts verified links of the
-    document's class to other classes; inside a component not all links need be verified."""
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text). Inside a component not all links need be verified."""
     all_sets = materialize(shingled(docs), "ngram-sets")
     known = all_sets.filter("n > 0 and doc_id is not null")
     classes = materialize(known.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "ngram-classes")
@@ -431,13 +431,12 @@ def link_components(docs: DataFrame) -> DataFrame:
         if again.isEmpty():
             break
         held = materialize(held.join(again, "block"), "ngram-blocks")
-    n_links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").join(n_links, "rep", "left")
-    classes = materialize(classes.select("set_id", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "ngram-classes")
+    classes = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    classes = materialize(classes.select("set_id", F.coalesce("component", "rep").alias("component")), "ngram-classes")
     discard(about, held)
     out = narrow.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
-    alone = out.filter("set_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    linked = out.filter("set_id is not null").join(classes, "set_id").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+    alone = out.filter("set_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = out.filter("set_id is not null").join(classes, "set_id").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return linked.unionByName(alone)
 
 
