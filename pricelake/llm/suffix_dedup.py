@@ -207,9 +207,18 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, block
 
 
-def repeated_windows(segs: list[bytes], least: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """For sorted distinct segments, each with the smallest id that has it: the spans of windows that some other segment
-    of a still smaller id has."""
+def repeated_windows(segs: list[bytes], least: np.ndarray, routes: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """For sorted distinct segments, each with its minimiser and the smallest id that has it: the spans of windows that some
+    other segment of a still smaller id has. Only segments of one minimiser share windows, so one that is alone is left out."""
+    _, which, n = np.unique(routes, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(n[which] > 1)
+    if not len(shared):
+        return {}
+    own = _windows([segs[k] for k in shared.tolist()], least[shared])
+    return {int(shared[k]): spans for k, spans in own.items()}
+
+
+def _windows(segs: list[bytes], least: np.ndarray) -> dict[int, list[tuple[int, int]]]:
     shards, at = [], 0
     ends = np.cumsum([len(s) + 1 for s in segs])
     while at < len(segs):
@@ -240,7 +249,9 @@ def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     ids, places = pdf["id"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64)
     least = np.full(len(segs), LAST, np.int64)
     np.minimum.at(least, inverse, ids)
-    own, sizes = repeated_windows(segs.tolist(), least), np.array([len(s) for s in segs])
+    routes = np.zeros(len(segs), np.int64)
+    routes[inverse] = pdf["route"].to_numpy(np.int64)
+    own, sizes = repeated_windows(segs.tolist(), least, routes), np.array([len(s) for s in segs])
     whole = ids > least[inverse]  # the segment itself is one of a smaller id
     some = [(ids[k], places[k] + a, places[k] + b) for k in np.flatnonzero(~whole) for a, b in own.get(int(inverse[k]), ())]
     out = [np.stack([ids[whole], places[whole], places[whole] + sizes[inverse[whole]]], axis=1), np.array(some, np.int64).reshape(-1, 3)]
@@ -249,9 +260,9 @@ def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def repeated_distinct(pdf: pd.DataFrame) -> pd.DataFrame:
     """seg and own: the spans to go from the distinct segments (with their least ids) of a bucket."""
-    pdf = pdf.groupby("seg", as_index=False)["least"].min().sort_values("seg")
-    own = repeated_windows(pdf["seg"].tolist(), pdf["least"].to_numpy(np.int64))
-    return pd.DataFrame({"route": 0, "seg": pdf["seg"], "own": [[{"start": a, "end": b} for a, b in own.get(k, ())] for k in range(len(pdf))]})
+    pdf = pdf.sort_values("seg")
+    own = repeated_windows(pdf["seg"].tolist(), pdf["least"].to_numpy(np.int64), pdf["route"].to_numpy(np.int64))
+    return pd.DataFrame({"route": pdf["route"], "seg": pdf["seg"], "own": [[{"start": a, "end": b} for a, b in own.get(k, ())] for k in range(len(pdf))]})
 
 
 def _buckets(df: DataFrame, rows: int) -> DataFrame:
