@@ -394,8 +394,29 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the links (a, b) that a task reads, those that join what the ones before have not joined yet."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+            keep.append(x != y)
+        yield batch[np.array(keep, bool)]
+
+
 def components(links: DataFrame) -> DataFrame:
-    """doc_id, component of every document in a link: the smallest id that links reach, by label propagation with jumps."""
+    """doc_id, component of every document in a link: the smallest id that links reach, by label propagation with jumps over what
+    each task's links span."""
+    links = links.select("a", "b").mapInPandas(spanning, "a long, b long")
     both = materialize(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct(), "ngram-links")
     labels = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("c")), "ngram-labels")
     while True:
