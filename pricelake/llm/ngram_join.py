@@ -15,7 +15,7 @@ documents link when 100 * intersection >= 75 * union.
 5. Components by label propagation over the links.
 
 Defined cases: null, empty and blank texts have no shingle, link with nothing and are their own component; fewer words than
-five make one shingle of them all; repeated rows are copies; a null doc_id links with nothing and has a null component; an
+five make one shingle of them all; repeated rows are copies; rows of one id with other texts each link; a null doc_id links with nothing and has a null component; an
 empty table gives none. Extra columns are ignored. Hashes of 64 bits stand for shingles and 128 bits for sets.
 """
 
@@ -183,7 +183,10 @@ def blocks(sets: DataFrame) -> DataFrame:
         return materialize(sets.limit(0).select(F.col("doc_id").alias("block"), "doc_id", F.lit(0).cast("long").alias("members")), "ngram-blocks")
     first = sets.select(F.explode("first").alias("h"), "doc_id")
     first = first.withColumn("key", F.shiftrightunsigned("h", 32 - bits["bits"]))
-    held = materialize(first.join(keys.select("key"), "key").select("h", "doc_id"), "ngram-shared")
+    held = first.join(keys.select("key"), "key").select("h", "doc_id")
+    if sets.select("doc_id").distinct().count() < sets.count():  # an id of two texts counts once, or its hashes would cancel
+        held = held.distinct()
+    held = materialize(held, "ngram-shared")
     chosen = held.groupBy("h").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).filter("members > 1")
     chosen = chosen.groupBy("members", "x", "y").agg(F.min("h").alias("h"))
     out = materialize(held.join(chosen.select("h", "members"), "h").select(F.col("h").alias("block"), "doc_id", "members"), "ngram-blocks")
@@ -431,11 +434,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text). Inside a component not all links need be verified."""
-    all_sets = materialize(shingled(docs), "ngram-sets")
+    all_sets = materialize(shingled(docs).withColumn("row", F.monotonically_increasing_id()), "ngram-sets")
     known = all_sets.filter("n > 0 and doc_id is not null")
-    classes = materialize(known.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "ngram-classes")
-    copies = known.select("doc_id", "set_id").join(classes, "set_id").filter("doc_id <> rep").select("doc_id")
-    sets = _among(known, materialize(copies, "ngram-copies"), "doc_id", "left_anti")
+    # One row stands for a class: repeated rows of its smallest id are copies too.
+    first = known.groupBy("set_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    classes = materialize(first.select("set_id", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("rep_row")), "ngram-classes")
+    copies = known.select("row", "set_id").join(classes, "set_id").filter("row <> rep_row").select("row")
+    sets = _among(known, materialize(copies, "ngram-copies"), "row", "left_anti")
     about = materialize(sets.select("doc_id", "n", "bits"), "ngram-about")
     held, links, labels = blocks(sets), None, None
     narrow = materialize(all_sets.select("doc_id", "n", "set_id"), "ngram-sizes")

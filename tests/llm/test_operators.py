@@ -324,6 +324,32 @@ def test_star_of_copies_keeps_all_links(spark):
     assert got == brute_components(rows)
 
 
+def test_repeated_rows_keep_all_links(spark):
+    """Every row twice: blocks of one size must not be taken for one another."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for g in range(12):
+        words = [f"g{g}w{k}" for k in range(60)]
+        for k in range(3):
+            near = list(words)
+            near[int(rng.integers(60))] = f"x{k}"
+            rows.append((10 * g + k, " ".join(near)))
+    table = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    got = ngram_join.link_components(table).collect()
+    assert len(got) == len(table.collect())
+    want = brute_components(rows)
+    assert 12 < len(set(want.values())) < len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one(table).collect()) == sorted(set(want.values()))
+
+
+def test_an_id_of_two_texts_keeps_its_links(spark):
+    text = lambda g, k: " ".join([f"g{g}w{j}" for j in range(60)] + [f"x{k}"] * k)
+    rows = [(1, text(0, 0)), (5, text(0, 1)), (5, text(1, 0)), (6, text(1, 1)), (2, text(2, 0)), (5, text(2, 0)), (7, text(2, 1))]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, 1), (5, 1), (6, 1), (2, 2), (5, 2), (7, 2)} == got
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
