@@ -4,7 +4,7 @@ Words are counted over all training documents. The ``OWN`` most frequent words a
 share ``SHARED`` classes by a hash of their ending. A log-bilinear model predicts the class of the next word from the two
 before: position matrices times context vectors, a dot product with each class's vector, and a bias. It is trained in
 numpy by noise-contrastive estimation: each task takes steps on its own documents, parameters are averaged over the
-tasks' words, and every training document is read once. A word's probability is its class's normalised probability (batched
+tasks' words, and every position of every training document is an example once. A word's probability is its class's normalised probability (batched
 matrix products over the distinct contexts) times its add-one share within the class.
 
 Words of the ``FREQUENT`` commonest are looked up in the tasks; of the others each document's counts are joined with the table of
@@ -39,8 +39,6 @@ FREQUENT = 200_000
 ROUNDS = 3
 NOISE = 64
 BATCH = 256
-#: One in so many positions, from a start that turns with each document, is a training example.
-STRIDE = 3
 RATE = 0.5
 SEED = 11
 FLUSH = 400_000
@@ -175,20 +173,20 @@ def train(docs: DataFrame, vocab: dict) -> dict[str, np.ndarray]:
 
         def run(batches: Iterator[pd.DataFrame], params=params, k=k) -> Iterator[pd.DataFrame]:
             known, mass = Words(*words.value[0]), words.value[1]
-            trainer, held, used, first = Trainer(params, mass, SEED + k), [], 0, 0
+            trainer, held, waiting, used = Trainer(params, mass, SEED + k), [], 0, 0
             for batch in batches:
                 for text in batch["text"]:
                     ids = np.concatenate([[0, 0], known(text)[0]])
-                    at = np.arange(2 + first % STRIDE, len(ids), STRIDE)
-                    first += 1
-                    held.append(np.stack([ids[at - 2], ids[at - 1], ids[at]]))
-                    used += len(at)
-                    while sum(x.shape[1] for x in held) >= BATCH * 64:
+                    held.append(np.stack([ids[:-2], ids[1:-1], ids[2:]]))
+                    used += len(ids) - 2
+                    waiting += len(ids) - 2
+                    if waiting >= BATCH * 64:
                         rows = np.concatenate(held, axis=1)
                         rows = rows[:, trainer.rng.permutation(rows.shape[1])]
                         for i in range(0, rows.shape[1] - BATCH + 1, BATCH):
                             trainer.step(*rows[:, i : i + BATCH])
                         held = [rows[:, rows.shape[1] // BATCH * BATCH :]]
+                        waiting = held[0].shape[1]
             rows = np.concatenate([*held, np.zeros((3, 0), np.int32)], axis=1)
             for i in range(0, rows.shape[1], BATCH):
                 trainer.step(*rows[:, i : i + BATCH])

@@ -129,6 +129,14 @@ def test_language_model(spark, docs):
     assert lm.vocabulary(lm.count_words(learn.limit(0))) is None
 
 
+def test_every_position_is_a_training_example(docs, monkeypatch):
+    mean, used = lm._mean, []
+    monkeypatch.setattr(lm, "_mean", lambda learnt: (got := mean(learnt), used.extend(r["used"] for r in got))[0])
+    vocab = lm.vocabulary(lm.count_words(docs).cache())
+    lm.train(docs, vocab)
+    assert sum(used) == vocab["n"] == sum(len((r[1] or "").encode().split()) + 1 for r in ROWS)
+
+
 def test_fingerprints(docs):
     rows = sorted(TEXTS, key=lambda r: (-r[0], r[1] or ""))
     got = defaultdict(list)
