@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, table
@@ -315,11 +315,25 @@ def _cut(raw: bytes, gone: list) -> tuple[int, int, bytes]:
     return removed, n, b"".join(parts) + raw[at:]
 
 
+def _digest() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with id: doc_id, or where that is null a number past all ids, one for each distinct text by its digest."""
+    known = docs.filter("doc_id is not null").withColumn("id", F.col("doc_id"))
+    nameless = docs.filter("doc_id is null")
+    if nameless.isEmpty():
+        return known
+    past = known.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    digests = materialize(nameless.select(_digest().alias("digest")).distinct().orderBy("digest").withColumn("id", F.lit(past) + 1 + F.monotonically_increasing_id()), "suffix-nameless")
+    return known.unionByName(nameless.withColumn("digest", _digest()).join(digests, "digest").select("doc_id", "text", "id"))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (what is left, as bytes) of each row of docs."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LAST)).alias("id"))
-    digest = F.unhex(F.md5(F.col("text").cast("binary")))
-    ids = materialize(docs.select("id", digest.alias("digest"), F.octet_length("text").cast("long").alias("n")), "suffix-ids")
+    docs = with_ids(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    ids = materialize(docs.select("id", _digest().alias("digest"), F.octet_length("text").cast("long").alias("n")), "suffix-ids")
     first = ids.groupBy("digest").agg(F.min("id").alias("first"))
     copies = materialize(ids.join(first, "digest").filter("id > first and n >= 50").select("id").distinct(), "suffix-copies")
     few = copies.count() <= BROADCAST_ROWS

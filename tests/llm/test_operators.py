@@ -253,6 +253,18 @@ def test_suffix_dedup(docs, spark, monkeypatch):
     assert suffix_dedup.dedup(empty(docs)).count() == 0
 
 
+def test_suffix_dedup_of_rows_without_an_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c + b), (2**40, "short")]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"]) for r in got) == sorted((k or 0, len(t)) for k, t in rows)
+    kept = sorted(bytes(r["kept"]).decode() for r in got if r["doc_id"] is None)
+    first, second = sorted(["", b, b, c]), sorted(["", "", "", c + b])  # whichever of b and c + b comes first keeps b
+    assert kept in (first, second)
+    alone = spark.createDataFrame([(None, a), (None, b)], "doc_id long, text string")
+    assert {r["n_removed"] for r in suffix_dedup.dedup(alone).collect()} == {0}
+
+
 def test_merge_of_transforms_orders_prefixes():
     rng = np.random.default_rng(4)
     texts = sorted({bytes(rng.integers(97, 99, rng.integers(6, 30)).astype(np.uint8)) for _ in range(40)})
