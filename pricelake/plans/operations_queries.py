@@ -181,7 +181,7 @@ def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
 
 def build_prompts(spark: SparkSession, d: str) -> DataFrame:
     docs = A.read(spark, d, "documents")
-    hard = F.concat(F.lit("<b>javasc<ript:x</b> da<ta:"), F.substring("text", 1, 300))
+    hard = F.concat(F.lit("<b>javasc<ript:x</b> da<ta:"), "text")
     return docs.select("doc_id", T.sanitize(hard).alias("prompt"))
 
 

@@ -202,3 +202,10 @@ def test_documents_of_older_shapes(spark, tmp_path):
     products, rows, rejected = documents.read_price_history(spark, str(tmp_path))
     assert [r["url"] for r in products.collect()] == ["u1"] and rows.count() == 1
     assert sorted((r["url"] or "", r["reason"]) for r in rejected.collect()) == [("", "not_a_document"), ("u2", "no_history"), ("u3", "bad_observation")]
+
+
+def test_prompts_are_cut_after_markup_is_gone(spark, tmp_path):
+    from pricelake.plans import operations_queries
+
+    spark.createDataFrame([(1, "<" * 290 + "word " * 100)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(operations_queries.build_prompts(spark, str(tmp_path)).first()["prompt"]) >= 195
