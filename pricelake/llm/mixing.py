@@ -53,9 +53,10 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return by.select("source", "source_size", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``source_size``, ``target``, ``rate`` and ``copies``; docs have doc_id, source, and size or text."""
-    docs = docs if "size" in docs.columns else docs.withColumn("size", n_words(F.col("text")))
+def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, counted: bool = False) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target``, ``rate`` and ``copies``; docs have doc_id, source and text, or, if
+    ``counted``, their words as size in place of text."""
+    docs = docs if counted else docs.withColumn("size", n_words(F.col("text")))
     docs = docs.drop(*OUT, "_key", "_salt")
     targets = materialize(source_targets(docs, weights, share, cap), "mix-targets")
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_key")
@@ -79,7 +80,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    planned = plan_mix(materialize(docs, "mix-sizes"))
+    planned = plan_mix(materialize(docs, "mix-sizes"), counted=True)
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -291,6 +291,13 @@ def test_mixing(spark, docs):
     assert mixing.plan_mix(empty(docs)).count() == 0
 
 
+def test_mixing_counts_words_whatever_size_says(docs):
+    want = sorted((r["doc_id"], r["copies"], r["size"]) for r in mixing.plan_mix(docs).collect())
+    clash = docs.withColumn("size", F.lit(None).cast("long"))
+    assert sorted((r["doc_id"], r["copies"], r["size"]) for r in mixing.plan_mix(clash).collect()) == want
+    assert mixing.mix(clash).count() == sum(n for _, n, _ in want) > 0
+
+
 def test_mixing_of_many_sources_is_salted(docs, monkeypatch):
     want = sorted((r["doc_id"], r["copies"]) for r in mixing.plan_mix(docs).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
