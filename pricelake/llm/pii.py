@@ -2,14 +2,15 @@
 
 Generators propose spans that may overlap: the four base patterns, and looser ones (written-out addresses, numbers without
 a plus sign, other separators, colon-separated addresses). Base matches that pass their check are always kept. All
-candidates get format and context features; boosted trees, trained on whether base matches pass their checks, score
-them; for each kind a threshold that reaches ``PRECISION`` on documents held back selects further spans.
+candidates get format and context features and a weak label (checks, form, words before them); boosted trees, trained on
+these labels, score them; for each kind a threshold that reaches ``PRECISION`` on the loose candidates of documents held
+back selects further spans.
 
 The features are small integers, so training needs only the counts of the distinct feature rows (at most the product of
 their ranges), which Spark sums over all documents. The trees become one SQL expression.
 
-Defined cases: null text is empty and has no span; repeated rows get equal spans; too few checked or no failing
-candidates of a kind add nothing to the base ones; an empty table gives none. Extra columns pass through ``redact``.
+Defined cases: null text is empty and has no span; repeated rows get equal spans; too few loose
+candidates of a kind held back, or labels all alike, add nothing to the base ones; an empty table gives none. Extra columns pass through ``redact``.
 Patterns are possessive, or anchored where a match may start, so that long runs cost no more than their length.
 """
 
@@ -31,7 +32,7 @@ GENERATORS = (
     (1, True, r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     (2, True, r"[0-9][\x20-]?[0-9]", r"[0-9](?:[\x20-]?[0-9])++"),
     (3, True, r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    (0, False, r"(?i)[\[(\x20]at[\])\x20]", rf"(?<![{LOCAL}])[{LOCAL}]++\x20?[\[(]\x20?(?i:at)\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[(]\x20?(?i:dot)\x20?[\])]|\.)\x20?[A-Za-z0-9-]++)++"),
+    (0, False, r"(?i)[\[(\x20]at[\])\x20]", rf"(?<![{LOCAL}])[{LOCAL}]++\x20?[\[(]\x20?(?i:at)\x20?[\])]\x20?[A-Za-z0-9-]++(?:(?:\x20?[\[(]\x20?(?i:dot)\x20?[\])]\x20?|\x20\.\x20|\.)[A-Za-z0-9-]++)++"),
     (1, False, r"[0-9A-Fa-f]:[0-9A-Fa-f]", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])"),
     (2, False, r"[0-9]{4}[._/][0-9]{4}", r"(?<![0-9A-Za-z._/])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9A-Za-z])"),
     (3, False, r"[0-9]{3}[\x20).-]", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|00[0-9]{1,3}[\x20-]|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])"),
@@ -39,7 +40,7 @@ GENERATORS = (
 CONTEXT = 24
 HINT = r"(?i)(?:mail|phone|tel|call|fax|mobil|card|visa|credit|kart|ip|addr|host|contact)\b\W*$"
 SECRET = r"(?i)(?:token|key|secret|password|hash|version|licen[cs]e|id)\b\W*$"
-FEATURES = ("digits", "separators", "length", "before", "after", "hint", "secret", "shape", "sum")
+FEATURES = ("digits", "separators", "length", "before", "after", "hint", "secret", "shape", "sum", "base", "form")
 PRECISION = 0.98
 LEAST = 30
 ROUNDS = 24
@@ -71,8 +72,26 @@ def _passes(kind: int, m: Column) -> Column:
     return n.between(9, 15) if kind == 3 else F.lit(True)
 
 
+def _formed(m: Column) -> Column:
+    """Whether an address, its written-out signs put back, has a name, hosts and a top-level domain of letters."""
+    plain = F.regexp_replace(m, r"(?i)\x20?[\[(]\x20?at\x20?[\])]\x20?", "@")
+    plain = F.regexp_replace(plain, r"(?i)\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20\.\x20", ".")
+    return F.rlike(plain, F.lit(r"^[A-Za-z0-9].*@[A-Za-z0-9].*\.[A-Za-z]{2,24}$|^[A-Za-z0-9]@[A-Za-z0-9].*\.[A-Za-z]{2,24}$")) & ~F.rlike(plain, F.lit(r"\.-|-\."))
+
+
+def _label(kind: int, base: bool, m: Column, before: Column) -> Column:
+    """The weak label of a candidate: numbers of a base pattern and all cards by their check, addresses by form, other loose
+    numbers by a word before them that says what they are."""
+    told, secret = F.rlike(before, F.lit(HINT)), F.rlike(before, F.lit(SECRET))
+    if kind == 0:
+        return _formed(m) & ~secret
+    if base or kind == 2:
+        return _passes(kind, m)
+    return told & ~secret & (_passes(kind, m) if kind == 3 else F.lit(True))
+
+
 def _spans(text: Column, kind: int, base: bool, needs: str, pattern: str) -> Column:
-    """array<struct<start, end, kind, base, passes, m, before, after>> of one generator's matches.
+    """array<struct<start, end, kind, base, passes, m, before, after, label>> of one generator's matches.
 
     Starts are the summed lengths (in code points) of what stands between the matches and of the matches before.
     """
@@ -84,6 +103,7 @@ def _spans(text: Column, kind: int, base: bool, needs: str, pattern: str) -> Col
         lambda acc, x: F.struct((acc["at"] + x["g"] + x["h"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["g"])).alias("starts")),
         lambda acc: acc["starts"],
     )
+    before = lambda x: F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
     spans = F.transform(
         F.filter(F.zip_with(hits, start, lambda h, s: F.struct(h.alias("m"), s.alias("s"))), lambda x: x["m"].isNotNull()),
         lambda x: F.struct(
@@ -93,12 +113,13 @@ def _spans(text: Column, kind: int, base: bool, needs: str, pattern: str) -> Col
             F.lit(base).alias("base"),
             (_passes(kind, x["m"]) if base else F.lit(None).cast("boolean")).alias("passes"),
             x["m"].alias("m"),
-            F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT))).alias("before"),
+            before(x).alias("before"),
             F.substring(text, x["s"] + F.length(x["m"]) + 1, F.lit(1)).alias("after"),
+            _label(kind, base, x["m"], before(x)).alias("label"),
         ),
     )
     tried = F.contains(text, F.lit(needs)) if needs == "@" else F.rlike(text, F.lit(needs))
-    return F.when(tried, spans).otherwise(F.array().cast("array<struct<start:int,end:int,kind:int,base:boolean,passes:boolean,m:string,before:string,after:string>>"))
+    return F.when(tried, spans).otherwise(F.array().cast("array<struct<start:int,end:int,kind:int,base:boolean,passes:boolean,m:string,before:string,after:string,label:boolean>>"))
 
 
 def candidates(docs: DataFrame, keys: list[str | Column]) -> DataFrame:
@@ -106,7 +127,7 @@ def candidates(docs: DataFrame, keys: list[str | Column]) -> DataFrame:
     are searched, for every generator asks for one of these."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = F.array_sort(F.concat(*[_spans(text, *g) for g in GENERATORS]))
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,base:boolean,passes:boolean,m:string,before:string,after:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,kind:int,base:boolean,passes:boolean,m:string,before:string,after:string,label:boolean>>")
     return docs.select(*keys, F.when(F.rlike(text, F.lit(r"[0-9@]|(?i:[\[(]\x20?at\x20?[\])])|[A-Fa-f]:[A-Fa-f]")), found).otherwise(none).alias("spans"))
 
 
@@ -125,16 +146,18 @@ def _features(s: Column) -> list[Column]:
         flag(F.rlike(s["before"], F.lit(SECRET))),
         F.when(F.rlike(m, F.lit("[A-Za-z]")), 2).otherwise(0) + F.when(F.contains(m, F.lit("@")), 1).otherwise(0),
         flag(F.when(n.between(8, 24), luhn(digits))),
+        flag(s["base"]),
+        flag((s["kind"] == 0) & _formed(m)),
     ]
 
 
 def training_counts(found: DataFrame, doc_id: Column) -> list[dict]:
-    """Distinct feature rows with how many base matches had them, passed or not, for training and for calibration."""
+    """Distinct feature rows with how many candidates had them, by weak label, for training and for calibration."""
     s = F.col("s")
-    rows = found.select(doc_id.alias("_id"), F.explode(F.filter("spans", lambda x: x["base"])).alias("s"))
+    rows = found.select(doc_id.alias("_id"), F.explode("spans").alias("s"))
     named = [f.alias(n) for n, f in zip(FEATURES, _features(s), strict=True)]
     held = (fold(F.col("_id"), 5) == 0).cast("int").alias("held")
-    seen = rows.select(s["kind"].alias("kind"), held, s["passes"].cast("int").alias("y"), *named)
+    seen = rows.select(s["kind"].alias("kind"), held, s["label"].cast("int").alias("y"), *named)
     return [r.asDict() for r in seen.groupBy("kind", "held", "y", *FEATURES).agg(F.count("*").alias("n")).orderBy("kind", "held", "y", *FEATURES).collect()]
 
 
@@ -187,19 +210,19 @@ def _value(trees: list[tuple], row: dict) -> float:
 
 
 def fit(found: DataFrame, doc_id: Column) -> dict:
-    """Trees, and for each kind the least score that reaches PRECISION on the documents held back (None: add nothing)."""
+    """Trees, and for each kind the least score that reaches PRECISION on loose candidates of the documents held back (None: add nothing)."""
     rows = training_counts(found, doc_id)
     trees = boost([r for r in rows if not r["held"]]) if len({r["y"] for r in rows if not r["held"]}) == 2 else []
     cuts: list[float | None] = []
     for kind in range(len(KINDS)):
-        own = sorted(((_value(trees, r), r["y"], r["n"]) for r in rows if r["held"] and r["kind"] == kind), reverse=True)
-        fails, total, cut = sum(n for _, y, n in own if not y), 0, None
-        good = 0
-        for value, y, n in own:
+        own = sorted(((_value(trees, r), r["y"], r["n"]) for r in rows if r["held"] and r["kind"] == kind and not r["base"]), reverse=True)
+        total, good, cut = 0, 0, None
+        for k, (value, y, n) in enumerate(own):
             total, good = total + n, good + n * y
-            if total >= LEAST and good >= PRECISION * total:
-                cut = value
-        cuts.append(cut if fails and trees else None)
+            whole = k + 1 == len(own) or own[k + 1][0] < value  # equal scores are taken or left together
+            if whole and total >= LEAST and good >= PRECISION * total:
+                cut = value - 1e-9  # Spark may add the trees up in another order
+        cuts.append(cut if trees else None)
     return {"trees": trees, "cuts": cuts}
 
 
@@ -221,7 +244,7 @@ def selected(spans: Column, model: dict) -> Column:
     keep = lambda s: s["base"] & s["passes"]
     if model["trees"] and any(c is not None for c in cuts):
         by_kind = lambda s: F.element_at(F.array(*[F.lit(c if c is not None else float("inf")) for c in cuts]), s["kind"] + 1)
-        choose = lambda s: F.when(keep(s), True).otherwise(_score(model["trees"], s) >= by_kind(s))
+        choose = lambda s: F.when(s["base"], s["passes"]).otherwise(_score(model["trees"], s) >= by_kind(s))
     else:
         choose = keep
     short = F.transform(F.filter(spans, choose), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), keep(s).alias("base")))

@@ -96,6 +96,15 @@ def test_pii(spark, docs):
     assert pii.redact(docs).columns == docs.columns and pii.find(empty(docs)).count() == 0
 
 
+def test_written_out_addresses_are_found(spark):
+    rows = [(k, f"Please write to name{k} [at] host{k} [dot] com. We answer." if k % 3 else f"We met x{k} (at) room.{k} at noon.") for k in range(450)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["s"] for r in pii.find(table).select("doc_id", pii.told(F.col("spans")).alias("s")).collect()}
+    assert found == {k: f"email:16:{t.index(' We') - 1}" if k % 3 else "" for k, t in rows}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(table).collect()}
+    assert clean == {k: "Please write to [EMAIL]. We answer." if k % 3 else t for k, t in rows}
+
+
 def test_boosting_learns_and_adds():
     rows = [{"kind": 2, "held": h, "y": int(d == 16 and s), "n": 50, **dict.fromkeys(pii.FEATURES, 0), "digits": d, "sum": s} for h in (0, 1) for d in (12, 16, 19) for s in (0, 1)]
     trees = pii.boost([r for r in rows if not r["held"]])
