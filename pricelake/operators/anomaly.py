@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,43 +164,78 @@ def pelt_drop_flag(obs: DataFrame) -> DataFrame:
     """seq, pelt_flag of every row: whether the last change point of the series up to it lies within ACTIVE rows and fell.
 
     Series are divided by their median up to the row; change points minimise squared error plus PENALTY for each, exactly.
-    An offer's series is the group of a task; prune histories first (90 days), which bounds it.
+    An offer's whole series is the group of a task, no history is pruned: its work is its length squared for each distinct median.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", "seq"])
         price = pdf["price"].to_numpy(float)
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "pelt_flag": [fell(price[: k + 1]) for k in range(len(price))]})
+        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "pelt_flag": fallen(price)})
 
     return obs.select("offer_id", "us", "seq", "price").groupBy("offer_id").applyInPandas(run, "seq long, pelt_flag boolean")
 
 
+#: Medians used last whose partitions are held; one that comes back later is worked out anew.
+PARTITIONS = 64
+
+
+class Partition:
+    """Optimal partitioning of a series with squared error; a prefix's solution is kept for the longer ones."""
+
+    def __init__(self, x: np.ndarray):
+        n = len(x)
+        self.sums = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
+        self.best, self.came = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        self.best[0], self.done = -PENALTY, MIN_SIZE - 1
+
+    def cuts(self, n: int) -> list[int]:
+        """Starts of the segments after the first in the first n values."""
+        (s, q), best, came = self.sums, self.best, self.came
+        for end in range(self.done + 1, n + 1):
+            a = np.arange(0, end - MIN_SIZE + 1)
+            cost = best[a] + (q[end] - q[a]) - (s[end] - s[a]) ** 2 / (end - a) + PENALTY
+            k = int(np.argmin(cost))
+            best[end], came[end] = cost[k], a[k]
+        self.done = max(self.done, n)
+        out, end = [], n
+        while came[end] > 0:
+            end = int(came[end])
+            out.append(end)
+        return out[::-1]
+
+
 def change_points(x: np.ndarray) -> list[int]:
-    """Starts of the segments after the first, by optimal partitioning with squared error."""
-    n = len(x)
-    s, q = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-    best, came = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-    best[0] = -PENALTY
-    for end in range(MIN_SIZE, n + 1):
-        a = np.arange(0, end - MIN_SIZE + 1)
-        cost = best[a] + (q[end] - q[a]) - (s[end] - s[a]) ** 2 / (end - a) + PENALTY
-        k = int(np.argmin(cost))
-        best[end], came[end] = cost[k], a[k]
-    out, end = [], n
-    while came[end] > 0:
-        end = int(came[end])
-        out.append(end)
-    return out[::-1]
+    """Starts of the segments after the first."""
+    return Partition(x).cuts(len(x))
+
+
+def fallen(prices: np.ndarray) -> list[bool]:
+    """For each prefix of the prices whether its last change point is recent and fell. Prefixes of one median share a partition."""
+    parts: dict[float, tuple[np.ndarray, Partition]] = {}
+    seen: list[float] = []
+    out = []
+    for n, price in enumerate(prices.tolist(), 1):
+        if np.isnan(price):  # no median from here on
+            return out + [False] * (len(prices) - len(out))
+        insort(seen, price)
+        median = float(np.mean(seen[(n - 1) // 2 : n // 2 + 1]))
+        if n < 2 * MIN_SIZE or not median > 0:
+            out.append(False)
+            continue
+        if (found := parts.pop(median, None)) is None:
+            x = prices / median
+            found = x, Partition(x)
+            if len(parts) >= PARTITIONS:
+                parts.pop(next(iter(parts)))
+        x, part = parts[median] = found
+        cuts = part.cuts(n)
+        recent = bool(cuts) and n - cuts[-1] <= ACTIVE
+        out.append(recent and bool(x[cuts[-1] : n].mean() < x[cuts[-2] if len(cuts) > 1 else 0 : cuts[-1]].mean()))
+    return out
 
 
 def fell(prices: np.ndarray) -> bool:
-    if len(prices) < 2 * MIN_SIZE or (median := float(np.median(prices))) <= 0:
-        return False
-    x = prices / median
-    cuts = change_points(x)
-    if not cuts or len(x) - cuts[-1] > ACTIVE:
-        return False
-    return bool(x[cuts[-1] :].mean() < x[cuts[-2] if len(cuts) > 1 else 0 : cuts[-1]].mean())
+    return fallen(prices)[-1] if len(prices) else False
 
 
 def ensemble_volumes(rows: DataFrame, *by: str) -> DataFrame:

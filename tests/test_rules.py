@@ -209,3 +209,23 @@ def test_prompts_are_cut_after_markup_is_gone(spark, tmp_path):
 
     spark.createDataFrame([(1, "<" * 290 + "word " * 100)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert len(operations_queries.build_prompts(spark, str(tmp_path)).first()["prompt"]) >= 195
+
+
+def test_prefixes_of_one_median_share_a_partition(monkeypatch):
+    def whole(prices):
+        """The flag of one series, partitioned anew."""
+        if len(prices) < 2 * anomaly.MIN_SIZE:
+            return False
+        x = prices / np.median(prices)
+        cuts = anomaly.change_points(x)
+        return bool(cuts and len(x) - cuts[-1] <= anomaly.ACTIVE and x[cuts[-1] :].mean() < x[cuts[-2] if len(cuts) > 1 else 0 : cuts[-1]].mean())
+
+    rng = np.random.default_rng(8)
+    for scale in (1, 40):
+        prices = np.concatenate([rng.integers(90, 110, 60), rng.integers(40, 60, 30), rng.integers(95, 105, 30)]).astype(float) * scale
+        want = [whole(prices[: k + 1]) for k in range(len(prices))]
+        assert anomaly.fallen(prices) == want and any(want)
+    steps, argmin = [], np.argmin
+    monkeypatch.setattr(np, "argmin", lambda cost: (steps.append(1), argmin(cost))[1])
+    anomaly.fallen(np.full(200, 5.0))
+    assert len(steps) <= 200
