@@ -4,24 +4,28 @@ A document's set are its distinct runs of five words (lower-cased A-Z, split at
 documents link when 100 * intersection >= 75 * union.
 
 1. Documents of one set are a class; its smallest id stands for it.
-2. In any fixed order of shingles, linked sets of size n share one of their first n // 4 + 1. The order puts shingles
-   last that a sample of documents found often, so that common lines join few documents. Sets that share such a shingle
-   form a block; blocks of the same members are one.
-3. In a block, signature trees: leaves are sets with a bitmap of their shingles, nodes the OR of their bitmaps with the
+2. In any fixed order of shingles, linked sets share one that is among the first n // 4 + 1 of the larger and among the
+   first n // 7 + 1 of the smaller. The order puts shingles last that a sample of documents found often, so that common
+   lines join few documents. Sets that share such a shingle, of sizes that can link, form a block.
+3. Blocks of one smallest member meet in one group, so that a set is sent once for the many shingles it shares with its near
+   copies. Large groups are split into parts, and pairs of parts are looked at.
+4. In a group, signature trees: leaves are sets with a bitmap of their shingles, nodes the OR of their bitmaps with the
    ranges of sizes. Two trees are walked together, and a pair of nodes goes no further if the largest overlap that
-   bitmaps and sizes allow is too small. Large blocks are split into parts, and pairs of parts are walked.
-4. Leaf pairs that are left are counted exactly on their sets. A block with many more pairs than members first sends
-   a spanning choice of them; what is still apart after that is sent in the next round. No link between components is lost.
-5. Components by label propagation over the links.
+   bitmaps and sizes allow is too small. Members that are left with no partner leave the group; no pair is sent.
+5. The others meet again with their whole sets. Trees over bitmaps with a bit for each shingle that two of them have count
+   exactly; a group returns at most one link a member, to the smallest id that its links reach.
+6. Components over these links, contracted round by round.
 
 Defined cases: null, empty and blank texts have no shingle, link with nothing and are their own component; fewer words than
-five make one shingle of them all; repeated rows are copies; rows of one id with other texts each link; a null doc_id links with nothing and has a null component; an
+five make one shingle of them all; repeated rows are copies; rows of one id with other texts each link, and of such an id all
+texts count where one of them is a candidate; a null doc_id links with nothing and has a null component; an
 empty table gives none. Extra columns are ignored. Hashes of 64 bits stand for shingles and 128 bits for sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,18 +45,21 @@ OFTEN = 3
 COMMON = 100_000
 #: Sides of joins with at most so many ids are broadcast (8 bytes each), others shuffled.
 BROADCAST_IDS = 1_000_000
-PART = 512
+#: Members and shingles of a part of a group, at most about.
+PART = 2048
+PART_SHINGLES = 1_000_000
+#: Sizes of one class differ by less than this factor; it is over 4 / 3, so that linked sets are of one class or of neighbours.
+CLASS = 1.34
 FANOUT = 8
 #: Node pairs that are looked at together, and members up to which a block is walked without a tree.
 FRONTIER = 4096
 SMALL = 12
 #: Keys packed together before they are sent.
 FLUSH = 2_000_000
-#: A block sends at most so many pairs a member at first.
-MANY = 1
-ROUNDS = 3
-CHUNK_WORDS = 2_000_000
-CACHE = 500_000
+#: Sets of a group that are compared with all others before the trees are walked: what they link is skipped there.
+LEADS = 8
+CHUNK_WORDS = 1_000_000
+CACHE = 200_000
 _RNG = np.random.default_rng(10)
 MULTIPLIERS = _RNG.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -143,12 +150,14 @@ def _among(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
 
 
 def shared_keys(sets: DataFrame) -> DataFrame:
-    """key: the leading bits of first shingles that more than one set has. They travel packed: a bucket of leading bits, as many
-    as keep buckets small, and arrays of the next 32 bits. Shingles that only look alike cost work, not results."""
+    """key: the leading bits of first shingles that more than one set has, one of them among its first n // 7 + 1. They travel
+    packed: a bucket of leading bits, as many as keep buckets small, and arrays of the next 31 bits and that mark, each at most
+    twice a batch. Shingles that only look alike cost work, not results."""
     bits = max(4, min(16, (max(1, sets.count() // 4000)).bit_length()))
 
     def pack(keys: list) -> pd.DataFrame:
-        k = np.sort(np.concatenate(keys))
+        k, n = np.unique(np.concatenate(keys), return_counts=True)
+        k = np.repeat(k, np.minimum(n, 2))
         bucket = (k >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         low = k.astype(np.uint32)
@@ -157,9 +166,11 @@ def shared_keys(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, held = [], 0
         for batch in batches:
-            for first in batch["first"]:
-                keys.append(np.asarray(first, np.int64).view(np.uint64) >> np.uint64(32 - bits))
-                held += len(first)
+            for n, first in zip(batch["n"].tolist(), batch["first"], strict=True):
+                k = (np.asarray(first, np.int64).view(np.uint64) >> np.uint64(33 - bits)) << np.uint64(1)
+                k[: n // 7 + 1] |= np.uint64(1)
+                keys.append(k)
+                held += len(k)
             if held > FLUSH:
                 yield pack(keys)
                 keys, held = [], 0
@@ -167,54 +178,66 @@ def shared_keys(sets: DataFrame) -> DataFrame:
             yield pack(keys)
 
     def often(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["keys"]]), return_counts=True)
-        return pd.DataFrame({"key": (np.int64(pdf["bucket"].iloc[0]) << 32) | k[n > 1].astype(np.int64)})
+        k = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["keys"]]))
+        first = np.flatnonzero(np.concatenate([[True], k[1:] >> np.uint32(1) != k[:-1] >> np.uint32(1)]))
+        last = np.append(first[1:], len(k)) - 1
+        shared = (last > first) & (k[last] & np.uint32(1) == 1)
+        return pd.DataFrame({"key": (np.int64(pdf["bucket"].iloc[0]) << 31) | (k[first[shared]] >> np.uint32(1)).astype(np.int64)})
 
-    packed = sets.select("first").mapInPandas(run, "bucket long, keys binary")
+    packed = sets.select("n", "first").mapInPandas(run, "bucket long, keys binary")
     found = packed.groupBy("bucket").applyInPandas(often, "key long")
     return found.withColumn("bits", F.lit(bits))
 
 
-def blocks(sets: DataFrame) -> DataFrame:
-    """block, doc_id, members: sets that share a first shingle; one block for each choice of members."""
+def groups(sets: DataFrame) -> DataFrame:
+    """home, cls, high, doc_id: members of the blocks whose smallest member is home and whose larger sets are of class cls. high
+    marks sets of that class; those of the class below only meet these."""
     keys = materialize(shared_keys(sets), "ngram-keys")
     bits = keys.select("bits").first()
     if bits is None:
-        return materialize(sets.limit(0).select(F.col("doc_id").alias("block"), "doc_id", F.lit(0).cast("long").alias("members")), "ngram-blocks")
-    first = sets.select(F.explode("first").alias("h"), "doc_id")
-    first = first.withColumn("key", F.shiftrightunsigned("h", 32 - bits["bits"]))
-    held = first.join(keys.select("key"), "key").select("h", "doc_id")
-    if sets.select("doc_id").distinct().count() < sets.count():  # an id of two texts counts once, or its hashes would cancel
-        held = held.distinct()
+        return materialize(sets.limit(0).select(F.col("doc_id").alias("home"), F.lit(0).alias("cls"), F.lit(True).alias("high"), "doc_id"), "ngram-groups")
+    first = sets.select(F.posexplode("first").alias("at", "h"), "doc_id", "n")
+    first = first.withColumn("key", F.shiftrightunsigned("h", 33 - bits["bits"]))
+    own = F.floor(F.log("n") / math.log(CLASS)).cast("int")
+    held = first.join(keys.select("key"), "key").select("h", "doc_id", (F.col("at") <= F.floor(F.col("n") / 7)).alias("index"), own.alias("own"))
     held = materialize(held, "ngram-shared")
-    chosen = held.groupBy("h").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).filter("members > 1")
-    chosen = chosen.groupBy("members", "x", "y").agg(F.min("h").alias("h"))
-    out = materialize(held.join(chosen.select("h", "members"), "h").select(F.col("h").alias("block"), "doc_id", "members"), "ngram-blocks")
+    meets = held.withColumn("cls", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("high", F.col("own") == F.col("cls"))
+    blocks = meets.groupBy("h", "cls").agg(F.count("*").alias("members"), F.max("high").alias("some"), F.max("index").alias("index"), F.min("doc_id").alias("home"))
+    blocks = blocks.filter((F.col("members") > 1) & F.col("some") & F.col("index")).select("h", "cls", "home")
+    out = materialize(meets.select("h", "cls", "high", "doc_id").join(blocks, ["h", "cls"]).select("home", "cls", "high", "doc_id").distinct(), "ngram-groups")
     discard(keys, held)
     return out
 
 
-def dealt(members: DataFrame) -> DataFrame:
-    """Rows (block, i, j, doc_id, ...) of each pair of parts of at most about PART members."""
-    parts = F.ceil(F.col("members") / PART).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", "block"), F.col("parts")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    return members.withColumn("parts", parts).withColumn("own", own).withColumn("to", F.explode(others)).select("*", "to.i", "to.j").drop("to", "parts", "members")
+GROUP = ["home", "cls", "i", "j"]
+
+
+def dealt(members: DataFrame, about: DataFrame) -> DataFrame:
+    """members, once for each pair (i, j) of parts of their group that they take part in."""
+    sized = members.join(about.select("doc_id", "n"), "doc_id").groupBy("home", "cls").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    parts = F.greatest(F.ceil(F.col("m") / PART), F.ceil(F.col("t") / PART_SHINGLES)).cast("int")
+    large = materialize(sized.select("home", "cls", parts.alias("parts")).filter("parts > 1"), "ngram-large")
+    out = members.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, ["home", "cls"], "left")
+    parts = F.coalesce("parts", F.lit(1))
+    own = F.pmod(F.xxhash64("doc_id", "home"), parts).cast("int")
+    others = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    return out.select("home", "cls", "high", "doc_id", own.alias("own"), F.explode(others).alias("to")).select("home", "cls", "to.i", "to.j", "own", "high", "doc_id")
 
 
 class Tree:
-    """A signature tree over sets whose bitmaps have one length. levels[0] are the leaves: bits, least and largest size, and
-    the largest number of shingles that share a bit with another."""
+    """A signature tree over sets whose bitmaps have one length. levels[0] are the leaves: bits, least and largest size, the
+    largest number of shingles that share a bit with another, least and largest component. In an exact tree bitmaps
+    have a bit for each shingle that another set of the group has too."""
 
-    def __init__(self, rows: np.ndarray, n: np.ndarray, bits: np.ndarray):
-        order = np.lexsort((*bits.T[:2], n))
-        self.rows, n, bits = rows[order], n[order], bits[order]
+    def __init__(self, rows: np.ndarray, n: np.ndarray, bits: np.ndarray, component: np.ndarray, exact: bool = False):
+        order = np.lexsort((*bits.T[:2], n, component))
+        self.rows, n, bits, own, self.exact = rows[order], n[order], bits[order], component[order], exact
         excess = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        self.levels = [(bits, n, n, excess)]
+        self.levels = [(bits, n, n, excess, own, own)]
         while len(self.levels[-1][1]) > FANOUT:
-            b, low, high, more = self.levels[-1]
+            b, low, high, more, least, most = self.levels[-1]
             at = np.arange(0, len(low), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(more, at)))
+            self.levels.append((np.bitwise_or.reduceat(b, at), *(f.reduceat(x, at) for f, x in ((np.minimum, low), (np.maximum, high), (np.maximum, more), (np.minimum, least), (np.maximum, most)))))
 
     def children(self, level: int, node: np.ndarray) -> np.ndarray:
         return np.minimum(node[:, None] * FANOUT + np.arange(FANOUT), len(self.levels[level - 1][1]))
@@ -240,7 +263,7 @@ def walk(s: Tree, t: Tree) -> np.ndarray:
             i, j = i[:FRONTIER], j[:FRONTIER]
         if s is t:
             i, j = i[i <= j], j[i <= j]
-        i, j = _near(s.levels[a_level], t.levels[b_level], i, j, words, a_level == b_level == 0)
+        i, j = _near(s.levels[a_level], t.levels[b_level], i, j, words, a_level == b_level == 0, s.exact)
         if a_level == b_level == 0:
             own = s.rows[i] != t.rows[j]
             out.append(np.stack([s.rows[i][own], t.rows[j][own]], axis=1))
@@ -255,10 +278,10 @@ def walk(s: Tree, t: Tree) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _near(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, words: int, leaves: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of nodes of two levels that can hold a linked pair."""
-    (ab, al, ah, ae), (bb, bl, bh, be) = a, b
-    near = (4 * ah[i] >= 3 * bl[j]) & (4 * bh[j] >= 3 * al[i])
+def _near(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, words: int, leaves: bool, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of nodes of two levels that can hold a linked pair of two components; of exact leaves, those that link."""
+    (ab, al, ah, ae, a0, a1), (bb, bl, bh, be, b0, b1) = a, b
+    near = (4 * ah[i] >= 3 * bl[j]) & (4 * bh[j] >= 3 * al[i]) & ((a0[i] != b0[j]) | (a1[i] != b1[j]) | (a0[i] != a1[i]))
     i, j = i[near], j[near]
     keep = np.zeros(len(i), bool)
     step = max(1, CHUNK_WORDS // max(ab.shape[1], bb.shape[1]))
@@ -266,7 +289,9 @@ def _near(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, words: int, leaves:
         p, q = i[k : k + step], j[k : k + step]
         x, y = fold_to(ab[p], words), fold_to(bb[q], words)
         both = np.bitwise_count(x & y).sum(axis=1).astype(np.int64)
-        if leaves:  # what only one has shows as bits that the other lacks
+        if exact:
+            most = np.minimum(np.minimum(ah[p], bh[q]), both)
+        elif leaves:  # what only one has shows as bits that the other lacks
             most = np.minimum(al[p] - np.bitwise_count(x).sum(axis=1) + both, bl[q] - np.bitwise_count(y).sum(axis=1) + both)
         else:
             fa, fb = (ah[p] if ab.shape[1] > words else ae[p]), (bh[q] if bb.shape[1] > words else be[q])
@@ -275,124 +300,179 @@ def _near(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, words: int, leaves:
     return i[keep], j[keep]
 
 
-def _few(n: list[int], bits: list[bytes], own: list[int], i: int, j: int) -> list[tuple[int, int]]:
+def _meet(own: list[int], high: list[bool], i: int, j: int, n: list[int]) -> Iterator[tuple[int, int]]:
+    """The pairs of rows that a group's pair of parts asks for and whose sizes can link."""
+    for p in range(len(n)):
+        for q in range(p + 1, len(n)):
+            if (high[p] or high[q]) and (i == j or own[p] != own[q]) and 4 * n[p] >= 3 * n[q] and 4 * n[q] >= 3 * n[p]:
+                yield p, q
+
+
+def _few(n: list[int], bits: list[bytes], pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     """walk() for a handful of sets: their leaves, pair by pair."""
     whole = [int.from_bytes(b, "little") for b in bits]
     out = []
-    for p in range(len(n)):
-        for q in range(p + 1, len(n)):
-            if {own[p], own[q]} != {i, j} or 4 * n[p] < 3 * n[q] or 4 * n[q] < 3 * n[p]:
-                continue
-            x, y, a, b = whole[p], whole[q], len(bits[p]), len(bits[q])
-            while a > b:
-                a //= 2
-                x = (x & ((1 << 8 * a) - 1)) | (x >> 8 * a)
-            while b > a:
-                b //= 2
-                y = (y & ((1 << 8 * b) - 1)) | (y >> 8 * b)
-            both = (x & y).bit_count()
-            if SHARE * min(n[p] - x.bit_count() + both, n[q] - y.bit_count() + both) >= OF_BOTH * (n[p] + n[q]):
-                out.append((p, q))
+    for p, q in pairs:
+        x, y, a, b = whole[p], whole[q], len(bits[p]), len(bits[q])
+        while a > b:
+            a //= 2
+            x = (x & ((1 << 8 * a) - 1)) | (x >> 8 * a)
+        while b > a:
+            b //= 2
+            y = (y & ((1 << 8 * b) - 1)) | (y >> 8 * b)
+        both = (x & y).bit_count()
+        if SHARE * min(n[p] - x.bit_count() + both, n[q] - y.bit_count() + both) >= OF_BOTH * (n[p] + n[q]):
+            out.append((p, q))
     return out
 
 
-def pairs_of(n: np.ndarray, bits: list[bytes], own: np.ndarray, group: np.ndarray, i: int, j: int, last: bool) -> tuple[np.ndarray, bool]:
-    """Pairs of rows of a block's two parts to be counted, and whether some were left for another round."""
+def _walks(trees: dict[tuple, Tree], i: int, j: int) -> np.ndarray:
+    """Row pairs that the walks of a group's trees, by (part, high, ...), leave."""
+    found, own = [np.zeros((0, 2), np.int64)], list(trees.items())
+    for x, (a, s) in enumerate(own):
+        for b, t in own[x:]:
+            if {a[0], b[0]} == {i, j} and (a[1] or b[1]) and (i == j or a[0] != b[0]):
+                width = s.levels[0][0].shape[1], t.levels[0][0].shape[1]
+                if max(width) <= 4 * min(width):
+                    found.append(walk(s, t))
+    return np.concatenate(found)
+
+
+def partners(n: np.ndarray, bits: list[bytes], own: np.ndarray, high: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Rows of a group's two parts that may link with another by their signatures."""
     if len(n) <= SMALL:
-        pairs = np.array(_few(n.tolist(), bits, own.tolist(), i, j), np.int64).reshape(-1, 2)
+        sizes = n.tolist()
+        pairs = np.array(_few(sizes, bits, _meet(own.tolist(), high.tolist(), i, j, sizes)), np.int64)
     else:
-        sizes = np.array([len(b) for b in bits])
-        trees: dict[tuple[int, int], Tree] = {}
-        for part in {i, j}:
-            for size in np.unique(sizes[own == part]):
-                rows = np.flatnonzero((own == part) & (sizes == size))
-                trees[part, int(size)] = Tree(rows, n[rows], np.stack([np.frombuffer(bits[r], np.uint64) for r in rows]))
-        found = [np.zeros((0, 2), np.int64)]
-        for (p, x), s in trees.items():
-            for (q, y), t in trees.items():
-                if p == i and q == j and (i != j or x <= y) and max(x, y) <= 4 * min(x, y):
-                    found.append(walk(s, t))
-        pairs = np.concatenate(found)
-    pairs = pairs[group[pairs[:, 0]] != group[pairs[:, 1]]]
-    if last or len(pairs) <= MANY * len(n):
-        return pairs, False
-    degree = np.bincount(pairs.ravel(), minlength=len(n))
-    by = np.argsort(np.concatenate([pairs[:, 0], pairs[:, 1]]), kind="stable")
-    other = np.concatenate([pairs[:, 1], pairs[:, 0]])[by]
-    start = np.concatenate([[0], np.cumsum(degree)])
-    free, out = degree > 0, []
-    for lead in np.argsort(-degree, kind="stable"):
-        near = other[start[lead] : start[lead + 1]]
-        near = near[free[near]]
-        if len(near):
-            free[near] = False
-            out.append(np.stack([np.full(len(near), lead), near], axis=1))
-    return np.concatenate(out), True
-
-
-def candidates(members: DataFrame, last: bool) -> DataFrame:
-    """a, b (a < b), and rows with only ``again``: blocks that have more pairs to send."""
-
-    def of(rows: pd.DataFrame) -> tuple[list, list]:
-        """The pairs of each block and parts in rows, which stand together."""
-        block, i, j = rows["block"].to_numpy(), rows["i"].to_numpy(), rows["j"].to_numpy()
-        cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        ids, n, own, group, bits = rows["doc_id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["own"].to_numpy(), rows["component"].to_numpy(np.int64), rows["bits"].tolist()
-        found, again = [], []
-        for p, q in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True):
-            if q - p > 1:
-                pairs, more = pairs_of(n[p:q], bits[p:q], own[p:q], group[p:q], int(i[p]), int(j[p]), last)
-                found.append(ids[p:q][pairs])
-                if more:
-                    again.append(int(block[p]))
-        return found, again
+        widths = np.array([len(b) for b in bits])
+        trees: dict[tuple, Tree] = {}
+        for key in sorted(set(zip(own.tolist(), high.tolist(), widths.tolist(), strict=True))):
+            rows = np.flatnonzero((own == key[0]) & (high == key[1]) & (widths == key[2]))
+            trees[key] = Tree(rows, n[rows], np.stack([np.frombuffer(bits[r], np.uint64) for r in rows]), rows)
+        pairs = _walks(trees, i, j)
+    return np.unique(pairs)
+
+
+def linked(s: np.ndarray, t: np.ndarray) -> bool:
+    k = np.minimum(np.searchsorted(t, s), len(t) - 1)
+    return SHARE * int((t[k] == s).sum()) >= OF_BOTH * (len(s) + len(t))
+
+
+def shared_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit for each shingle that two of the sets have, most frequent ones first, as rows of 64-bit words."""
+    shingles, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = int((n > 1).sum())
+    place = np.empty(len(n), np.int64)
+    place[np.argsort(-n, kind="stable")] = np.arange(len(n))
+    width, start, rows = max(1, -(-shared // 64)), 0, []
+    for s in sets:
+        own = place[at[start : start + len(s)]]
+        start += len(s)
+        bits = np.zeros(64 * width, np.uint8)
+        bits[own[own < shared]] = 1
+        rows.append(np.packbits(bits, bitorder="little").view(np.uint64))
+    return np.stack(rows)
+
+
+def joined(component: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The components, each named by its smallest row, after these links too."""
+    a, b = pairs[:, 0], pairs[:, 1]
+    while True:
+        x, y = component[a], component[b]
+        if (x == y).all():
+            return component
+        new, least = component.copy(), np.minimum(x, y)
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        while (new[new] != new).any():
+            new = new[new]
+        component = new[component]
+
+
+def links_of(sets: list[np.ndarray], own: np.ndarray, high: np.ndarray, i: int, j: int) -> np.ndarray:
+    """The components of a group's links between its two parts, counted exactly: for each row the smallest row of its own."""
+    n = np.array([len(s) for s in sets])
+    component = np.arange(len(n))
+    if len(n) <= SMALL:
+        pairs = [(p, q) for p, q in _meet(own.tolist(), high.tolist(), i, j, n.tolist()) if linked(sets[p], sets[q])]
+        return joined(component, np.array(pairs, np.int64).reshape(-1, 2))
+    bits = shared_bits(sets)
+    for lead in np.argsort(-np.bitwise_count(bits[:, : max(1, bits.shape[1] // 8)]).sum(axis=1).astype(np.int64), kind="stable")[:LEADS]:
+        both = np.bitwise_count(bits & bits[lead]).sum(axis=1).astype(np.int64)
+        near = np.flatnonzero(SHARE * both >= OF_BOTH * (n + n[lead]))
+        component = joined(component, np.stack([np.full(len(near), lead), near], axis=1))
+    trees: dict[tuple, Tree] = {}
+    for key in sorted(set(zip(own.tolist(), high.tolist(), strict=True))):
+        rows = np.flatnonzero((own == key[0]) & (high == key[1]))
+        trees[key] = Tree(rows, n[rows], bits[rows], component[rows], exact=True)
+    return joined(component, _walks(trees, i, j))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that come sorted by GROUP, the rows of a group together."""
+    held: list[pd.DataFrame] = []
+    key = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[GROUP].to_numpy()
+        last = int(np.argmax((keys == keys[-1]).all(axis=1)))
+        if held and (last or (key != keys[-1]).any()):
+            yield pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            held = []
+        elif last:
+            yield batch.iloc[:last].reset_index(drop=True)
+        held.append(batch.iloc[last:])
+        key = keys[-1]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def cuts(rows: pd.DataFrame) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, end, i, j) of each group."""
+    keys = rows[GROUP].to_numpy()
+    at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.zeros(0, int)
+    return zip(at.tolist(), [*at[1:].tolist(), len(keys)], keys[at, 2].tolist(), keys[at, 3].tolist(), strict=True)
+
+
+def with_partners(members: DataFrame, about: DataFrame) -> DataFrame:
+    """The members (dealt) whose signature some other of their group can link with."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(rows):
-                continue
-            same = (rows["block"] == rows["block"].iloc[-1]) & (rows["i"] == rows["i"].iloc[-1]) & (rows["j"] == rows["j"].iloc[-1])
-            held = rows[same]  # the last group may go on in the next batch
-            yield told(*of(rows[~same]))
-        if held is not None:
-            yield told(*of(held))
-
-    def told(found: list, again: list) -> pd.DataFrame:
-        ids = np.concatenate([np.zeros((0, 2), np.int64), *found])
-        blank = pd.array([None] * len(again), "Int64")
-        return pd.DataFrame({
-            "a": pd.array([*ids.min(axis=1, initial=2**63 - 1), *blank], "Int64"), "b": pd.array([*ids.max(axis=1, initial=-(2**63)), *blank], "Int64"), "again": pd.array([*[None] * len(ids), *again], "Int64"),
-        })
-
-    rows = dealt(members).select("block", "i", "j", "own", "doc_id", "n", "bits", "component")
-    return rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id").mapInPandas(run, "a long, b long, again long")
-
-
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link, counted on their whole sets."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ngram-asked")
+        for rows in whole_groups(batches):
+            n, own, high, bits, keep = rows["n"].to_numpy(np.int64), rows["own"].to_numpy(), rows["high"].to_numpy(bool), rows["bits"].tolist(), []
+            for p, q, i, j in cuts(rows):
+                if q - p > 1:
+                    keep.append(p + partners(n[p:q], bits[p:q], own[p:q], high[p:q], i, j))
+            keep = np.concatenate([np.zeros(0, np.int64), *keep]).astype(np.int64)
+            yield rows.drop(columns=["n", "bits"]).iloc[keep]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = dealt(members, about).join(about, "doc_id").select(*GROUP, "own", "high", "doc_id", "n", "bits")
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "doc_id").mapInPandas(run, "home long, cls int, i int, j int, own int, high boolean, doc_id long")
+
+
+def links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b (a < b): links that join what the groups' exact links join."""
+    ids = materialize(members.select("doc_id").distinct(), "ngram-asked")
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Shingles()
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "s": [of(t).tobytes() for t in batch["text"]]})
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                k = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                keep.append(SHARE * int((t[k] == s).sum()) >= OF_BOTH * (len(s) + len(t)))
-            yield batch.loc[keep, ["a", "b"]]
-
-    sets = _among(docs.select("doc_id", "text"), ids, "doc_id", "left_semi")
-    sets = materialize(sets.mapInPandas(run, "doc_id long, s binary"), "ngram-sets")
-    x = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
-    out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(count, "a long, b long"), "ngram-linked")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_groups(batches):
+            ids, own, high = rows["doc_id"].to_numpy(np.int64), rows["own"].to_numpy(), rows["high"].to_numpy(bool)
+            out = [np.zeros((0, 2), np.int64)]
+            for p, q, i, j in cuts(rows):
+                root = links_of([np.frombuffer(s, np.uint64) for s in rows["s"].iloc[p:q]], own[p:q], high[p:q], i, j)
+                out.append(np.stack([ids[p:q][root], ids[p:q]], axis=1))  # rows come by id, so the smallest row has the smallest id
+            found = np.concatenate(out)
+            yield pd.DataFrame(found[found[:, 0] < found[:, 1]], columns=["a", "b"])
+
+    sets = materialize(_among(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInPandas(sets_of, "doc_id long, s binary").filter("octet_length(s) > 0"), "ngram-asked-sets")
+    rows = members.join(sets, "doc_id").select(*GROUP, "own", "high", "doc_id", "s")
+    out = materialize(rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "doc_id").mapInPandas(run, "a long, b long"), "ngram-links")
     discard(ids, sets)
     return out
 
@@ -417,23 +497,32 @@ def spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc_id, component of every document in a link: the smallest id that links reach, by label propagation with jumps over what
-    each task's links span."""
-    links = links.select("a", "b").mapInPandas(spanning, "a long, b long")
-    both = materialize(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct(), "ngram-links")
-    labels = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("c")), "ngram-labels")
-    while True:
-        near = both.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        new = labels.join(near, "u").select("u", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        jump = new.select(F.col("u").alias("c"), F.col("c").alias("to"))
-        new = materialize(new.join(jump, "c").select("u", "old", F.least("c", "to").alias("c")), "ngram-labels")
-        if new.filter("c <> old").isEmpty():
-            return new.select(F.col("u").alias("doc_id"), F.col("c").alias("component"))
-        labels = new.select("u", "c")
+    """doc_id, component of every document in a link: the smallest id that links reach. Each round moves every node to the
+    smallest of itself, its neighbours and what that one moves to, and goes on with the links between such nodes only; a node's
+    own moves are put together at the end."""
+    links = materialize(links.select("a", "b").mapInPandas(spanning, "a long, b long").distinct(), "ngram-round")
+    moves = []
+    while not links.isEmpty():
+        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        near = both.groupBy("u").agg(F.least("u", F.min("v")).alias("c"))
+        then = near.select(F.col("u").alias("c"), F.col("c").alias("then"))
+        moves.append(materialize(near.join(then, "c").select("u", F.least("c", "then").alias("c")), "ngram-moves"))
+        a, b = (moves[-1].select(F.col("u").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+        left = links.join(a, "a").join(b, "b").filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        done, links = links, materialize(left, "ngram-round")
+        discard(done)
+    if not moves:
+        return links.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
+    out = moves[-1].select("u", "c")
+    for earlier in reversed(moves[:-1]):
+        later = out.select(F.col("u").alias("c"), F.col("c").alias("to"))
+        moved = earlier.join(later, "c", "left").select("u", F.coalesce("to", "c").alias("c"))
+        out = materialize(moved, "ngram-moves")
+    return out.select(F.col("u").alias("doc_id"), F.col("c").alias("component"))
 
 
 def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text). Inside a component not all links need be verified."""
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     all_sets = materialize(shingled(docs).withColumn("row", F.monotonically_increasing_id()), "ngram-sets")
     known = all_sets.filter("n > 0 and doc_id is not null")
     # One row stands for a class: repeated rows of its smallest id are copies too.
@@ -442,28 +531,20 @@ def link_components(docs: DataFrame) -> DataFrame:
     copies = known.select("row", "set_id").join(classes, "set_id").filter("row <> rep_row").select("row")
     sets = _among(known, materialize(copies, "ngram-copies"), "row", "left_anti")
     about = materialize(sets.select("doc_id", "n", "bits"), "ngram-about")
-    held, links, labels = blocks(sets), None, None
+    members = groups(sets)
     narrow = materialize(all_sets.select("doc_id", "n", "set_id"), "ngram-sizes")
     discard(all_sets)
-    for k in range(ROUNDS):
-        members = held.join(about, "doc_id")
-        members = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")) if labels is not None else members.withColumn("component", F.col("doc_id"))
-        sent = materialize(candidates(members, k == ROUNDS - 1), "ngram-candidates")
-        pairs = sent.filter("again is null").select("a", "b").distinct()
-        found = verify(pairs, docs)
-        links = found if links is None else links.unionByName(found).distinct()
-        labels = components(links)
-        again = sent.filter("again is not null").select(F.col("again").alias("block")).distinct()
-        if again.isEmpty():
-            break
-        held = materialize(held.join(again, "block"), "ngram-blocks")
-    classes = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    classes = materialize(classes.select("set_id", F.coalesce("component", "rep").alias("component")), "ngram-classes")
-    discard(about, held)
+    asked = materialize(with_partners(members, about), "ngram-partners")
+    discard(members, about)
+    found = links(asked, docs)
+    labels = components(found)
+    named = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    named = materialize(named.select("set_id", F.coalesce("component", "rep").alias("component")), "ngram-components")
+    discard(asked, found, classes)
     out = narrow.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
     alone = out.filter("set_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    linked = out.filter("set_id is not null").join(classes, "set_id").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return linked.unionByName(alone)
+    joined = out.filter("set_id is not null").join(named, "set_id").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return joined.unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
