@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import anomaly_queries, history_queries, identity_queries, operations_queries, report_queries, source_queries, streaming_queries
+from .plans import anomaly_queries, history_queries, identity_queries, operations_queries, report_queries, response_queries, source_queries, streaming_queries
 
-MODULES = (history_queries, identity_queries, operations_queries, report_queries, anomaly_queries, source_queries, streaming_queries)
+MODULES = (history_queries, identity_queries, operations_queries, response_queries, report_queries, anomaly_queries, source_queries, streaming_queries)
 
 
 def queries() -> dict:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import with_rank
 from .history import by_offer
 
 DAY = 86_400_000_000
@@ -20,6 +21,16 @@ MIN_SIZE, PENALTY, ACTIVE = 3, 0.01, 7
 LABEL_GATE = 30
 
 
+def load_observations(observations: DataFrame, offers: DataFrame) -> DataFrame:
+    """offer_id, retailer, url, price, us of the observations (offer_id, price, scraped_at) of known offers (id, retailer, url).
+    A time (ISO text) without a zone is UTC; a date alone is its midnight."""
+    said = F.col("scraped_at")
+    said = F.when(F.rlike(said, F.lit(r"^\d{4}-\d\d-\d\d$")), F.concat(said, F.lit("T00:00:00"))).otherwise(said)
+    zoned = F.when(F.rlike(said, F.lit(r"(?:Z|[+-]\d\d:?\d\d)$")), said).otherwise(F.concat(said, F.lit("Z")))
+    own = offers.withColumnRenamed("id", "offer_id").select("offer_id", "retailer", "url")
+    return observations.select("offer_id", F.col("price").cast("double").alias("price"), F.unix_micros(zoned.cast("timestamp")).alias("us")).join(own, "offer_id").select("offer_id", "retailer", "url", "price", "us")
+
+
 def causal_features(obs: DataFrame) -> DataFrame:
     """Features of each row from the second of its offer on; nothing later than the row is used. Rows of one offer have
     different times."""
@@ -84,13 +95,21 @@ def chronological_split(rows: DataFrame, train: float = 0.6, validation: float =
 
 
 def fit_forest(train: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> dict:
-    """Isolation forest: about ``trees * sample`` rows drawn by a hash of their key, each for one tree; trees grow in tasks."""
+    """Isolation forest: each tree draws about ``sample`` rows (all, if there are no more) by a hash of tree and row, so trees share
+    rows; trees grow in tasks. A row meets the trees that draw it without a look at the others: it has ``trees * sample / n`` draws
+    on average, the whole part as a number of draws of its own and one more by chance, each for a tree by hash.
+    """
     scale = train.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in FEATURES]).first()
     centre = np.array([scale[c][1] for c in FEATURES])
     width = np.array([(scale[c][2] - scale[c][0]) or 1.0 for c in FEATURES])
     n = train.count()
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col("seq")), F.lit(1 << 40))
-    drawn = train.filter(h < int(min(1.0, trees * sample / n) * (1 << 40))).withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("seq")), F.lit(trees)))
+    if n <= sample:
+        drawn = train.withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
+    else:
+        each = trees * sample / n
+        more = (F.pmod(F.xxhash64(F.lit(seed), F.col("seq")), F.lit(1 << 40)) < int(each % 1 * (1 << 40))).cast("int")
+        draws = F.sequence(F.lit(1), F.lit(int(each)) + more) if each >= 1 else F.when(more == 1, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+        drawn = train.withColumn("_draw", F.explode(draws)).withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("seq"), F.col("_draw")), F.lit(trees))).dropDuplicates(["tree", "seq"])
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed * 1000 + int(key[0]))
@@ -258,7 +277,7 @@ def average_precision(rows: DataFrame) -> DataFrame:
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over at most 1000 buckets
     counts = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("p0"))
     own = Window.partitionBy("bucket").orderBy("score", "seq")
-    ranked = rows.withColumn("bucket", bucket).join(F.broadcast(counts), "bucket")
+    ranked = rows.withColumn("bucket", bucket).join(counts, "bucket")
     ranked = ranked.withColumn("rank", F.col("n0") + F.row_number().over(own)).withColumn("hits", F.col("p0") + F.sum("label").over(own))
     return ranked.agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.round(F.sum(F.when(F.col("label") == 1, F.col("hits") / F.col("rank"))) / F.sum("label"), 6).alias("average_precision"))
 
@@ -273,8 +292,7 @@ def labelled_metrics(rows: DataFrame, gate: int = LABEL_GATE) -> DataFrame:
 def bootstrap_interval(rows: DataFrame, value: str, samples: int = 1000, seed: int = SEED) -> DataFrame:
     """95 % percentile interval of the mean of ``value`` by resampling. Draw k of a sample is a hash of seed, sample and k."""
     n = rows.count()
-    at = F.row_number().over(Window.orderBy("seq")) - 1  # labelled rows: what people have pressed
-    indexed = rows.select(at.cast("long").alias("i"), F.col(value).cast("double").alias("v"))
+    indexed = with_rank(rows.select("seq", value), "at", "seq").select((F.col("at") - 1).cast("long").alias("i"), F.col(value).cast("double").alias("v"))
     draws = rows.sparkSession.range(samples * n).select((F.col("id") % samples).alias("sample"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(max(n, 1))).alias("i"))
     means = draws.join(indexed, "i").groupBy("sample").agg(F.avg("v").alias("m"))
     order = means.agg(F.array_sort(F.collect_list("m")).alias("m"))
@@ -289,5 +307,6 @@ def top_flagged(rows: DataFrame, k: int = 20) -> DataFrame:
 
 def data_profile(obs: DataFrame) -> DataFrame:
     """Counts, span, share at midnight, and a fingerprint of the content that no order changes."""
-    print_ = F.sum(F.xxhash64("offer_id", "us", "price").cast("decimal(38,0)")).cast("string")
+    row = F.concat_ws(":", "offer_id", F.col("us").cast("string"), F.format_string("%.6f", "price"))
+    print_ = F.sum(F.conv(F.substring(F.md5(row), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string")
     return obs.agg(F.count("*").alias("rows"), F.countDistinct("offer_id").alias("offers"), F.countDistinct("retailer").alias("retailers"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.round(F.avg((F.col("us") % DAY == 0).cast("int")), 6).alias("at_midnight"), print_.alias("fingerprint"))

@@ -26,7 +26,7 @@ def expand_watches(watches: DataFrame, stores: DataFrame) -> DataFrame:
 def alert_gate(prev: Column, new: Column, stock: Column, low: Column, policy: Column, target: Column, min_drop: Column) -> Column:
     """Whether a price change alerts. An unknown policy is an error where it would be asked."""
     drop = prev - new
-    percent = drop / prev * 100
+    percent = F.try_divide(drop, prev) * 100
     floor = (drop >= LEAST_DROP) & (percent >= LEAST_DROP_PERCENT)
     record = F.coalesce(new < low, F.lit(False))
     return (
@@ -47,7 +47,7 @@ def seller_allowed(policy: Column, is_marketplace: Column) -> Column:
 
 
 def verdict(new: Column, low: Column, reference: Column, history_days: Column) -> Column:
-    percent = F.round((low - new) / low * 100, 2)
+    percent = F.round(F.try_divide(low - new, low) * 100, 2)
     return (
         F.when(history_days < LEAST_HISTORY_DAYS, "INSUFFICIENT_HISTORY")
         .when(new >= low, "FALSE_DISCOUNT")
@@ -58,7 +58,8 @@ def verdict(new: Column, low: Column, reference: Column, history_days: Column) -
 
 
 def reference_price_verdict(obs: DataFrame, days: int = history.REFERENCE_DAYS) -> DataFrame:
-    rows = history.reference_window(obs, days).filter("previous_price is not null")
+    """Verdicts of the rows with an earlier price; rows without a usable baseline are left to ``quarantine``."""
+    rows, _ = quarantine(history.reference_window(obs, days).filter("previous_price is not null"))
     return (
         rows.withColumn("discount_vs_old_pct", F.round((F.col("previous_price") - F.col("price")) / F.col("previous_price") * 100, 2))
         .withColumn("discount_vs_30d_pct", F.round((F.col("thirty_day_low") - F.col("price")) / F.col("thirty_day_low") * 100, 2))

@@ -43,7 +43,7 @@ def replayable_events(log: DataFrame, channels: DataFrame, now_us: Column, secon
     """Pending events older than ``seconds``: RETRY, or DEAD_LETTER where their channel is not set up."""
     due = effective_outbox(log).filter((F.col("status") == "PENDING") & (now_us - F.col("us") > seconds * 1_000_000))
     known = channels.select("channel", F.lit(True).alias("known")).distinct()
-    return due.join(F.broadcast(known), "channel", "left").withColumn("action", F.when(F.col("known"), "RETRY").otherwise("DEAD_LETTER")).drop("known")
+    return due.join(known, "channel", "left").withColumn("action", F.when(F.col("known"), "RETRY").otherwise("DEAD_LETTER")).drop("known")
 
 
 def cooldown_suppress(alerts: DataFrame, log: DataFrame, cooldown_us: int) -> DataFrame:

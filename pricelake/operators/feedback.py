@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.ranking import with_rank
 from .history import newest
 
 CODES = {"u": "useful", "p": "purchased", "f": "fake_discount", "w": "wrong_price", "d": "duplicate"}
@@ -61,14 +62,15 @@ def feedback_summary(log: DataFrame) -> DataFrame:
 
 
 def audit_metrics(outcomes: DataFrame) -> DataFrame:
+    """Presses by outcome, and how many got an answer (answered: true, false, or null where none was tried)."""
     kinds = ("stored", "duplicate", "rejected")
-    return outcomes.agg(F.count("*").alias("received"), *[F.count_if(F.col("outcome") == k).alias(k) for k in kinds])
+    return outcomes.agg(F.count("*").alias("received"), *[F.count_if(F.col("outcome") == k).alias(k) for k in kinds], F.count_if("answered").alias("answered"), F.count_if(~F.col("answered")).alias("failed"))
 
 
 def export_labels(log: DataFrame) -> DataFrame:
-    """Raters become rater_1, rater_2, ... by their first press. The ranking runs over one row per rater."""
+    """Raters become rater_1, rater_2, ... by their first press."""
     first = log.groupBy("rater").agg(F.min("seq").alias("first"))
-    names = first.select("rater", F.concat(F.lit("rater_"), F.row_number().over(Window.orderBy("first")).cast("string")).alias("name"))
+    names = with_rank(first, "at", "first", "rater").select("rater", F.concat(F.lit("rater_"), F.col("at").cast("string")).alias("name"))
     return current_labels(log).join(names, "rater").select("alert_id", "name", "label", "seq")
 
 

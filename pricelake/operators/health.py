@@ -11,6 +11,7 @@ def store_run_health(fetches: DataFrame) -> DataFrame:
     return fetches.groupBy("store", "run").agg(
         F.count("*").alias("requested"), F.count_if(F.col("kind") == "view").alias("parsed"), F.count_if(F.col("kind") == "purchase").alias("matched"), F.count_if(F.col("kind") == "error").alias("failures"),
         F.count_if(F.col("kind") == "click").alias("rate_limit_hits"), F.bool_or(F.col("kind") == "signup").alias("challenged"), F.avg("latency").alias("latency"), F.min("us").alias("started_us"),
+        F.count_if("is_skipped").alias("skipped"), F.count_if("is_blocked").alias("blocked"), F.sum("tries").alias("attempts"),
     )
 
 
@@ -55,12 +56,14 @@ def rate_limited_stores(health: DataFrame, now_us: Column, share: float = 0.05,
 
 
 def health_alerts(before: DataFrame, after: DataFrame, now_us: Column, dead_hours: int = 24) -> DataFrame:
-    """Newly quarantined stores, recovered ones, and stores without a success for a day."""
+    """Newly quarantined stores, recovered ones, and stores without a success for a day, each with its outage: the first run of the
+    streak without a product (the one that ended, for recovered ones), or the last success."""
     was, is_ = quarantined_stores(before), quarantined_stores(after)
-    new = is_.join(was, "store", "left_anti").withColumn("kind", F.lit("quarantined"))
-    back = was.join(is_, "store", "left_anti").withColumn("kind", F.lit("recovered"))
+    now, then = (outage_start(h).select("store", F.concat(F.lit("run "), F.col("outage_run").cast("string")).alias("outage")) for h in (after, before))
+    new = is_.join(was, "store", "left_anti").withColumn("kind", F.lit("quarantined")).join(now, "store", "left")
+    back = was.join(is_, "store", "left_anti").withColumn("kind", F.lit("recovered")).join(then, "store", "left")
     good = after.groupBy("store").agg(F.max(F.when(F.col("parsed") > 0, F.col("started_us"))).alias("good"))
-    dead = good.filter(F.col("good").isNull() | (now_us - F.col("good") > dead_hours * 3_600_000_000)).select("store", F.lit("dead_man").alias("kind"))
+    dead = good.filter(F.col("good").isNull() | (now_us - F.col("good") > dead_hours * 3_600_000_000)).select("store", F.lit("dead_man").alias("kind"), F.concat(F.lit("since "), F.coalesce(F.col("good").cast("string"), F.lit("ever"))).alias("outage"))
     return new.unionByName(back).unionByName(dead)
 
 

@@ -56,7 +56,7 @@ def with_prior(obs: DataFrame) -> DataFrame:
     """Adds previous price, drop and the all-time low before each row."""
     before = by_offer().rowsBetween(Window.unboundedPreceding, -1)
     prev = F.lag("price").over(by_offer())
-    return obs.withColumn("previous_price", prev).withColumn("prior_low", F.min("price").over(before)).withColumn("drop_value", F.col("previous_price") - F.col("price")).withColumn("drop_percent", (F.col("previous_price") - F.col("price")) / F.col("previous_price") * 100)
+    return obs.withColumn("previous_price", prev).withColumn("prior_low", F.min("price").over(before)).withColumn("drop_value", F.col("previous_price") - F.col("price")).withColumn("drop_percent", F.try_divide(F.col("previous_price") - F.col("price"), F.col("previous_price")) * 100)
 
 
 def reference_window(obs: DataFrame, days: int = REFERENCE_DAYS, with_prices: bool = False) -> DataFrame:
@@ -84,10 +84,29 @@ def window_provenance(prices: Column) -> Column:
     return F.when(prices.isNull(), "unknown").when(F.size(prices) == 0, "confirmed_empty").otherwise("genuine")
 
 
+#: What makes two rows of a history the same observation; the time and the stock status may be missing.
+SIGNATURE = ["day", "us", "price", "stock_status"]
+
+
 def merge_aliases(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Union of two histories without repeated rows; where rows are equal the first side's seq stays."""
+    """Union of two histories without repeated observations; where two are the same the first side's seq stays."""
     both = first.withColumn("_side", F.lit(0)).unionByName(second.withColumn("_side", F.lit(1)))
-    return both.groupBy("offer_id", "day", "price").agg(F.min_by("seq", F.struct("_side", "seq")).alias("seq"))
+    return both.groupBy("offer_id", *SIGNATURE).agg(F.min_by("seq", F.struct("_side", "seq")).alias("seq"))
+
+
+def merge_products(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row per product of either side: the first side's fields, the lowest and highest price and the earliest day of both."""
+    merged = {"all_time_low": F.min, "all_time_high": F.max, "first_seen": F.min}
+    both = first.withColumn("_side", F.lit(0)).unionByName(second.withColumn("_side", F.lit(1)))
+    fields = [c for c in first.columns if c != "product_id" and c not in merged]
+    return both.groupBy("product_id").agg(F.min_by(F.struct(*fields), "_side").alias("_f"), *[f(c).alias(c) for c, f in merged.items()]).select("product_id", "_f.*", *merged)
+
+
+def one_version(*sides: DataFrame) -> None:
+    """Refuses to merge documents of different schema versions (each side: schema_version)."""
+    found = sorted({r["schema_version"] for s in sides for r in s.select("schema_version").distinct().limit(3).collect()})
+    if len(found) > 1:
+        raise ValueError(f"schema versions differ: {found}")
 
 
 def three_way_merge(base: DataFrame, incoming: DataFrame, tip: DataFrame, keys: list[str]) -> DataFrame:

@@ -34,6 +34,13 @@ def slot_coverage(starts: DataFrame, start: int, end: int, slot_us: int) -> Data
     return longest.select(F.lit(total).cast("long").alias("slots"), hits.alias("covered"), F.coalesce("missed", F.lit(0)).alias("missed"), F.coalesce("longest_gap", F.lit(0)).alias("longest_gap"), F.when(F.lit(total) > 0, F.round(hits / total * 100, 2)).alias("uptime_percent"))
 
 
+def failure_reasons(fetches: DataFrame) -> DataFrame:
+    """store and reasons: counts by reason, the most frequent first, as ``reason=n`` joined by commas."""
+    counts = fetches.filter("reason is not null").groupBy("store", "reason").agg(F.count("*").alias("n"))
+    by = counts.groupBy("store").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "reason"))).alias("r"))
+    return by.select("store", F.array_join(F.transform("r", lambda x: F.concat(x["reason"], F.lit("="), (-x["less"]).cast("string"))), ",").alias("reasons"))
+
+
 def retailer_ranking(health: DataFrame) -> DataFrame:
     """Stores by extraction success rate (desc), challenge rate (asc), name; stores without a try have no rate and no rank."""
     tried = F.sum("parsed") + F.sum("failures")
@@ -52,10 +59,8 @@ def outbox_metrics(log: DataFrame, statuses: tuple[str, ...] = ("SENT", "PENDING
 
 def delivery_metrics(attempts: DataFrame) -> DataFrame:
     """Attempts and decisions by final state, by channel, and in all."""
-    attempts.createOrReplaceTempView("_attempts")
-    return attempts.sparkSession.sql(
-        "SELECT status, channel, count(*) AS attempts, count(DISTINCT event_id) AS decisions FROM _attempts GROUP BY GROUPING SETS ((status), (channel), ())"
-    )
+    by = attempts.groupingSets([[F.col("status")], [F.col("channel")], []], F.col("status"), F.col("channel"))
+    return by.agg(F.count("*").alias("attempts"), F.countDistinct("event_id").alias("decisions"))
 
 
 def feedback_acceptance(log: DataFrame) -> DataFrame:

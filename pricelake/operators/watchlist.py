@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .history import newest
 
-BLOCK_MARKS = r"(?i)captcha|are you a robot|access denied|cf-challenge|just a moment"
-STOCK_RULES = (
-    ("out_of_stock", r"(?i)stoc epuizat|indisponibil|out of stock"),
-    ("supplier_stock", r"(?i)stoc furnizor|la comanda"),
-    ("limited_stock", r"(?i)stoc limitat|ultimele|limited"),
-    ("in_stock", r"(?i)in stoc|disponibil|in stock"),
-)
+#: What stands on pages that block the real content (the first within HEAD characters), and on pages with a mere widget.
+WAIT, HEAD = "just a moment", 2000
+CHALLENGE = r"_cf_chl_opt|/cdn-cgi/challenge-platform/h/[a-z]+/orchestrate/"
+WIDGET = r"cf-turnstile|challenges\.cloudflare\.com/turnstile/"
+#: For each layout of listings its ordered rules (status, what the availability id is, the class has, the text has).
+STOCK_RULES = {
+    "ids": (("out_of_stock", None, None, "stoc epuizat|indisponibil"), ("limited_stock", "2", None, "ultimul produs"), ("in_stock", "3", None, "in stoc")),
+    "classes": (("out_of_stock", None, "outofstock", None), ("supplier_stock", None, "insupplierstock", None), ("limited_stock", None, "instock", "limitat"), ("in_stock", None, "instock", None)),
+    "marks": (("out_of_stock", None, "*out-of-stock", None), ("out_of_stock", None, "*sold-out", None), ("limited_stock", None, "limited-stock", None), ("supplier_stock", None, "supplier-stock", None), ("in_stock", None, "in-stock", None), ("in_stock", None, "bin-display", None)),
+    "labels": (("out_of_stock", None, None, "epuizat|indisponibil"), ("out_of_stock", None, "*outofstock", None), ("supplier_stock", None, None, "furnizor"), ("supplier_stock", None, "*insupplierstock", None), ("limited_stock", None, None, "limitat"), ("in_stock", None, "*instock", None)),
+}
+SAMPLES = 5
 
 
 def _words(text: Column) -> Column:
@@ -45,14 +50,29 @@ def match_titles(watches: DataFrame, offers: DataFrame, loose: bool = False) ->
 
 
 def flag_blocked_pages(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("is_blocked", F.rlike("html", F.lit(BLOCK_MARKS)))
-
-
-def classify_stock(text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for status, pattern in reversed(STOCK_RULES):
-        out = F.when(F.rlike(text, F.lit(pattern)), status).otherwise(out)
-    return F.coalesce(out, F.lit("unknown"))
+    """Adds is_blocked (a page in place of the real content) and has_widget (the real content beside a challenge widget)."""
+    low = F.lower("html")
+    return pages.withColumn("is_blocked", F.contains(F.substring(low, 1, HEAD), F.lit(WAIT)) | F.rlike(low, F.lit(CHALLENGE))).withColumn("has_widget", F.rlike(low, F.lit(WIDGET)))
+
+
+def classify_stock(layout: Column, text: Column, classes: Column, availability: Column) -> Column:
+    """The first rule of the layout that holds. An id or a text is enough where a rule has both; a class and a text must both be there.
+    A class with ``*`` may be part of a name. Romanian letters count without their marks as well."""
+    said, names = F.lower(text), F.split(F.coalesce(classes, F.lit("")), " ")
+    no = F.lit(False)
+    out = F.lit("unknown")
+    for kind, rules in STOCK_RULES.items():
+        status = F.lit("unknown")
+        for name, wanted, has, words in reversed(rules):
+            by_text = F.coalesce(F.rlike(said, F.lit(words)) | F.rlike(T.fold(text), F.lit(words)), no) if words else None
+            if has:
+                own = F.contains(F.lower(F.coalesce(classes, F.lit(""))), F.lit(has[1:])) if has[0] == "*" else F.array_contains(names, has)
+                hit = own & by_text if by_text is not None else own
+            else:
+                hit = by_text | F.coalesce(availability == wanted, no) if wanted else by_text
+            status = F.when(hit, name).otherwise(status)
+        out = F.when(layout == kind, status).otherwise(out)
+    return out
 
 
 def clean_search_offers(rows: DataFrame) -> DataFrame:
@@ -71,11 +91,11 @@ def shop_answer_status(counters: DataFrame) -> DataFrame:
 
 
 def target_price_feasibility(watches: DataFrame, matches: DataFrame, prices: DataFrame) -> DataFrame:
-    """State of each watch's target against the lowest matching price."""
+    """State of each watch's target against the lowest price ever observed of what its query matches."""
     low = matches.join(prices, "offer_id").groupBy("watch_id").agg(F.min("price").alias("lowest"))
     t, x = F.col("target_price"), F.col("lowest")
-    state = F.when(t.isNull(), "no_target").when(x.isNull(), "no_match").when(x <= t, "met").when(x * 0.5 <= t, "feasible").otherwise("far")
-    return watches.join(low, "watch_id", "left").select("watch_id", "lowest", state.alias("state"))
+    state = F.when(t.isNull(), "not_set").when(x.isNull(), "no_matching_history").when(t < x, "below_observed_historical_low").otherwise("within_observed_range")
+    return watches.join(low, "watch_id", "left").select("watch_id", F.when(t.isNotNull(), x).alias("lowest"), state.alias("state"))
 
 
 def duplicate_watches(watches: DataFrame) -> DataFrame:
@@ -86,21 +106,45 @@ def duplicate_watches(watches: DataFrame) -> DataFrame:
     return groups.select("site", "q", F.explode("ids").alias("watch_id"), "ids").select("watch_id", F.array_remove("ids", F.col("watch_id")).alias("others"))
 
 
+def _url_checks(url: Column, suffix: Column) -> tuple[Column, Column, Column]:
+    """(scheme, host and path of the canonical address are as expected)."""
+    c = T.canonical_url(url)
+    host, path = F.regexp_extract(c, "^[a-z]+://([^/?]*)", 1), F.regexp_extract(c, "^[a-z]+://[^/?]*([^?]*)", 1)
+    return F.rlike(c, F.lit("^https?://")), F.coalesce(F.endswith(host, suffix), F.lit(False)), ~path.isin("", "/")
+
+
 def url_structure_check(pages: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
-    c = T.canonical_url(F.col("url"))
-    host = F.regexp_extract(c, "^[a-z]+://([^/?]*)", 1)
-    expected = F.exists(F.array(*map(F.lit, suffixes)), lambda s: F.endswith(host, s))
-    return pages.select("page_id", F.startswith(c, F.lit("https://")).alias("is_https"), expected.alias("host_ok"), (F.regexp_extract(c, "^[a-z]+://[^/?]*([^?]*)", 1) != "/").alias("path_ok"))
+    """scheme_ok, host_ok (one of the suffixes), path_ok and valid of each page's address."""
+    scheme, _, path = _url_checks(F.col("url"), F.lit(""))
+    host = F.exists(F.array(*map(F.lit, suffixes)), lambda s: _url_checks(F.col("url"), s)[1])
+    return pages.select("page_id", scheme.alias("scheme_ok"), host.alias("host_ok"), path.alias("path_ok"), (scheme & host & path).alias("valid"))
+
 
+def audit_watches(checks: DataFrame, results: DataFrame) -> DataFrame:
+    """Status of each watch and store from what a listing returned: the first that holds of UNSUPPORTED, MANUAL_REVIEW (no query),
+    UNVERIFIED (error or challenge), MISMATCH (results, none matches), PASS or MANUAL_REVIEW (by the addresses of the
+    first SAMPLES matches), UNVERIFIED (extraction failed), NO_RESULTS.
 
-def audit_watches(watches: DataFrame, matches: DataFrame, rows: DataFrame, supported: list[str]) -> DataFrame:
-    """Status of each watch from stored listing rows: how many match, and up to five samples."""
-    hits = matches.join(rows, "offer_id").groupBy("watch_id").agg(F.count("*").alias("n"), F.min("title").alias("first"), F.count_if(F.col("stock_status") == "unknown").alias("odd"))
-    sample = matches.withColumn("at", F.row_number().over(Window.partitionBy("watch_id").orderBy("offer_id"))).filter("at <= 5").groupBy("watch_id").agg(F.array_sort(F.collect_list("offer_id")).alias("samples"))
-    out = watches.join(hits, "watch_id", "left").join(sample, "watch_id", "left")
-    n = F.coalesce("n", F.lit(0))
-    status = F.when(~F.col("site").isin(*supported), "UNSUPPORTED").when(n == 0, "NO_RESULTS").when(F.col("odd") == n, "UNVERIFIED").when(F.col("odd") > 0, "MANUAL_REVIEW").otherwise("PASS")
-    return out.select("watch_id", status.alias("status"), n.alias("n"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+    checks: watch_id, store, query, is_supported, host, failed, challenged, extraction_failed; results: watch_id, store, at, title, url.
+    """
+    query = checks.select("watch_id", "store", "host", _words(F.col("query")).alias("q"))
+    valid = [c for c in _url_checks(F.col("url"), F.col("host"))]
+    rows = results.join(query, ["watch_id", "store"]).withColumn("matches", F.size(F.array_except("q", _words(F.col("title")))) == 0).withColumn("valid", valid[0] & valid[1] & valid[2])
+    nth = F.row_number().over(Window.partitionBy("watch_id", "store").orderBy(~F.col("matches"), "at"))
+    rows = rows.withColumn("nth", nth).withColumn("sample", F.col("matches") & (F.col("nth") <= SAMPLES))
+    found = rows.groupBy("watch_id", "store").agg(
+        F.count("*").alias("results"), F.count_if("matches").alias("n"), F.count_if(F.col("sample") & ~F.col("valid")).alias("odd"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("sample"), F.struct("nth", "title")))), lambda x: x["title"]).alias("samples"),
+    )
+    out = checks.join(found, ["watch_id", "store"], "left")
+    n, results_ = F.coalesce("n", F.lit(0)), F.coalesce("results", F.lit(0))
+    query_ = F.coalesce(F.trim("query"), F.lit(""))
+    status = (
+        F.when(~F.col("is_supported"), "UNSUPPORTED").when(query_ == "", "MANUAL_REVIEW").when(F.col("failed") | F.col("challenged"), "UNVERIFIED").when((results_ > 0) & (n == 0), "MISMATCH")
+        .when((n > 0) & (F.col("odd") > 0), "MANUAL_REVIEW").when(n > 0, "PASS").when(F.col("extraction_failed"), "UNVERIFIED").otherwise("NO_RESULTS")
+    )
+    asked = F.col("is_supported") & (query_ != "") & ~F.col("failed")
+    return out.select("watch_id", "store", status.alias("status"), F.when(asked, n).otherwise(0).alias("n"), F.when(asked, F.coalesce("samples", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("samples"))
 
 
 def audit_acceptance(audit: DataFrame, at_us: Column, first_day: str, days: int = 7, zone: str = "Europe/Bucharest") -> DataFrame:
@@ -112,18 +156,24 @@ def audit_acceptance(audit: DataFrame, at_us: Column, first_day: str, days: int
 
 
 def apply_change_feed(stored: DataFrame, feed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new table, outcome per change). feed: seq, id, op (add, update, delete), old, new; stored: id, value.
+    """(new table, outcome per change). feed: seq, id, op (add, update, enable, delete), old, new; stored: id, value, enabled.
+    ``enable`` sets the flag ``enabled`` to its new value (text) and keeps the rest; added rows are enabled.
 
     The first change of an id counts, later ones are duplicates. A change applies if the stored value is the expected old one; it is
     already applied if the stored value is the new one; else it conflicts.
     """
     at = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
     both = feed.withColumn("at", at).join(stored.withColumn("is_there", F.lit(True)), "id", "full_outer")
+    switch = F.coalesce(F.col("op") == "enable", F.lit(False))
+    now = F.when(switch, F.col("enabled").cast("string")).otherwise(F.col("value"))
     wanted = F.when(F.col("op") == "delete", F.lit(None)).otherwise(F.col("new"))
-    outcome = F.when(F.col("at") > 1, "duplicate").when(F.col("value").eqNullSafe(wanted), "already_applied").when(F.col("value").eqNullSafe(F.col("old")), "applied").otherwise("conflict")
-    judged = both.withColumn("outcome", F.when(F.col("op").isNotNull(), outcome)).withColumn("wanted", wanted)
-    first = judged.filter("at is null or at = 1")
-    table = first.select("id", F.when(F.col("outcome") == "applied", F.col("wanted")).otherwise(F.col("value")).alias("value")).filter("value is not null")
+    outcome = F.when(F.col("at") > 1, "duplicate").when(switch & F.col("is_there").isNull(), "conflict").when(now.eqNullSafe(wanted), "already_applied").when(now.eqNullSafe(F.col("old")), "applied").otherwise("conflict")
+    judged = both.withColumn("switch", switch).withColumn("outcome", F.when(F.col("op").isNotNull(), outcome)).withColumn("wanted", wanted)
+    first, applied = judged.filter("at is null or at = 1"), F.col("outcome").eqNullSafe(F.lit("applied"))
+    table = first.select(
+        "id", F.when(applied & ~F.col("switch"), F.col("wanted")).otherwise(F.col("value")).alias("value"),
+        F.when(applied & F.col("switch"), F.col("wanted").cast("boolean")).otherwise(F.coalesce("enabled", F.lit(True))).alias("enabled"),
+    ).filter("value is not null")
     return table, judged.filter("op is not null").select("seq", "id", "outcome")
 
 

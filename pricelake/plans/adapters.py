@@ -114,12 +114,17 @@ def health(spark: SparkSession, sf_dir: str, slot_us: int = SLOT_US) -> DataFram
         F.col("event_type").alias("kind"),
         F.col("value").alias("latency"),
         F.col("event_id").alias("seq"),
+        (F.col("event_id") % 31 == 0).alias("is_skipped"),
+        (F.col("event_id") % 37 == 0).alias("is_blocked"),
+        (F.col("event_id") % 3 + 1).alias("tries"),
+        F.when(F.col("event_type") == "error", F.element_at(F.array(F.lit("timeout"), F.lit("no_price"), F.lit("changed_markup")), (F.col("event_id") % 3 + 1).cast("int"))).alias("reason"),
     )
 
 
 HEALTH = f"""
 fetches AS (SELECT 'store_' || (user_id % 4) AS store, (epoch_us(ts) // {SLOT_US})::BIGINT AS run, epoch_us(ts) AS us, event_type AS kind,
-  value AS latency, event_id AS seq FROM events)"""
+  value AS latency, event_id AS seq, event_id % 31 = 0 AS is_skipped, event_id % 37 = 0 AS is_blocked, event_id % 3 + 1 AS tries,
+  CASE WHEN event_type = 'error' THEN ['timeout', 'no_price', 'changed_markup'][event_id % 3 + 1] END AS reason FROM events)"""
 
 LABELS = ("useful", "purchased", "fake_discount", "wrong_price", "duplicate")
 

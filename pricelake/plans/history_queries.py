@@ -73,6 +73,8 @@ def window_provenance(spark: SparkSession, d: str) -> DataFrame:
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = A.sparse_observations(spark, d).select("offer_id", "day", "price", "seq", "run")
+    s = s.withColumn("us", F.when(F.col("run") % 3 > 0, F.col("day") * F.lit(86_400_000_000) + F.col("run") % 5 * 3_600_000_000))
+    s = s.withColumn("stock_status", F.when(F.col("run") % 2 == 0, "in_stock").when(F.col("run") % 3 == 0, "out_of_stock"))
     return s.filter("run % 4 <> 0"), s.filter("run % 4 <> 1 and run % 7 <> 0"), s.filter("run % 5 <> 0")
 
 
@@ -83,7 +85,15 @@ def merge_aliases(spark: SparkSession, d: str) -> DataFrame:
 
 def three_way_merge(spark: SparkSession, d: str) -> DataFrame:
     base, incoming, tip = _sides(spark, d)
-    return history.three_way_merge(base, incoming, tip, ["offer_id", "day", "price"])
+    return history.three_way_merge(base, incoming, tip, ["offer_id", *history.SIGNATURE])
+
+
+def merge_products(spark: SparkSession, d: str) -> DataFrame:
+    def of(rows: DataFrame, title: str) -> DataFrame:
+        return rows.groupBy(F.col("offer_id").alias("product_id")).agg(F.concat(F.lit(title), F.max("run").cast("string")).alias("title"), F.min("price").alias("all_time_low"), F.max("price").alias("all_time_high"), F.min("day").alias("first_seen"))
+
+    base, incoming, tip = _sides(spark, d)
+    return history.merge_products(of(incoming, "new "), of(tip, "old "))
 
 
 def daily_series(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +177,7 @@ def rule_summary(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     upsert_observations, upsert_dimensions, latest_price, price_history, prune_history, lifetime_stats, previous_price, reference_window, reference_window_sparse, window_provenance,
-    merge_aliases, three_way_merge, daily_series, expand_watches, alert_gate, seller_policy_filter, reference_price_verdict, verdict_counts, quarantine_invalid_baseline, window_statistics,
+    merge_aliases, three_way_merge, merge_products, daily_series, expand_watches, alert_gate, seller_policy_filter, reference_price_verdict, verdict_counts, quarantine_invalid_baseline, window_statistics,
     genuine_savings, fake_discount, days_at_current_price, deal_badges, rule_summary,
 )}
 
@@ -183,8 +193,13 @@ win AS (SELECT a.*, coalesce(b.window_low, a.previous_price) AS thirty_day_low,
      FROM obs a LEFT JOIN obs b ON b.offer_id = a.offer_id AND (b.us, b.seq) < (a.us, a.seq) AND b.day >= a.day - {DAYS} GROUP BY a.seq) b USING (seq)),
 judged AS (SELECT *, round((previous_price - price) / previous_price * 100, 2) AS discount_vs_old_pct, round((thirty_day_low - price) / thirty_day_low * 100, 2) AS discount_vs_30d_pct,
    CASE WHEN history_days < 14 THEN 'INSUFFICIENT_HISTORY' WHEN price >= thirty_day_low THEN 'FALSE_DISCOUNT' WHEN reference_price > thirty_day_low * 1.25 THEN 'INFLATED_REFERENCE'
-        WHEN round((thirty_day_low - price) / thirty_day_low * 100, 2) >= 5 THEN 'GENUINE_DEAL' ELSE 'NORMAL_DROP' END AS verdict FROM win WHERE previous_price IS NOT NULL),
-stats AS (SELECT *, list_aggregate(prices, 'median') AS median, list_avg(prices) AS mean, (1 - price / window_low) * 100 AS savings FROM win)"""
+        WHEN round((thirty_day_low - price) / thirty_day_low * 100, 2) >= 5 THEN 'GENUINE_DEAL' ELSE 'NORMAL_DROP' END AS verdict FROM win WHERE previous_price > 0 AND thirty_day_low > 0),
+stats AS (SELECT *, list_aggregate(prices, 'median') AS median, list_avg(prices) AS mean, (1 - price / nullif(window_low, 0)) * 100 AS savings FROM win)"""
+
+SIDES = S + """,
+both_ AS (SELECT offer_id, day, price, seq, run, CASE WHEN run % 3 > 0 THEN day * 86400000000::BIGINT + run % 5 * 3600000000 END AS us,
+  CASE WHEN run % 2 = 0 THEN 'in_stock' WHEN run % 3 = 0 THEN 'out_of_stock' END AS stock_status FROM sparse),
+s1 AS (SELECT * FROM both_ WHERE run % 4 <> 0), s2 AS (SELECT * FROM both_ WHERE run % 4 <> 1 AND run % 7 <> 0), s3 AS (SELECT * FROM both_ WHERE run % 5 <> 0)"""
 
 SQL = {
     "upsert_observations": f"""WITH {O}, both_ AS (SELECT offer_id, us, seq, price FROM obs WHERE seq % 3 < 2
@@ -198,27 +213,29 @@ SQL = {
     "prune_history": f"""WITH {S}, r AS (SELECT *, max(day) OVER (PARTITION BY offer_id) AS m, row_number() OVER (PARTITION BY offer_id ORDER BY day DESC, seq DESC) AS back FROM sparse)
       SELECT offer_id, seq, day, price FROM r WHERE m - day <= 90 OR back <= 2""",
     "lifetime_stats": f"WITH {O} SELECT offer_id, min(price) AS all_time_low, max(price) AS all_time_high, min(day) AS first_seen, count(*) AS n FROM obs GROUP BY offer_id",
-    "previous_price": f"WITH {WIN} SELECT seq, previous_price, prior_low, round(previous_price - price, 4) AS drop_value, round((previous_price - price) / previous_price * 100, 4) AS drop_percent FROM prior",
+    "previous_price": f"WITH {WIN} SELECT seq, previous_price, prior_low, round(previous_price - price, 4) AS drop_value, round((previous_price - price) / nullif(previous_price, 0) * 100, 4) AS drop_percent FROM prior",
     "reference_window": f"WITH {WIN} SELECT seq, thirty_day_low, window_n, history_days FROM win",
     "reference_window_sparse": f"""WITH {S}, one AS (SELECT offer_id, seq, min(day) AS day, min(price) AS price FROM sparse GROUP BY ALL), prev AS (SELECT *, lag(price) OVER (PARTITION BY offer_id ORDER BY day, seq) AS p FROM one)
       SELECT a.offer_id, a.seq, coalesce(min(b.price), any_value(a.p)) AS thirty_day_low, count(b.price) AS window_n
       FROM prev a LEFT JOIN one b ON b.offer_id = a.offer_id AND (b.day, b.seq) < (a.day, a.seq) AND b.day >= a.day - 365 GROUP BY a.offer_id, a.seq""",
     "window_provenance": f"""WITH {O}, w AS (SELECT a.seq, count(b.seq) AS n FROM obs a LEFT JOIN obs b ON b.offer_id = a.offer_id AND (b.us, b.seq) < (a.us, a.seq) AND b.day >= a.day - 1 GROUP BY a.seq)
       SELECT CASE WHEN seq % 10 = 0 THEN 'unknown' WHEN n = 0 THEN 'confirmed_empty' ELSE 'genuine' END AS provenance, count(*) AS n FROM w GROUP BY 1""",
-    "merge_aliases": f"""WITH {S}, b AS (SELECT offer_id, day, price, seq, 0 AS side FROM sparse WHERE run % 4 <> 0 UNION ALL SELECT offer_id, day, price, seq, 1 FROM sparse WHERE run % 4 <> 1 AND run % 7 <> 0)
-      SELECT offer_id, day, price, seq FROM b QUALIFY row_number() OVER (PARTITION BY offer_id, day, price ORDER BY side, seq) = 1""",
-    "three_way_merge": f"""WITH {S}, base AS (SELECT DISTINCT offer_id, day, price FROM sparse WHERE run % 4 <> 0), inc AS (SELECT DISTINCT offer_id, day, price FROM sparse WHERE run % 4 <> 1 AND run % 7 <> 0),
-      tip AS (SELECT DISTINCT offer_id, day, price FROM sparse WHERE run % 5 <> 0)
+    "merge_aliases": f"""WITH {SIDES}, b AS (SELECT *, 0 AS side FROM s1 UNION ALL SELECT *, 1 FROM s2)
+      SELECT offer_id, day, us, price, stock_status, seq FROM b QUALIFY row_number() OVER (PARTITION BY offer_id, day, us, price, stock_status ORDER BY side, seq) = 1""",
+    "three_way_merge": f"""WITH {SIDES}, base AS (SELECT DISTINCT offer_id, day, us, price, stock_status FROM s1), inc AS (SELECT DISTINCT offer_id, day, us, price, stock_status FROM s2),
+      tip AS (SELECT DISTINCT offer_id, day, us, price, stock_status FROM s3)
       SELECT * FROM (SELECT * FROM inc EXCEPT SELECT * FROM base) UNION SELECT * FROM (SELECT * FROM tip EXCEPT (SELECT * FROM base EXCEPT SELECT * FROM inc))""",
+    "merge_products": f"""WITH {SIDES}, i AS (SELECT offer_id, 'new ' || max(run) AS title, min(price) AS lo, max(price) AS hi, min(day) AS d FROM s2 GROUP BY offer_id), t AS (SELECT offer_id, 'old ' || max(run) AS title, min(price) AS lo, max(price) AS hi, min(day) AS d FROM s3 GROUP BY offer_id)
+      SELECT coalesce(i.offer_id, t.offer_id) AS product_id, coalesce(i.title, t.title) AS title, least(i.lo, t.lo) AS all_time_low, greatest(i.hi, t.hi) AS all_time_high, least(i.d, t.d) AS first_seen FROM i FULL JOIN t ON i.offer_id = t.offer_id""",
     "daily_series": f"""WITH {O}, l AS (SELECT offer_id, day, price FROM obs QUALIFY row_number() OVER (PARTITION BY offer_id, day ORDER BY us DESC, seq DESC) = 1),
       x AS (SELECT *, coalesce(price < lag(price) OVER (PARTITION BY offer_id ORDER BY day), false) AS is_drop FROM l)
       SELECT offer_id, count(*) AS points, count(*) FILTER (WHERE is_drop) AS drops, min(price) AS low, max(price) AS high,
         string_agg(day || '=' || printf('%.2f', price), ';' ORDER BY day) AS series FROM x GROUP BY offer_id HAVING count(*) >= 3""",
     "expand_watches": f"WITH {O}, {W}, stores AS (SELECT DISTINCT retailer AS store FROM obs) SELECT watch_id, site AS store FROM watches WHERE enabled AND site <> 'all' UNION ALL SELECT watch_id, store FROM watches, stores WHERE enabled AND site = 'all'",
-    "alert_gate": f"""WITH {WIN}, g AS (SELECT *, CASE seq % 3 WHEN 0 THEN 'aggressive' WHEN 1 THEN 'conservative' ELSE 'off' END AS policy, previous_price - price >= 5 AND (previous_price - price) / previous_price * 100 >= 2 AS floor_ FROM prior)
+    "alert_gate": f"""WITH {WIN}, g AS (SELECT *, CASE seq % 3 WHEN 0 THEN 'aggressive' WHEN 1 THEN 'conservative' ELSE 'off' END AS policy, previous_price - price >= 5 AND (previous_price - price) / nullif(previous_price, 0) * 100 >= 2 AS floor_ FROM prior)
       SELECT seq, CASE WHEN previous_price IS NULL OR price >= previous_price OR stock_status = 'out_of_stock' THEN false
         WHEN coalesce(price < prior_low, false) AND policy = 'aggressive' THEN true WHEN coalesce(price < prior_low, false) AND policy = 'conservative' AND floor_ THEN true
-        WHEN NOT floor_ THEN false WHEN seq % 2 = 0 AND price > 60 THEN false WHEN seq % 5 = 0 AND (previous_price - price) / previous_price * 100 < 30 THEN false ELSE true END AS alerts FROM g""",
+        WHEN NOT floor_ THEN false WHEN seq % 2 = 0 AND price > 60 THEN false WHEN seq % 5 = 0 AND (previous_price - price) / nullif(previous_price, 0) * 100 < 30 THEN false ELSE true END AS alerts FROM g""",
     "seller_policy_filter": f"""WITH {O}, m AS (SELECT retailer, seq % 2 <> 0 OR CASE WHEN is_known_seller THEN seq % 3 = 0 END IS NOT DISTINCT FROM false AS ok FROM obs)
       SELECT retailer, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS blocked FROM m GROUP BY retailer""",
     "reference_price_verdict": f"WITH {WIN} SELECT seq, verdict, discount_vs_old_pct, discount_vs_30d_pct FROM judged",

@@ -75,7 +75,7 @@ def group_equivalent_offers(spark: SparkSession, d: str) -> DataFrame:
     pairs = I.scored_pairs(left, right).filter(F.col("score") >= I.MATCH)
     both = left.unionByName(right).withColumn("query", F.substring_index("title", " ", 1)).withColumn("query", F.lower("query")).withColumn("price", (F.col("sku").cast("int") % 17).cast("double"))
     links = pairs.join(both.select(F.col("offer_id").alias("a_offer_id"), "query"), "a_offer_id")
-    return I.group_equivalent(both.select("query", "offer_id", F.col("retailer").alias("shop"), "price"), links.select("query", "a_offer_id", "b_offer_id", "score"))
+    return I.group_equivalent(both.select("query", "offer_id", F.col("retailer").alias("shop"), "price"), links.select("query", "a_offer_id", "b_offer_id", "score", "veto"))
 
 
 def apply_cross_links(spark: SparkSession, d: str) -> DataFrame:
@@ -94,6 +94,16 @@ cut AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://(
 canon AS (SELECT page_id, url, u, lower(u.scheme) || '://' || regexp_replace(lower(u.host), '^www\.', '') || CASE WHEN rtrim(u.path, '/') = '' THEN '/' ELSE rtrim(u.path, '/') END
   || coalesce((SELECT '?' || string_agg(p, '&' ORDER BY p) FROM (SELECT unnest(string_split(u.query, '&')) AS p)
      WHERE p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ({TRACK})), '') AS canonical FROM cut)"""
+TOKENS = "list_distinct(regexp_extract_all(regexp_replace(lower({}), '([0-9]+) gb', '\\1gb', 'g'), '[a-z0-9.]+'))"
+COLORS = ", ".join(f"'{c}'" for c in I.COLORS)
+PAIRS = f"""parts AS (SELECT p_partkey AS p, concat_ws(' ', p_name, p_brand, lower(p_type), p_size || ' gb', CASE WHEN p_partkey % 3 = 0 THEN 'ab' || lpad((p_partkey % 90)::VARCHAR, 4, '0') || 'q' END, CASE WHEN p_partkey % 2 = 0 THEN 'mx' || lpad((p_partkey % 90)::VARCHAR, 4, '0') || 'q' END) AS w FROM part WHERE p_size IS NOT NULL),
+l AS (SELECT 'l' || p AS a, {TOKENS.format('w')} AS t FROM parts),
+r AS (SELECT 'r' || p AS b, {TOKENS.format("concat_ws(' ', w, CASE WHEN p % 12 = 0 THEN 'black' END)")} AS t FROM parts WHERE p % 4 = 0),
+x AS (SELECT a, b, len(list_intersect(l.t, r.t)) AS both_, len(l.t) + len(r.t) AS sum_, list_filter(l.t, lambda w: regexp_full_match(w, 'ab[0-9]+q')) AS ca, list_filter(r.t, lambda w: regexp_full_match(w, 'ab[0-9]+q')) AS cb,
+  list_filter(l.t, lambda w: w IN ({COLORS})) AS la, list_filter(r.t, lambda w: w IN ({COLORS})) AS lb, list_sort(list_filter(l.t, lambda w: regexp_full_match(w, '[0-9]+gb'))) AS sa, list_sort(list_filter(r.t, lambda w: regexp_full_match(w, '[0-9]+gb'))) AS sb FROM l, r),
+y AS (SELECT *, both_ / (sum_ - both_) AS j, len(ca) > 0 AND len(cb) > 0 AS coded, len(ca) > 0 AND len(cb) > 0 AND NOT list_has_any(ca, cb) AS differ, len(la) > 0 AND len(lb) > 0 AND NOT list_has_any(la, lb) AS hue, len(sa) > 0 AND len(sb) > 0 AND sa <> sb AS size_ FROM x),
+pairs AS (SELECT a, b, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN coded AND NOT differ THEN 0.6::DOUBLE + 0.4::DOUBLE * j WHEN differ THEN 0.4::DOUBLE * j ELSE 0.9::DOUBLE * j END - CASE WHEN hue THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END - 0.1::DOUBLE - CASE WHEN size_ THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END)), 4) AS score,
+  concat_ws(',', CASE WHEN differ THEN 'MODEL_CODE_CONFLICT' WHEN coded THEN 'MODEL_CODE_MATCH' ELSE 'TOKEN_JACCARD_ONLY' END, CASE WHEN hue THEN 'COLOR_CONFLICT' END, 'SPEC_UNVERIFIED_CPU', CASE WHEN size_ THEN 'SPEC_CONFLICT_CAPACITY' END) AS reasons FROM y)"""
 SQL = {
     "canonicalize_urls": f"WITH {URLS} SELECT page_id, canonical FROM canon",
     "url_aliases": f"WITH {URLS} SELECT canonical, count(*) AS n, min(url) AS first_url FROM canon GROUP BY canonical",
@@ -103,6 +113,14 @@ SQL = {
       SELECT page_id, CASE WHEN coalesce(by_rule, '') <> '' THEN by_rule ELSE seg[-1] END AS sku,
         CASE WHEN coalesce(by_rule, '') <> '' THEN 'rule:' || ['generic','html_slug','last_slug','trailing_id'][k + 1] WHEN k = 0 THEN 'last_segment' ELSE 'legacy' END AS method FROM r""",
     "offer_fingerprint": f"WITH {A.OFFERS} SELECT offer_id, 'pid-v1:' || sha256(retailer || ':' || sku) AS fingerprint FROM offers",
+    "deterministic_ids": f"""WITH {A.OFFERS}, h AS (SELECT offer_id, sha1(unhex('{T.URL_SPACE}') || encode(retailer || ':' || sku)) AS h FROM offers)
+      SELECT offer_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1)) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""",
+    "normalize_titles": f"""WITH {A.OFFERS}, x AS (SELECT DISTINCT title, list_sort({TOKENS.format('title')}) AS t FROM offers)
+      SELECT title, array_to_string(t, ' ') AS tokens, array_to_string(list_filter(t, lambda w: w IN ({COLORS})), ' ') AS colors, array_to_string(list_filter(t, lambda w: regexp_full_match(w, '[0-9]+(gb|tb)')), ' ') AS capacities FROM x""",
+    "title_pairs": f"WITH {PAIRS} SELECT a AS a_offer_id, b AS b_offer_id, score, reasons FROM pairs WHERE score >= 0.75",
+    "resolve_offers": f"""WITH {PAIRS}, best AS (SELECT a, min_by(b, (-score, b)) AS b, max(score) AS s FROM pairs WHERE score >= 0.75 GROUP BY a)
+      SELECT 'l' || p AS offer_id, CASE WHEN p % 10 = 0 THEN 'k' || p ELSE coalesce(b, 'l' || p) END AS product, CASE WHEN p % 10 = 0 THEN 'fingerprint' WHEN b IS NOT NULL THEN 'title' ELSE 'new' END AS method,
+        CASE WHEN p % 10 = 0 THEN 1.0 ELSE coalesce(s, 1.0) END AS confidence FROM parts LEFT JOIN best ON a = 'l' || p""",
     "normalize_prices": """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN NULL ELSE round(p_retailprice * 100) / 100 END AS price FROM part""",
     "apply_cross_links": """WITH e AS (SELECT 'f' || (event_id % 701) AS fp, 'p' || user_id AS product, CASE WHEN event_type = 'view' THEN 'fingerprint' ELSE 'title' END AS method, value / 500 AS confidence, event_id AS seq FROM events),
       l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY fp ORDER BY seq DESC) = 1),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import deals, delivery, feedback, health
 from . import adapters as A
 
@@ -19,8 +18,9 @@ WEEK = 7 * 86_400_000_000
 def _health(spark: SparkSession, d: str) -> DataFrame:
     """With a row of zeros for each run in which a store has no record."""
     h = health.store_run_health(A.health(spark, d))
-    spine = h.select("run").distinct().join(F.broadcast(h.select("store").distinct()))
-    zeros = ("requested", "parsed", "matched", "failures", "rate_limit_hits")
+    stores = h.agg(F.collect_set("store").alias("stores"))  # a small dimension: one row of it goes to each run
+    spine = h.select("run").distinct().join(F.broadcast(stores)).select("run", F.explode("stores").alias("store"))
+    zeros = ("requested", "parsed", "matched", "failures", "rate_limit_hits", "skipped", "blocked", "attempts")
     return spine.join(h, ["store", "run"], "left").na.fill(0, list(zeros)).withColumn("challenged", F.coalesce("challenged", F.lit(False))).withColumn("started_us", F.coalesce("started_us", F.col("run") * A.SLOT_US))
 
 
@@ -75,7 +75,7 @@ def dedup_keys(spark: SparkSession, d: str) -> DataFrame:
 def route_channels(spark: SparkSession, d: str) -> DataFrame:
     w = A.watches(spark, d).withColumn("n", F.substring("watch_id", 2, 9).cast("int"))
     offers = A.read(spark, d, "part").select(F.col("p_partkey").alias("offer_id"), (F.col("p_partkey") % 40).alias("k"))
-    matches = offers.join(F.broadcast(w.select((F.col("n") % 40).alias("k"), "watch_id", F.when(F.col("enabled"), F.col("channels")).alias("channels"))), "k")
+    matches = offers.join(w.select((F.col("n") % 40).alias("k"), "watch_id", F.when(F.col("enabled"), F.col("channels")).alias("channels")), "k")
     return delivery.route_channels(matches).select("offer_id", F.array_join("channels", ",").alias("channels"))
 
 
@@ -159,7 +159,7 @@ def feedback_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return feedback.audit_metrics(_ingested(spark, d))
+    return feedback.audit_metrics(_ingested(spark, d).withColumn("answered", F.when(F.col("seq") % 7 > 0, F.col("seq") % 11 > 0)))
 
 
 def export_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -174,21 +174,10 @@ def vote_labels(spark: SparkSession, d: str) -> DataFrame:
     return feedback.vote_labels(A.label_log(spark, d))
 
 
-def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
-    docs = A.read(spark, d, "documents")
-    return docs.select("doc_id", F.md5(T.redact_secrets(F.col("text")).cast("binary")).alias("clean"), *[c.cast("long").alias(k) for k, c in T.secret_hits(F.col("text")).items()])
-
-
-def build_prompts(spark: SparkSession, d: str) -> DataFrame:
-    docs = A.read(spark, d, "documents")
-    hard = F.concat(F.lit("<b>javasc<ript:x</b> da<ta:"), "text")
-    return docs.select("doc_id", T.sanitize(hard).alias("prompt"))
-
-
 QUERIES = {f.__name__: f for f in (
     store_run_health, last_known_good, quarantined_stores, outage_start, probe_due, rate_limited_stores, health_alerts, health_summary, store_status, dedup_keys, route_channels, site_cooldowns,
     dedupe_in_run, effective_outbox, replayable_events, cooldown_suppress, allocate_attempts, build_decisions, dedupe_health_alerts, classify_feedback, pseudonymize, ingest_feedback,
-    list_feedback, current_labels, feedback_summary, audit_metrics, export_labels, erase_feedback, vote_labels, redact_secrets, build_prompts,
+    list_feedback, current_labels, feedback_summary, audit_metrics, export_labels, erase_feedback, vote_labels,
 )}
 
 from .history_queries import WIN  # noqa: E402
@@ -196,9 +185,10 @@ from .history_queries import WIN  # noqa: E402
 L, X, W = A.LABEL_LOG, A.OUTBOX, A.WATCHES
 H = A.HEALTH + f""",
 seen AS (SELECT store, run, count(*) AS requested, count(*) FILTER (WHERE kind = 'view') AS parsed, count(*) FILTER (WHERE kind = 'purchase') AS matched, count(*) FILTER (WHERE kind = 'error') AS failures,
-  count(*) FILTER (WHERE kind = 'click') AS rate_limit_hits, bool_or(kind = 'signup') AS challenged, avg(latency) AS latency, min(us) AS started_us FROM fetches GROUP BY ALL),
+  count(*) FILTER (WHERE kind = 'click') AS rate_limit_hits, bool_or(kind = 'signup') AS challenged, avg(latency) AS latency, min(us) AS started_us,
+  count(*) FILTER (WHERE is_skipped) AS skipped, count(*) FILTER (WHERE is_blocked) AS blocked, sum(tries)::BIGINT AS attempts FROM fetches GROUP BY ALL),
 h AS (SELECT s.store, r.run, coalesce(requested, 0) AS requested, coalesce(parsed, 0) AS parsed, coalesce(matched, 0) AS matched, coalesce(failures, 0) AS failures, coalesce(rate_limit_hits, 0) AS rate_limit_hits,
-  coalesce(challenged, false) AS challenged, latency, coalesce(started_us, r.run * {A.SLOT_US}) AS started_us
+  coalesce(skipped, 0) AS skipped, coalesce(blocked, 0) AS blocked, coalesce(attempts, 0) AS attempts, coalesce(challenged, false) AS challenged, latency, coalesce(started_us, r.run * {A.SLOT_US}) AS started_us
   FROM (SELECT DISTINCT run FROM seen) r CROSS JOIN (SELECT DISTINCT store FROM seen) s LEFT JOIN seen x ON x.store = s.store AND x.run = r.run),
 c AS (SELECT * FROM h WHERE run <= 947400 + substr(store, 7, 1)::INT * 31)"""
 
@@ -214,14 +204,11 @@ ing AS (SELECT n.seq, CASE WHEN n.callback_id IN (SELECT callback_id FROM old) O
   WHEN n.alert_id IN (SELECT alert_id FROM sent) THEN 'stored' ELSE 'rejected' END AS outcome FROM label_log n WHERE n.seq >= 2000)"""
 CUR = L + ", cur AS (SELECT * FROM label_log QUALIFY row_number() OVER (PARTITION BY alert_id, rater ORDER BY seq DESC) = 1)"
 EFF = X + ", eff AS (SELECT * FROM outbox QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY seq DESC) = 1)"
-CLEAN, HITS = "text", []
-for _name, _pattern in T.SECRETS.items():
-    _quoted = _pattern.replace("'", "''")
-    HITS.append(f"len(regexp_extract_all(text, '{_quoted}')) AS {_name}")
-    CLEAN = f"regexp_replace({CLEAN}, '{_quoted}', '[REDACTED]', 'g')"
+_SALT = b"salt of the export".ljust(64, b"\0")
+IPAD, OPAD = (bytes(b ^ x for b in _SALT).hex() for x in (0x36, 0x5C))
 SQL = {
-    "redact_secrets": f"SELECT doc_id, md5({CLEAN}) AS clean, {', '.join(HITS)} FROM documents",
-    "store_run_health": f"WITH {H} SELECT store, run, requested, parsed, matched, failures, rate_limit_hits, challenged, round(latency, 6) AS latency, started_us FROM h",
+    "pseudonymize": f"SELECT c_custkey, sha256(unhex('{OPAD}') || unhex(sha256(unhex('{IPAD}') || encode('user:' || c_custkey)))) AS ref FROM customer",
+    "store_run_health": f"WITH {H} SELECT store, run, requested, parsed, matched, failures, rate_limit_hits, skipped, blocked, attempts, challenged, round(latency, 6) AS latency, started_us FROM h",
     "last_known_good": f"WITH {H} SELECT store, run, (max(CASE WHEN parsed > 0 THEN started_us END) OVER (PARTITION BY store ORDER BY run))::VARCHAR AS last_good_us FROM h",
     "quarantined_stores": f"WITH {H} SELECT store FROM {_bad('c')}",
     "outage_start": f"WITH {H} SELECT store, min(run) AS outage_run, min(started_us) AS outage_us FROM c WHERE run > coalesce((SELECT max(run) FROM c g WHERE g.store = c.store AND g.parsed > 0), -1) GROUP BY store",
@@ -229,8 +216,9 @@ SQL = {
     "rate_limited_stores": f"""WITH {H}, l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY store ORDER BY run DESC) = 1)
       SELECT store, requested, rate_limit_hits FROM l WHERE requested > 0 AND rate_limit_hits / requested > 0.05 AND 947500::BIGINT * {A.SLOT_US} - started_us < 180000000000""",
     "health_alerts": f"""WITH {H}, b AS (SELECT * FROM h WHERE run <= 947400), was AS {_bad('b')}, now_ AS {_bad('c')}
-      SELECT store, 'quarantined' AS kind FROM now_ WHERE store NOT IN (SELECT store FROM was) UNION ALL SELECT store, 'recovered' FROM was WHERE store NOT IN (SELECT store FROM now_)
-      UNION ALL SELECT store, 'dead_man' FROM c GROUP BY store HAVING coalesce({NOW} - max(CASE WHEN parsed > 0 THEN started_us END) > 86400000000, true)""",
+      SELECT store, 'quarantined' AS kind, 'run ' || (SELECT min(run) FROM c x WHERE x.store = now_.store AND run > coalesce((SELECT max(run) FROM c g WHERE g.store = now_.store AND g.parsed > 0), -1)) AS outage FROM now_ WHERE store NOT IN (SELECT store FROM was)
+      UNION ALL SELECT store, 'recovered', 'run ' || (SELECT min(run) FROM b x WHERE x.store = was.store AND run > coalesce((SELECT max(run) FROM b g WHERE g.store = was.store AND g.parsed > 0), -1)) FROM was WHERE store NOT IN (SELECT store FROM now_)
+      UNION ALL SELECT store, 'dead_man', 'since ' || coalesce(max(CASE WHEN parsed > 0 THEN started_us END)::VARCHAR, 'ever') FROM c GROUP BY store HAVING coalesce({NOW} - max(CASE WHEN parsed > 0 THEN started_us END) > 86400000000, true)""",
     "health_summary": f"WITH {H} SELECT run, store, sum(requested)::BIGINT AS requested, sum(parsed)::BIGINT AS parsed, sum(failures)::BIGINT AS failures, grouping(run, store)::INT AS level FROM h GROUP BY ROLLUP (run, store)",
     "store_status": f"""WITH {H}, l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY store ORDER BY run DESC) = 1)
       SELECT store, run, CASE WHEN store IN {_bad('c')} THEN 'QUARANTINED' WHEN parsed = 0 THEN 'NO PRODUCTS' WHEN challenged THEN 'CHALLENGED' ELSE 'OK' END AS status,
@@ -261,7 +249,7 @@ SQL = {
     "list_feedback": f"WITH {CUR} SELECT alert_id, rater, label, seq FROM cur WHERE us >= {NOW - 2 * WEEK}",
     "current_labels": f"WITH {CUR} SELECT alert_id, rater, label, seq FROM cur",
     "feedback_summary": f"WITH {CUR} SELECT label, count(*) AS n FROM cur GROUP BY label",
-    "audit_metrics": f"WITH {INGEST} SELECT count(*) AS received, count(*) FILTER (WHERE outcome = 'stored') AS stored, count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate, count(*) FILTER (WHERE outcome = 'rejected') AS rejected FROM ing",
+    "audit_metrics": f"WITH {INGEST} SELECT count(*) AS received, count(*) FILTER (WHERE outcome = 'stored') AS stored, count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate, count(*) FILTER (WHERE outcome = 'rejected') AS rejected, count(*) FILTER (WHERE seq % 7 > 0 AND seq % 11 > 0) AS answered, count(*) FILTER (WHERE seq % 7 > 0 AND seq % 11 = 0) AS failed FROM ing",
     "export_labels": f"WITH {CUR}, n AS (SELECT rater, 'rater_' || row_number() OVER (ORDER BY min(seq)) AS name FROM label_log GROUP BY rater) SELECT alert_id, name, label, seq FROM cur JOIN n USING (rater)",
     "erase_feedback": f"WITH {L} SELECT seq, alert_id, rater, label FROM label_log WHERE us >= {NOW - 2 * WEEK} AND rater <> 3",
     "vote_labels": f"""WITH {CUR}, v AS (SELECT alert_id, sum(CASE WHEN label IN ('useful','purchased') THEN 1 WHEN label IN ('fake_discount','wrong_price') THEN -1 ELSE 0 END) AS balance,

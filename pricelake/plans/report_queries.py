@@ -23,7 +23,7 @@ def slot_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retailer_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return retro.retailer_ranking(_health(spark, d))
+    return retro.retailer_ranking(_health(spark, d)).join(retro.failure_reasons(A.health(spark, d)), "store", "left")
 
 
 def outbox_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -76,15 +76,25 @@ def match_titles_loose(spark: SparkSession, d: str) -> DataFrame:
     return watchlist.match_titles(w.withColumn("query", F.concat_ws("-", F.regexp_replace("query", " ", "-"), F.concat((k % 50).cast("string"), F.lit("gb")))), o, loose=True)
 
 
+#: What the pages of a challenge, of a widget and of neither have.
+MARKS = ("<script>window._CF_chl_opt = 1</script>", '<script src="/cdn-cgi/challenge-platform/h/b/orchestrate/jsch/v1"></script>', '<div class="cf-turnstile"></div>', '<script src="/cdn-cgi/challenge-platform/scripts/jsd/main.js"></script><script src="captcha.js"></script>')
+
+
 def flag_blocked_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = A.read(spark, d, "pages").withColumn("html", F.when(F.col("page_id") % 9 == 0, F.concat("html", F.lit("<p>Access DENIED</p>"))).otherwise(F.col("html")))
-    return watchlist.flag_blocked_pages(pages).select("page_id", "is_blocked")
+    k = F.col("page_id")
+    html = F.element_at(F.array(*[F.concat("html", F.lit(m)) for m in MARKS], F.concat(F.lit("<title>Just A Moment...</title>"), "html"), F.concat("html", F.lit(" " * 2000 + "just a moment")), F.col("html")), (k % 7 + 1).cast("int"))
+    return watchlist.flag_blocked_pages(A.read(spark, d, "pages").withColumn("html", html)).select("page_id", "is_blocked", "has_widget")
+
+
+SAID = ("In stoc", "Stoc epuizat", "Stoc magazin suficient", "Stoc magazin limitat", "ultimul produs in stoc", "în stoc furnizor", "pret nou")
+CLASSES = ("box instock", "box insupplierstock", "outofstock", "stocky-txt in-stock", "limited-stock", "x supplier-stock", "bin-display", "is-out-of-stock", "")
 
 
 def classify_stock(spark: SparkSession, d: str) -> DataFrame:
-    said = ("In stoc", "Stoc epuizat", "stoc limitat, ultimele bucati", "Stoc furnizor", "Indisponibil", "pret nou")
-    p = A.read(spark, d, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, said)), (F.col("p_partkey") % 6 + 1).cast("int")).alias("text"))
-    return p.select("p_partkey", watchlist.classify_stock(F.col("text")).alias("status"))
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    status = watchlist.classify_stock(pick(tuple(watchlist.STOCK_RULES), k), pick(SAID, F.floor(k / 4)), pick(CLASSES, F.floor(k / 28)), F.when(k % 5 < 4, (k % 5).cast("string")))
+    return A.read(spark, d, "part").select("p_partkey", status.alias("status"))
 
 
 def clean_search_offers(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +105,7 @@ def clean_search_offers(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("k") != 0, F.concat(F.lit("part "), F.col("l_orderkey").cast("string"))).alias("title"), F.when(F.col("k") != 1, F.col("l_extendedprice")).alias("price"),
         F.when(F.col("l_returnflag") == "R", "out_of_stock").otherwise("in_stock").alias("stock_status"),
     )
-    return watchlist.clean_search_offers(rows).filter("rank <= 20").select("query", "shop", "url", "title", "price", "rank")
+    return watchlist.clean_search_offers(rows).select("query", "shop", "url", "title", "price", "rank")
 
 
 def shop_answer_status(spark: SparkSession, d: str) -> DataFrame:
@@ -123,13 +133,21 @@ def url_structure_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, d: str) -> DataFrame:
+    """Watches per store against listings that return the offers with a query's first word."""
     w, o = _listing(spark, d)
-    rows = o.select("offer_id", "title", F.when(F.col("sku").cast("int") % 41 == 0, "unknown").otherwise("in_stock").alias("stock_status"))
-    return watchlist.audit_watches(w, watchlist.match_titles(w, o), rows, ["all", "store_0", "store_1", "store_2"])
+    stores = A.observations(spark, d).select(F.col("retailer").alias("store"))
+    k = F.substring("watch_id", 2, 9).cast("int")
+    each = deals.expand_watches(w.withColumn("enabled", F.lit(True)), stores)
+    checks = each.select("watch_id", "store", F.when(k % 13 > 0, F.col("query")).alias("query"), (F.col("store") != "store_3").alias("is_supported"), F.concat(F.col("store"), F.lit(".example.com")).alias("host"), (k % 17 == 0).alias("failed"), (k % 19 == 0).alias("challenged"), (k % 2 == 0).alias("extraction_failed"))
+    first = F.lower(F.substring_index(F.col("query"), " ", 1))
+    asked = checks.filter((k % 23 > 0) & F.col("query").isNotNull()).select("watch_id", "store", first.alias("word"))
+    sku = F.col("sku").cast("int")
+    listed = o.filter((sku % 3 == 0) & (F.col("retailer") != "store_2") | (sku % 29 == 0)).select(F.col("retailer").alias("store"), F.lower(F.substring_index("title", " ", 1)).alias("word"), F.col("offer_id").alias("at"), "title", F.when(sku % 87 == 0, F.concat(F.lit("https://other.example.org/p/"), "sku")).otherwise(F.col("url")).alias("url"))
+    return watchlist.audit_watches(checks, listed.join(asked, ["store", "word"]).select("watch_id", "store", "at", "title", "url"))
 
 
 def audit_watches(spark: SparkSession, d: str) -> DataFrame:
-    return _audit(spark, d).select("watch_id", "status", "n", F.array_join("samples", ",").alias("samples"))
+    return _audit(spark, d).select("watch_id", "store", "status", "n", F.array_join("samples", "|").alias("samples"))
 
 
 def audit_acceptance(spark: SparkSession, d: str) -> DataFrame:
@@ -147,23 +165,27 @@ def change_feed_table(spark: SparkSession, d: str) -> DataFrame:
 
 def _feed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = A.read(spark, d, "part")
-    stored = p.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("value"))
     k = F.col("p_partkey")
-    op = F.when(k % 3 == 0, "add").when(k % 5 == 0, "delete").otherwise("update")
-    old = F.when(k % 3 == 0, F.lit(None)).when(k % 7 == 0, F.lit("other")).otherwise(F.col("p_brand"))
-    new = F.when(k % 11 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit("+")))
+    on = (k % 26 != 4).cast("string")
+    stored = p.filter("p_partkey % 3 <> 0").select(k.alias("id"), F.col("p_brand").alias("value"), (k % 26 != 4).alias("enabled"))
+    op = F.when(k % 3 == 0, F.when(k % 9 == 0, "enable").otherwise("add")).when(k % 5 == 0, "delete").when(k % 13 == 4, "enable").otherwise("update")
+    switch = op == "enable"
+    old = F.when(switch, on).when(k % 3 == 0, F.lit(None)).when(k % 7 == 0, F.lit("other")).otherwise(F.col("p_brand"))
+    new = F.when(switch, F.when(k % 4 == 0, "true").otherwise("false")).when(k % 11 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit("+")))
     feed = p.filter("p_partkey % 2 = 0").select(k.alias("seq"), k.alias("id"), op.alias("op"), old.alias("old"), new.alias("new"))
     again = feed.filter("id % 10 = 0").withColumn("seq", F.col("seq") + 1_000_000_000)
     return watchlist.apply_change_feed(stored, feed.unionByName(again))
 
 
 def product_report(spark: SparkSession, d: str) -> DataFrame:
-    """One row per product: its newest observation with window, verdict and badges."""
+    """One row per product: its newest observation with window, provenance, verdict and badges, and its daily series."""
     rows = deals.window_statistics(A.observations(spark, d), DAYS)
     rows = rows.withColumn("badges", deals.badges(F.col("price") < F.col("prior_low"), deals.legal_discount(F.col("genuine_savings")), F.col("previous_price") > F.col("median") * deals.INFLATED, F.col("stock_status")))
     last = history.newest(rows, ["offer_id"], [F.desc("us"), F.desc("seq")])
     v = deals.verdict(F.col("price"), F.col("thirty_day_low"), F.col("reference_price"), F.col("history_days"))
-    return last.select("offer_id", "price", "thirty_day_low", F.round("median", 6).alias("median"), v.alias("verdict"), F.array_join("badges", ",").alias("badges"))
+    provenance = F.when(F.col("window_n") > 0, "genuine").otherwise("confirmed_empty")
+    series = history.daily_series(A.observations(spark, d), 1).select("offer_id", F.array_join(F.transform("series", lambda x: F.concat_ws("=", x["day"].cast("string"), F.format_string("%.2f", x["price"]))), ";").alias("series"))
+    return last.select("offer_id", "price", "thirty_day_low", F.round("median", 6).alias("median"), v.alias("verdict"), provenance.alias("provenance"), F.array_join("badges", ",").alias("badges")).join(series, "offer_id")
 
 
 def watch_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -190,6 +212,24 @@ ACC = """acc AS (SELECT count(*) AS labels, count(DISTINCT alert_id) AS alerts,
 SAVE = """p AS (SELECT DISTINCT seq FROM label_log WHERE label = 'purchased'), f AS (SELECT p.seq, s.price, s.median, CASE WHEN median IS NOT NULL THEN greatest(median - price, 0) END AS saved FROM p LEFT JOIN stats s ON s.seq = p.seq AND p.seq % 7 <> 0),
   sav AS (SELECT count(*) AS purchased, count(*) FILTER (WHERE price IS NULL) AS unmatched, count(*) FILTER (WHERE price IS NOT NULL AND median IS NULL) AS no_reference, round(sum(saved), 4) AS total, round(median(saved), 4) AS median_saved FROM f)"""
 
+AUDIT = f"""{W}, {A.OFFERS}, {A.OBS.strip()}, st AS (SELECT DISTINCT retailer AS store FROM obs),
+chk AS (SELECT watch_id, store, substr(watch_id, 2)::INT AS k, CASE WHEN substr(watch_id, 2)::INT % 13 > 0 THEN query END AS query FROM watches JOIN st ON site = 'all' OR site = store),
+lst AS (SELECT retailer AS store, offer_id AS ord, title, CASE WHEN sku::INT % 87 = 0 THEN 'https://other.example.org/p/' || sku ELSE url END AS url FROM offers WHERE sku::INT % 3 = 0 AND retailer <> 'store_2' OR sku::INT % 29 = 0),
+res AS (SELECT c.watch_id, c.store, ord, title, url, len(list_filter(string_split_regex(lower(query), '\\s+'), lambda q: NOT list_contains(string_split_regex(lower(title), '\\s+'), q))) = 0 AS hit
+  FROM chk c JOIN lst l ON c.store = l.store AND lower(split_part(query, ' ', 1)) = lower(split_part(title, ' ', 1)) WHERE k % 23 > 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY watch_id, store ORDER BY NOT hit, ord) AS nth FROM res),
+agg AS (SELECT watch_id, store, count(*) AS results, count(*) FILTER (WHERE hit) AS n, count(*) FILTER (WHERE hit AND nth <= 5 AND url LIKE 'https://other%') AS odd, string_agg(title, '|' ORDER BY nth) FILTER (WHERE hit AND nth <= 5) AS samples FROM top GROUP BY ALL),
+audit AS (SELECT c.watch_id, c.store, CASE WHEN c.store = 'store_3' THEN 'UNSUPPORTED' WHEN query IS NULL THEN 'MANUAL_REVIEW' WHEN k % 17 = 0 OR k % 19 = 0 THEN 'UNVERIFIED' WHEN results > 0 AND n = 0 THEN 'MISMATCH'
+    WHEN n > 0 AND odd > 0 THEN 'MANUAL_REVIEW' WHEN n > 0 THEN 'PASS' WHEN k % 2 = 0 THEN 'UNVERIFIED' ELSE 'NO_RESULTS' END AS status,
+  CASE WHEN c.store = 'store_3' OR query IS NULL OR k % 17 = 0 THEN 0 ELSE coalesce(n, 0) END AS n, CASE WHEN c.store = 'store_3' OR query IS NULL OR k % 17 = 0 THEN '' ELSE coalesce(samples, '') END AS samples
+  FROM chk c LEFT JOIN agg USING (watch_id, store))"""
+
+FEED = """f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS value, p_brand AS b, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 9 = 0 THEN 'enable' ELSE 'add' END WHEN p_partkey % 5 = 0 THEN 'delete' WHEN p_partkey % 13 = 4 THEN 'enable' ELSE 'update' END AS op FROM part),
+g AS (SELECT *, CASE WHEN op = 'enable' THEN CASE WHEN k % 4 = 0 THEN 'true' ELSE 'false' END WHEN op = 'delete' THEN NULL WHEN k % 11 = 0 THEN b ELSE b || '+' END AS wanted,
+  CASE WHEN op = 'enable' THEN CASE WHEN k % 26 <> 4 THEN 'true' ELSE 'false' END WHEN k % 3 = 0 THEN NULL WHEN k % 7 = 0 THEN 'other' ELSE b END AS old,
+  CASE WHEN op = 'enable' THEN CASE WHEN k % 3 > 0 THEN CASE WHEN k % 26 <> 4 THEN 'true' ELSE 'false' END END ELSE value END AS cur FROM f),
+o AS (SELECT *, CASE WHEN op = 'enable' AND k % 3 = 0 THEN 'conflict' WHEN cur IS NOT DISTINCT FROM wanted THEN 'already_applied' WHEN cur IS NOT DISTINCT FROM old THEN 'applied' ELSE 'conflict' END AS outcome FROM g)"""
+
 
 def _unpivot(section: str, table: str, columns: tuple[str, ...]) -> str:
     return " UNION ALL ".join(f"SELECT '{section}' AS section, '{c}' AS metric, {c}::DOUBLE AS value, CASE WHEN {c} IS NULL THEN 'no_data' ELSE 'ok' END AS status FROM {table}" for c in columns)
@@ -200,7 +240,8 @@ SQL = {
     "slot_coverage": f"WITH {COVER} SELECT * FROM cov",
     "retailer_ranking": f"""WITH {H}, b AS (SELECT store, count(*) AS runs, count(*) FILTER (WHERE parsed = 0) AS zero_runs, round(sum(parsed) / nullif(sum(parsed) + sum(failures), 0), 6) AS success_rate,
       round(avg(challenged::INT), 6) AS challenge_rate, round(median(latency), 6) AS median_latency FROM h GROUP BY store)
-      SELECT *, CASE WHEN success_rate IS NOT NULL THEN row_number() OVER (ORDER BY success_rate DESC NULLS LAST, challenge_rate, store)::INT END AS rank FROM b""",
+      , rs AS (SELECT store, string_agg(reason || '=' || n, ',' ORDER BY n DESC, reason) AS reasons FROM (SELECT store, reason, count(*) AS n FROM fetches WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY store)
+      SELECT b.*, CASE WHEN success_rate IS NOT NULL THEN row_number() OVER (ORDER BY success_rate DESC NULLS LAST, challenge_rate, store)::INT END AS rank, reasons FROM b LEFT JOIN rs USING (store)""",
     "outbox_metrics": f"WITH {EFF} SELECT source, count(*) FILTER (WHERE status = 'SENT') AS sent, count(*) FILTER (WHERE status = 'PENDING') AS pending, count(*) FILTER (WHERE status = 'DEAD_LETTER') AS dead_letter FROM eff GROUP BY source",
     "delivery_metrics": f"WITH {X} SELECT status, channel, count(*) AS attempts, count(DISTINCT event_id) AS decisions FROM outbox GROUP BY GROUPING SETS ((status), (channel), ())",
     "feedback_acceptance": f"WITH {CUR}, {ACC} SELECT * FROM acc",
@@ -218,38 +259,40 @@ SQL = {
     "match_titles_loose": f"""WITH {W}, {A.OFFERS}, q AS (SELECT watch_id, site, string_split(lower(replace(query, ' ', '-')) || '-' || (substr(watch_id, 2)::INT % 50) || 'gb', '-') AS q FROM watches),
       t AS (SELECT offer_id, retailer, string_split_regex(regexp_replace(replace(lower(title), '-', ' '), '(\\d)\\s+(gb)\\b', '\\1\\2', 'g'), '\\s+') AS t FROM offers)
       SELECT watch_id, offer_id FROM q JOIN t ON (site = 'all' OR site = retailer) AND list_has_all(t, q)""",
-    "flag_blocked_pages": "SELECT page_id, page_id % 9 = 0 OR regexp_matches(html, '(?i)captcha|are you a robot|access denied|cf-challenge|just a moment') AS is_blocked FROM pages",
-    "classify_stock": "SELECT p_partkey, ['in_stock','out_of_stock','limited_stock','supplier_stock','out_of_stock','unknown'][p_partkey % 6 + 1] AS status FROM part",
+    "flag_blocked_pages": """SELECT page_id, CASE WHEN page_id % 7 IN (0, 1, 4) THEN true ELSE contains(lower(html[1:2000]), 'just a moment') OR regexp_matches(lower(html), '_cf_chl_opt|/cdn-cgi/challenge-platform/h/[a-z]+/orchestrate/') END AS is_blocked,
+      page_id % 7 = 2 OR contains(lower(html), 'cf-turnstile') OR contains(lower(html), 'challenges.cloudflare.com/turnstile/') AS has_widget FROM pages""",
+    "classify_stock": f"""WITH x AS (SELECT p_partkey, p_partkey % 4 AS layout, lower({list(SAID)}[p_partkey // 4 % 7 + 1]) AS t, {list(CLASSES)}[p_partkey // 28 % 9 + 1] AS c, CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 5 END AS a FROM part),
+      y AS (SELECT *, replace(t, 'î', 'i') AS u, string_split(c, ' ') AS n FROM x)
+      SELECT p_partkey, CASE layout
+        WHEN 0 THEN CASE WHEN u LIKE '%stoc epuizat%' OR u LIKE '%indisponibil%' THEN 'out_of_stock' WHEN a = 2 OR u LIKE '%ultimul produs%' THEN 'limited_stock' WHEN a = 3 OR u LIKE '%in stoc%' THEN 'in_stock' ELSE 'unknown' END
+        WHEN 1 THEN CASE WHEN list_contains(n, 'outofstock') THEN 'out_of_stock' WHEN list_contains(n, 'insupplierstock') THEN 'supplier_stock' WHEN list_contains(n, 'instock') THEN CASE WHEN u LIKE '%limitat%' THEN 'limited_stock' ELSE 'in_stock' END ELSE 'unknown' END
+        WHEN 2 THEN CASE WHEN c LIKE '%out-of-stock%' OR c LIKE '%sold-out%' THEN 'out_of_stock' WHEN list_contains(n, 'limited-stock') THEN 'limited_stock' WHEN list_contains(n, 'supplier-stock') THEN 'supplier_stock' WHEN list_contains(n, 'in-stock') OR list_contains(n, 'bin-display') THEN 'in_stock' ELSE 'unknown' END
+        ELSE CASE WHEN c LIKE '%outofstock%' OR u LIKE '%epuizat%' OR u LIKE '%indisponibil%' THEN 'out_of_stock' WHEN c LIKE '%insupplierstock%' OR u LIKE '%furnizor%' THEN 'supplier_stock' WHEN u LIKE '%limitat%' THEN 'limited_stock' WHEN c LIKE '%instock%' THEN 'in_stock' ELSE 'unknown' END END AS status FROM y""",
     "clean_search_offers": """WITH r AS (SELECT 'q' || (l_partkey % 50) AS query, 's' || (l_suppkey % 5) AS shop, 'https://s' || (l_suppkey % 5) || '.example.com/p/' || l_partkey AS url, 'part ' || l_orderkey AS title,
         l_extendedprice AS price, l_returnflag = 'R' AS gone FROM lineitem WHERE l_orderkey % 97 > 1),
       b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY shop, url ORDER BY price, title) = 1)
-      SELECT query, shop, url, title, price, row_number() OVER (PARTITION BY query ORDER BY gone, price, shop, title, url)::INT AS rank FROM b QUALIFY rank <= 20""",
+      SELECT query, shop, url, title, price, row_number() OVER (PARTITION BY query ORDER BY gone, price, shop, title, url)::INT AS rank FROM b""",
     "shop_answer_status": """WITH b AS (SELECT user_id % 30 AS query, event_id % 200 AS shop, bool_or(event_type = 'purchase' AND event_id % 7 = 0) AS m, bool_or(event_type = 'error' AND value > 60) AS bl, bool_or(event_type = 'view' AND value > 50) AS an, bool_or(event_type = 'click') AS er FROM events GROUP BY ALL),
       s AS (SELECT query, shop, CASE WHEN m THEN 'ok' WHEN bl THEN 'blocked' WHEN an THEN 'no_match' WHEN er THEN 'error' ELSE 'unsupported' END AS status FROM b)
       SELECT *, bool_or(status = 'ok') OVER (PARTITION BY query) AS answered FROM s""",
     "target_price_feasibility": f"""WITH {M}, {A.SPARSE}, low AS (SELECT watch_id, min(price) AS lowest FROM matches JOIN sparse USING (offer_id) GROUP BY watch_id)
-      SELECT watch_id, lowest, CASE WHEN target_price IS NULL THEN 'no_target' WHEN lowest IS NULL THEN 'no_match' WHEN lowest <= target_price THEN 'met' WHEN lowest * 0.5 <= target_price THEN 'feasible' ELSE 'far' END AS state FROM watches LEFT JOIN low USING (watch_id)""",
+      SELECT watch_id, CASE WHEN target_price IS NOT NULL THEN lowest END AS lowest, CASE WHEN target_price IS NULL THEN 'not_set' WHEN lowest IS NULL THEN 'no_matching_history' WHEN target_price < lowest THEN 'below_observed_historical_low' ELSE 'within_observed_range' END AS state FROM watches LEFT JOIN low USING (watch_id)""",
     "duplicate_watches": f"""WITH {W}, k AS (SELECT watch_id, CASE WHEN site = 'all' THEN 'all' ELSE 'store' END AS site, lower(split_part(query, ' ', 1)) AS q FROM watches)
       SELECT a.watch_id, string_agg(b.watch_id, ',' ORDER BY b.watch_id) AS others FROM k a JOIN k b ON a.site = b.site AND a.q = b.q AND a.watch_id <> b.watch_id GROUP BY a.watch_id""",
-    "url_structure_check": """WITH u AS (SELECT page_id, starts_with(lower(url), 'https://') AS is_https, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host, rtrim(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/') AS path FROM pages)
-      SELECT page_id, is_https, ends_with(lower(host), 'example.com') OR ends_with(lower(host), 'example.org') AS host_ok, path <> '' AS path_ok FROM u""",
-    "audit_watches": f"""WITH {M}, x AS (SELECT watch_id, count(*) AS n, count(*) FILTER (WHERE split_part(offer_id, '-', 1)::INT % 41 = 0) AS odd, array_to_string(list(offer_id ORDER BY offer_id)[1:5], ',') AS samples FROM matches GROUP BY watch_id)
-      SELECT watch_id, CASE WHEN site NOT IN ('all','store_0','store_1','store_2') THEN 'UNSUPPORTED' WHEN n IS NULL THEN 'NO_RESULTS' WHEN odd = n THEN 'UNVERIFIED' WHEN odd > 0 THEN 'MANUAL_REVIEW' ELSE 'PASS' END AS status,
-        coalesce(n, 0) AS n, coalesce(samples, '') AS samples FROM watches LEFT JOIN x USING (watch_id)""",
-    "audit_acceptance": f"""WITH {M}, x AS (SELECT watch_id, count(*) AS n, count(*) FILTER (WHERE split_part(offer_id, '-', 1)::INT % 41 = 0) AS odd FROM matches GROUP BY watch_id),
-      s AS (SELECT site IN ('all','store_0','store_1','store_2') AND n IS NOT NULL AND odd = 0 AS ok FROM watches LEFT JOIN x USING (watch_id))
-      SELECT count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT coalesce(ok, false)) AS failed, bool_and(coalesce(ok, false)) AS all_pass, true AS in_window FROM s""",
-    "apply_change_feed": """WITH f AS (SELECT p_partkey AS k, p_brand AS b, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS value, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'other' ELSE p_brand END AS old,
-        CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN p_brand ELSE p_brand || '+' END AS wanted FROM part WHERE p_partkey % 2 = 0)
-      SELECT k AS seq, k AS id, CASE WHEN value IS NOT DISTINCT FROM wanted THEN 'already_applied' WHEN value IS NOT DISTINCT FROM old THEN 'applied' ELSE 'conflict' END AS outcome FROM f
-      UNION ALL SELECT k + 1000000000, k, 'duplicate' FROM f WHERE k % 10 = 0""",
-    "change_feed_table": """WITH f AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS value, p_partkey % 2 = 0 AS asked, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'other' ELSE p_brand END AS old,
-        CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN p_brand ELSE p_brand || '+' END AS wanted FROM part)
-      SELECT * FROM (SELECT id, CASE WHEN asked AND value IS NOT DISTINCT FROM old THEN wanted ELSE value END AS value FROM f) WHERE value IS NOT NULL""",
-    "product_report": f"""WITH {WIN} SELECT offer_id, price, thirty_day_low, round(median, 6) AS median,
+    "url_structure_check": """WITH u AS (SELECT page_id, regexp_matches(lower(url), '^https?://') AS scheme_ok, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, rtrim(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/') AS path FROM pages),
+      v AS (SELECT page_id, scheme_ok, ends_with(host, 'example.com') OR ends_with(host, 'example.org') AS host_ok, path <> '' AS path_ok FROM u)
+      SELECT *, scheme_ok AND host_ok AND path_ok AS valid FROM v""",
+    "audit_watches": f"WITH {AUDIT} SELECT watch_id, store, status, n, samples FROM audit",
+    "audit_acceptance": f"WITH {AUDIT} SELECT count(*) FILTER (WHERE status = 'PASS') AS passed, count(*) FILTER (WHERE status <> 'PASS') AS failed, bool_and(status = 'PASS') AS all_pass, true AS in_window FROM audit",
+    "apply_change_feed": f"""WITH {FEED} SELECT k AS seq, k AS id, outcome FROM o WHERE k % 2 = 0 UNION ALL SELECT k + 1000000000, k, 'duplicate' FROM o WHERE k % 10 = 0""",
+    "change_feed_table": f"""WITH {FEED} SELECT * FROM (SELECT k AS id, CASE WHEN k % 2 = 0 AND outcome = 'applied' AND op <> 'enable' THEN wanted ELSE value END AS value,
+      CASE WHEN k % 2 = 0 AND outcome = 'applied' AND op = 'enable' THEN wanted = 'true' WHEN k % 3 = 0 THEN true ELSE k % 26 <> 4 END AS enabled FROM o) WHERE value IS NOT NULL""",
+    "product_report": f"""WITH {WIN}, lst AS (SELECT offer_id, day, price FROM obs QUALIFY row_number() OVER (PARTITION BY offer_id, day ORDER BY us DESC, seq DESC) = 1),
+      ser AS (SELECT offer_id, string_agg(day || '=' || printf('%.2f', price), ';' ORDER BY day) AS series FROM lst GROUP BY offer_id),
+      rep AS (SELECT offer_id, CASE WHEN window_n > 0 THEN 'genuine' ELSE 'confirmed_empty' END AS provenance, price, thirty_day_low, round(median, 6) AS median,
       CASE WHEN history_days < 14 THEN 'INSUFFICIENT_HISTORY' WHEN price >= thirty_day_low THEN 'FALSE_DISCOUNT' WHEN reference_price > thirty_day_low * 1.25 THEN 'INFLATED_REFERENCE'
         WHEN round((thirty_day_low - price) / thirty_day_low * 100, 2) >= 5 THEN 'GENUINE_DEAL' ELSE 'NORMAL_DROP' END AS verdict,
       concat_ws(',', CASE WHEN price < prior_low THEN 'all_time_low' END, CASE WHEN savings > 0 THEN 'legal_discount' END, CASE WHEN previous_price > median * 1.25 THEN 'pre_sale_hike' END, CASE WHEN stock_status = 'limited_stock' THEN 'limited_stock' END) AS badges
-      FROM stats QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY us DESC, seq DESC) = 1""",
+      FROM stats QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY us DESC, seq DESC) = 1) SELECT rep.*, series FROM rep JOIN ser USING (offer_id)""",
     "watch_coverage": f"""WITH {M} SELECT watch_id, count(offer_id) AS n FROM watches LEFT JOIN matches USING (watch_id) GROUP BY watch_id UNION ALL SELECT NULL, count(*) FROM offers WHERE offer_id NOT IN (SELECT offer_id FROM matches)""",
 }

@@ -89,7 +89,7 @@ def reconcile_tables(spark: SparkSession, d: str) -> DataFrame:
     li = A.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("part"))
     source = li.unionByName(li.filter("order % 10 = 0"))
     target = li.filter("part % 100 <> 0").distinct()
-    return documents.reconcile(source, target, A.read(spark, d, "orders").filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("order")), ["order", "part"], "order").filter("check <> 'sample_differs'")
+    return documents.reconcile(source, target, A.read(spark, d, "orders").filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("order")), ["order", "part"], "order")
 
 
 RULES = {f"store_{k}": {"card": f"card{k}", "title": f"t{k}", "price": f"p{k}", "reference": f"r{k}", "stock": f"s{k}"} for k in range(4)}
@@ -125,7 +125,7 @@ def resolve_layered_price(spark: SparkSession, d: str) -> DataFrame:
 def extraction_failures(spark: SparkSession, d: str) -> DataFrame:
     src = written(_pages(spark, d), "pages")
     failed = pages.extraction_failures(pages.resolve_price(pages.extract_cards(src, RULES), pages.extract_jsonld(src)))
-    return failed.groupBy("reason").agg(F.count("*").alias("n"))
+    return pages.failures_by_store(failed, src)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -150,10 +150,12 @@ SQL = {
       UNION ALL SELECT 'skipped', count(*), 0, 0 FROM bad""",
     "reconcile_tables": """WITH s AS (SELECT l_orderkey AS o, l_partkey AS p FROM lineitem UNION ALL SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0), t AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_partkey % 100 <> 0)
       SELECT 'source_rows' AS "check", count(*) AS value FROM s UNION ALL SELECT 'expected_rows', count(*) FROM (SELECT DISTINCT * FROM s) UNION ALL SELECT 'target_rows', count(*) FROM t
-      UNION ALL SELECT 'orphans', count(*) FROM t WHERE o NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)""",
+      UNION ALL SELECT 'orphans', count(*) FROM t WHERE o NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)
+      UNION ALL SELECT 'sample_differs', count(*) FROM (SELECT o_orderkey AS o FROM orders WHERE o_orderkey % 7 <> 0 ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 50)
+        LEFT JOIN (SELECT o, count(DISTINCT p) AS a FROM s GROUP BY o) USING (o) LEFT JOIN (SELECT o, count(*) AS b FROM t GROUP BY o) USING (o) WHERE a IS DISTINCT FROM b""",
     "extract_jsonld": "SELECT p_partkey AS page_id, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'https://www.shop.example.com/p/' || p_partkey END AS url, round(p_retailprice, 2) AS price, p_partkey % 5 <> 0 AS in_stock FROM part WHERE p_partkey % 3 = 0",
     "extract_listing_cards": """SELECT p_partkey AS page_id, p_name AS title, 'https://www.shop.example.com/p/' || p_partkey || '?utm_source=x' AS url, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN 'la cerere' ELSE replace(printf('%.2f', p_retailprice + 1), '.', ',') || ' Lei' END AS price_text,
       CASE WHEN p_partkey % 5 = 1 THEN printf('%.2f', p_retailprice + 2) END AS semantic_price FROM part""",
     "resolve_layered_price": f"SELECT page_id, round(price, 2) AS price, price_layer FROM ({PRICE})",
-    "extraction_failures": f"SELECT CASE WHEN page_id % 7 = 0 THEN 'no_price_element' ELSE 'unreadable_price' END AS reason, count(*) AS n FROM ({PRICE}) WHERE price IS NULL GROUP BY 1",
+    "extraction_failures": f"SELECT 'store_' || (page_id % 4) AS retailer, CASE WHEN page_id % 7 = 0 THEN 'no_price_element' ELSE 'unreadable_price' END AS reason, count(*) AS n FROM ({PRICE}) WHERE price IS NULL GROUP BY ALL",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_path
 from ..streaming import jobs
 from . import adapters as A
 from .history_queries import DAYS, WIN
@@ -37,14 +38,14 @@ def _fetches(spark: SparkSession, d: str) -> DataFrame:
 def stream_observations(spark: SparkSession, d: str) -> DataFrame:
     obs = _events(spark, d).select(*CHANGED).withColumn("ts", F.timestamp_micros("us"))
     corrected = obs.filter("seq % 3 > 0").withColumn("price", F.round(F.col("price") * 1.01, 4)).withColumn("seq", F.col("seq") + 1_000_000_000)
-    table = jobs.VersionedTable(spark, "stream-observations", "offer_id string, us long, seq long, price double")
-    late = jobs.VersionedTable(spark, "stream-late", "offer_id string, us long, seq long, price double")
+    table = jobs.VersionedTable(spark, shared_path(spark, "stream-observations"), "offer_id string, us long, seq long, price double")
+    late = jobs.VersionedTable(spark, shared_path(spark, "stream-late"), "offer_id string, us long, seq long, price double")
     jobs.stream_observations(obs.union(obs).union(corrected).withWatermark("ts", "40 days"), table, late, 40 * 86_400_000_000)
     return table.read()
 
 
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.drain(jobs.stream_alerts(_events(spark, d).select("offer_id", "us", "day", "seq", "price", "stock_status"), DAYS), "stream-alerts")
+    return jobs.drain(jobs.stream_alerts(_events(spark, d).select("offer_id", "us", "day", "seq", "price", "stock_status", "reference_price"), DAYS, target=400.0, min_drop=10.0), "stream-alerts")
 
 
 def stream_health_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +58,7 @@ def stream_dead_man(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_feedback(spark: SparkSession, d: str) -> DataFrame:
     delivered = A.label_log(spark, d).filter("alert_id % 3 <> 0").select("alert_id")
-    table = jobs.VersionedTable(spark, "stream-feedback", "seq long, alert_id long, callback_id string, outcome string")
+    table = jobs.VersionedTable(spark, shared_path(spark, "stream-feedback"), "seq long, alert_id long, callback_id string, outcome string")
     jobs.stream_feedback(A.label_log(_Streamed(spark), d), delivered, table)
     return table.read().select("seq", "outcome")
 
@@ -72,7 +73,8 @@ TWO_HOURS, TEN_MINUTES = 7_200_000_000, 600_000_000
 SQL = {
     "stream_observations": f"""WITH {A.OBS}, b AS (SELECT offer_id, us, seq, price FROM obs UNION ALL SELECT offer_id, us, seq + 1000000000, round(price * 1.01, 4) FROM obs WHERE seq % 3 > 0)
       SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY offer_id, us ORDER BY seq DESC) = 1""",
-    "stream_alerts": f"""WITH {WIN} SELECT seq, previous_price, thirty_day_low, coalesce(price < previous_price AND stock_status <> 'out_of_stock' AND (price < prior_low OR (previous_price - price >= 5 AND (previous_price - price) / previous_price * 100 >= 2)), false) AS alerts FROM win""",
+    "stream_alerts": f"""WITH {WIN} SELECT seq, previous_price, thirty_day_low, coalesce(price < previous_price AND stock_status <> 'out_of_stock' AND (price < prior_low OR (previous_price - price >= 5 AND price <= 400 AND (previous_price - price) / nullif(previous_price, 0) * 100 >= 10)), false) AS alerts,
+      history_days::BIGINT AS history_days, verdict FROM win LEFT JOIN (SELECT seq, verdict FROM judged) USING (seq)""",
     "stream_health_windows": f"""WITH {A.HEALTH}, w AS (SELECT us // {TWO_HOURS} * {TWO_HOURS} AS slot_us, store, count(*) AS requested, count(*) FILTER (WHERE kind = 'view') AS parsed, count(*) FILTER (WHERE kind = 'error') AS failures FROM fetches GROUP BY ALL)
       SELECT * FROM w WHERE slot_us + {TWO_HOURS} <= ((SELECT max(us) FROM fetches) - {TEN_MINUTES}) // 1000 * 1000""",
     "stream_dead_man": f"""WITH {A.HEALTH}, g AS (SELECT store, us, lead(us) OVER (PARTITION BY store ORDER BY us) AS nxt FROM fetches WHERE kind = 'view')

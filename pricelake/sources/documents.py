@@ -10,21 +10,19 @@ from ..functions import text as T
 ENTRY = "title: string, site: string, seller: string, is_marketplace: boolean, reference_price: double, all_time_low: double, all_time_high: double, first_seen: string, history: array<struct<date: string, observed_at: string, price: double, stock_status: string>>"
 DOCUMENT = f"schema_version int, products map<string, struct<{ENTRY}>>"
 BARE = f"map<string, struct<{ENTRY}>>"
-#: Documents larger than this are rejected: one document is one row.
-MOST_BYTES = 64_000_000
 
 
 def read_price_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(products, observations, rejected) of a folder of nested documents, one per run or shop.
 
     A bare map of products is wrapped; an entry without history, or with a row lacking date or price, is rejected with a reason.
+    A document is one row of a task until its entries are exploded, so it must be smaller than Spark's largest string (2 GB).
     """
     raw = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     doc = F.from_json("value", DOCUMENT)
     both = F.coalesce(doc["products"], F.when(F.get_json_object("value", "$.products").isNull(), F.from_json("value", BARE)))
-    large = F.octet_length("value") > MOST_BYTES
-    docs = raw.select("file", F.when(~large, both).alias("products"), large.alias("large"))
-    broken = docs.filter("products is null").select("file", F.lit(None).cast("string").alias("url"), F.when(F.col("large"), "too_large").otherwise("not_a_document").alias("reason"))
+    docs = raw.select("file", both.alias("products"))
+    broken = docs.filter("products is null").select("file", F.lit(None).cast("string").alias("url"), F.lit("not_a_document").alias("reason"))
     entries = docs.filter("products is not null").select("file", F.explode("products").alias("url", "e"))
     bad_row = F.exists("e.history", lambda r: r["date"].isNull() | T.valid_price(r["price"]).isNull())
     reason = F.when(F.col("e.history").isNull(), "no_history").when(bad_row, "bad_observation")
@@ -140,7 +138,7 @@ def reconcile(source: DataFrame, target: DataFrame, parents: DataFrame, keys: li
     """(check, value): raw and distinct counts, orphans, and parents of a seeded sample whose counts differ."""
     one = lambda name, df: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("check"), "value")
     orphans = target.join(parents.select(parent), parent, "left_anti")
-    chosen = parents.select(parent).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(parent)), parent).limit(sample)
+    chosen = parents.select(parent).distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(parent).cast("string"))), parent).limit(sample)
     per = lambda df, n: df.select(*keys).distinct().join(F.broadcast(chosen), parent, "left_semi").groupBy(parent).agg(F.count("*").alias(n))
     differ = per(source, "a").join(per(target, "b"), parent, "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
     return one("source_rows", source).unionByName(one("expected_rows", source.select(*keys).distinct())).unionByName(one("target_rows", target)).unionByName(one("orphans", orphans)).unionByName(one("sample_differs", differ))

@@ -99,3 +99,8 @@ def resolve_price(cards: DataFrame, jsonld: DataFrame) -> DataFrame:
 def extraction_failures(cards: DataFrame) -> DataFrame:
     """Cards without a price from any layer."""
     return cards.filter("price is null").withColumn("reason", F.when(F.col("price_text").isNull(), "no_price_element").otherwise("unreadable_price"))
+
+
+def failures_by_store(failed: DataFrame, pages: DataFrame) -> DataFrame:
+    """Failed cards counted by retailer and reason; pages: page_id, retailer."""
+    return failed.select("page_id", "reason").join(pages.select("page_id", "retailer"), "page_id").groupBy("retailer", "reason").agg(F.count("*").alias("n"))

@@ -23,24 +23,41 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None]) -> None:
-    path = shared_path(stream.sparkSession, name)
+def drain_batches(stream: DataFrame, path: str, each: Callable[[DataFrame, int], None]) -> None:
+    """Runs each micro-batch until the source is read; its checkpoint stands beside ``path``, so a later call goes on there."""
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
 
 
 class VersionedTable:
-    """A table that each micro-batch replaces by a new version. A batch that runs again finds its version and does nothing."""
+    """A table at ``path`` of which each micro-batch writes a new version, named by the batch. Which version is the newest is read
+    from storage, so after a restart from its checkpoint a batch that runs again finds its version and does nothing. A version is whole once its success mark is there; the one before the newest is kept for readers, older ones go."""
 
-    def __init__(self, spark: SparkSession, name: str, schema: str):
-        self.spark, self.root, self.schema, self.version = spark, shared_path(spark, name), schema, -1
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.root, self.schema = spark, path, schema
+
+    def _files(self):
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return root, root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def versions(self) -> list[int]:
+        root, fs = self._files()
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(n) for n in names if n.isdigit() and fs.exists(path(f"{self.root}/{n}/_SUCCESS")))
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{self.version}") if self.version >= 0 else self.spark.createDataFrame([], self.schema)
+        found = self.versions()
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
 
     def update(self, batch: DataFrame, batch_id: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        if batch_id > self.version:
+        found = self.versions()
+        if not found or batch_id > found[-1]:
             merge(self.read(), batch).write.mode("overwrite").parquet(f"{self.root}/{batch_id}")
-            self.version = batch_id
+            _, fs = self._files()
+            for old in found[:-1]:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{old}"), True)
 
 
 def stream_observations(stream: DataFrame, table: VersionedTable, late: VersionedTable, lateness_us: int) -> None:
@@ -58,35 +75,55 @@ def stream_observations(stream: DataFrame, table: VersionedTable, late: Versione
         table.update(on_time, batch_id, history.upsert_observations)
         batch.unpersist()
 
-    drain_batches(rows, "observations", each)
+    drain_batches(rows, table.root, each)
 
 
-ALERTS = "seq long, previous_price double, thirty_day_low double, alerts boolean"
-ALERT_STATE = "last double, low double, days array<long>, prices array<double>"
+ALERTS = "seq long, previous_price double, thirty_day_low double, history_days long, alerts boolean, verdict string"
+ALERT_STATE = "last double, low double, days array<long>, prices array<double>, kept array<long>"
 
 
-def stream_alerts(stream: DataFrame, days: int = history.REFERENCE_DAYS, policy: str = "aggressive") -> DataFrame:
-    """For each observation as it comes the previous price, the low of the window before it, and whether it alerts.
+def stream_alerts(stream: DataFrame, days: int = history.REFERENCE_DAYS, policy: str = "aggressive", target: float | None = None, min_drop: float | None = None) -> DataFrame:
+    """For each observation as it comes the previous price, the low of the window before it, whether it alerts, and the verdict
+    (null without a usable baseline).
 
-    State of an offer: last price, all-time low, and the lows of its last days, one a day.
+    State of an offer: last price, all-time low, the lows of its last days, one a day, and the days of rows that pruning keeps.
     """
 
+    def judged(price: float, low: float | None, reference: float | None, history_days: int) -> str | None:
+        if low is None or not low > 0:
+            return None
+        if history_days < deals.LEAST_HISTORY_DAYS:
+            return "INSUFFICIENT_HISTORY"
+        if price >= low:
+            return "FALSE_DISCOUNT"
+        if reference is not None and reference > low * deals.INFLATED:
+            return "INFLATED_REFERENCE"
+        return "GENUINE_DEAL" if round((low - price) / low * 100, 2) >= deals.GENUINE_PERCENT else "NORMAL_DROP"
+
     def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, low, seen, prices = state.get if state.exists else (None, None, [], [])
-        lows = dict(zip(seen, prices, strict=True))
+        last, low, seen, prices, kept = state.get if state.exists else (None, None, [], [], [])
+        lows, kept = dict(zip(seen, prices, strict=True)), list(kept)
         rows = pd.concat(list(batches)).sort_values(["us", "seq"])
         out = []
         for r in rows.itertuples():
             window = [p for d, p in lows.items() if r.day - days <= d <= r.day]
+            least = min(window) if window else last
+            age = r.day - min(kept) if kept else 0
             drop = last is not None and r.price < last and r.stock_status != "out_of_stock"
-            floor = drop and last - r.price >= deals.LEAST_DROP and (last - r.price) / last * 100 >= deals.LEAST_DROP_PERCENT
+            percent = (last - r.price) / last * 100 if drop else 0.0
+            floor = drop and last - r.price >= deals.LEAST_DROP and percent >= deals.LEAST_DROP_PERCENT
             record = drop and low is not None and r.price < low and (policy == "aggressive" or (policy == "conservative" and floor))
-            out.append((r.seq, last, min(window) if window else last, bool(record or floor)))
+            wanted = floor and not (target is not None and r.price > target) and not (min_drop is not None and percent < min_drop)
+            usable = last is not None and last > 0
+            out.append((r.seq, last, least, age, bool(record or wanted), judged(r.price, least, None if pd.isna(r.reference_price) else r.reference_price, age) if usable else None))
             lows[r.day] = min(r.price, lows.get(r.day, r.price))
             lows = {d: p for d, p in lows.items() if d >= r.day - days}
+            kept.append(r.day)
+            kept = [d for k, d in enumerate(kept) if r.day - d <= history.KEEP_DAYS or len(kept) - k <= history.KEEP_LEAST]
+            kept = sorted(set(kept[: -history.KEEP_LEAST])) + kept[-history.KEEP_LEAST :]
             last, low = r.price, r.price if low is None else min(low, r.price)
-        state.update((last, low, list(lows), list(lows.values())))
-        yield pd.DataFrame(out, columns=["seq", "previous_price", "thirty_day_low", "alerts"])
+        state.update((last, low, list(lows), list(lows.values()), kept))
+        yield pd.DataFrame(out, columns=["seq", "previous_price", "thirty_day_low", "history_days", "alerts", "verdict"])
 
     return stream.groupBy("offer_id").applyInPandasWithState(each, ALERTS, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -127,7 +164,7 @@ def stream_dead_man(stream: DataFrame, hours: float = 24, lateness: str = "10 mi
 
 def stream_feedback(stream: DataFrame, delivered: DataFrame, table: VersionedTable) -> None:
     """Labels and their outcomes; a batch that runs again changes nothing."""
-    drain_batches(stream, "feedback", lambda batch, n: table.update(batch, n, lambda old, new: old.unionByName(feedback.ingest_feedback(old.filter("outcome = 'stored'"), new, delivered).select(old.columns))))
+    drain_batches(stream, table.root, lambda batch, n: table.update(batch, n, lambda old, new: old.unionByName(feedback.ingest_feedback(old.filter("outcome = 'stored'"), new, delivered).select(old.columns))))
 
 
 def stream_cooldown(stream: DataFrame, cooldown_us: int) -> DataFrame:

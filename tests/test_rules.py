@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelake.functions import text as T
-from pricelake.operators import anomaly, deals, feedback, history, identity, retro, watchlist
-from pricelake.plans import identity_queries
+from pricelake.operators import anomaly, deals, feedback, history, identity, responses, retro, watchlist
+from pricelake.plans import identity_queries, response_queries
 from pricelake.sources import documents
+from pricelake.streaming import jobs
 
 DAY = 86_400_000_000
 TODAY = 20_000
@@ -84,16 +85,152 @@ def test_unknown_policy_is_an_error(spark):
 
 
 def test_merge_properties(spark):
-    s = "offer_id string, day int, price double, seq long"
-    a, b = spark.createDataFrame([("o", 1, 5.0, 1), ("o", 2, 6.0, 2)], s), spark.createDataFrame([("o", 2, 6.0, 9), ("o", 3, 7.0, 3)], s)
+    s = "offer_id string, day int, us long, price double, stock_status string, seq long"
+    a = spark.createDataFrame([("o", 1, 10, 5.0, "in_stock", 1), ("o", 2, 20, 6.0, None, 2)], s)
+    b = spark.createDataFrame([("o", 2, 20, 6.0, None, 9), ("o", 3, None, 7.0, None, 3), ("o", 1, 10, 5.0, "out_of_stock", 4), ("o", 1, 11, 5.0, "in_stock", 5)], s)
     once = history.merge_aliases(a, b)
-    assert sorted(map(tuple, once.select("day", "seq").collect())) == [(1, 1), (2, 2), (3, 3)]
-    assert sorted(history.merge_aliases(once.select(*a.columns), b).collect()) == sorted(once.collect())
-    keys = ["offer_id", "day", "price"]
+    assert sorted(r["seq"] for r in once.collect()) == [1, 2, 3, 4, 5]  # a day's rows of another time or stock are kept
+    assert sorted(map(str, history.merge_aliases(once.select(*a.columns), b).collect())) == sorted(map(str, once.collect()))
+    keys = ["offer_id", *history.SIGNATURE]
     base = a.unionByName(b)
-    merged = history.three_way_merge(base, base.filter("day <> 1"), base.unionByName(spark.createDataFrame([("o", 4, 8.0, 4)], s)), keys)
+    merged = history.three_way_merge(base, base.filter("day <> 1"), base.unionByName(spark.createDataFrame([("o", 4, 40, 8.0, None, 4)], s)), keys)
     assert sorted(r["day"] for r in merged.collect()) == [2, 3, 4]
-    assert history.three_way_merge(a.limit(0), a, b, keys).count() == 3
+    assert history.three_way_merge(a.limit(0), a, b, keys).count() == 5
+    p = "product_id string, title string, site string, all_time_low double, all_time_high double, first_seen int"
+    first, second = spark.createDataFrame([("o", None, "s", 5.0, 9.0, 3), ("x", "x", "s", 1.0, 1.0, 1)], p), spark.createDataFrame([("o", "t", "u", 4.0, 8.0, 2), ("y", "y", "u", 2.0, 2.0, 2)], p)
+    got = {r["product_id"]: tuple(r)[1:] for r in history.merge_products(first, second).collect()}
+    assert got == {"o": (None, "s", 4.0, 9.0, 2), "x": ("x", "s", 1.0, 1.0, 1), "y": ("y", "u", 2.0, 2.0, 2)}
+    history.one_version(spark.createDataFrame([(1,)], "schema_version int"), spark.createDataFrame([(1,)], "schema_version int"))
+    with pytest.raises(ValueError, match="schema versions differ"):
+        history.one_version(spark.createDataFrame([(1,)], "schema_version int"), spark.createDataFrame([(2,)], "schema_version int"))
+
+
+def test_zero_prices_are_quarantined(spark):
+    rows = series(spark, [(20, 100), (15, 0), (10, 80), (1, 0)], 40)
+    obs = rows.withColumn("reference_price", F.lit(None).cast("double"))
+    verdicts = {r["seq"]: r["verdict"] for r in deals.reference_price_verdict(obs).collect()}
+    assert verdicts == {1: "INSUFFICIENT_HISTORY"}  # later rows have a low or a last price of 0
+    drops = {r["seq"]: r["drop_percent"] for r in history.with_prior(rows).collect()}
+    assert drops == {0: None, 1: 100.0, 2: None, 3: 100.0, 4: None}
+    good, bad = deals.quarantine(history.reference_window(rows))
+    assert (good.count(), bad.count()) == (1, 4)
+    assert deals.window_statistics(rows).filter("genuine_savings is not null").count() == 1
+
+
+@pytest.mark.parametrize(("target", "prices", "want"), [
+    (None, [5.0], ("not_set", None)), (4.0, [], ("no_matching_history", None)), (4.0, [5.0, 6.0], ("below_observed_historical_low", 5.0)), (5.0, [5.0, 9.0], ("within_observed_range", 5.0)),
+])
+def test_target_price_feasibility(spark, target, prices, want):
+    w = spark.createDataFrame([("w", target)], "watch_id string, target_price double")
+    m = spark.createDataFrame([("w", "o")], "watch_id string, offer_id string")
+    p = spark.createDataFrame([("o", x) for x in prices], "offer_id string, price double")
+    r = watchlist.target_price_feasibility(w, m, p).first()
+    assert (r["state"], r["lowest"]) == want
+
+
+@pytest.mark.parametrize(("query", "supported", "failed", "challenged", "lost", "results", "want"), [
+    ("laptop x", False, False, False, False, [("laptop x", "https://a.example.com/p")], ("UNSUPPORTED", 0)),
+    (None, True, False, False, False, [], ("MANUAL_REVIEW", 0)),
+    ("laptop x", True, True, False, False, [("laptop x", "https://a.example.com/p")], ("UNVERIFIED", 0)),
+    ("laptop x", True, False, True, False, [("laptop x", "https://a.example.com/p")], ("UNVERIFIED", 1)),
+    ("laptop x", True, False, False, False, [("laptop y", "https://a.example.com/p")], ("MISMATCH", 0)),
+    ("laptop x", True, False, False, False, [("laptop y", "https://b.org/"), ("X laptop", "https://a.example.com/p")], ("PASS", 1)),
+    ("laptop x", True, False, False, False, [("laptop x 1", "https://a.example.com/p"), ("laptop x 2", "https://a.example.com/")], ("MANUAL_REVIEW", 2)),
+    ("laptop x", True, False, False, True, [], ("UNVERIFIED", 0)),
+    ("laptop x", True, False, False, False, [], ("NO_RESULTS", 0)),
+])
+def test_audit(spark, query, supported, failed, challenged, lost, results, want):
+    checks = spark.createDataFrame([("w", "s", query, supported, "example.com", failed, challenged, lost)], "watch_id string, store string, query string, is_supported boolean, host string, failed boolean, challenged boolean, extraction_failed boolean")
+    rows = spark.createDataFrame([("w", "s", k, t, u) for k, (t, u) in enumerate(results)], "watch_id string, store string, at int, title string, url string")
+    r = watchlist.audit_watches(checks, rows).first()
+    assert (r["status"], r["n"]) == want
+
+
+def test_blocked_pages_and_widgets(spark):
+    pages = {"<title>Just a moment...</title>": (True, False), " " * 2000 + "just a moment": (False, False), "x _cf_chl_opt": (True, False), "/cdn-cgi/challenge-platform/h/g/orchestrate/x": (True, False),
+             "/cdn-cgi/challenge-platform/scripts/jsd/main.js captcha.js": (False, False), '<div class="cf-turnstile">': (False, True), "challenges.cloudflare.com/turnstile/v0/api.js": (False, True)}
+    got = watchlist.flag_blocked_pages(spark.createDataFrame([(h,) for h in pages], "html string")).collect()
+    assert {r["html"]: (r["is_blocked"], r["has_widget"]) for r in got} == pages
+
+
+@pytest.mark.parametrize(("layout", "text", "classes", "id_", "want"), [
+    ("ids", "ultimul produs în stoc", "", "3", "limited_stock"), ("ids", "în stoc", "", None, "in_stock"), ("ids", "Stoc epuizat", "", "3", "out_of_stock"), ("ids", "pret", "", None, "unknown"), ("ids", "pret", "", "2", "limited_stock"),
+    ("classes", "Stoc magazin suficient", "box instock", None, "in_stock"), ("classes", "Stoc magazin limitat", "instock", None, "limited_stock"), ("classes", "In stoc furnizor", "insupplierstock", None, "supplier_stock"), ("classes", "In stoc", "", None, "unknown"),
+    ("marks", "Expus", "bin-display", None, "in_stock"), ("marks", "x", "is-sold-out", None, "out_of_stock"), ("labels", "in stoc depozit/furnizor", "instock", None, "supplier_stock"), ("labels", "in stoc limitat", "instock", None, "limited_stock"), ("other", "in stoc", "instock", None, "unknown"),
+])
+def test_stock_rules(spark, layout, text, classes, id_, want):
+    df = spark.createDataFrame([(layout, text, classes, id_)], "l string, t string, c string, i string")
+    assert df.select(watchlist.classify_stock(*[F.col(c) for c in "ltci"])).first()[0] == want
+
+
+def test_secrets_are_redacted(spark):
+    shapes = {"bot_token": "bot12345:" + "a" * 35, "provider_token": "hf_" + "Z" * 20, "uuid": str(uuid.UUID(int=77))}
+    df = spark.createDataFrame([(f"x {v} y",) for v in shapes.values()], "t string")
+    assert {r[0] for r in df.select(T.redact_secrets(F.col("t"))).collect()} == {"x [REDACTED] y"}
+    for k, r in zip(shapes, df.select(*[c.alias(n) for n, c in T.secret_hits(F.col("t")).items()]).collect(), strict=True):
+        assert r.asDict() == {n: int(n == k) for n in shapes}
+
+
+def test_answers(spark):
+    """Each golden answer's path, score and summary; the verdict is the rule's whatever the answer says."""
+    for raw, wrong in response_queries.ANSWERS:
+        df = spark.createDataFrame([(raw, "NORMAL_DROP", 3.5)], "raw string, v string, d double")
+        r = df.select(responses.validate_response(F.col("raw"), F.lit("p"), F.col("v"), F.col("d"), F.lit("genuine")).alias("r")).first()["r"]
+        assert (r["verdict"], r["is_recommended"], r["fallback_path"]) == ("NORMAL_DROP", False, "p" + (wrong or ""))
+        assert (r["verdict_score"], r["parsed"]) == ((7, True) if wrong is None else (4, False)), raw
+        assert r["summary"].startswith("Fine." if wrong is None else "NORMAL_DROP: 3.50%")
+
+
+def test_naive_times_are_utc(spark):
+    offers = spark.createDataFrame([("o", "s", "u")], "id string, retailer string, url string")
+    rows = {"2024-01-01T10:00:00": 36_000, "2024-01-01 10:00:00+02:00": 28_800, "2024-01-01T10:00:00Z": 36_000, "2024-01-01": 0}
+    obs = spark.createDataFrame([("o", 5, t) for t in rows] + [("unknown", 5, "2024-01-01")], "offer_id string, price int, scraped_at string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        got = sorted(r["us"] // 1_000_000 - 1_704_067_200 for r in anomaly.load_observations(obs, offers).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == sorted(rows.values())
+
+
+def test_offers_of_one_batch_see_each_other(spark):
+    s = "offer_id string, retailer string, sku string, title string"
+    title = "Laptop Acme ab1234q 16 GB silver intel core i5-13420h"
+    new = spark.createDataFrame([("n1", "one", "1", title), ("n2", "two", "2", title + " pro"), ("n3", "three", "3", title), ("n4", "one", "4", "other thing"), ("n5", "one", "1", "renamed")], s)
+    got = {r["offer_id"]: (r["product"], r["method"]) for r in identity.resolve_offers(new, new.limit(0)).collect()}
+    assert got == {"n1": ("n1", "new"), "n2": ("n1", "title"), "n3": ("n1", "title"), "n4": ("n4", "new"), "n5": ("n1", "fingerprint")}
+    known = spark.createDataFrame([("k", "two", "9", title)], s)
+    got = {r["offer_id"]: r["product"] for r in identity.resolve_offers(new, known).collect()}
+    assert got == {"n1": "k", "n2": "k", "n3": "k", "n4": "n4", "n5": "k"}
+
+
+def test_vetoes(spark):
+    s = "offer_id string, retailer string, title string"
+    title = "Laptop Acme ab1234q intel core i5-13420h"
+    left = spark.createDataFrame([("a", "s1", title + " 16 GB")], s)
+    right = spark.createDataFrame([("b", "s2", title + " 16 GB resigilat"), ("c", "s2", title + " 8 GB"), ("d", "s2", title), ("e", "s2", title + " 16 GB")], s)
+    got = {r["b_offer_id"]: r["veto"] for r in identity.scored_pairs(left, right).collect()}
+    assert got == {"b": True, "c": True, "d": False, "e": False}
+
+
+def test_versions_of_a_streamed_table_outlive_a_restart(spark, tmp_path):
+    at = f"file://{tmp_path}/table"
+    add = lambda old, new: old.unionByName(new)
+    row = lambda k: spark.createDataFrame([(k,)], "k long")
+    for batch in (0, 1, 1, 2, 2):  # each as if after a restart
+        jobs.VersionedTable(spark, at, "k long").update(row(batch), batch, add)
+    table = jobs.VersionedTable(spark, at, "k long")
+    assert sorted(r["k"] for r in table.read().collect()) == [0, 1, 2] and table.versions() == [1, 2]
+
+
+def test_bootstrap_against_brute_force(spark):
+    values = [0.0, 1.0, 1.0, 0.0, 1.0, 5.0]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "seq long, v double")
+    r = anomaly.bootstrap_interval(df, "v", samples=50).first()
+    drawn = spark.range(50 * len(values)).select((F.col("id") % 50).alias("s"), F.pmod(F.xxhash64(F.lit(anomaly.SEED), F.col("id")), F.lit(len(values))).alias("i")).collect()
+    means = sorted(np.mean([values[x["i"]] for x in drawn if x["s"] == s]) for s in range(50))
+    assert (r["n"], r["low"], r["high"]) == (6, round(means[1], 4), round(means[47], 4))
 
 
 def test_upsert_is_idempotent(spark):
@@ -138,9 +275,13 @@ def test_blocking_loses_no_pair(spark):
 
 def test_complete_link_groups(spark):
     rows = spark.createDataFrame([("q", "a", "s1", 1.0), ("q", "b", "s2", 2.0), ("q", "c", "s3", 3.0), ("q", "d", "s1", 4.0)], "query string, offer_id string, shop string, price double")
-    pairs = spark.createDataFrame([("q", "a", "b", 0.9), ("q", "b", "c", 0.8), ("q", "b", "d", 0.9)], "query string, a_offer_id string, b_offer_id string, score double")
+    pairs = spark.createDataFrame([("q", "a", "b", 0.9, False), ("q", "b", "c", 0.8, False), ("q", "b", "d", 0.9, False)], "query string, a_offer_id string, b_offer_id string, score double, veto boolean")
     got = {r["offer_id"]: r["group_id"] for r in identity.group_equivalent(rows, pairs).collect()}
     assert got == {"a": "a", "b": "a", "c": "c", "d": "d"}
+    more = spark.createDataFrame([("q", "e", "s4", 5.0)], "query string, offer_id string, shop string, price double")
+    links = spark.createDataFrame([("q", "a", "e", 0.8, False), ("q", "b", "e", 0.8, False), ("q", "c", "e", 0.95, False), ("q", "d", "e", 0.99, True)], "query string, a_offer_id string, b_offer_id string, score double, veto boolean")
+    got = {r["offer_id"]: (r["group_id"], r["confidence"]) for r in identity.group_equivalent(rows.unionByName(more), pairs.unionByName(links)).collect()}
+    assert got == {"a": ("a", "high"), "b": ("a", "high"), "c": ("c", "high"), "d": ("d", None), "e": ("c", "high")}  # the best weakest link counts
 
 
 def test_features_are_causal(spark):
@@ -204,11 +345,12 @@ def test_documents_of_older_shapes(spark, tmp_path):
     assert sorted((r["url"] or "", r["reason"]) for r in rejected.collect()) == [("", "not_a_document"), ("u2", "no_history"), ("u3", "bad_observation")]
 
 
-def test_prompts_are_cut_after_markup_is_gone(spark, tmp_path):
-    from pricelake.plans import operations_queries
-
-    spark.createDataFrame([(1, "<" * 290 + "word " * 100)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert len(operations_queries.build_prompts(spark, str(tmp_path)).first()["prompt"]) >= 195
+def test_prompts_are_cut_after_markup_is_gone(spark):
+    titles = ["<" * 290 + "word " * 100, "java" * 30 + "javascript:" + "script:" * 30 + "end", "plain"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in titles], "t string").select(T.sanitize(F.col("t"))).collect()]
+    assert len(got[0]) >= 199 and got[1] == "end" and got[2] == "plain"
+    prompt = spark.range(1).select(responses.build_prompt(F.lit("a <b>"), F.lit("s"), F.lit(None).cast("string"), F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(None).cast("double"), F.lit(None).cast("int"), F.lit("NORMAL_DROP"), F.lit("unknown"))).first()[0]
+    assert "Offer: a b at s, seller not verified" in prompt and responses.BASIS["unknown"] + ": 3.00" in prompt and "last 30 days" not in prompt
 
 
 def test_prefixes_of_one_median_share_a_partition(monkeypatch):
