@@ -14,6 +14,7 @@ an empty table gives none. Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,7 +99,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed: st
     chosen = labels.filter(unit(seed, F.col("doc_id")) < rate).withColumn("for_dict", unit(f"{seed}-use", F.col("doc_id")) < 2 / 3)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition("quality").persist()
     try:
-        built = {r["quality"]: bytes(r["content"]) for r in sample.filter("for_dict").groupBy("quality").applyInPandas(_dictionary, "quality int, content binary").collect()}
+        of_dict = sample.filter("for_dict")
+        every = {r["quality"]: -(-r["n"] // TRAIN_BYTES) for r in of_dict.groupBy("quality").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).collect()}
+        thinned = of_dict.mapInPandas(lambda batches: _chosen(batches, every), "quality int, doc_id long, at int, piece binary")
+        built = {r["quality"]: bytes(r["content"]) for r in thinned.groupBy("quality").applyInPandas(_dictionary, "quality int, content binary").collect()}
         good, bad = built.get(1, b""), built.get(0, b"")
 
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,10 +123,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed: st
     return {"prior": prior, "good": good, "bad": bad, "curve": _logistic(x[order], y[order], (w / w.mean())[order])}
 
 
+def _chosen(batches: Iterator[pd.DataFrame], every: dict[int, int]) -> Iterator[pd.DataFrame]:
+    """The pieces of each label's texts, thinned by a hash to about TRAIN_BYTES before they meet."""
+    for batch in batches:
+        rows = [(q, d, k, p) for q, d, t in zip(batch["quality"], batch["doc_id"], batch["text"], strict=True) for k, p in enumerate(pieces(t)) if zlib.crc32(b"%d:%d" % (d, k)) % max(1, every[q]) == 0]
+        yield pd.DataFrame(rows, columns=["quality", "doc_id", "at", "piece"])
+
+
 def _dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
-    parts = [p for t in pdf.sort_values("doc_id")["text"] for p in pieces(t)]
-    every = max(1, -(-sum(map(len, parts)) // TRAIN_BYTES))
-    parts = parts[::every]
+    parts = [bytes(p) for p in pdf.sort_values(["doc_id", "at"])["piece"]]
     try:
         content = zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, parts)) // 10)), parts).as_bytes()
     except zstandard.ZstdError:  # too little text to choose from: the text itself is the dictionary
