@@ -156,7 +156,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return read_back(segments(turns)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return read_back(segments(turns)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid", "violation")
 
 
 QUERIES = {"op6_chat": op6_chat}
@@ -169,11 +169,21 @@ WITH turns AS (
 measured AS (
   SELECT *, length(text) + length(role)
             + length(regexp_replace(text || role, '[^\\#:<]', '', 'g'))
-            + 4 + 2 + 8 AS chars FROM turns)
+            + 4 + 2 + 8 AS chars FROM turns),
+ordered AS (
+  SELECT *, row_number() OVER w AS place, coalesce(lag(role) OVER w, '') AS before, lead(role) OVER w IS NULL AS is_last
+  FROM measured WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)),
+judged AS (
+  SELECT *, CASE WHEN NOT CASE before WHEN '' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END
+                 THEN coalesce(nullif(role, ''), 'nothing') || ' after ' || coalesce(nullif(before, ''), 'the start') END AS wrong,
+            CASE WHEN is_last AND role <> 'assistant' THEN 'ends after ' || coalesce(nullif(role, ''), 'nothing') END AS wrong_end
+  FROM ordered)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       sum(chars)::BIGINT AS formatted_chars
-FROM measured GROUP BY conv_id""",
+       sum(chars)::BIGINT AS formatted_chars,
+       coalesce(min_by(wrong, place) FILTER (WHERE wrong IS NOT NULL), max(wrong_end)) IS NULL AS valid,
+       coalesce(min_by(wrong, place) FILTER (WHERE wrong IS NOT NULL), max(wrong_end)) AS violation
+FROM judged GROUP BY conv_id""",
 }
