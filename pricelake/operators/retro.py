@@ -93,3 +93,21 @@ def long_form(section: str, df: DataFrame) -> DataFrame:
     parts = ", ".join(f"'{c}', cast(`{c}` as double)" for c in df.columns)
     rows = df.selectExpr(f"stack({len(df.columns)}, {parts}) as (metric, value)")
     return rows.select(F.lit(section).alias("section"), "metric", "value", F.when(F.col("value").isNull(), "no_data").otherwise("ok").alias("status"))
+
+
+def manifest(inputs: dict[str, DataFrame | None]) -> DataFrame:
+    """Rows of each input in long form; an input that was not given is missing, not empty."""
+    out = None
+    for name, df in inputs.items():
+        spark = next(x for x in inputs.values() if x is not None).sparkSession
+        rows = spark.range(1).select(F.lit(None).cast("double").alias("value")) if df is None else df.agg(F.count("*").cast("double").alias("value"))
+        rows = rows.select(F.lit("inputs").alias("section"), F.lit(name).alias("metric"), "value", F.lit("missing" if df is None else "ok").alias("status"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def evidence(report: DataFrame, metrics: tuple[str, ...] = ("store_runs", "labels", "attempts")) -> DataFrame:
+    """Whether any section of a long-form report rests on events at all."""
+    some = F.max(F.when(F.col("metric").isin(*metrics) & (F.col("section") != "none") & (F.col("value") > 0), 1.0).otherwise(0.0))
+    value = F.coalesce(some, F.lit(0.0))
+    return report.agg(value.alias("value")).select(F.lit("evidence").alias("section"), F.lit("has_event_data").alias("metric"), "value", F.when(F.col("value") > 0, "ok").otherwise("no_data").alias("status"))

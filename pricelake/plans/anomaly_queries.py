@@ -67,6 +67,12 @@ def select_threshold(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy((F.col("score") <= best).alias("flagged")).agg(F.count("*").alias("n"))
 
 
+def select_threshold_quantile(spark: SparkSession, d: str) -> DataFrame:
+    rows = _flagged(spark, d)
+    cut = anomaly.select_threshold(rows, "quantile", quantile=0.25)
+    return rows.groupBy((F.col("score") <= cut).alias("flagged")).agg(F.count("*").alias("n"))
+
+
 def data_profile(spark: SparkSession, d: str) -> DataFrame:
     return anomaly.data_profile(A.observations(spark, d))
 
@@ -82,7 +88,7 @@ def pelt_drop_flag(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    causal_features, attach_outcomes, chronological_split, ensemble_volumes, retailer_slices, labelled_metrics, average_precision, bootstrap_interval, top_flagged, select_threshold, data_profile,
+    causal_features, attach_outcomes, chronological_split, ensemble_volumes, retailer_slices, labelled_metrics, average_precision, bootstrap_interval, top_flagged, select_threshold, select_threshold_quantile, data_profile,
     isolation_forest, pelt_drop_flag,
 )}
 
@@ -118,6 +124,7 @@ SQL = {
     "top_flagged": f"WITH {OUT} SELECT seq, score FROM o WHERE forest AND pelt_flag ORDER BY score, seq LIMIT 20",
     "select_threshold": f"""WITH {OUT}, x AS (SELECT score, sum(label) AS pos, count(*) AS n FROM o WHERE label IS NOT NULL GROUP BY score), y AS (SELECT score, sum(pos) OVER (ORDER BY score) AS tp, sum(n) OVER (ORDER BY score) AS flagged, (SELECT sum(pos) FROM x) AS p FROM x),
       b AS (SELECT score FROM y ORDER BY 2 * tp / (flagged + p) DESC, score DESC LIMIT 1) SELECT o.score <= b.score AS flagged, count(*) AS n FROM o, b GROUP BY 1""",
+    "select_threshold_quantile": f"WITH {OUT}, q AS (SELECT quantile_cont(score, 0.25) AS cut FROM o) SELECT score <= cut AS flagged, count(*) AS n FROM o, q GROUP BY 1",
     "data_profile": f"""WITH {A.OBS} SELECT count(*) AS rows, count(DISTINCT offer_id) AS offers, count(DISTINCT retailer) AS retailers, min(us) AS first_us, max(us) AS last_us, round(avg((us % {D} = 0)::INT), 6) AS at_midnight,
       sum(('0x' || substr(md5(offer_id || ':' || us || ':' || printf('%.6f', price)), 1, 12))::BIGINT)::VARCHAR AS fingerprint FROM obs""",
 }

@@ -58,7 +58,8 @@ def retro_report(spark: SparkSession, d: str) -> DataFrame:
     for name, df in parts.items():
         rows = retro.long_form(name, df)
         out = rows if out is None else out.unionByName(rows)
-    return out
+    inputs = {"fetches": A.health(spark, d), "labels": A.label_log(spark, d), "outbox": A.outbox(spark, d), "runs": None}
+    return out.unionByName(retro.manifest(inputs)).unionByName(retro.evidence(out))
 
 
 def _listing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +250,9 @@ SQL = {
     "workflow_success": """SELECT o_orderpriority AS event, count(*) AS completed, count(*) FILTER (WHERE o_orderkey % 6 <> 0) AS succeeded, round(count(*) FILTER (WHERE o_orderkey % 6 <> 0) / count(*) * 100, 4) AS success_percent
       FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""",
     "retro_report": f"WITH {H}, {TOTALS}, none_ AS (SELECT count(DISTINCT run) AS runs, count(*) AS store_runs, sum(parsed) AS parsed, sum(failures) AS failures FROM h WHERE run < 0), "
-    + COVER + WIN.removeprefix(A.OBS) + f", {CUR}, {ACC}, {SAVE} "
+    + COVER + WIN.removeprefix(A.OBS) + f", {CUR}, {ACC}, {SAVE}, {X} "
+    + " UNION ALL ".join(f"SELECT 'inputs' AS section, '{n}' AS metric, (SELECT count(*) FROM {t})::DOUBLE AS value, 'ok' AS status" for n, t in (("fetches", "fetches"), ("labels", "label_log"), ("outbox", "outbox")))
+    + " UNION ALL SELECT 'inputs', 'runs', NULL, 'missing' UNION ALL SELECT 'evidence', 'has_event_data', 1, 'ok' UNION ALL "
     + " UNION ALL ".join((
         _unpivot("scrape", "tot", ("runs", "store_runs", "parsed", "failures")), _unpivot("coverage", "cov", ("slots", "covered", "missed", "longest_gap", "uptime_percent")),
         _unpivot("feedback", "acc", ("labels", "alerts", "raters", "judged", "acceptance_percent")), _unpivot("savings", "sav", ("purchased", "unmatched", "no_reference", "total", "median_saved")),

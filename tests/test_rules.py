@@ -224,6 +224,22 @@ def test_versions_of_a_streamed_table_outlive_a_restart(spark, tmp_path):
     assert sorted(r["k"] for r in table.read().collect()) == [0, 1, 2] and table.versions() == [1, 2]
 
 
+def test_rank_over_partitions(spark):
+    from pricelake.functions.ranking import with_rank
+
+    rows = [(k * 7919 % 1009, k) for k in range(1000)]
+    got = with_rank(spark.createDataFrame(rows, "a long, b long").repartition(7), "rank", "a", "b").collect()
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["rank"])] == sorted(rows) and {r["rank"] for r in got} == set(range(1, 1001))
+
+
+def test_report_without_events_says_so(spark):
+    empty = spark.createDataFrame([], "store string, run long, parsed long, failures long")
+    rows = retro.long_form("scrape", retro.scrape_totals(empty))
+    assert tuple(retro.evidence(rows).first()) == ("evidence", "has_event_data", 0.0, "no_data")
+    got = {r["metric"]: (r["value"], r["status"]) for r in retro.manifest({"a": empty, "b": None}).collect()}
+    assert got == {"a": (0.0, "ok"), "b": (None, "missing")}
+
+
 def test_bootstrap_against_brute_force(spark):
     values = [0.0, 1.0, 1.0, 0.0, 1.0, 5.0]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "seq long, v double")
