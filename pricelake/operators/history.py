@@ -36,6 +36,14 @@ def latest_price(obs: DataFrame) -> DataFrame:
     return obs.groupBy("offer_id", "retailer").agg(last.alias("l")).select("offer_id", "retailer", "l.*")
 
 
+def latest_with_products(obs: DataFrame, offers: DataFrame, products: DataFrame) -> DataFrame:
+    """The newest observation of each active offer with its product; offers never observed are left out. offers: id, product_id, sku,
+    is_active; products: id, title, category."""
+    own = offers.filter("is_active").select(F.col("id").alias("offer_id"), "product_id", "sku")
+    named = products.select(F.col("id").alias("product_id"), "title", "category")
+    return latest_price(obs).join(own, "offer_id").join(named, "product_id").select("retailer", "sku", "product_id", "title", "category", "us", "price", "stock_status")
+
+
 def price_history(obs: DataFrame, as_of_us: Column, days: int) -> DataFrame:
     return obs.filter(F.col("us") >= as_of_us - days * 86_400_000_000)
 

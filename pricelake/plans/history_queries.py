@@ -35,6 +35,16 @@ def latest_price(spark: SparkSession, d: str) -> DataFrame:
     return history.latest_price(A.observations(spark, d))
 
 
+def latest_price_of_products(spark: SparkSession, d: str) -> DataFrame:
+    obs = A.observations(spark, d)
+    p = A.read(spark, d, "part")
+    ids = obs.select("offer_id").distinct().select(F.col("offer_id").alias("id"), F.substring("offer_id", 2, 9).cast("int").alias("k"))
+    offers = ids.unionByName(p.select(F.concat(F.lit("never"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").cast("int").alias("k")))
+    offers = offers.select("id", F.concat(F.lit("p"), (F.col("k") % 97).cast("string")).alias("product_id"), F.concat(F.lit("sku"), F.col("k").cast("string")).alias("sku"), (F.col("k") % 9 > 0).alias("is_active"))
+    products = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"))
+    return history.latest_with_products(obs, offers, products)
+
+
 def price_history(spark: SparkSession, d: str) -> DataFrame:
     obs = A.observations(spark, d)
     as_of = F.lit(1_706_659_200_000_000)  # 2024-01-31
@@ -176,7 +186,7 @@ def rule_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    upsert_observations, upsert_dimensions, latest_price, price_history, prune_history, lifetime_stats, previous_price, reference_window, reference_window_sparse, window_provenance,
+    upsert_observations, upsert_dimensions, latest_price, latest_price_of_products, price_history, prune_history, lifetime_stats, previous_price, reference_window, reference_window_sparse, window_provenance,
     merge_aliases, three_way_merge, merge_products, daily_series, expand_watches, alert_gate, seller_policy_filter, reference_price_verdict, verdict_counts, quarantine_invalid_baseline, window_statistics,
     genuine_savings, fake_discount, days_at_current_price, deal_badges, rule_summary,
 )}
@@ -209,6 +219,8 @@ SQL = {
       n AS (SELECT p_partkey AS id, upper(p_name) AS title, CASE WHEN p_partkey % 4 = 0 THEN lower(p_type) END AS category FROM part WHERE p_partkey % 2 = 0)
       SELECT coalesce(n.id, s.id) AS id, CASE WHEN n.id IS NULL THEN s.title ELSE n.title END AS title, coalesce(n.category, s.category) AS category FROM s FULL JOIN n ON s.id = n.id""",
     "latest_price": f"WITH {O} SELECT offer_id, retailer, seq, us, price, stock_status FROM obs QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY us DESC, seq DESC) = 1",
+    "latest_price_of_products": f"""WITH {O}, l AS (SELECT *, substr(offer_id, 2)::INT AS k FROM obs QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY us DESC, seq DESC) = 1)
+      SELECT retailer, 'sku' || k AS sku, 'p' || (k % 97) AS product_id, p_name AS title, p_type AS category, us, price, stock_status FROM l JOIN part ON p_partkey = k % 97 WHERE k % 9 > 0""",
     "price_history": f"WITH {O} SELECT offer_id, us, price FROM obs WHERE us >= 1706659200000000 - {DAYS} * 86400000000",
     "prune_history": f"""WITH {S}, r AS (SELECT *, max(day) OVER (PARTITION BY offer_id) AS m, row_number() OVER (PARTITION BY offer_id ORDER BY day DESC, seq DESC) AS back FROM sparse)
       SELECT offer_id, seq, day, price FROM r WHERE m - day <= 90 OR back <= 2""",
