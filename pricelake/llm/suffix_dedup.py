@@ -463,8 +463,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             n_bytes, removed, n, sha, kept = zip(*out, strict=True) if out else ((), (), (), (), ())
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_bytes": n_bytes, "n_removed": removed, "n_spans": n, "kept_sha256": sha, "kept": kept})
 
-    small = gone.count() <= BROADCAST_ROWS and gone.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, "id", "left").select("doc_id", "text", "spans").mapInPandas(run, KEPT)
+    return docs.join(gone, "id", "left").select("doc_id", "text", "spans").mapInPandas(run, KEPT)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
