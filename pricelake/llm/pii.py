@@ -16,9 +16,9 @@ Patterns are possessive, or anchored where a match may start, so that long runs
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,40 +164,38 @@ def training_counts(found: DataFrame, doc_id: Column) -> list[dict]:
 def boost(rows: list[dict], rounds: int = ROUNDS, rate: float = RATE) -> list[tuple]:
     """Trees of two levels by second-order gradient boosting on counted rows: (feature, cut, (feature, cut, low, high) for either side)."""
     names = ("kind", *FEATURES)
-    score, trees = [0.0] * len(rows), []
+    x = np.array([[r[f] for f in names] for r in rows], np.int64)
+    n, y = np.array([r["n"] for r in rows], float), np.array([r["y"] for r in rows], float)
+    score, trees = np.zeros(len(rows)), []
     for _ in range(rounds):
-        grads = []
-        for r, f in zip(rows, score, strict=True):
-            p = 1 / (1 + math.exp(-f))
-            grads.append((r["n"] * (r["y"] - p), r["n"] * p * (1 - p)))
-
-        def leaf(idx: list[int]) -> float:
-            return rate * sum(grads[i][0] for i in idx) / (sum(grads[i][1] for i in idx) + 1.0)
-
-        def worth(idx: list[int]) -> float:
-            return sum(grads[i][0] for i in idx) ** 2 / (sum(grads[i][1] for i in idx) + 1.0)
-
-        def split(idx: list[int]) -> tuple:
-            best = (0.0, "kind", -1)
-            for f in names:
-                for cut in sorted({rows[i][f] for i in idx})[:-1]:
-                    low = [i for i in idx if rows[i][f] <= cut]
-                    gain = worth(low) + worth([i for i in idx if rows[i][f] > cut]) - worth(idx)
-                    if gain > best[0] + 1e-9:
-                        best = (gain, f, cut)
+        p = 1 / (1 + np.exp(-score))
+        g, h = n * (y - p), n * p * (1 - p)
+
+        def leaf(idx: np.ndarray, g=g, h=h) -> float:
+            return float(rate * g[idx].sum() / (h[idx].sum() + 1.0))
+
+        def split(idx: np.ndarray, g=g, h=h) -> tuple[int, int]:
+            best, total, weight = (0.0, 0, -1), g[idx].sum(), h[idx].sum()
+            for f in range(len(names)):
+                values, which = np.unique(x[idx, f], return_inverse=True)
+                if len(values) > 1:
+                    low, under = np.cumsum(np.bincount(which, g[idx]))[:-1], np.cumsum(np.bincount(which, h[idx]))[:-1]
+                    gain = low**2 / (under + 1.0) + (total - low) ** 2 / (weight - under + 1.0) - total**2 / (weight + 1.0)
+                    k = int(np.argmax(gain))
+                    if gain[k] > best[0] + 1e-9:
+                        best = (float(gain[k]), f, int(values[k]))
             return best[1:]
 
-        every = list(range(len(rows)))
+        every = np.arange(len(rows))
         f, cut = split(every)
         sides = []
-        for side in ([i for i in every if rows[i][f] <= cut], [i for i in every if rows[i][f] > cut]):
-            g, at = split(side)
-            low, high = ([i for i in side if rows[i][g] <= at], [i for i in side if rows[i][g] > at])
-            sides.append((g, at, leaf(low), leaf(high)))
-            for part, v in ((low, sides[-1][2]), (high, sides[-1][3])):
-                for i in part:
-                    score[i] += v
-        trees.append((f, cut, *sides))
+        for side in (every[x[:, f] <= cut], every[x[:, f] > cut]):
+            k, at = split(side)
+            low, high = side[x[side, k] <= at], side[x[side, k] > at]
+            sides.append((names[k], at, leaf(low), leaf(high)))
+            score[low] += sides[-1][2]
+            score[high] += sides[-1][3]
+        trees.append((names[f], cut, *sides))
     return trees
 
 
