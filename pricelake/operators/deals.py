@@ -77,8 +77,7 @@ def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def window_statistics(obs: DataFrame, days: int = history.REFERENCE_DAYS) -> DataFrame:
     """Statistics of each row's window of earlier prices. One exchange and one sort by offer, all frames over it."""
     rows = history.reference_window(obs, days, with_prices=True)
-    p = F.array_sort(F.transform("window_rows", lambda r: r["price"]))
-    rows = rows.withColumn("p", p).withColumn("n", F.size("p"))
+    rows = rows.withColumn("p", F.array_sort("window_prices")).withColumn("n", F.size("p"))
     n = F.col("n")
     # Inclusive quantile: position q * (n - 1), interpolated.
     at = lambda a, i: F.element_at(a, (i + 1).cast("int"))
@@ -100,7 +99,7 @@ def window_statistics(obs: DataFrame, days: int = history.REFERENCE_DAYS) -> Dat
         .withColumn("mad", quantile(F.array_sort(F.transform("p", lambda x: F.abs(x - F.col("median")))), 0.5))
         .withColumn("z_score", F.when(F.col("stdev") > 0, (F.col("price") - F.col("mean")) / F.col("stdev")))
         .withColumn("genuine_savings", F.when(F.col("window_low") > 0, (1 - F.col("price") / F.col("window_low")) * 100))
-        .drop("p", "window_rows")
+        .drop("p", "window_prices")
     )
 
 

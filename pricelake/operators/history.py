@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEEP_DAYS, KEEP_LEAST, REFERENCE_DAYS = 90, 2, 30
+#: More rows than an offer has in a day.
+DAY_ROWS = 1 << 31
 
 
 def by_offer() -> WindowSpec:
@@ -72,19 +74,21 @@ def reference_window(obs: DataFrame, days: int = REFERENCE_DAYS, with_prices: bo
 
     The window has earlier rows dated at most ``days`` before the row's date, earlier rows of the same date included. Rows that
     pruning would have dropped by then don't count for history_days.
+
+    Rows are ordered by a number of their day, 2 * DAY_ROWS apart, plus their place in it, so that one frame of a fixed range holds
+    the window: its lower end falls between two days.
     """
     by_day = Window.partitionBy("offer_id").orderBy("day")
-    earlier = by_day.rangeBetween(-days, -1)
-    today = Window.partitionBy("offer_id", "day").orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.row_number().over(Window.partitionBy("offer_id", "day").orderBy("us", "seq"))
     rows = with_prior(obs).withColumn("_oldest", F.min("day").over(by_day.rangeBetween(-KEEP_DAYS, 0)))
-    low = F.least(F.min("price").over(earlier), F.min("price").over(today))
-    n = F.count("price").over(earlier) + F.count("price").over(today)
+    rows = rows.withColumn("_key", F.col("day").cast("long") * (2 * DAY_ROWS) + place)
+    window = Window.partitionBy("offer_id").orderBy("_key").rangeBetween(-(2 * days + 1) * DAY_ROWS, -1)
+    low, n = F.min("price").over(window), F.count("price").over(window)
     oldest = F.least(F.lag("_oldest").over(by_offer()), F.lag("day", KEEP_LEAST).over(by_offer()))
     rows = rows.withColumn("window_low", low).withColumn("window_n", n).withColumn("history_days", F.coalesce(F.col("day") - oldest, F.lit(0)))
     if with_prices:
-        row = F.struct("us", "seq", "price")
-        rows = rows.withColumn("window_rows", F.array_sort(F.concat(F.collect_list(row).over(earlier), F.collect_list(row).over(today))))
-    return rows.withColumn("thirty_day_low", F.coalesce("window_low", "previous_price")).drop("_oldest")
+        rows = rows.withColumn("window_prices", F.collect_list("price").over(window))
+    return rows.withColumn("thirty_day_low", F.coalesce("window_low", "previous_price")).drop("_oldest", "_key")
 
 
 def window_provenance(prices: Column) -> Column:

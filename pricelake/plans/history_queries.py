@@ -77,7 +77,7 @@ def reference_window_sparse(spark: SparkSession, d: str) -> DataFrame:
 
 def window_provenance(spark: SparkSession, d: str) -> DataFrame:
     rows = history.reference_window(A.observations(spark, d), 1, with_prices=True)
-    prices = F.when(F.col("seq") % 10 == 0, F.lit(None)).otherwise(F.transform("window_rows", lambda r: r["price"]))
+    prices = F.when(F.col("seq") % 10 == 0, F.lit(None)).otherwise(F.col("window_prices"))
     return rows.select(history.window_provenance(prices).alias("provenance")).groupBy("provenance").agg(F.count("*").alias("n"))
 
 
