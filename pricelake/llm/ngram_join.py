@@ -203,9 +203,10 @@ def groups(sets: DataFrame) -> DataFrame:
     held = materialize(held, "ngram-shared")
     meets = held.withColumn("cls", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("high", F.col("own") == F.col("cls"))
     blocks = meets.groupBy("h", "cls").agg(F.count("*").alias("members"), F.max("high").alias("some"), F.max("index").alias("index"), F.min("doc_id").alias("home"))
-    blocks = blocks.filter((F.col("members") > 1) & F.col("some") & F.col("index")).select("h", "cls", "home")
+    # Written first, so that the join's rows of one shingle can be split among tasks.
+    blocks = materialize(blocks.filter((F.col("members") > 1) & F.col("some") & F.col("index")).select("h", "cls", "home"), "ngram-blocks")
     out = materialize(meets.select("h", "cls", "high", "doc_id").join(blocks, ["h", "cls"]).select("home", "cls", "high", "doc_id").distinct(), "ngram-groups")
-    discard(keys, held)
+    discard(keys, held, blocks)
     return out
 
 

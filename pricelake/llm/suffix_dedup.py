@@ -338,10 +338,11 @@ def summed_up(segs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     has others."""
     distinct = materialize(segs.groupBy("route", "h").agg(F.min("id").alias("least")), f"{name}-distinct")
     several = distinct.groupBy("route").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("route", F.lit(True).alias("several"))
+    several = materialize(several, f"{name}-several")
     known = distinct.join(several, "route", "left").withColumnRenamed("route", "r").withColumnRenamed("h", "k")
     joined = segs.join(known, (F.col("route") == F.col("r")) & (F.col("h") == F.col("k"))).filter((F.col("id") > F.col("least")) | F.col("several"))
     joined = materialize(joined.select(*segs.columns, "least"), f"{name}-known")
-    discard(distinct)
+    discard(distinct, several)
     whole = joined.filter("id > least").select("id", F.col("at").cast("long").alias("start"), (F.col("at") + F.col("n") + (LENGTH - 1)).cast("long").alias("end"))
     return whole, joined.filter("id = least").drop("least")
 
@@ -438,7 +439,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (what is left, as bytes) of each row of docs."""
     docs = with_ids(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     ids = materialize(docs.select("id", _digest().alias("digest"), F.octet_length("text").cast("long").alias("n")), "suffix-ids")
-    first = ids.groupBy("digest").agg(F.min("id").alias("first"))
+    # Written first, so that the join's rows of one text can be split among tasks; so are the tables joined below.
+    first = ids.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("k")).filter("k > 1").select("digest", "first")
+    first = materialize(first, "suffix-first")
     copies = materialize(ids.join(first, "digest").filter(F.col("id") > F.col("first")).filter(F.col("n") >= LENGTH).select("id").distinct(), "suffix-copies")
     few = copies.count() <= BROADCAST_ROWS
     one = docs.join(F.broadcast(copies) if few else copies, "id", "left_anti")
