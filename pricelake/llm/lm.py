@@ -117,14 +117,10 @@ class Trainer:
         true = 1 - _sigmoid((h * qw).sum(axis=1) + p["b"][w] - self.log_noise[w])
         false = -_sigmoid(h @ qn.T + p["b"][n] - self.log_noise[n])
         gh = true[:, None] * qw + false @ qn
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        _add(grad["Q"], w, true[:, None] * h)
-        _add(grad["Q"], n, false.T @ h)
-        _add(grad["b"], w, true)
-        _add(grad["b"], n, false.sum(axis=0))
-        _add(grad["R"], c1, gh @ p["C"][0].T)
-        _add(grad["R"], c2, gh @ p["C"][1].T)
-        grad["C"] = np.stack([r1.T @ gh, r2.T @ gh])
+        seen = np.concatenate([w, n])
+        grad = {"R": np.zeros_like(p["R"]), "Q": np.zeros_like(p["Q"]), "C": np.stack([r1.T @ gh, r2.T @ gh]), "b": np.bincount(seen, np.concatenate([true, false.sum(axis=0)]), CLASSES).astype(np.float32)}
+        _add(grad["Q"], seen, np.concatenate([true[:, None] * h, false.T @ h]))
+        _add(grad["R"], np.concatenate([c1, c2]), np.concatenate([gh @ p["C"][0].T, gh @ p["C"][1].T]))
         for k, g in grad.items():
             g /= len(w)
             self.seen[k] += g * g
@@ -132,7 +128,8 @@ class Trainer:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    with np.errstate(over="ignore"):  # the limit is right
+        return 1 / (1 + np.exp(-x))
 
 
 class Words(dict):
