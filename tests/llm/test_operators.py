@@ -174,6 +174,12 @@ def test_language_model(spark, docs):
     assert lm.vocabulary(lm.count_words(learn.limit(0))) is None
 
 
+def test_model_beats_base_on_held_out_documents(spark):
+    """By 0.03 of a decimal logarithm a token at least, on documents that it did not learn from."""
+    rows = lm.op4_lm(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert rows["s"] > rows["b"] + 0.03 * rows["n"]
+
+
 def test_every_position_is_a_training_example(docs, monkeypatch):
     mean, used = lm._mean, []
     monkeypatch.setattr(lm, "_mean", lambda learnt: (got := mean(learnt), used.extend(r["used"] for r in got))[0])
