@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, fingerprint, language, lm, mixing, ngram_join, pii, quality, suffix_dedup
+from . import chat, decontam, fingerprint, language, lm, manifest, mixing, ngram_join, pii, quality, suffix_dedup
 
-MODULES = (language, quality, pii, lm, fingerprint, chat, decontam, suffix_dedup, mixing, ngram_join)
+MODULES = (language, quality, pii, lm, fingerprint, chat, decontam, suffix_dedup, mixing, ngram_join, manifest)
 
 
 def queries() -> dict:
