@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, divergence, fingerprint, language, lm, manifest, mixing, ngram_join, pii, quality, suffix_dedup
+from . import chat, decontam, divergence, embedding_dedup, fingerprint, language, lm, manifest, mixing, ngram_join, pii, quality, suffix_dedup
 
-MODULES = (language, quality, pii, lm, fingerprint, chat, decontam, suffix_dedup, mixing, ngram_join, divergence, manifest)
+MODULES = (language, quality, pii, lm, fingerprint, chat, decontam, suffix_dedup, mixing, ngram_join, divergence, manifest, embedding_dedup)
 
 
 def queries() -> dict:
