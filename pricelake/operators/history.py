@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -39,9 +41,9 @@ def latest_price(obs: DataFrame) -> DataFrame:
 
 
 def latest_with_products(obs: DataFrame, offers: DataFrame, products: DataFrame) -> DataFrame:
-    """The newest observation of each active offer with its product; offers never observed are left out. offers: id, product_id, sku,
-    is_active; products: id, title, category."""
-    own = offers.filter("is_active").select(F.col("id").alias("offer_id"), "product_id", "sku")
+    """The newest observation of each offer, active or not, with its product; offers never observed are left out. offers: id,
+    product_id, sku; products: id, title, category."""
+    own = offers.select(F.col("id").alias("offer_id"), "product_id", "sku")
     named = products.select(F.col("id").alias("product_id"), "title", "category")
     return latest_price(obs).join(own, "offer_id").join(named, "product_id").select("retailer", "sku", "product_id", "title", "category", "us", "price", "stock_status")
 
@@ -114,6 +116,15 @@ def merge_products(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.groupBy("product_id").agg(F.min_by(F.struct(*fields), "_side").alias("_f"), *[f(c).alias(c) for c, f in merged.items()]).select("product_id", "_f.*", *merged)
 
 
+@dataclass
+class History:
+    """A document of price histories as tables: ``products`` (product_id, schema_version, all_time_low, all_time_high, first_seen and
+    other fields) and ``rows`` (product_id and SIGNATURE). A product may have no row."""
+
+    products: DataFrame
+    rows: DataFrame
+
+
 def one_version(*sides: DataFrame) -> None:
     """Refuses to merge documents of different schema versions (each side: schema_version)."""
     found = sorted({r["schema_version"] for s in sides for r in s.select("schema_version").distinct().limit(3).collect()})
@@ -121,13 +132,29 @@ def one_version(*sides: DataFrame) -> None:
         raise ValueError(f"schema versions differ: {found}")
 
 
-def three_way_merge(base: DataFrame, incoming: DataFrame, tip: DataFrame, keys: list[str]) -> DataFrame:
-    """Tip rows that incoming did not remove, and rows that incoming added. Null-safe, distinct."""
-    added = incoming.select(keys).exceptAll(base.select(keys)).distinct()
-    removed = base.select(keys).distinct().exceptAll(incoming.select(keys).distinct())
-    on = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
-    t = tip.select(keys).distinct()
-    return t.join(removed, on(t, removed), "left_anti").union(added).distinct()
+def three_way_merge(base: History | None, incoming: History, tip: History) -> History:
+    """What two runs made of one base, both kept.
+
+    A product that one side alone has stays as it is there; not having it does not remove it. Of a product that both have, the
+    rows that incoming added stay, and the tip's rows (each once) unless incoming removed them; a row that the tip removed
+    is gone. Incoming's fields win, lifetime values are those of both. No base is an empty one.
+
+    All three sides are counted by product and signature in one exchange; only the products' ids are joined to that.
+    """
+    one_version(incoming.products, tip.products)
+    sides = {"in_base": base, "in_incoming": incoming, "in_tip": tip}
+    counted = None
+    for name, side in sides.items():
+        if side is not None:
+            rows = side.rows.select("product_id", *SIGNATURE, *[F.lit(int(name == n)).alias(n) for n in sides])
+            counted = rows if counted is None else counted.unionByName(rows)
+    counted = counted.groupBy("product_id", *SIGNATURE).agg(*[F.sum(n).alias(n) for n in sides])
+    there = incoming.products.select("product_id", F.lit(True).alias("of_incoming")).join(tip.products.select("product_id", F.lit(True).alias("of_tip")), "product_id", "full_outer")
+    once = F.least("in_tip", F.lit(1))
+    both = F.when(F.col("in_base") == 0, F.when(F.col("in_incoming") > 0, F.col("in_incoming")).otherwise(once)).when(F.col("in_incoming") > 0, once).otherwise(0)
+    copies = F.when(F.col("of_tip").isNull(), F.col("in_incoming")).when(F.col("of_incoming").isNull(), F.col("in_tip")).otherwise(both)
+    rows = counted.join(there, "product_id").select("product_id", *SIGNATURE, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_")).drop("_")
+    return History(merge_products(incoming.products, tip.products), rows)
 
 
 def daily_series(obs: DataFrame, least: int = 3) -> DataFrame:

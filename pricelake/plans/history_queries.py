@@ -40,7 +40,7 @@ def latest_price_of_products(spark: SparkSession, d: str) -> DataFrame:
     p = A.read(spark, d, "part")
     ids = obs.select("offer_id").distinct().select(F.col("offer_id").alias("id"), F.substring("offer_id", 2, 9).cast("int").alias("k"))
     offers = ids.unionByName(p.select(F.concat(F.lit("never"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").cast("int").alias("k")))
-    offers = offers.select("id", F.concat(F.lit("p"), (F.col("k") % 97).cast("string")).alias("product_id"), F.concat(F.lit("sku"), F.col("k").cast("string")).alias("sku"), (F.col("k") % 9 > 0).alias("is_active"))
+    offers = offers.select("id", F.concat(F.lit("p"), (F.col("k") % 97).cast("string")).alias("product_id"), F.concat(F.lit("sku"), F.col("k").cast("string")).alias("sku"))
     products = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"))
     return history.latest_with_products(obs, offers, products)
 
@@ -93,9 +93,32 @@ def merge_aliases(spark: SparkSession, d: str) -> DataFrame:
     return history.merge_aliases(a.drop("run"), b.drop("run"))
 
 
+def _documents(spark: SparkSession, d: str) -> tuple[history.History, ...]:
+    """Base, incoming and tip. Of parts by number: every 9th product is new in incoming, every 8th is unknown to incoming, every 7th to
+    the tip, and every 6th has no row left in incoming."""
+    part = F.substring_index("offer_id", "-", 1).cast("int")
+    base, incoming, tip = (x.withColumn("k", part).withColumnRenamed("offer_id", "product_id") for x in _sides(spark, d))
+    all_ids = A.sparse_observations(spark, d).select(F.col("offer_id").alias("product_id"), part.alias("k")).distinct()
+    knows = {"base": F.col("k") % 9 > 0, "incoming": F.col("k") % 8 > 0, "tip": (F.col("k") % 7 > 0) & (F.col("k") % 9 > 0)}
+
+    def document(name: str, rows: DataFrame) -> history.History:
+        rows = rows.filter(knows[name])
+        low = rows.groupBy("product_id").agg(F.min("price").alias("all_time_low"), F.max("price").alias("all_time_high"), F.min("day").alias("first_seen"))
+        products = all_ids.filter(knows[name]).join(low, "product_id", "left").select("product_id", F.lit(1).alias("schema_version"), F.lit(name).alias("title"), "all_time_low", "all_time_high", "first_seen")
+        return history.History(products, rows.filter("k % 6 > 0") if name == "incoming" else rows)
+
+    return document("base", base), document("incoming", incoming), document("tip", tip)
+
+
 def three_way_merge(spark: SparkSession, d: str) -> DataFrame:
-    base, incoming, tip = _sides(spark, d)
-    return history.three_way_merge(base, incoming, tip, ["offer_id", *history.SIGNATURE])
+    return history.three_way_merge(*_documents(spark, d)).rows.withColumnRenamed("product_id", "offer_id")
+
+
+def three_way_merge_products(spark: SparkSession, d: str) -> DataFrame:
+    """The products of the same merge, with the number of rows that each has."""
+    merged = history.three_way_merge(*_documents(spark, d))
+    rows = merged.rows.groupBy("product_id").agg(F.count("*").alias("n"))
+    return merged.products.join(rows, "product_id", "left").select("product_id", "title", "all_time_low", "all_time_high", "first_seen", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def merge_products(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +210,7 @@ def rule_summary(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     upsert_observations, upsert_dimensions, latest_price, latest_price_of_products, price_history, prune_history, lifetime_stats, previous_price, reference_window, reference_window_sparse, window_provenance,
-    merge_aliases, three_way_merge, merge_products, daily_series, expand_watches, alert_gate, seller_policy_filter, reference_price_verdict, verdict_counts, quarantine_invalid_baseline, window_statistics,
+    merge_aliases, three_way_merge, three_way_merge_products, merge_products, daily_series, expand_watches, alert_gate, seller_policy_filter, reference_price_verdict, verdict_counts, quarantine_invalid_baseline, window_statistics,
     genuine_savings, fake_discount, days_at_current_price, deal_badges, rule_summary,
 )}
 
@@ -207,10 +230,25 @@ judged AS (SELECT *, round((previous_price - price) / previous_price * 100, 2) A
 stats AS (SELECT *, list_aggregate(prices, 'median') AS median, list_avg(prices) AS mean, (1 - price / nullif(window_low, 0)) * 100 AS savings FROM win)"""
 
 SIDES = S + """,
-both_ AS (SELECT offer_id, day, price, seq, run, CASE WHEN run % 3 > 0 THEN day * 86400000000::BIGINT + run % 5 * 3600000000 END AS us,
+both_ AS (SELECT offer_id, day, price, seq, run, split_part(offer_id, '-', 1)::INT AS k, CASE WHEN run % 3 > 0 THEN day * 86400000000::BIGINT + run % 5 * 3600000000 END AS us,
   CASE WHEN run % 2 = 0 THEN 'in_stock' WHEN run % 3 = 0 THEN 'out_of_stock' END AS stock_status FROM sparse),
 s1 AS (SELECT * FROM both_ WHERE run % 4 <> 0), s2 AS (SELECT * FROM both_ WHERE run % 4 <> 1 AND run % 7 <> 0), s3 AS (SELECT * FROM both_ WHERE run % 5 <> 0)"""
 
+#: Product by product: one that only one side has is taken whole; else tip rows that incoming did not remove, and incoming rows that are not in the base.
+MERGED = SIDES + """,
+known AS (SELECT offer_id, k % 8 > 0 AS of_incoming, k % 7 > 0 AND k % 9 > 0 AS of_tip FROM (SELECT DISTINCT offer_id, k FROM both_)),
+b AS (SELECT DISTINCT offer_id, day, us, price, stock_status FROM s1 WHERE k % 9 > 0),
+i AS (SELECT offer_id, day, us, price, stock_status FROM s2 WHERE k % 8 > 0 AND k % 6 > 0),
+t AS (SELECT offer_id, day, us, price, stock_status FROM s3 WHERE k % 7 > 0 AND k % 9 > 0),
+removed AS (SELECT * FROM b EXCEPT SELECT * FROM i),
+added AS (SELECT i.* FROM i JOIN known USING (offer_id) WHERE of_tip AND NOT EXISTS (SELECT 1 FROM b WHERE b.offer_id = i.offer_id AND b.day = i.day AND b.price = i.price
+  AND b.us IS NOT DISTINCT FROM i.us AND b.stock_status IS NOT DISTINCT FROM i.stock_status)),
+merged AS (
+  SELECT i.* FROM i JOIN known USING (offer_id) WHERE NOT of_tip
+  UNION ALL SELECT t.* FROM t JOIN known USING (offer_id) WHERE NOT of_incoming
+  UNION ALL SELECT * FROM added
+  UNION ALL SELECT * FROM ((SELECT t.* FROM t JOIN known USING (offer_id) WHERE of_incoming EXCEPT SELECT * FROM removed) EXCEPT SELECT * FROM added))"""
+
 SQL = {
     "upsert_observations": f"""WITH {O}, both_ AS (SELECT offer_id, us, seq, price FROM obs WHERE seq % 3 < 2
       UNION ALL SELECT offer_id, us, seq + 1000000000, round(price * 1.01, 4) FROM obs WHERE seq % 3 > 0)
@@ -220,7 +258,7 @@ SQL = {
       SELECT coalesce(n.id, s.id) AS id, CASE WHEN n.id IS NULL THEN s.title ELSE n.title END AS title, coalesce(n.category, s.category) AS category FROM s FULL JOIN n ON s.id = n.id""",
     "latest_price": f"WITH {O} SELECT offer_id, retailer, seq, us, price, stock_status FROM obs QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY us DESC, seq DESC) = 1",
     "latest_price_of_products": f"""WITH {O}, l AS (SELECT *, substr(offer_id, 2)::INT AS k FROM obs QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY us DESC, seq DESC) = 1)
-      SELECT retailer, 'sku' || k AS sku, 'p' || (k % 97) AS product_id, p_name AS title, p_type AS category, us, price, stock_status FROM l JOIN part ON p_partkey = k % 97 WHERE k % 9 > 0""",
+      SELECT retailer, 'sku' || k AS sku, 'p' || (k % 97) AS product_id, p_name AS title, p_type AS category, us, price, stock_status FROM l JOIN part ON p_partkey = k % 97""",
     "price_history": f"WITH {O} SELECT offer_id, us, price FROM obs WHERE us >= 1706659200000000 - {DAYS} * 86400000000",
     "prune_history": f"""WITH {S}, r AS (SELECT *, max(day) OVER (PARTITION BY offer_id) AS m, row_number() OVER (PARTITION BY offer_id ORDER BY day DESC, seq DESC) AS back FROM sparse)
       SELECT offer_id, seq, day, price FROM r WHERE m - day <= 90 OR back <= 2""",
@@ -234,9 +272,12 @@ SQL = {
       SELECT CASE WHEN seq % 10 = 0 THEN 'unknown' WHEN n = 0 THEN 'confirmed_empty' ELSE 'genuine' END AS provenance, count(*) AS n FROM w GROUP BY 1""",
     "merge_aliases": f"""WITH {SIDES}, b AS (SELECT *, 0 AS side FROM s1 UNION ALL SELECT *, 1 FROM s2)
       SELECT offer_id, day, us, price, stock_status, seq FROM b QUALIFY row_number() OVER (PARTITION BY offer_id, day, us, price, stock_status ORDER BY side, seq) = 1""",
-    "three_way_merge": f"""WITH {SIDES}, base AS (SELECT DISTINCT offer_id, day, us, price, stock_status FROM s1), inc AS (SELECT DISTINCT offer_id, day, us, price, stock_status FROM s2),
-      tip AS (SELECT DISTINCT offer_id, day, us, price, stock_status FROM s3)
-      SELECT * FROM (SELECT * FROM inc EXCEPT SELECT * FROM base) UNION SELECT * FROM (SELECT * FROM tip EXCEPT (SELECT * FROM base EXCEPT SELECT * FROM inc))""",
+    "three_way_merge": f"WITH {MERGED} SELECT offer_id, day, us, price, stock_status FROM merged",
+    "three_way_merge_products": f"""WITH {MERGED}, n AS (SELECT offer_id, count(*) AS n FROM merged GROUP BY offer_id),
+      life AS (SELECT offer_id, 1 AS side, price, day FROM s2 WHERE k % 8 > 0 UNION ALL SELECT offer_id, 2, price, day FROM s3 WHERE k % 7 > 0 AND k % 9 > 0),
+      ends AS (SELECT offer_id, min(price) AS all_time_low, max(price) AS all_time_high, min(day) AS first_seen FROM life GROUP BY offer_id)
+      SELECT p.offer_id AS product_id, CASE WHEN of_incoming THEN 'incoming' ELSE 'tip' END AS title, all_time_low, all_time_high, first_seen, coalesce(n.n, 0) AS n
+      FROM known p LEFT JOIN ends USING (offer_id) LEFT JOIN n ON n.offer_id = p.offer_id WHERE of_incoming OR of_tip""",
     "merge_products": f"""WITH {SIDES}, i AS (SELECT offer_id, 'new ' || max(run) AS title, min(price) AS lo, max(price) AS hi, min(day) AS d FROM s2 GROUP BY offer_id), t AS (SELECT offer_id, 'old ' || max(run) AS title, min(price) AS lo, max(price) AS hi, min(day) AS d FROM s3 GROUP BY offer_id)
       SELECT coalesce(i.offer_id, t.offer_id) AS product_id, coalesce(i.title, t.title) AS title, least(i.lo, t.lo) AS all_time_low, greatest(i.hi, t.hi) AS all_time_high, least(i.d, t.d) AS first_seen FROM i FULL JOIN t ON i.offer_id = t.offer_id""",
     "daily_series": f"""WITH {O}, l AS (SELECT offer_id, day, price FROM obs QUALIFY row_number() OVER (PARTITION BY offer_id, day ORDER BY us DESC, seq DESC) = 1),

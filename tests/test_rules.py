@@ -91,11 +91,6 @@ def test_merge_properties(spark):
     once = history.merge_aliases(a, b)
     assert sorted(r["seq"] for r in once.collect()) == [1, 2, 3, 4, 5]  # a day's rows of another time or stock are kept
     assert sorted(map(str, history.merge_aliases(once.select(*a.columns), b).collect())) == sorted(map(str, once.collect()))
-    keys = ["offer_id", *history.SIGNATURE]
-    base = a.unionByName(b)
-    merged = history.three_way_merge(base, base.filter("day <> 1"), base.unionByName(spark.createDataFrame([("o", 4, 40, 8.0, None, 4)], s)), keys)
-    assert sorted(r["day"] for r in merged.collect()) == [2, 3, 4]
-    assert history.three_way_merge(a.limit(0), a, b, keys).count() == 5
     p = "product_id string, title string, site string, all_time_low double, all_time_high double, first_seen int"
     first, second = spark.createDataFrame([("o", None, "s", 5.0, 9.0, 3), ("x", "x", "s", 1.0, 1.0, 1)], p), spark.createDataFrame([("o", "t", "u", 4.0, 8.0, 2), ("y", "y", "u", 2.0, 2.0, 2)], p)
     got = {r["product_id"]: tuple(r)[1:] for r in history.merge_products(first, second).collect()}
@@ -105,6 +100,54 @@ def test_merge_properties(spark):
         history.one_version(spark.createDataFrame([(1,)], "schema_version int"), spark.createDataFrame([(2,)], "schema_version int"))
 
 
+def document(spark, products, version=1):
+    """products: id to (rows, fields); a row is (day, us, price) or (day, us, price, stock)."""
+    fields = [(k, version, f.get("title"), f.get("low"), f.get("high"), f.get("seen")) for k, (_, f) in products.items()]
+    rows = [(k, *r, *[None] * (4 - len(r))) for k, (own, _) in products.items() for r in own]
+    return history.History(
+        spark.createDataFrame(fields, "product_id string, schema_version int, title string, all_time_low double, all_time_high double, first_seen int"),
+        spark.createDataFrame(rows, "product_id string, day int, us long, price double, stock_status string"),
+    )
+
+
+OLD, BASE, A, B, LEGACY = (1, 10, 31.0, "in_stock"), (9, 90, 29.0, "in_stock"), (9, 95, 28.0, "in_stock"), (10, 99, 27.0, None), (2, None, 30.0)
+
+
+@pytest.mark.parametrize(("base", "incoming", "tip", "want"), [
+    ({"k": [BASE]}, {"k": [BASE, B]}, {"k": [BASE, A]}, {"k": [BASE, A, B]}),  # two runs from one base
+    (None, {"k": [BASE, B]}, {"k": [BASE, A]}, {"k": [BASE, A, B]}),  # no base: the union
+    ({"k": [BASE]}, {"k": [BASE], "new": [B]}, {"k": [BASE], "old": [A]}, {"k": [BASE], "new": [B], "old": [A]}),
+    ({"gone": [BASE], "new": [BASE]}, {"new": [BASE]}, {"gone": [BASE]}, {"gone": [BASE], "new": [BASE]}),  # absence on one side removes nothing
+    ({"k": [BASE], "o": [BASE]}, {"k": [BASE, B]}, {"k": [BASE], "o": [BASE, A]}, {"k": [BASE, B], "o": [BASE, A]}),
+    ({"k": [OLD, BASE]}, {"k": [BASE, B]}, {"k": [OLD, BASE]}, {"k": [BASE, B]}),  # pruned rows stay pruned
+    ({"k": [OLD, BASE]}, {"k": [BASE, B]}, {"k": [OLD, BASE, A]}, {"k": [BASE, A, B]}),
+    ({"k": [OLD, BASE]}, {"k": []}, {"k": [OLD, BASE, A]}, {"k": [A]}),  # there, but with nothing left
+    ({"k": [LEGACY, BASE]}, {"k": [LEGACY, BASE, B]}, {"k": [LEGACY, BASE, A]}, {"k": [LEGACY, BASE, A, B]}),
+    ({"k": [BASE]}, {"k": [BASE, B, B]}, {"k": [BASE, BASE, A]}, {"k": [BASE, A, B, B]}),  # what incoming repeats stays, what the tip repeats is kept once
+    ({"k": [BASE, A]}, {"k": [BASE, A]}, {"k": [BASE]}, {"k": [BASE]}),
+    ({"x": [BASE]}, {}, {}, {}), ({}, {"k": [B, B]}, {}, {"k": [B, B]}),
+])
+def test_three_way_merge(spark, base, incoming, tip, want):
+    side = lambda x: None if x is None else document(spark, {k: (rows, {}) for k, rows in x.items()})
+    merged = history.three_way_merge(side(base), side(incoming), side(tip))
+    full = lambda x: sorted(((k, *r, *[None] * (4 - len(r))) for k, rows in x.items() for r in rows), key=str)
+    rows = merged.rows.select("product_id", *history.SIGNATURE)
+    assert sorted(map(tuple, rows.collect()), key=str) == full(want)
+    assert {r["product_id"] for r in merged.products.collect()} == set(incoming) | set(tip)
+    again = history.three_way_merge(side(base), side(incoming), history.History(merged.products, merged.rows))
+    if all(len(set(v)) == len(v) for v in want.values()):
+        assert sorted(map(tuple, again.rows.select("product_id", *history.SIGNATURE).collect()), key=str) == full(want)
+
+
+def test_three_way_merge_of_fields_and_versions(spark):
+    tip = document(spark, {"k": ([BASE], {"title": "old", "low": 15.0, "high": 40.0, "seen": 1}), "t": ([], {"title": "t"})})
+    incoming = document(spark, {"k": ([BASE], {"title": None, "low": 20.0, "high": 99.0, "seen": 5}), "i": ([], {"title": "i"})})
+    got = {r["product_id"]: (r["title"], r["all_time_low"], r["all_time_high"], r["first_seen"]) for r in history.three_way_merge(None, incoming, tip).products.collect()}
+    assert got == {"k": (None, 15.0, 99.0, 1), "t": ("t", None, None, None), "i": ("i", None, None, None)}
+    with pytest.raises(ValueError, match="schema versions differ"):
+        history.three_way_merge(None, document(spark, {"k": ([BASE], {})}, version=2), tip)
+
+
 def test_zero_prices_are_quarantined(spark):
     rows = series(spark, [(20, 100), (15, 0), (10, 80), (1, 0)], 40)
     obs = rows.withColumn("reference_price", F.lit(None).cast("double"))
