@@ -58,6 +58,7 @@ SMALL = 12
 FLUSH = 2_000_000
 #: Sets of a group that are compared with all others before the trees are walked: what they link is skipped there.
 LEADS = 8
+PLACE = "_ngram_place"
 CHUNK_WORDS = 1_000_000
 CACHE = 200_000
 _RNG = np.random.default_rng(10)
@@ -549,14 +550,21 @@ def link_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those that link, directly or not, to one of a smaller id. Of rows with one id one
-    stays; rows without an id all stay."""
-    found = materialize(link_components(docs), "ngram-components")
-    kept = _among(docs, materialize(found.filter("component_id < doc_id").select("doc_id"), "ngram-dropped"), "doc_id", "left_anti")
-    twice = materialize(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "ngram-twice")
-    if twice.isEmpty():
-        return kept
-    return _among(kept, twice, "doc_id", "left_anti").unionByName(_among(kept, twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """The documents, all columns, one of each component of links: the first by id. Rows of one id are documents each, so that
+    one of them can go and another stay; rows without an id all stay.
+
+    Where ids repeat, the documents are written once in the order of their ids, and their places stand for the ids."""
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.filter("n > 1").isEmpty():
+        return _without_copies(docs, "doc_id")
+    sorted_ = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    place = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    return _without_copies(materialize(sorted_.withColumn(PLACE, place), "ngram-places"), PLACE).drop(PLACE)
+
+
+def _without_copies(docs: DataFrame, key: str) -> DataFrame:
+    found = link_components(docs.select(F.col(key).alias("doc_id"), "text")).filter("component_id < doc_id")
+    return _among(docs, materialize(found.select(F.col("doc_id").alias(key)), "ngram-dropped"), key, "left_anti")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
