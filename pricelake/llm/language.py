@@ -76,7 +76,7 @@ def fit(train: DataFrame, per_lang: int = PER_LANG, clusters: int = CLUSTERS, se
     counts = materialize(train.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
     many = counts.count() > BROADCAST_LANGS
     rate = F.lit(float(per_lang)) / F.col("n")
-    sample = train.filter(F.col("text").isNotNull()).join(counts if many else F.broadcast(counts), "lang").filter(unit(seed, F.col("doc_id")) < rate)
+    sample = train.filter(F.col("text").isNotNull()).join(counts if many else F.broadcast(counts), "lang").filter(unit(seed, F.col("doc_id"), F.xxhash64("text")) < rate)
     counted = materialize(sample.select("doc_id", "lang", "text").mapInPandas(_counted, "doc_id long, lang string, grams binary"), "language-sample")
     seen = counted.repartition(16, "doc_id").mapInPandas(_frequencies, "n long, df binary").collect()
     n, df = sum(r["n"] for r in seen), sum((np.frombuffer(r["df"], np.int64) for r in seen), np.zeros(DIMS, np.int64))
