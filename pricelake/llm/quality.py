@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed: st
         return {"prior": prior, "curve": None}
     rate = F.when(F.col("quality") == 1, per_label / counts[1]).otherwise(per_label / counts[0])
     chosen = labels.filter(unit(seed, F.col("doc_id")) < rate).withColumn("for_dict", unit(f"{seed}-use", F.col("doc_id")) < 2 / 3)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition("quality").persist()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition("doc_id").persist()
     try:
         of_dict = sample.filter("for_dict")
         every = {r["quality"]: -(-r["n"] // TRAIN_BYTES) for r in of_dict.groupBy("quality").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).collect()}
