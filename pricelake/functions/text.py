@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,3 +102,24 @@ def fold(text: Column) -> Column:
     """Lower case without the marks of the Latin letters that listings use; trademark signs become spaces."""
     marked, plain = "ăâáàäãåāçćčďéèêëěíìîïłñńňóòôöõőøřśšșşťțţúùûüůűýÿźžż®™©", "aaaaaaaacccdeeeeeiiiilnnnooooooorsssstttuuuuuuyyzzz   "
     return F.translate(F.lower(text), marked, plain)
+
+
+#: Signs of trade marks: they part words, and go before decomposition makes letters of them.
+SIGNS = {ord(c): " " for c in "®™©"}
+
+
+def plain_letters(text: str) -> str:
+    """Case folded, compatibility decomposition, without combining marks."""
+    if text.isascii():
+        return text.lower()
+    return "".join(c for c in unicodedata.normalize("NFKD", text.translate(SIGNS).casefold()) if not unicodedata.combining(c))
+
+
+def fold_all(text: Column) -> Column:
+    """Like ``fold`` for every script and sign, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(plain_letters, na_action="ignore")
+
+    return folded(text)

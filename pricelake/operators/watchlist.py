@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import written
 from .history import newest
 
 #: What stands on pages that block the real content (the first within HEAD characters), and on pages with a mere widget.
@@ -26,27 +27,83 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def _loose(text: Column) -> Column:
-    """Words after folding marks, hyphens, decimal commas, and ``16 gb`` to ``16gb``; no word is dropped."""
-    t = F.regexp_replace(F.regexp_replace(T.fold(text), r"(\d),(\d)", "$1.$2"), r"-", " ")
-    return F.filter(F.split(F.regexp_replace(t, r"(\d)\s+(gb|tb|mb|hz|inch)\b", "$1$2"), r"\s+"), lambda w: w != "")
+#: A word of a title: letters and digits, with single dots inside.
+WORD = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"
+#: Units that belong to the number before them.
+UNITS = ("gb", "tb", "mb", "ghz", "mhz", "hz", "inch", "w", "mah")
 
 
-def match_titles(watches: DataFrame, offers: DataFrame, loose: bool = False) -> DataFrame:
-    """watch_id, offer_id where every word of the query is a word of the title, at the watch's site.
+def _with_units(words: Column) -> Column:
+    """Words with each number and the unit after it as one word (``16 gb`` as ``16gb``)."""
+    line = F.regexp_replace(F.array_join(words, " "), rf"(?<![^ ])(\d+(?:\.\d+)?) ({'|'.join(UNITS)})(?![^ ])", "$1$2")
+    return F.filter(F.split(line, " "), lambda w: w != "")
+
+
+def _folded(text: Column) -> Column:
+    """Folded to plain letters, a comma between digits as a point."""
+    return F.regexp_replace(T.fold_all(text), r"(?<=\d),(?=\d)", ".")
+
+
+def _title_forms(title: Column) -> Column:
+    """All forms in which a title holds a word: as it is, with its unit, and hyphenated words as one."""
+    text = _folded(title)
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    hyphenated = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)+"), F.lit(0))
+    return F.array_distinct(F.concat(words, _with_units(words), F.transform(hyphenated, lambda w: F.replace(w, F.lit("-"), F.lit("")))))
+
+
+def _query_forms(query: Column) -> Column:
+    """Each word of a query with its alternatives: all of ``parts``, or ``joined`` (of a hyphenated word)."""
+    words = _with_units(F.filter(F.split(_folded(query), r"\s+"), lambda w: w != ""))
+    parts = lambda w: F.regexp_extract_all(w, F.lit(WORD), F.lit(0))
+    return F.transform(words, lambda w: F.struct(parts(w).alias("parts"), F.when(F.contains(w, F.lit("-")), F.array_join(parts(w), "")).alias("joined")))
+
+
+def _at_site(site: Column, retailer: Column, any_site: bool) -> Column:
+    return F.lit(True) if any_site else (site == "all") | (site == retailer)
+
+
+def match_titles(watches: DataFrame, offers: DataFrame, any_site: bool = False) -> DataFrame:
+    """watch_id, offer_id where every word of the query is a word of the title, at the watch's site or at any.
 
     The rarest word of each query is the join key, so titles meet only watches that share it; no pair is lost.
     """
-    cut = _loose if loose else _words
-    w = watches.select("watch_id", "site", F.array_distinct(cut(F.col("query"))).alias("q")).filter(F.size("q") > 0)
-    o = offers.select("offer_id", "retailer", F.array_distinct(cut(F.col("title"))).alias("t"))
+    w = watches.select("watch_id", "site", F.array_distinct(_words(F.col("query"))).alias("q")).filter(F.size("q") > 0)
+    o = offers.select("offer_id", "retailer", F.array_distinct(_words(F.col("title"))).alias("t"))
     often = o.select(F.explode("t").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     keyed = w.select("watch_id", "site", "q", F.explode("q").alias("word")).join(often, "word", "left")
     # A query with a word that no title has matches nothing.
     key = keyed.groupBy("watch_id").agg(F.min_by("word", F.struct("n", "word")).alias("key"), F.count_if(F.col("n").isNull()).alias("unknown")).filter("unknown = 0")
     w = w.join(key.select("watch_id", "key"), "watch_id")
     hits = o.withColumn("key", F.explode("t")).join(w, "key")
-    return hits.filter((F.size(F.array_except("q", "t")) == 0) & F.col("site").isin("all") | (F.size(F.array_except("q", "t")) == 0) & (F.col("site") == F.col("retailer"))).select("watch_id", "offer_id")
+    return hits.filter((F.size(F.array_except("q", "t")) == 0) & _at_site(F.col("site"), F.col("retailer"), any_site)).select("watch_id", "offer_id")
+
+
+def match_titles_loosely(watches: DataFrame, offers: DataFrame, any_site: bool = False) -> DataFrame:
+    """watch_id, offer_id, how: all strict matches (``strict``), and titles that hold every word of the query in one of its forms
+    (``normalized``): without marks and hyphens, with decimal points, units joined to their numbers. No word is dropped; a query with
+    a word of neither letters nor digits matches strictly alone.
+
+    An inverted index of titles' forms is joined by the forms of one word a query: of each word the rarest part and the joined
+    form, of the query the word whose forms are in the fewest titles. Every loose match has one of them.
+    """
+    w = watches.select("watch_id", "site", _query_forms(F.col("query")).alias("q")).filter((F.size("q") > 0) & ~F.exists("q", lambda x: F.size(x.parts) == 0))
+    titles = written(offers.select("offer_id", "retailer", _title_forms(F.col("title")).alias("t")), "title-forms")
+    index = titles.select("offer_id", F.explode("t").alias("form"))
+    often = index.groupBy("form").agg(F.count("*").alias("n"))
+    words = w.select("watch_id", F.posexplode("q").alias("at", "word"))
+    forms = words.select("watch_id", "at", F.explode("word.parts").alias("form"), F.lit(False).alias("is_joined"))
+    forms = forms.unionByName(words.filter("word.joined is not null").select("watch_id", "at", F.col("word.joined").alias("form"), F.lit(True).alias("is_joined")))
+    counted = forms.join(often, "form", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("watch_id", "at", "is_joined").agg(F.min_by("form", F.struct("n", "form")).alias("form"), F.min("n").alias("n"))
+    cost = rarest.groupBy("watch_id", "at").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > 0, F.col("form"))).alias("keys"))  # two at most
+    best = cost.groupBy("watch_id").agg(F.min_by("keys", F.struct("n", "at")).alias("keys"))
+    asked = w.join(best, "watch_id").withColumn("form", F.explode(F.array_distinct("keys")))
+    pairs = asked.join(index, "form").select("watch_id", "site", "q", "offer_id").dropDuplicates(["watch_id", "offer_id"])
+    held = F.forall("q", lambda x: (F.size(F.array_except(x.parts, F.col("t"))) == 0) | F.coalesce(F.array_contains(F.col("t"), x.joined), F.lit(False)))
+    loose = pairs.join(titles, "offer_id").filter(held & _at_site(F.col("site"), F.col("retailer"), any_site)).select("watch_id", "offer_id", F.lit("normalized").alias("how"))
+    both = loose.unionByName(match_titles(watches, offers, any_site).withColumn("how", F.lit("strict")))
+    return both.groupBy("watch_id", "offer_id").agg(F.max("how").alias("how"))  # strict comes last
 
 
 def flag_blocked_pages(pages: DataFrame) -> DataFrame:

@@ -72,9 +72,14 @@ def match_titles_strict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def match_titles_loose(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of the watches as they are, hyphenated, or with a size in one of three spellings."""
     w, o = _listing(spark, d)
     k = F.substring("watch_id", 2, 9).cast("int")
-    return watchlist.match_titles(w.withColumn("query", F.concat_ws("-", F.regexp_replace("query", " ", "-"), F.concat((k % 50).cast("string"), F.lit("gb")))), o, loose=True)
+    size = (k % 50).cast("string")
+    hyphenated = F.regexp_replace("query", " ", "-")
+    query = F.when(k % 5 == 0, F.col("query")).when(k % 5 == 1, hyphenated).when(k % 5 == 2, F.concat_ws(" ", "query", F.concat(size, F.lit("gb")))).when(k % 5 == 3, F.concat_ws(" ", "query", size, F.lit("GB"))).otherwise(F.concat_ws("-", hyphenated, F.concat(size, F.lit("gb"))))
+    title = F.when(F.length("title") % 2 == 0, F.regexp_replace("title", " ", "-")).otherwise(F.col("title"))
+    return watchlist.match_titles_loosely(w.withColumn("query", query), o.withColumn("title", title))
 
 
 #: What the pages of a challenge, of a widget and of neither have.
@@ -121,7 +126,7 @@ def _prices(spark: SparkSession, d: str) -> DataFrame:
 
 def target_price_feasibility(spark: SparkSession, d: str) -> DataFrame:
     w, o = _listing(spark, d)
-    return watchlist.target_price_feasibility(w, watchlist.match_titles(w, o), _prices(spark, d))
+    return watchlist.target_price_feasibility(w, watchlist.match_titles(w, o, any_site=True), _prices(spark, d))
 
 
 def duplicate_watches(spark: SparkSession, d: str) -> DataFrame:
@@ -236,6 +241,9 @@ def _unpivot(section: str, table: str, columns: tuple[str, ...]) -> str:
     return " UNION ALL ".join(f"SELECT '{section}' AS section, '{c}' AS metric, {c}::DOUBLE AS value, CASE WHEN {c} IS NULL THEN 'no_data' ELSE 'ok' END AS status FROM {table}" for c in columns)
 
 
+#: Words of a text parted by single spaces, numbers and their units as one: spaces are doubled, so that each word has its own two.
+_UNITED = r"list_filter(string_split(regexp_replace(' ' || replace({0}, ' ', '  ') || ' ', ' (\d+(?:\.\d+)?)  (gb|tb|mb|ghz|mhz|hz|inch|w|mah) ', ' \1\2 ', 'g'), ' '), lambda w: w <> '')"
+
 SQL = {
     "scrape_totals": f"WITH {H}, {TOTALS} SELECT * FROM tot",
     "slot_coverage": f"WITH {COVER} SELECT * FROM cov",
@@ -259,9 +267,18 @@ SQL = {
         _unpivot("none", "none_", ("runs", "store_runs", "parsed", "failures")),
     )),
     "match_titles_strict": f"WITH {M} SELECT * FROM matches",
-    "match_titles_loose": f"""WITH {W}, {A.OFFERS}, q AS (SELECT watch_id, site, string_split(lower(replace(query, ' ', '-')) || '-' || (substr(watch_id, 2)::INT % 50) || 'gb', '-') AS q FROM watches),
-      t AS (SELECT offer_id, retailer, string_split_regex(regexp_replace(replace(lower(title), '-', ' '), '(\\d)\\s+(gb)\\b', '\\1\\2', 'g'), '\\s+') AS t FROM offers)
-      SELECT watch_id, offer_id FROM q JOIN t ON (site = 'all' OR site = retailer) AND list_has_all(t, q)""",
+    "match_titles_loose": f"""WITH {W}, {A.OFFERS},
+      q AS (SELECT watch_id, site, CASE k % 5 WHEN 0 THEN query WHEN 1 THEN replace(query, ' ', '-') WHEN 2 THEN query || ' ' || (k % 50) || 'gb' WHEN 3 THEN query || ' ' || (k % 50) || ' GB' ELSE replace(query, ' ', '-') || '-' || (k % 50) || 'gb' END AS query
+        FROM (SELECT *, substr(watch_id, 2)::INT AS k FROM watches)),
+      o AS (SELECT offer_id, retailer, CASE WHEN length(title) % 2 = 0 THEN replace(title, ' ', '-') ELSE title END AS title FROM offers),
+      tw AS (SELECT *, lower(title) AS low, regexp_extract_all(lower(title), '[\\pL\\pN]+(?:\\.[\\pL\\pN]+)*') AS words FROM o),
+      t AS (SELECT offer_id, retailer, string_split_regex(low, '\\s+') AS plain,
+        list_distinct(words || {_UNITED.format("array_to_string(words, ' ')")} || list_transform(regexp_extract_all(low, '[\\pL\\pN]+(?:-[\\pL\\pN]+)+'), lambda h: replace(h, '-', ''))) AS forms FROM tw),
+      qw AS (SELECT watch_id, site, string_split_regex(lower(query), '\\s+') AS plain, list_transform({_UNITED.format("lower(query)")},
+        lambda w: struct_pack(parts := regexp_extract_all(w, '[\\pL\\pN]+(?:\\.[\\pL\\pN]+)*'), word := w)) AS words FROM q)
+      SELECT watch_id, offer_id, CASE WHEN list_has_all(t.plain, qw.plain) THEN 'strict' ELSE 'normalized' END AS how
+      FROM qw JOIN t ON site = 'all' OR site = retailer
+      WHERE list_has_all(t.plain, qw.plain) OR len(list_filter(words, lambda x: NOT (list_has_all(forms, x.parts) OR (contains(x.word, '-') AND list_contains(forms, array_to_string(x.parts, '')))))) = 0""",
     "flag_blocked_pages": """SELECT page_id, CASE WHEN page_id % 7 IN (0, 1, 4) THEN true ELSE contains(lower(html[1:2000]), 'just a moment') OR regexp_matches(lower(html), '_cf_chl_opt|/cdn-cgi/challenge-platform/h/[a-z]+/orchestrate/') END AS is_blocked,
       page_id % 7 = 2 OR contains(lower(html), 'cf-turnstile') OR contains(lower(html), 'challenges.cloudflare.com/turnstile/') AS has_widget FROM pages""",
     "classify_stock": f"""WITH x AS (SELECT p_partkey, p_partkey % 4 AS layout, lower({list(SAID)}[p_partkey // 4 % 7 + 1]) AS t, {list(CLASSES)}[p_partkey // 28 % 9 + 1] AS c, CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 5 END AS a FROM part),
@@ -278,7 +295,9 @@ SQL = {
     "shop_answer_status": """WITH b AS (SELECT user_id % 30 AS query, event_id % 200 AS shop, bool_or(event_type = 'purchase' AND event_id % 7 = 0) AS m, bool_or(event_type = 'error' AND value > 60) AS bl, bool_or(event_type = 'view' AND value > 50) AS an, bool_or(event_type = 'click') AS er FROM events GROUP BY ALL),
       s AS (SELECT query, shop, CASE WHEN m THEN 'ok' WHEN bl THEN 'blocked' WHEN an THEN 'no_match' WHEN er THEN 'error' ELSE 'unsupported' END AS status FROM b)
       SELECT *, bool_or(status = 'ok') OVER (PARTITION BY query) AS answered FROM s""",
-    "target_price_feasibility": f"""WITH {M}, {A.SPARSE}, low AS (SELECT watch_id, min(price) AS lowest FROM matches JOIN sparse USING (offer_id) GROUP BY watch_id)
+    "target_price_feasibility": f"""WITH {W}, {A.OFFERS}, {A.SPARSE},
+      found AS (SELECT watch_id, offer_id FROM watches JOIN offers ON list_has_all(string_split_regex(lower(title), '\\s+'), string_split_regex(lower(query), '\\s+'))),
+      low AS (SELECT watch_id, min(price) AS lowest FROM found JOIN sparse USING (offer_id) GROUP BY watch_id)
       SELECT watch_id, CASE WHEN target_price IS NOT NULL THEN lowest END AS lowest, CASE WHEN target_price IS NULL THEN 'not_set' WHEN lowest IS NULL THEN 'no_matching_history' WHEN target_price < lowest THEN 'below_observed_historical_low' ELSE 'within_observed_range' END AS state FROM watches LEFT JOIN low USING (watch_id)""",
     "duplicate_watches": f"""WITH {W}, k AS (SELECT watch_id, CASE WHEN site = 'all' THEN 'all' ELSE 'store' END AS site, lower(split_part(query, ' ', 1)) AS q FROM watches)
       SELECT a.watch_id, string_agg(b.watch_id, ',' ORDER BY b.watch_id) AS others FROM k a JOIN k b ON a.site = b.site AND a.q = b.q AND a.watch_id <> b.watch_id GROUP BY a.watch_id""",

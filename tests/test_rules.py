@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 import uuid
 
 import numpy as np
@@ -387,12 +388,54 @@ def test_no_data_is_never_zero(spark):
     assert got["parsed"] == (None, "no_data") and got["runs"] == (0.0, "ok")
 
 
-def test_loose_matches_contain_strict(spark):
-    w = spark.createDataFrame([("w1", "all", "laptop 16 gb"), ("w2", "s", "laptop-x"), ("w3", "all", "unseen word")], "watch_id string, site string, query string")
-    o = spark.createDataFrame([("o1", "s", "Laptop X 16GB"), ("o2", "t", "laptop 16 gb y"), ("o3", "s", "laptop-x")], "offer_id string, retailer string, title string")
-    pairs = lambda loose: {tuple(r) for r in watchlist.match_titles(w, o, loose).collect()}
-    assert pairs(False) == {("w1", "o2"), ("w2", "o3")}
-    assert pairs(True) == {("w1", "o1"), ("w1", "o2"), ("w2", "o1"), ("w2", "o3")}
+def tagged(spark, titles, queries):
+    w = spark.createDataFrame([(q, "all", q) for q in queries], "watch_id string, site string, query string")
+    o = spark.createDataFrame([(t, "s", t) for t in titles], "offer_id string, retailer string, title string")
+    return {(r["offer_id"], r["watch_id"]): r["how"] for r in watchlist.match_titles_loosely(w, o).collect()}
+
+
+LOOSE = [
+    ("Căști Sony", "casti sony"), ("SSD Kingston 1 TB", "ssd 1tb"), ("SSD Kingston 1TB NVMe", "ssd 1 tb"), ("Laptop 15,6 inch", "laptop 15.6"), ("Router Wi-Fi 6", "router wifi"),
+    ("Router WiFi 6", "router wi-fi"), ("iPhone 15, 128 GB", "iphone 15"), ("Core i5-13420H", "i5 13420h"), ("ﬁne Größe", "fine grösse"), ("Laptop-16-GB", "laptop 16gb"),
+]
+STRICT = [("LAPTOP Lenovo V15 G4 AMN", "lenovo laptop v15"), ("Acer Nitro V15", "nitro v15"), ("Xiaomi 15T", "xiaomi 15t"), ("Apple iPhone 15 128GB", "iphone 128gb"), ("Laptop 16 GB", "laptop 16"), ("SSD +", "ssd +")]
+NEVER = [("Lenovo V15 G4", "lenovo v15 g5"), ("SSD Kingston 1 TB", "ssd 2tb"), ("Router Wi-Fi 6", "router bluetooth"), ("Laptop Lenovo", "laptop lenovo v15"), ("SSD plus", "ssd +")]
+
+
+def test_loose_matching_by_forms_of_words(spark):
+    pairs = LOOSE + STRICT + NEVER
+    got = tagged(spark, {t for t, _ in pairs}, {q for _, q in pairs})
+    assert [got.get(p) for p in pairs] == ["normalized"] * len(LOOSE) + ["strict"] * len(STRICT) + [None] * len(NEVER)
+
+
+def test_loose_matches_contain_strict_ones_of_all_pairs(spark):
+    """All pairs of random titles and queries against a plain matcher."""
+    rng = np.random.default_rng(6)
+    words = ["laptop", "16", "gb", "16gb", "wi-fi", "wifi", "1,5", "1.5", "tb", "1tb", "1", "é-x", "ex", "+", "a.b", "x-", "-", "V15"]
+    texts = sorted({" ".join(rng.choice(words, rng.integers(1, 5))) for _ in range(150)})
+    titles, queries = texts[::2], texts[1::2]
+
+    def united(line):
+        out = []
+        for w in line:
+            if w in watchlist.UNITS and out and re.fullmatch(r"\d+(\.\d+)?", out[-1]):
+                out[-1] += w
+            else:
+                out.append(w)
+        return out
+
+    fold = lambda t: re.sub(r"(?<=\d),(?=\d)", ".", T.plain_letters(t))
+    cut = lambda t: re.findall(r"[^\W_]+(?:\.[^\W_]+)*", t)
+
+    def how(title, query):
+        if set(query.lower().split()) <= set(title.lower().split()):
+            return "strict"
+        forms = {*cut(fold(title)), *united(cut(fold(title))), *(w.replace("-", "") for w in re.findall(r"[^\W_]+(?:-[^\W_]+)+", fold(title)))}
+        held = [cut(w) and (set(cut(w)) <= forms or ("-" in w and "".join(cut(w)) in forms)) for w in united(fold(query).split())]
+        return "normalized" if held and all(held) else None
+
+    want = {(t, q): how(t, q) for t in titles for q in queries if how(t, q)}
+    assert tagged(spark, titles, queries) == want and len(set(want.values())) == 2
 
 
 def test_documents_of_older_shapes(spark, tmp_path):
