@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,32 +79,137 @@ def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def window_statistics(obs: DataFrame, days: int = history.REFERENCE_DAYS) -> DataFrame:
-    """Statistics of each row's window of earlier prices. One exchange and one sort by offer, all frames over it."""
-    rows = history.reference_window(obs, days, with_prices=True)
-    rows = rows.withColumn("p", F.array_sort("window_prices")).withColumn("n", F.size("p"))
-    n = F.col("n")
-    # Inclusive quantile: position q * (n - 1), interpolated.
-    at = lambda a, i: F.element_at(a, (i + 1).cast("int"))
-
-    def quantile(a: Column, q: float) -> Column:
-        pos = (F.size(a) - 1) * F.lit(q)
-        low = F.floor(pos)
-        return F.when(F.size(a) > 0, at(a, low) + (pos - low) * (at(a, F.least(low + 1, F.size(a) - 1)) - at(a, low)))
-
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    rows = rows.withColumn("median", quantile(F.col("p"), 0.5)).withColumn("mean", F.when(n > 0, total(F.col("p")) / n))
-    rows = rows.withColumn("stdev", F.when(n >= 2, F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / (n - 1))))
-    cut = F.floor(n * F.lit(TRIM)).cast("int")
-    kept = F.slice("p", cut + 1, n - 2 * cut)
-    return (
-        rows.withColumn("p25", quantile(F.col("p"), 0.25))
-        .withColumn("p75", quantile(F.col("p"), 0.75))
-        .withColumn("trimmed_mean", F.when(n > 0, total(kept) / F.size(kept)))
-        .withColumn("mad", quantile(F.array_sort(F.transform("p", lambda x: F.abs(x - F.col("median")))), 0.5))
-        .withColumn("z_score", F.when(F.col("stdev") > 0, (F.col("price") - F.col("mean")) / F.col("stdev")))
-        .withColumn("genuine_savings", F.when(F.col("window_low") > 0, (1 - F.col("price") / F.col("window_low")) * 100))
-        .drop("p", "window_prices")
-    )
+    """Statistics of each row's window of earlier prices: n, median, p25, p75 (inclusive quantiles, interpolated), mean, stdev,
+    trimmed_mean, mad, z_score, and genuine_savings against the window's low.
+
+    An offer's rows are cut into spans of ``days`` days; a span also gets the rows of the ``days`` before it. So a task holds two
+    spans of an offer at a time, and a row is sent twice at most. Within a span one structure slides over the rows.
+    """
+    rows = history.reference_window(obs, days)
+    span = F.floor(F.col("day") / days)
+    here = rows.withColumn("_span", span).withColumn("_own", F.lit(True))
+    before, names = rows.withColumn("_span", span + 1).withColumn("_own", F.lit(False)), rows.columns
+
+    def slide(span_rows: pa.Table) -> pa.Table:
+        span_rows = span_rows.sort_by([(c, "ascending") for c in ("day", "us", "seq")])
+        own = span_rows["_own"]
+        found = sliding_statistics(span_rows["day"].to_pylist(), span_rows["price"].to_pylist(), own.to_pylist(), days)
+        out = span_rows.filter(own).select(names)
+        for k, name in enumerate(STATISTICS):
+            out = out.append_column(name, pa.array([x[k] for x in found], pa.int32() if name == "n" else pa.float64()))
+        return out
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    made = ", ".join(f"{x} {'int' if x == 'n' else 'double'}" for x in STATISTICS)
+    out = here.unionByName(before).groupBy("offer_id", "_span").applyInArrow(slide, f"{kind}, {made}")
+    return out.withColumn("z_score", F.when(F.col("stdev") > 0, (F.col("price") - F.col("mean")) / F.col("stdev"))).withColumn("genuine_savings", savings())
+
+
+def savings() -> Column:
+    """How far a price is below its window's low, in percent."""
+    return F.when(F.col("window_low") > 0, (1 - F.col("price") / F.col("window_low")) * 100)
+
+
+def window_median(obs: DataFrame, days: int = history.REFERENCE_DAYS) -> DataFrame:
+    """What most readers of window_statistics need, without Python: the window's median and genuine_savings."""
+    return history.reference_window(obs, days, with_median=True).withColumn("genuine_savings", savings())
+
+
+#: Columns that sliding_statistics returns for each row, all but n null for an empty window.
+STATISTICS = ("n", "median", "mean", "stdev", "p25", "p75", "trimmed_mean", "mad")
+
+
+class Ranks:
+    """The prices of a window as counts by rank among the span's distinct prices, in Fenwick trees of counts and of sums: adding,
+    taking away, the k-th price and the sum of the k lowest take logarithmic time. Sums are whole numbers, so they are exact."""
+
+    def __init__(self, values: list[int]):
+        self.values = values
+        self.top = 1 << max(0, len(values).bit_length() - 1)
+        self.counts, self.sums, self.n, self.total, self.squares = [0] * (len(values) + 1), [0] * (len(values) + 1), 0, 0, 0
+
+    def add(self, rank: int, times: int) -> None:
+        x = self.values[rank]
+        self.n, self.total, self.squares = self.n + times, self.total + times * x, self.squares + times * x * x
+        at = rank + 1
+        while at < len(self.counts):
+            self.counts[at] += times
+            self.sums[at] += times * x
+            at += at & -at
+
+    def lowest(self, k: int) -> tuple[int, int]:
+        """(the k-th lowest price from 0 on, the sum of the k lowest)."""
+        at, left, total, step = 0, k, 0, self.top
+        while step:
+            to = at + step
+            if to < len(self.counts) and self.counts[to] <= left:
+                at, left, total = to, left - self.counts[to], total + self.sums[to]
+            step >>= 1
+        return (self.values[at], total + left * self.values[at]) if at < len(self.values) else (0, total)
+
+    def below(self, rank: int) -> int:
+        """How many prices have a lower rank."""
+        n = 0
+        while rank > 0:
+            n += self.counts[rank]
+            rank -= rank & -rank
+        return n
+
+    def kth_distance(self, centre2: int, k: int) -> int:
+        """The k-th lowest of |2 * price - centre2|, by halving the number of those at or above the centre among the nearest k + 1."""
+        split = self.below(bisect_left(self.values, (centre2 + 1) // 2))
+        low, high = max(0, k + 1 - split), min(k + 1, self.n - split)
+        while low < high:  # the least number from above with which those above are no farther than the next one below
+            above = (low + high) // 2
+            under = k + 1 - above
+            nearest_above = 2 * self.lowest(split + above)[0] - centre2
+            farthest_under = centre2 - 2 * self.lowest(split - under)[0]
+            if nearest_above < farthest_under:
+                low = above + 1
+            else:
+                high = above
+        under = k + 1 - low
+        ends = [2 * self.lowest(split + low - 1)[0] - centre2] if low else []
+        ends += [centre2 - 2 * self.lowest(split - under)[0]] if under else []
+        return max(ends)
+
+
+def sliding_statistics(days: list[int], prices: list[float], own: list[bool], width: int) -> list[tuple]:
+    """STATISTICS of the rows marked own, over the earlier rows (in the order given) of at most ``width`` days before. Rows without
+    a price are in no window."""
+    known = [None if p is None or p != p else p.as_integer_ratio() for p in prices]
+    scale = max((x[1] for x in known if x), default=1)  # a power of two that makes all prices whole
+    whole = [None if x is None else x[0] * (scale // x[1]) for x in known]
+    values = sorted({x for x in whole if x is not None})
+    rank = {x: k for k, x in enumerate(values)}
+    held, first, out = Ranks(values), 0, []
+
+    def quantile(q: float) -> float:
+        pos = (held.n - 1) * q
+        at = int(pos)
+        low = held.lowest(at)[0] / scale
+        return low + (pos - at) * (held.lowest(min(at + 1, held.n - 1))[0] / scale - low)
+
+    for k, day in enumerate(days):
+        while days[first] < day - width:
+            if whole[first] is not None:
+                held.add(rank[whole[first]], -1)
+            first += 1
+        if own[k]:
+            n = held.n
+            if not n:
+                out.append((0, *[None] * 7))
+            else:
+                mean = held.total / (n * scale)
+                spread = n * held.squares - held.total**2
+                cut = int(n * TRIM)
+                kept = held.lowest(n - cut)[1] - held.lowest(cut)[1]
+                centre2 = held.lowest((n - 1) // 2)[0] + held.lowest(n // 2)[0]
+                mad = (held.kth_distance(centre2, (n - 1) // 2) + held.kth_distance(centre2, n // 2)) / (4 * scale)
+                out.append((n, quantile(0.5), mean, math.sqrt(spread / (n * (n - 1))) / scale if n > 1 else None, quantile(0.25), quantile(0.75), kept / ((n - 2 * cut) * scale), mad))
+        if whole[k] is not None:
+            held.add(rank[whole[k]], 1)
+    return out
 
 
 def legal_discount(savings: Column) -> Column:

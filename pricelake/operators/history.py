@@ -71,8 +71,8 @@ def with_prior(obs: DataFrame) -> DataFrame:
     return obs.withColumn("previous_price", prev).withColumn("prior_low", F.min("price").over(before)).withColumn("drop_value", F.col("previous_price") - F.col("price")).withColumn("drop_percent", F.try_divide(F.col("previous_price") - F.col("price"), F.col("previous_price")) * 100)
 
 
-def reference_window(obs: DataFrame, days: int = REFERENCE_DAYS, with_prices: bool = False) -> DataFrame:
-    """Adds thirty_day_low, window_n and history_days; with_prices also window_prices, sorted by time.
+def reference_window(obs: DataFrame, days: int = REFERENCE_DAYS, with_median: bool = False) -> DataFrame:
+    """Adds thirty_day_low, window_n and history_days; with_median also the window's median.
 
     The window has earlier rows dated at most ``days`` before the row's date, earlier rows of the same date included. Rows that
     pruning would have dropped by then don't count for history_days.
@@ -88,14 +88,14 @@ def reference_window(obs: DataFrame, days: int = REFERENCE_DAYS, with_prices: bo
     low, n = F.min("price").over(window), F.count("price").over(window)
     oldest = F.least(F.lag("_oldest").over(by_offer()), F.lag("day", KEEP_LEAST).over(by_offer()))
     rows = rows.withColumn("window_low", low).withColumn("window_n", n).withColumn("history_days", F.coalesce(F.col("day") - oldest, F.lit(0)))
-    if with_prices:
-        rows = rows.withColumn("window_prices", F.collect_list("price").over(window))
+    if with_median:
+        rows = rows.withColumn("median", F.percentile("price", 0.5).over(window))
     return rows.withColumn("thirty_day_low", F.coalesce("window_low", "previous_price")).drop("_oldest", "_key")
 
 
-def window_provenance(prices: Column) -> Column:
-    """null: unknown; empty: confirmed_empty; else genuine."""
-    return F.when(prices.isNull(), "unknown").when(F.size(prices) == 0, "confirmed_empty").otherwise("genuine")
+def window_provenance(n: Column) -> Column:
+    """By the number of prices in a window. null: unknown; 0: confirmed_empty; else genuine."""
+    return F.when(n.isNull(), "unknown").when(n == 0, "confirmed_empty").otherwise("genuine")
 
 
 #: What makes two rows of a history the same observation; the time and the stock status may be missing.

@@ -76,9 +76,9 @@ def reference_window_sparse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window_provenance(spark: SparkSession, d: str) -> DataFrame:
-    rows = history.reference_window(A.observations(spark, d), 1, with_prices=True)
-    prices = F.when(F.col("seq") % 10 == 0, F.lit(None)).otherwise(F.col("window_prices"))
-    return rows.select(history.window_provenance(prices).alias("provenance")).groupBy("provenance").agg(F.count("*").alias("n"))
+    rows = history.reference_window(A.observations(spark, d), 1)
+    n = F.when(F.col("seq") % 10 != 0, F.col("window_n"))
+    return rows.select(history.window_provenance(n).alias("provenance")).groupBy("provenance").agg(F.count("*").alias("n"))
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -182,12 +182,12 @@ def window_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def genuine_savings(spark: SparkSession, d: str) -> DataFrame:
-    rows = deals.window_statistics(A.observations(spark, d), DAYS)
+    rows = deals.window_median(A.observations(spark, d), DAYS)
     return rows.select("seq", F.round("genuine_savings", 6).alias("savings"), deals.legal_discount(F.col("genuine_savings")).alias("is_legal"))
 
 
 def fake_discount(spark: SparkSession, d: str) -> DataFrame:
-    rows = deals.window_statistics(A.observations(spark, d), DAYS)
+    rows = deals.window_median(A.observations(spark, d), DAYS)
     reasons = deals.fake_discount_reasons(F.col("price"), F.col("previous_price"), F.col("reference_price"), F.col("median"), F.col("window_low"))
     return rows.select("seq", F.array_join(reasons, ",").alias("reasons"))
 
@@ -197,7 +197,7 @@ def days_at_current_price(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deal_badges(spark: SparkSession, d: str) -> DataFrame:
-    rows = deals.window_statistics(A.observations(spark, d), DAYS)
+    rows = deals.window_median(A.observations(spark, d), DAYS)
     b = deals.badges(F.col("price") < F.col("prior_low"), deals.legal_discount(F.col("genuine_savings")), F.col("previous_price") > F.col("median") * deals.INFLATED, F.col("stock_status"))
     return rows.select("seq", F.array_join(b, ",").alias("badges"))
 

@@ -39,7 +39,7 @@ def feedback_acceptance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _savings(spark: SparkSession, d: str) -> DataFrame:
-    rows = deals.window_statistics(A.observations(spark, d), DAYS).filter("seq % 7 <> 0")
+    rows = deals.window_median(A.observations(spark, d), DAYS).filter("seq % 7 <> 0")
     return retro.savings_estimate(rows, A.label_log(spark, d).filter("label = 'purchased'"))
 
 
@@ -185,7 +185,7 @@ def _feed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def product_report(spark: SparkSession, d: str) -> DataFrame:
     """One row per product: its newest observation with window, provenance, verdict and badges, and its daily series."""
-    rows = deals.window_statistics(A.observations(spark, d), DAYS)
+    rows = deals.window_median(A.observations(spark, d), DAYS)
     rows = rows.withColumn("badges", deals.badges(F.col("price") < F.col("prior_low"), deals.legal_discount(F.col("genuine_savings")), F.col("previous_price") > F.col("median") * deals.INFLATED, F.col("stock_status")))
     last = history.newest(rows, ["offer_id"], [F.desc("us"), F.desc("seq")])
     v = deals.verdict(F.col("price"), F.col("thirty_day_low"), F.col("reference_price"), F.col("history_days"))

@@ -388,6 +388,34 @@ def test_no_data_is_never_zero(spark):
     assert got["parsed"] == (None, "no_data") and got["runs"] == (0.0, "ok")
 
 
+def test_sliding_statistics_against_whole_windows():
+    rng = np.random.default_rng(11)
+    for width, levels in ((3, 4), (7, 1000), (30, 1)):
+        days = np.sort(rng.integers(0, 60, 150)).tolist()
+        prices = [None if rng.random() < 0.05 else float(x) for x in np.round(rng.normal(50, 9, levels), 2)[rng.integers(0, levels, 150)]]
+        own = [k % 10 > 0 for k in range(150)]
+        got = iter(deals.sliding_statistics(days, prices, own, width))
+        for k in np.flatnonzero(own):
+            x = np.sort([p for d, p in zip(days[:k], prices[:k], strict=True) if p is not None and d >= days[k] - width])
+            row = next(got)
+            assert row[0] == len(x)
+            if not len(x):
+                assert set(row[1:]) == {None}
+                continue
+            cut = int(len(x) * deals.TRIM)
+            want = [np.median(x), x.mean(), x.std(ddof=1) if len(x) > 1 else None, *np.quantile(x, [0.25, 0.75]), x[cut : len(x) - cut].mean(), np.median(np.abs(x - np.median(x)))]
+            assert all((a is None and b is None) or a == pytest.approx(b, abs=1e-9) for a, b in zip(row[1:], want, strict=True))
+            assert levels > 1 or row[3] in (None, 0.0)  # equal prices have no spread at all
+
+
+def test_window_statistics_keep_all_columns_in_spans(spark):
+    rows = [("o", k, k * 43_200_000_000, k // 2, None if k % 11 == 0 else 10.0 + k % 7, 2**60 + k if k % 3 else None, "x") for k in range(200)]
+    obs = spark.createDataFrame(rows, "offer_id string, seq long, us long, day int, price double, big long, n2 string")
+    got = {r["seq"]: r for r in deals.window_statistics(obs, 5).collect()}
+    assert len(got) == 200 and all(got[r[1]]["big"] == r[5] for r in rows)
+    assert all(got[k]["n"] == got[k]["window_n"] and got[k]["z_score"] is None or got[k]["stdev"] > 0 for k in range(200))
+
+
 def tagged(spark, titles, queries):
     w = spark.createDataFrame([(q, "all", q) for q in queries], "watch_id string, site string, query string")
     o = spark.createDataFrame([(t, "s", t) for t in titles], "offer_id string, retailer string, title string")
