@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import with_rank
-from .history import by_offer
+from .history import KEEP_DAYS, by_offer
 
 DAY = 86_400_000_000
 FEATURES = ("drop_pct", "relative_to_30d_median", "volatility_score_7d", "hour_of_day", "days_since_last_change")
@@ -179,82 +179,90 @@ def select_threshold(validation: DataFrame, method: str, value: float = -0.65, q
     return run.agg(F.max_by("score", F.struct(f1.alias("f1"), "score"))).first()[0]
 
 
-def pelt_drop_flag(obs: DataFrame) -> DataFrame:
+def pelt_drop_flag(obs: DataFrame, keep_days: int = KEEP_DAYS) -> DataFrame:
     """seq, pelt_flag of every row: whether the last change point of the series up to it lies within ACTIVE rows and fell.
 
-    Series are divided by their median up to the row; change points minimise squared error plus PENALTY for each, exactly.
-    An offer's whole series is the group of a task, no history is pruned: its work is its length squared for each distinct median.
+    The series of a row are the offer's rows that pruning has kept until then: those of the ``keep_days`` days before it. They are
+    divided by their median; change points minimise the squared error plus PENALTY for each, exactly.
+
+    An offer's rows are cut into spans of ``keep_days`` days, and a span also gets the rows of the one before: a task holds two spans
+    of an offer, and a row is sent twice at most.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "seq"])
-        price = pdf["price"].to_numpy(float)
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "pelt_flag": fallen(price)})
-
-    return obs.select("offer_id", "us", "seq", "price").groupBy("offer_id").applyInPandas(run, "seq long, pelt_flag boolean")
-
-
-#: Medians used last whose partitions are held; one that comes back later is worked out anew.
-PARTITIONS = 64
-
-
-class Partition:
-    """Optimal partitioning of a series with squared error; a prefix's solution is kept for the longer ones."""
-
-    def __init__(self, x: np.ndarray):
-        n = len(x)
-        self.sums = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-        self.best, self.came = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        self.best[0], self.done = -PENALTY, MIN_SIZE - 1
-
-    def cuts(self, n: int) -> list[int]:
-        """Starts of the segments after the first in the first n values."""
-        (s, q), best, came = self.sums, self.best, self.came
-        for end in range(self.done + 1, n + 1):
-            a = np.arange(0, end - MIN_SIZE + 1)
-            cost = best[a] + (q[end] - q[a]) - (s[end] - s[a]) ** 2 / (end - a) + PENALTY
-            k = int(np.argmin(cost))
-            best[end], came[end] = cost[k], a[k]
-        self.done = max(self.done, n)
-        out, end = [], n
-        while came[end] > 0:
-            end = int(came[end])
-            out.append(end)
-        return out[::-1]
-
-
-def change_points(x: np.ndarray) -> list[int]:
-    """Starts of the segments after the first."""
-    return Partition(x).cuts(len(x))
-
-
-def fallen(prices: np.ndarray) -> list[bool]:
-    """For each prefix of the prices whether its last change point is recent and fell. Prefixes of one median share a partition."""
-    parts: dict[float, tuple[np.ndarray, Partition]] = {}
-    seen: list[float] = []
-    out = []
-    for n, price in enumerate(prices.tolist(), 1):
-        if np.isnan(price):  # no median from here on
-            return out + [False] * (len(prices) - len(out))
-        insort(seen, price)
-        median = float(np.mean(seen[(n - 1) // 2 : n // 2 + 1]))
-        if n < 2 * MIN_SIZE or not median > 0:
-            out.append(False)
-            continue
-        if (found := parts.pop(median, None)) is None:
-            x = prices / median
-            found = x, Partition(x)
-            if len(parts) >= PARTITIONS:
-                parts.pop(next(iter(parts)))
-        x, part = parts[median] = found
-        cuts = part.cuts(n)
-        recent = bool(cuts) and n - cuts[-1] <= ACTIVE
-        out.append(recent and bool(x[cuts[-1] : n].mean() < x[cuts[-2] if len(cuts) > 1 else 0 : cuts[-1]].mean()))
-    return out
+        pdf = pdf.sort_values(["day", "us", "seq"])
+        own = pdf["own"].to_numpy(bool)
+        if not own.any():
+            return pd.DataFrame({"seq": [], "pelt_flag": []})
+        flags = fallen(pdf["price"].to_numpy(float), pdf["day"].to_numpy(), own, keep_days)
+        return pd.DataFrame({"seq": pdf["seq"].to_numpy()[own], "pelt_flag": flags[own]})
+
+    rows = obs.select("offer_id", "day", "us", "seq", "price")
+    span = F.floor(F.col("day") / keep_days)
+    both = rows.withColumn("span", span).withColumn("own", F.lit(True)).unionByName(rows.withColumn("span", span + 1).withColumn("own", F.lit(False)))
+    return both.groupBy("offer_id", "span").applyInPandas(run, "seq long, pelt_flag boolean")
+
 
+#: Rows whose series are partitioned together.
+TOGETHER = 128
 
-def fell(prices: np.ndarray) -> bool:
-    return fallen(prices)[-1] if len(prices) else False
+
+def fallen(prices: np.ndarray, days: np.ndarray, own: np.ndarray, keep_days: int = KEEP_DAYS) -> np.ndarray:
+    """For each row marked own whether the last change point of its series is recent and fell. A series with a missing price has none.
+
+    On prices as they are, a series has the change points that it has when divided by its median if the penalty is multiplied by the
+    median squared. So series that overlap differ in where they start and in their penalty alone, and are partitioned side by side.
+    """
+    first = np.searchsorted(days, days - keep_days)
+    medians, flags = np.full(len(prices), np.nan), np.zeros(len(prices), bool)
+    held, start, missing = [], 0, 0
+    for k, price in enumerate(prices.tolist()):
+        while start < first[k]:
+            old = float(prices[start])
+            if old != old:
+                missing -= 1
+            else:
+                held.pop(bisect_left(held, old))
+            start += 1
+        if price != price:
+            missing += 1
+        else:
+            insort(held, price)
+        if not missing and held:
+            medians[k] = (held[(len(held) - 1) // 2] + held[len(held) // 2]) / 2
+    wanted = np.flatnonzero(own & (medians > 0) & (np.arange(len(prices)) + 1 - first >= 2 * MIN_SIZE))
+    for k in range(0, len(wanted), TOGETHER):
+        rows = wanted[k : k + TOGETHER]
+        flags[rows] = _last_fell(prices, first[rows], rows + 1, PENALTY * medians[rows] ** 2)
+    return flags
+
+
+def _last_fell(prices: np.ndarray, start: np.ndarray, stop: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """For each series prices[start:stop] whether its last change point is recent and fell.
+
+    best[r, e] is the least cost of series r up to e. A segment start is dropped once another one is as good for all series: if its
+    cost up to e is no less than the best, then starting at e costs no more, for every end that leaves room for a segment.
+    """
+    base, end = int(start.min()), int(stop.max())
+    x = np.nan_to_num(prices[base:end] - prices[start[0]])
+    s, q = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
+    r, start, stop = np.arange(len(start)), start - base, stop - base
+    best, came = np.full((len(r), end - base + 1), np.inf), np.zeros((len(r), end - base + 1), int)
+    best[r, start] = -penalty
+    starts, until, latest, never = np.zeros(0, int), np.zeros(0, int), int(start.max()), end - base + 1
+    for e in range(MIN_SIZE, end - base + 1):
+        left = until > e
+        starts, until = np.append(starts[left], e - MIN_SIZE), np.append(until[left], never)
+        cost = best[:, starts] + (q[e] - q[starts] - (s[e] - s[starts]) ** 2 / (e - starts))
+        at = cost.argmin(axis=1)
+        inside = (start + MIN_SIZE <= e) & (e <= stop)
+        best[inside, e], came[inside, e] = cost[r, at][inside] + penalty[inside], starts[at][inside]
+        useless = (cost >= best[:, e, None] - 1e-12 * penalty[:, None]) | (e > stop)[:, None]
+        until[(useless | np.isinf(cost)).all(axis=0) & (starts > latest) & (until == never)] = e + MIN_SIZE
+    cut = came[r, stop]
+    before = came[r, cut]
+    sums = lambda a, b: (s[b] - s[a]) / np.maximum(b - a, 1)
+    return (cut > start) & (stop - cut <= ACTIVE) & (sums(cut, stop) < sums(before, cut))
 
 
 def ensemble_volumes(rows: DataFrame, *by: str) -> DataFrame:

@@ -370,8 +370,8 @@ def test_forest_and_change_points(spark):
     model = anomaly.fit_forest(df, trees=40)
     scored = anomaly.score_rows(df, model).orderBy("score").limit(5).collect()
     assert {r["seq"] for r in scored} == {1000, 1001, 1002, 1003, 1004} and all(-1 <= r["score"] < 0 for r in scored)
-    assert anomaly.change_points(np.array([1.0] * 10 + [0.5] * 6)) == [10]
-    assert anomaly.fell(np.array([100.0] * 10 + [60.0] * 4)) and not anomaly.fell(np.array([60.0] * 10 + [100.0] * 4)) and not anomaly.fell(np.array([5.0, 5.0]))
+    fell = lambda *prices: bool(anomaly.fallen(np.array(prices), np.zeros(len(prices), int), np.ones(len(prices), bool))[-1])
+    assert fell(*[100.0] * 10, *[60.0] * 4) and not fell(*[60.0] * 10, *[100.0] * 4) and not fell(5.0, 5.0) and not fell(*[100.0] * 10, *[60.0] * 8)
 
 
 def test_feedback_rules(spark):
@@ -483,21 +483,48 @@ def test_prompts_are_cut_after_markup_is_gone(spark):
     assert "Offer: a b at s, seller not verified" in prompt and responses.BASIS["unknown"] + ": 3.00" in prompt and "last 30 days" not in prompt
 
 
-def test_prefixes_of_one_median_share_a_partition(monkeypatch):
-    def whole(prices):
-        """The flag of one series, partitioned anew."""
-        if len(prices) < 2 * anomaly.MIN_SIZE:
-            return False
-        x = prices / np.median(prices)
-        cuts = anomaly.change_points(x)
-        return bool(cuts and len(x) - cuts[-1] <= anomaly.ACTIVE and x[cuts[-1] :].mean() < x[cuts[-2] if len(cuts) > 1 else 0 : cuts[-1]].mean())
+def whole_series_fell(prices):
+    """The flag of one series by exact partitioning of the series divided by its median."""
+    n, x = len(prices), np.array(prices) / np.median(prices)
+    if n < 2 * anomaly.MIN_SIZE or np.isnan(prices).any():
+        return False
+    best, cuts = {0: -anomaly.PENALTY}, {0: []}
+    for end in range(anomaly.MIN_SIZE, n + 1):
+        cost = {a: best[a] + ((x[a:end] - x[a:end].mean()) ** 2).sum() + anomaly.PENALTY for a in best if end - a >= anomaly.MIN_SIZE}
+        a = min(cost, key=cost.get)
+        best[end], cuts[end] = cost[a], [*cuts[a], a]
+    _, *found = cuts[n]
+    return bool(found and n - found[-1] <= anomaly.ACTIVE and x[found[-1] :].mean() < x[cuts[n][-2] : found[-1]].mean())
 
+
+@pytest.mark.parametrize("together", [128, 5])
+def test_change_points_against_exact_partitioning(monkeypatch, together):
+    monkeypatch.setattr(anomaly, "TOGETHER", together)
     rng = np.random.default_rng(8)
-    for scale in (1, 40):
-        prices = np.concatenate([rng.integers(90, 110, 60), rng.integers(40, 60, 30), rng.integers(95, 105, 30)]).astype(float) * scale
-        want = [whole(prices[: k + 1]) for k in range(len(prices))]
-        assert anomaly.fallen(prices) == want and any(want)
-    steps, argmin = [], np.argmin
-    monkeypatch.setattr(np, "argmin", lambda cost: (steps.append(1), argmin(cost))[1])
-    anomaly.fallen(np.full(200, 5.0))
-    assert len(steps) <= 200
+    steps = np.concatenate([rng.normal(100, 4, 50), rng.normal(55, 4, 25), rng.normal(100, 2, 25), rng.normal(80, 1, 20)])
+    wild = rng.uniform(1, 200, 90)
+    level = np.repeat([50.0, 40.0, 60.0, 30.0], 25)
+    gap = np.where(np.arange(90) == 30, np.nan, steps[:90])
+    for prices in (steps, wild, level, gap):
+        for scale, keep in ((1, 1000), (40, 20)):
+            days, own = np.arange(len(prices)) // 2, rng.random(len(prices)) < 0.8
+            got = anomaly.fallen(prices * scale, days, own, keep)
+            want = [bool(own[k]) and whole_series_fell((prices * scale)[np.searchsorted(days, days[k] - keep) : k + 1]) for k in range(len(prices))]
+            assert got.tolist() == want
+            assert any(want) or prices is gap
+
+
+def test_change_points_of_level_series_are_found_in_linear_time(monkeypatch):
+    widths, real = [], np.isinf
+    monkeypatch.setattr(anomaly.np, "isinf", lambda cost: (widths.append(cost.shape[1]), real(cost))[1])
+    prices = np.concatenate([np.full(400, 5.0), np.full(400, 4.0)])
+    flags = anomaly.fallen(prices, np.zeros(800, int), np.arange(800) == 799)
+    assert not flags.any() and np.mean(widths) < 12
+
+
+def test_change_points_in_spans_are_those_of_the_kept_series(spark):
+    rng = np.random.default_rng(9)
+    prices = np.round(np.concatenate([rng.normal(100, 3, 80), rng.normal(60, 3, 60), rng.normal(90, 3, 60)]), 3)
+    rows = [("o", k // 2, k * 10, k, float(p)) for k, p in enumerate(prices)]
+    got = {r["seq"]: r["pelt_flag"] for r in anomaly.pelt_drop_flag(spark.createDataFrame(rows, "offer_id string, day int, us long, seq long, price double"), keep_days=15).collect()}
+    assert got == {k: whole_series_fell([p for _, d, _, j, p in rows if k // 2 - 15 <= d and j <= k]) for k in range(200)} and any(got.values())
