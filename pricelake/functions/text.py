@@ -49,6 +49,14 @@ def uuid5(name: Column, space: str = URL_SPACE) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
 
 
+def offer_uuid(retailer: Column, sku: Column) -> Column:
+    return uuid5(F.concat_ws(":", F.lit("offer"), retailer, sku))
+
+
+def product_uuid(title: Column) -> Column:
+    return uuid5(F.concat(F.lit("product:"), title))
+
+
 def fingerprint(retailer: Column, sku: Column) -> Column:
     return F.concat(F.lit("pid-v1:"), F.sha2(F.concat_ws(":", retailer, sku).cast("binary"), 256))
 

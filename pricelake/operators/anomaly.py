@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import with_rank
 from .history import KEEP_DAYS, by_offer
 
 DAY = 86_400_000_000
@@ -297,15 +296,30 @@ def labelled_metrics(rows: DataFrame, gate: int = LABEL_GATE) -> DataFrame:
     return rows.agg(F.count("*").alias("labelled"), F.when(tp + fp > 0, F.round(tp / (tp + fp), 4)).alias("precision"), F.when(tp + fn > 0, F.round(tp / (tp + fn), 4)).alias("recall"), state.alias("gate"))
 
 
-def bootstrap_interval(rows: DataFrame, value: str, samples: int = 1000, seed: int = SEED) -> DataFrame:
-    """95 % percentile interval of the mean of ``value`` by resampling. Draw k of a sample is a hash of seed, sample and k."""
-    n = rows.count()
-    indexed = with_rank(rows.select("seq", value), "at", "seq").select((F.col("at") - 1).cast("long").alias("i"), F.col(value).cast("double").alias("v"))
-    draws = rows.sparkSession.range(samples * n).select((F.col("id") % samples).alias("sample"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(max(n, 1))).alias("i"))
-    means = draws.join(indexed, "i").groupBy("sample").agg(F.avg("v").alias("m"))
-    order = means.agg(F.array_sort(F.collect_list("m")).alias("m"))
-    pick = lambda q: F.round(F.try_element_at("m", (F.floor(F.lit(q) * (F.size("m") - 1)) + 1).cast("int")), 4)
-    return order.select(F.lit(n).alias("n"), pick(0.025).alias("low"), pick(0.975).alias("high"))
+def bootstrap_intervals(rows: DataFrame, samples: int = 1000, seed: int = SEED) -> DataFrame:
+    """statistic, value, low, high: 95 % percentile intervals of ``precision`` and ``recall`` of flag against label, and of
+    ``label_precision``, the share of labels that are 1, by resampling all rows. Resamples in which a statistic is not defined are left out.
+
+    The statistics of a resample depend only on how often each of the four kinds of rows was drawn, and these numbers are
+    multinomial. So one pass counts the kinds, and the resamples are drawn from the counts: no row is shuffled for them.
+    """
+    kinds = {(r["flag"], r["label"]): r["n"] for r in rows.groupBy(F.col("flag").cast("int").alias("flag"), F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
+    counts = np.array([kinds.get(k, 0) for k in ((1, 1), (1, 0), (0, 1), (0, 0))])
+    n = int(counts.sum())
+    drawn = np.random.default_rng(seed).multinomial(n, counts / n, samples) if n else np.zeros((0, 4), int)
+
+    def statistics(c: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        hit, false, missed, _ = c.T
+        return {"precision": (hit, hit + false), "recall": (hit, hit + missed), "label_precision": (hit + missed, c.sum(axis=1))}
+
+    found = []
+    whole = statistics(counts[None])
+    for name, (part, of) in statistics(drawn).items():
+        values = np.sort(part[of > 0] / of[of > 0])
+        at = lambda q: round(float(values[int(q * (len(values) - 1))]), 4) if len(values) else None  # noqa: B023, E731
+        value = round(float(whole[name][0][0] / whole[name][1][0]), 4) if whole[name][1][0] else None
+        found.append((name, value, at(0.025), at(0.975)))
+    return rows.sparkSession.createDataFrame(found, "statistic string, value double, low double, high double")
 
 
 def top_flagged(rows: DataFrame, k: int = 20) -> DataFrame:

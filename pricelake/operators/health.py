@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 
 def store_run_health(fetches: DataFrame) -> DataFrame:
-    """One row per store and run: records by kind, mean latency, first record."""
+    """One row per store and run: records by kind, mean latency, first record; whether a challenge was waited for, and whether one
+    stood in the way to the end."""
     return fetches.groupBy("store", "run").agg(
         F.count("*").alias("requested"), F.count_if(F.col("kind") == "view").alias("parsed"), F.count_if(F.col("kind") == "purchase").alias("matched"), F.count_if(F.col("kind") == "error").alias("failures"),
-        F.count_if(F.col("kind") == "click").alias("rate_limit_hits"), F.bool_or(F.col("kind") == "signup").alias("challenged"), F.avg("latency").alias("latency"), F.min("us").alias("started_us"),
+        F.count_if(F.col("kind") == "click").alias("rate_limit_hits"), F.bool_or("is_challenge").alias("challenge_detected"), F.bool_or("is_wait").alias("challenge_wait_entered"), F.avg("latency").alias("latency"), F.min("us").alias("started_us"),
         F.count_if("is_skipped").alias("skipped"), F.count_if("is_blocked").alias("blocked"), F.sum("tries").alias("attempts"),
     )
 
@@ -51,20 +52,25 @@ def probe_due(health: DataFrame, now_us: Column, hours: int = 6) -> DataFrame:
 
 
 def rate_limited_stores(health: DataFrame, now_us: Column, share: float = 0.05, minutes: int = 30) -> DataFrame:
-    last = health.groupBy("store").agg(F.max_by(F.struct("requested", "rate_limit_hits", "started_us"), "run").alias("l")).select("store", "l.*")
-    return last.filter((F.col("requested") > 0) & (F.col("rate_limit_hits") / F.col("requested") > share) & (now_us - F.col("started_us") < minutes * 60_000_000))
+    """Stores whose newest run met limits in more than this share of its attempts, until so long after its start."""
+    last = health.groupBy("store").agg(F.max_by(F.struct("attempts", "rate_limit_hits", "started_us"), "run").alias("l")).select("store", "l.*")
+    return last.filter((F.col("attempts") > 0) & (F.col("rate_limit_hits") / F.col("attempts") > share) & (now_us - F.col("started_us") < minutes * 60_000_000))
 
 
-def health_alerts(before: DataFrame, after: DataFrame, now_us: Column, dead_hours: int = 24) -> DataFrame:
-    """Newly quarantined stores, recovered ones, and stores without a success for a day, each with its outage: the first run of the
-    streak without a product (the one that ended, for recovered ones), or the last success."""
+def health_alerts(before: DataFrame, new: DataFrame, probed: DataFrame, now_us: Column, dead_hours: int = 24) -> DataFrame:
+    """What a run tells: newly quarantined stores, with the first run of their outage; probed stores that parse again, with this run; and
+    stores of this run without a success for a day, with the last one. A probe that stays in quarantine is not told again, nor is a
+    store that never had a success. before and new: health rows up to the run and of it; probed: store."""
+    after = before.unionByName(new)
     was, is_ = quarantined_stores(before), quarantined_stores(after)
-    now, then = (outage_start(h).select("store", F.concat(F.lit("run "), F.col("outage_run").cast("string")).alias("outage")) for h in (after, before))
-    new = is_.join(was, "store", "left_anti").withColumn("kind", F.lit("quarantined")).join(now, "store", "left")
-    back = was.join(is_, "store", "left_anti").withColumn("kind", F.lit("recovered")).join(then, "store", "left")
-    good = after.groupBy("store").agg(F.max(F.when(F.col("parsed") > 0, F.col("started_us"))).alias("good"))
-    dead = good.filter(F.col("good").isNull() | (now_us - F.col("good") > dead_hours * 3_600_000_000)).select("store", F.lit("dead_man").alias("kind"), F.concat(F.lit("since "), F.coalesce(F.col("good").cast("string"), F.lit("ever"))).alias("outage"))
-    return new.unionByName(back).unionByName(dead)
+    told = lambda text, value: F.concat(F.lit(text), value.cast("string")).alias("outage")
+    began = outage_start(after).select("store", told("run ", F.col("outage_run")))
+    bad = is_.join(was, "store", "left_anti").select("store", F.lit("quarantined").alias("kind")).join(began, "store")
+    back = new.filter("parsed > 0").join(probed.select("store"), "store", "left_semi").join(is_, "store", "left_anti").select("store", F.lit("recovered").alias("kind"), told("run ", F.col("run")))
+    still = probed.select("store").join(is_, "store", "left_semi")
+    good = after.groupBy("store").agg(F.max(F.when(F.col("parsed") > 0, F.col("started_us"))).alias("good")).filter(now_us - F.col("good") > dead_hours * 3_600_000_000)
+    dead = new.select("store").join(good, "store").join(still, "store", "left_anti").select("store", F.lit("dead_man").alias("kind"), told("since ", F.col("good")))
+    return bad.unionByName(back).unionByName(dead)
 
 
 def health_summary(health: DataFrame) -> DataFrame:
@@ -74,8 +80,8 @@ def health_summary(health: DataFrame) -> DataFrame:
 
 
 def store_status(health: DataFrame) -> DataFrame:
-    last = health.groupBy("store").agg(F.max_by(F.struct("run", "parsed", "challenged"), "run").alias("l")).select("store", "l.*")
+    last = health.groupBy("store").agg(F.max_by(F.struct("run", "parsed", "challenge_detected", "challenge_wait_entered"), "run").alias("l")).select("store", "l.*")
     bad = quarantined_stores(health).withColumn("bad", F.lit(True))
-    status = F.when(F.col("bad"), "QUARANTINED").when(F.col("parsed") == 0, "NO PRODUCTS").when(F.col("challenged"), "CHALLENGED").otherwise("OK")
-    challenge = F.when(~F.col("challenged"), "none").when(F.col("parsed") > 0, "cleared").otherwise("blocked")
+    status = F.when(F.col("bad"), "QUARANTINED").when(F.col("parsed") == 0, "NO PRODUCTS").when(F.col("challenge_detected"), "CHALLENGED").otherwise("OK")
+    challenge = F.when(F.col("challenge_detected"), "blocked").when(F.col("challenge_wait_entered"), "cleared").otherwise("none")
     return last.join(bad, "store", "left").select("store", "run", status.alias("status"), challenge.alias("challenge"))

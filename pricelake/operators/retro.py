@@ -46,7 +46,7 @@ def retailer_ranking(health: DataFrame) -> DataFrame:
     tried = F.sum("parsed") + F.sum("failures")
     by = health.groupBy("store").agg(
         F.count("*").alias("runs"), F.count_if(F.col("parsed") == 0).alias("zero_runs"), F.when(tried > 0, F.round(F.sum("parsed") / tried, 6)).alias("success_rate"),
-        F.round(F.avg(F.col("challenged").cast("int")), 6).alias("challenge_rate"), F.round(F.percentile("latency", 0.5), 6).alias("median_latency"),
+        F.round(F.avg(F.col("challenge_detected").cast("int")), 6).alias("challenge_rate"), F.round(F.avg(F.col("challenge_wait_entered").cast("int")), 6).alias("challenge_wait_rate"), F.round(F.percentile("latency", 0.5), 6).alias("median_latency"),
     )
     at = F.row_number().over(Window.partitionBy(F.col("success_rate").isNull()).orderBy(F.desc("success_rate"), "challenge_rate", "store"))
     return by.withColumn("rank", F.when(F.col("success_rate").isNotNull(), at))

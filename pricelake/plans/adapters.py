@@ -114,6 +114,8 @@ def health(spark: SparkSession, sf_dir: str, slot_us: int = SLOT_US) -> DataFram
         F.col("event_type").alias("kind"),
         F.col("value").alias("latency"),
         F.col("event_id").alias("seq"),
+        ((F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0)).alias("is_challenge"),
+        ((F.col("event_type") == "signup") & (F.col("event_id") % 5 > 0)).alias("is_wait"),
         (F.col("event_id") % 31 == 0).alias("is_skipped"),
         (F.col("event_id") % 37 == 0).alias("is_blocked"),
         (F.col("event_id") % 3 + 1).alias("tries"),
@@ -123,7 +125,7 @@ def health(spark: SparkSession, sf_dir: str, slot_us: int = SLOT_US) -> DataFram
 
 HEALTH = f"""
 fetches AS (SELECT 'store_' || (user_id % 4) AS store, (epoch_us(ts) // {SLOT_US})::BIGINT AS run, epoch_us(ts) AS us, event_type AS kind,
-  value AS latency, event_id AS seq, event_id % 31 = 0 AS is_skipped, event_id % 37 = 0 AS is_blocked, event_id % 3 + 1 AS tries,
+  value AS latency, event_id AS seq, event_type = 'signup' AND event_id % 3 = 0 AS is_challenge, event_type = 'signup' AND event_id % 5 > 0 AS is_wait, event_id % 31 = 0 AS is_skipped, event_id % 37 = 0 AS is_blocked, event_id % 3 + 1 AS tries,
   CASE WHEN event_type = 'error' THEN ['timeout', 'no_price', 'changed_markup'][event_id % 3 + 1] END AS reason FROM events)"""
 
 LABELS = ("useful", "purchased", "fake_discount", "wrong_price", "duplicate")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, feedback
+from ..operators import anomaly, delivery, feedback
 from . import adapters as A
-from .operations_queries import CUR
+from .operations_queries import CUR, uuid5
 
 
 def causal_features(spark: SparkSession, d: str) -> DataFrame:
@@ -16,11 +16,15 @@ def causal_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    rows = anomaly.causal_features(A.observations(spark, d))
-    ids = F.array(F.col("seq") % 200, (F.col("seq") + 7) % 200)
-    decided = A.label_log(spark, d).filter("alert_id % 3 = 0").select(F.col("alert_id").alias("id"))
-    labels = feedback.vote_labels(A.label_log(spark, d)).filter("alert_id % 2 = 0").select(F.col("alert_id").alias("id"), "label")
-    return anomaly.attach_outcomes(rows, ids, decided, labels)
+    """Alerts were decided on every third observation, some with their price spelled whole; raters labelled those of the first 200
+    observations, even ones."""
+    obs = A.observations(spark, d).withColumn("price", F.when(F.col("seq") % 4 == 0, F.floor("price").cast("double")).otherwise(F.col("price")))
+    rows = anomaly.causal_features(obs)
+    ids = delivery.candidate_decision_ids(F.col("offer_id"), F.col("price"), F.col("retailer"))
+    spelled = F.when(F.col("seq") % 8 == 0, F.col("price").cast("long").cast("string")).otherwise(delivery.price_text(F.col("price")))
+    alerts = obs.select("seq", delivery.decision_id(delivery.dedup_key(F.col("offer_id"), spelled, F.col("retailer"))).alias("id"))
+    votes = feedback.vote_labels(A.label_log(spark, d)).filter("alert_id % 2 = 0").select(F.col("alert_id").alias("seq"), "label")
+    return anomaly.attach_outcomes(rows, ids, alerts.filter("seq % 3 = 0").select("id"), alerts.join(votes, "seq").select("id", "label"))
 
 
 def attach_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -53,8 +57,8 @@ def average_precision(spark: SparkSession, d: str) -> DataFrame:
     return anomaly.average_precision(_flagged(spark, d).filter("label is not null"))
 
 
-def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    return anomaly.bootstrap_interval(_flagged(spark, d).filter("label is not null and forest"), "label")
+def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return anomaly.bootstrap_intervals(_flagged(spark, d).filter("label is not null").withColumn("flag", F.col("forest") | F.col("pelt_flag")))
 
 
 def top_flagged(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +92,7 @@ def pelt_drop_flag(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    causal_features, attach_outcomes, chronological_split, ensemble_volumes, retailer_slices, labelled_metrics, average_precision, bootstrap_interval, top_flagged, select_threshold, select_threshold_quantile, data_profile,
+    causal_features, attach_outcomes, chronological_split, ensemble_volumes, retailer_slices, labelled_metrics, average_precision, bootstrap_intervals, top_flagged, select_threshold, select_threshold_quantile, data_profile,
     isolation_forest, pelt_drop_flag,
 )}
 
@@ -100,12 +104,17 @@ feat AS (SELECT a.seq, a.offer_id, a.retailer, a.us, a.price, any_value(a.prev)
   FROM s a JOIN s b ON b.offer_id = a.offer_id AND b.us <= a.us WHERE a.rn > 1 GROUP BY a.seq, a.offer_id, a.retailer, a.us, a.price),
 f AS (SELECT seq, offer_id, retailer, us, price, CASE WHEN prev > 0 THEN (prev - price) / prev * 100 ELSE 0 END AS drop_pct, CASE WHEN med > 0 THEN price / med - 1 ELSE 0 END AS relative_to_30d_median,
   CASE WHEN n7 >= 2 AND mean7 > 0 THEN sd7 / mean7 ELSE 0 END AS volatility_score_7d, (us // 3600000000 % 24)::DOUBLE AS hour_of_day, (us - since) / {D} AS days_since_last_change FROM feat)"""
-OUT = FEAT + ", " + CUR + """,
+#: The same with whole prices at every fourth row.
+STAGED = FEAT.replace("FROM obs WINDOW", "FROM (SELECT * REPLACE (CASE WHEN seq % 4 = 0 THEN floor(price) ELSE price END AS price) FROM obs) WINDOW")
+OUT = STAGED + ", " + CUR + f""",
 v AS (SELECT alert_id AS id, (sum(CASE WHEN label IN ('useful','purchased') THEN 1 WHEN label IN ('fake_discount','wrong_price') THEN -1 ELSE 0 END) > 0)::INT AS label FROM cur WHERE alert_id % 2 = 0 GROUP BY alert_id
   HAVING sum(CASE WHEN label IN ('useful','purchased') THEN 1 WHEN label IN ('fake_discount','wrong_price') THEN -1 ELSE 0 END) <> 0),
-dec AS (SELECT DISTINCT alert_id AS id FROM label_log WHERE alert_id % 3 = 0),
-o AS (SELECT f.*, seq % 200 IN (SELECT id FROM dec) OR (seq + 7) % 200 IN (SELECT id FROM dec) AS deterministic_alert, coalesce(a.label, b.label) AS label,
-  drop_pct > 50 AS forest, relative_to_30d_median < -0.5 AS pelt_flag, -round(greatest(drop_pct, 0), 2) / 200 AS score FROM f LEFT JOIN v a ON a.id = seq % 200 LEFT JOIN v b ON b.id = (seq + 7) % 200)"""
+al AS (SELECT seq, {uuid5("'alert-decision:' || sha256(offer_id || ':' || CASE WHEN seq % 8 = 0 THEN price::BIGINT::VARCHAR ELSE price::VARCHAR END || ':' || retailer)")} AS id
+  FROM (SELECT seq, offer_id, retailer, CASE WHEN seq % 4 = 0 THEN floor(price) ELSE price END AS price FROM obs)),
+dec AS (SELECT DISTINCT id FROM al WHERE seq % 3 = 0), lab AS (SELECT al.id, v.label FROM al JOIN v ON v.id = al.seq),
+fi AS (SELECT *, {uuid5("'alert-decision:' || sha256(offer_id || ':' || price::VARCHAR || ':' || retailer)")} AS id1, CASE WHEN price = floor(price) THEN {uuid5("'alert-decision:' || sha256(offer_id || ':' || price::BIGINT || ':' || retailer)")} END AS id2 FROM f),
+o AS (SELECT fi.*, coalesce(id1 IN (SELECT id FROM dec), false) OR coalesce(id2 IN (SELECT id FROM dec), false) AS deterministic_alert, coalesce(a.label, b.label) AS label,
+  drop_pct > 50 AS forest, relative_to_30d_median < -0.5 AS pelt_flag, -round(greatest(drop_pct, 0), 2) / 200 AS score FROM fi LEFT JOIN lab a ON a.id = id1 LEFT JOIN lab b ON b.id = id2)"""
 VOL = """count(*) AS rows, count(*) FILTER (WHERE forest) AS forest, count(*) FILTER (WHERE pelt_flag) AS pelt, count(*) FILTER (WHERE forest AND pelt_flag) AS confirmed, count(*) FILTER (WHERE forest <> pelt_flag) AS disagree,
   count(*) FILTER (WHERE forest AND pelt_flag AND NOT deterministic_alert) AS model_only, count(*) FILTER (WHERE NOT (forest AND pelt_flag) AND deterministic_alert) AS policy_only, count(label) AS labelled,
   round(count(*) FILTER (WHERE forest AND pelt_flag) / count(*), 6) AS flag_rate"""

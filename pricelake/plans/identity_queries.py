@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import identity as I
 from . import adapters as A
+from .operations_queries import uuid5
 
 RULES = ("generic", "html_slug", "last_slug", "trailing_id")
 
@@ -31,7 +32,8 @@ def offer_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deterministic_ids(spark: SparkSession, d: str) -> DataFrame:
-    return A.offers(spark, d).select("offer_id", T.uuid5(F.concat_ws(":", "retailer", "sku")).alias("id"))
+    o = A.offers(spark, d)
+    return o.select("offer_id", T.offer_uuid(F.col("retailer"), F.col("sku")).alias("id"), T.product_uuid(F.col("title")).alias("product_id"))
 
 
 def normalize_prices(spark: SparkSession, d: str) -> DataFrame:
@@ -113,8 +115,7 @@ SQL = {
       SELECT page_id, CASE WHEN coalesce(by_rule, '') <> '' THEN by_rule ELSE seg[-1] END AS sku,
         CASE WHEN coalesce(by_rule, '') <> '' THEN 'rule:' || ['generic','html_slug','last_slug','trailing_id'][k + 1] WHEN k = 0 THEN 'last_segment' ELSE 'legacy' END AS method FROM r""",
     "offer_fingerprint": f"WITH {A.OFFERS} SELECT offer_id, 'pid-v1:' || sha256(retailer || ':' || sku) AS fingerprint FROM offers",
-    "deterministic_ids": f"""WITH {A.OFFERS}, h AS (SELECT offer_id, sha1(unhex('{T.URL_SPACE}') || encode(retailer || ':' || sku)) AS h FROM offers)
-      SELECT offer_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1)) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""",
+    "deterministic_ids": f"""WITH {A.OFFERS} SELECT offer_id, {uuid5("'offer:' || retailer || ':' || sku")} AS id, {uuid5("'product:' || title")} AS product_id FROM offers""",
     "normalize_titles": f"""WITH {A.OFFERS}, x AS (SELECT DISTINCT title, list_sort({TOKENS.format('title')}) AS t FROM offers)
       SELECT title, array_to_string(t, ' ') AS tokens, array_to_string(list_filter(t, lambda w: w IN ({COLORS})), ' ') AS colors, array_to_string(list_filter(t, lambda w: regexp_full_match(w, '[0-9]+(gb|tb)')), ' ') AS capacities FROM x""",
     "title_pairs": f"WITH {PAIRS} SELECT a AS a_offer_id, b AS b_offer_id, score, reasons FROM pairs WHERE score >= 0.75",

@@ -248,7 +248,7 @@ SQL = {
     "scrape_totals": f"WITH {H}, {TOTALS} SELECT * FROM tot",
     "slot_coverage": f"WITH {COVER} SELECT * FROM cov",
     "retailer_ranking": f"""WITH {H}, b AS (SELECT store, count(*) AS runs, count(*) FILTER (WHERE parsed = 0) AS zero_runs, round(sum(parsed) / nullif(sum(parsed) + sum(failures), 0), 6) AS success_rate,
-      round(avg(challenged::INT), 6) AS challenge_rate, round(median(latency), 6) AS median_latency FROM h GROUP BY store)
+      round(avg(challenge_detected::INT), 6) AS challenge_rate, round(avg(challenge_wait_entered::INT), 6) AS challenge_wait_rate, round(median(latency), 6) AS median_latency FROM h GROUP BY store)
       , rs AS (SELECT store, string_agg(reason || '=' || n, ',' ORDER BY n DESC, reason) AS reasons FROM (SELECT store, reason, count(*) AS n FROM fetches WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY store)
       SELECT b.*, CASE WHEN success_rate IS NOT NULL THEN row_number() OVER (ORDER BY success_rate DESC NULLS LAST, challenge_rate, store)::INT END AS rank, reasons FROM b LEFT JOIN rs USING (store)""",
     "outbox_metrics": f"WITH {EFF} SELECT source, count(*) FILTER (WHERE status = 'SENT') AS sent, count(*) FILTER (WHERE status = 'PENDING') AS pending, count(*) FILTER (WHERE status = 'DEAD_LETTER') AS dead_letter FROM eff GROUP BY source",

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelake.functions import text as T
-from pricelake.operators import anomaly, deals, feedback, history, identity, responses, retro, watchlist
+from pricelake.operators import anomaly, deals, delivery, feedback, health, history, identity, responses, retro, watchlist
 from pricelake.plans import identity_queries, response_queries
 from pricelake.sources import documents
 from pricelake.streaming import jobs
@@ -284,13 +284,87 @@ def test_report_without_events_says_so(spark):
     assert got == {"a": (0.0, "ok"), "b": (None, "missing")}
 
 
-def test_bootstrap_against_brute_force(spark):
-    values = [0.0, 1.0, 1.0, 0.0, 1.0, 5.0]
-    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "seq long, v double")
-    r = anomaly.bootstrap_interval(df, "v", samples=50).first()
-    drawn = spark.range(50 * len(values)).select((F.col("id") % 50).alias("s"), F.pmod(F.xxhash64(F.lit(anomaly.SEED), F.col("id")), F.lit(len(values))).alias("i")).collect()
-    means = sorted(np.mean([values[x["i"]] for x in drawn if x["s"] == s]) for s in range(50))
-    assert (r["n"], r["low"], r["high"]) == (6, round(means[1], 4), round(means[47], 4))
+def test_bootstrap_against_resampled_rows(spark):
+    """The intervals of drawn counts against those of rows drawn one by one; resamples without a flagged row have no precision."""
+    rng = np.random.default_rng(3)
+    for n, share in ((60, 0.3), (12, 0.08)):
+        flags, labels = rng.random(n) < share, (rng.random(n) < 0.6).astype(int)
+        flags[0] = True
+        table = spark.createDataFrame(list(zip(flags.tolist(), labels.tolist(), strict=True)), "flag boolean, label int")
+        got = {r["statistic"]: r for r in anomaly.bootstrap_intervals(table, samples=4000).collect()}
+        found = {"precision": [], "recall": [], "label_precision": []}
+        for _ in range(4000):
+            k = rng.integers(0, n, n)
+            f, y = flags[k], labels[k]
+            found["precision"] += [y[f].mean()] if f.any() else []
+            found["recall"] += [f[y == 1].mean()] if y.any() else []
+            found["label_precision"].append(y.mean())
+        for name, values in found.items():
+            values = np.sort(values)
+            assert abs(got[name]["low"] - values[int(0.025 * (len(values) - 1))]) <= 0.06 and abs(got[name]["high"] - values[int(0.975 * (len(values) - 1))]) <= 0.06
+        assert len(found["precision"]) < 4000 or n == 60
+        assert got["precision"]["value"] == round(float(labels[flags].mean()), 4)
+    none = {r["statistic"]: tuple(r)[1:] for r in anomaly.bootstrap_intervals(table.withColumn("flag", F.lit(False))).collect()}
+    assert none["precision"] == (None, None, None) and none["recall"] == (0.0, 0.0, 0.0)
+    assert {tuple(r)[1:] for r in anomaly.bootstrap_intervals(table.limit(0)).collect()} == {(None, None, None)}
+
+
+def test_ids_of_decisions(spark):
+    key = hashlib.sha256(b"https://x/p:1299.5:s").hexdigest()
+    known = str(uuid.uuid5(uuid.NAMESPACE_URL, f"alert-decision:{key}"))
+    prices = [1299.5, 1299.0, 0.07, 12345678.9, 99.99, 10000000.0]
+    rows = spark.createDataFrame([("https://x/p", p, "s") for p in prices], "u string, p double, s string")
+    price = delivery.price_text(F.col("p"))
+    key_ = delivery.dedup_key(F.col("u"), price, F.col("s"))
+    got = rows.select("p", price.alias("t"), delivery.decision_id(key_).alias("id"), delivery.candidate_decision_ids(F.col("u"), F.col("p"), F.col("s")).alias("ids")).collect()
+    assert [r["t"] for r in got] == [str(p) for p in prices] and got[0]["id"] == known
+    for r in got:
+        spelled = [str(r["p"])] + ([str(int(r["p"]))] if r["p"].is_integer() else [])
+        assert r["ids"] == [str(uuid.uuid5(uuid.NAMESPACE_URL, "alert-decision:" + hashlib.sha256(f"https://x/p:{t}:s".encode()).hexdigest())) for t in spelled]
+    e = delivery.channel_event_id(F.lit(known), F.col("c"))
+    back = spark.createDataFrame([("telegram",), ("email",)], "c string").select(e.alias("e"), delivery.decision_of_event(e).alias("d")).collect()
+    assert [tuple(r) for r in back] == [(known, known), (f"{known}:email", known)]
+    assert spark.range(1).select(delivery.decision_of_event(F.lit(key))).first()[0] == str(uuid.uuid5(uuid.NAMESPACE_URL, key))
+    assert spark.range(1).select(T.offer_uuid(F.lit("s"), F.lit("1")), T.product_uuid(F.lit("t"))).first() == (str(uuid.uuid5(uuid.NAMESPACE_URL, "offer:s:1")), str(uuid.uuid5(uuid.NAMESPACE_URL, "product:t")))
+
+
+def test_cooldowns_of_sites_and_effective_records(spark):
+    hour = 3_600_000_000
+    log = spark.createDataFrame([
+        ("e1", 1, "SENT", 0, "telegram", "k1"), ("e2", 1, "SENT", 0, "telegram", "k2"), ("e2", 2, "DEAD_LETTER", hour, "telegram", "k2"), ("e3", 1, "PENDING", 0, "email", "k3"), ("e4", 1, "SENT", 0, "email", "k1"),
+    ], "event_id string, seq long, status string, us long, channel string, dedup_key string")
+    alerts = spark.createDataFrame([
+        (1, "k1", "telegram", "short", 3 * hour), (2, "k1", "telegram", "long", 3 * hour), (3, "k1", "telegram", "other", 23 * hour), (4, "k1", "telegram", "other", 24 * hour), (5, "k2", "telegram", "long", 2 * hour),
+        (6, "k3", "email", "short", 99 * hour), (7, "k3", "telegram", "long", hour), (8, "k1", "sms", "long", hour),
+    ], "seq long, dedup_key string, channel string, site string, us long")
+    cooldowns = spark.createDataFrame([("short", 2), ("long", 12)], "site string, cooldown_hours int")
+    assert sorted(r["seq"] for r in delivery.cooldown_suppress(alerts, log, cooldowns).collect()) == [1, 4, 5, 7, 8]
+
+
+def health_rows(spark, rows):
+    """(store, run, parsed, ...) with runs an hour apart."""
+    full = [(s, r, p, r * 3_600_000_000, a, h, d, w) for s, r, p, a, h, d, w in ((*x, *(10, 0, False, False)[len(x) - 3 :]) for x in rows)]
+    return spark.createDataFrame(full, "store string, run long, parsed long, started_us long, attempts long, rate_limit_hits long, challenge_detected boolean, challenge_wait_entered boolean")
+
+
+def test_alerts_of_a_run(spark):
+    before = health_rows(spark, [("fine", 0, 5), ("fine", 1, 5), ("bad", 0, 3), ("bad", 1, 0), ("back", 0, 0), ("back", 1, 0), ("still", 0, 0), ("still", 1, 0), ("unprobed", 0, 0), ("unprobed", 1, 0), ("never", 1, 0)])
+    new = health_rows(spark, [("fine", 2, 5), ("bad", 2, 0), ("back", 2, 4), ("still", 2, 0), ("unprobed", 2, 2), ("never", 2, 0)])
+    probed = spark.createDataFrame([("back",), ("still",)], "store string")
+    got = sorted((r["store"], r["kind"], r["outage"]) for r in health.health_alerts(before, new, probed, F.lit(3 * 3_600_000_000)).collect())
+    assert got == [("back", "recovered", "run 2"), ("bad", "quarantined", "run 1"), ("never", "quarantined", "run 1")]
+    late = sorted((r["store"], r["outage"]) for r in health.health_alerts(before, new, probed, F.lit(26 * 3_600_000_000)).filter("kind = 'dead_man'").collect())
+    assert late == [("bad", "since 0")]  # the others have parsed since, or never have
+    dead = health_rows(spark, [("fine", 0, 1), ("x", 0, 1), ("x", 1, 0), ("fine", 1, 1)])
+    stays = health.health_alerts(dead, health_rows(spark, [("x", 2, 0), ("fine", 2, 1)]), spark.createDataFrame([("x",)], "store string"), F.lit(90 * 3_600_000_000))
+    assert sorted(r["kind"] for r in stays.filter("store = 'x'").collect()) == ["quarantined"]
+
+
+def test_limits_by_attempts_and_challenges(spark):
+    h = health_rows(spark, [("a", 0, 5, 100, 5, False, False), ("b", 0, 5, 100, 6, False, True), ("c", 0, 5, 0, 0, True, True), ("d", 0, 0, 10, 9, True, False)])
+    assert sorted(r["store"] for r in health.rate_limited_stores(h, F.lit(60_000_000)).collect()) == ["b", "d"]
+    got = {r["store"]: (r["status"], r["challenge"]) for r in health.store_status(h).collect()}
+    assert got == {"a": ("OK", "none"), "b": ("OK", "cleared"), "c": ("CHALLENGED", "blocked"), "d": ("NO PRODUCTS", "blocked")}
 
 
 def test_upsert_is_idempotent(spark):
