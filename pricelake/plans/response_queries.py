@@ -93,9 +93,8 @@ _clean = f"'{HARD}' || text"
 for _ in range(8):
     _clean = f"regexp_replace({_clean}, '(?i)[<>]|javascript:|data:', '', 'g')"
 _n = lambda x: f"coalesce(printf('%.2f', {x}), 'none')"
-_shapes = {"bot_token": "bot[0-9]{5,16}:[A-Za-z0-9_-]{34,36}", "provider_token": "hf_[A-Za-z0-9]{20,}", "uuid": "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"}
 _redacted = "t"
-for _s in _shapes.values():
+for _s in T.SECRETS.values():
     _redacted = f"regexp_replace({_redacted}, '{_s}', '[REDACTED]', 'g')"
 SQL = {
     "build_prompts": f"""WITH x AS (SELECT *, (doc_id % 900 + 100)::DOUBLE AS p, substr(regexp_replace({_clean}, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g'), 1, 200) AS title FROM documents)
@@ -108,7 +107,7 @@ SQL = {
     "response_audit": f"""WITH {WIN}, {CASES} SELECT seq, sha256('prompt:' || seq) AS inputs_hash, sha256(raw) AS raw_output_hash,
       CASE WHEN wrong IS NULL THEN '{{"verdict":"' || verdict || '","verdict_score":7,"summary":"Fine. [REDACTED]","is_recommended":' || good || '}}' END AS parsed_result, path AS fallback_path, verdict AS final_verdict, good AS final_is_recommended FROM judged2""",
     "redact_secrets": f"""WITH x AS (SELECT doc_id, concat_ws(' ', text, '(' || CASE doc_id % 5 WHEN 0 THEN '{TOKEN}' WHEN 1 THEN 'hf_{"b1" * 12}' WHEN 2 THEN '6BA7B811-9dad-11d1-80b4-00c04fd430c8' WHEN 3 THEN 'bot1234:{"A" * 35}' ELSE 'hf_short' END || ')') AS t FROM documents)
-      SELECT doc_id, md5({_redacted}) AS clean, {', '.join(f"len(regexp_extract_all(t, '{p}')) AS {n}" for n, p in _shapes.items())} FROM x""",
+      SELECT doc_id, md5({_redacted}) AS clean, {', '.join(f"len(regexp_extract_all(t, '{p}')) AS {n}" for n, p in T.SECRETS.items())} FROM x""",
     "load_observations": f"""WITH {A.OBS}, o AS (SELECT DISTINCT offer_id, retailer, 'https://example.com/' || offer_id AS url FROM obs WHERE seq % 4 > 0)
       SELECT o.offer_id, o.retailer, o.url, obs.price, CASE WHEN seq % 11 = 0 THEN us - us % 86400000000 ELSE us END AS us FROM obs JOIN o USING (offer_id)""",
 }
