@@ -6,8 +6,8 @@ distinct chunk of the whole corpus is taken apart into its terms once, and the t
 1. Each document's chunks with their counts; summed by language, source and chunk, with the number of documents.
 2. The terms of each distinct chunk, and how often each stands in it.
 3. Both joined: occurrences by language, source and term. A term's documents are between those of its most frequent chunk and
-   the sum over its chunks. Where the wanted number is between the two, the documents of its chunks are counted one by one:
-   such chunks are in few documents, so no join has a hot key.
+   the sum over its chunks. Where the wanted number is between the two, the documents of its chunks are looked up and counted
+   without repeats: such chunks are in few documents, so no join has a hot key.
 4. Shares of kept terms with two added to every count; differences of shares for pairs of a language's sources, and for a
    source's terms against the language.
 
@@ -21,9 +21,12 @@ table gives no row. Columns beside ``text``, ``lang`` and ``source`` are not rea
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,41 +38,88 @@ MIN_DOCS = 10
 TOP = 10
 ADDED = 2
 SCALE_THOUSANDS = 3
-#: So many chunks of most documents at most are sent to the tasks that look for rare ones, which leaves these out early.
-FREQUENT = 100_000
-#: Bytes of text whose chunks are handed on at once.
-FLUSH = 4_000_000
+#: Distinct chunks of a task that are summed up before they are handed on.
+HELD = 1_000_000
+#: Up to so many chunks that are asked for are sent to the tasks themselves (about 20 MB); beyond that 2**BITS bits (4 MB) tell which
+#: chunks may be; where two share a bit, a join sorts it out.
+SENT = 300_000
+BITS = 25
+MASK = (1 << BITS) - 1
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def chunk_counts(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row for each document and distinct chunk: chunk, n and the columns named. docs has text, not null."""
+def chunk_counts(docs: DataFrame) -> DataFrame:
+    """lang, source, chunk, n, docs of docs (text, lang, source; no nulls): each document's chunks are counted, and what a task has
+    counted is summed up before it is handed on, HELD chunks at a time."""
 
-    def pack(batch: pa.RecordBatch, first: int, counts: list[Counter]) -> pa.RecordBatch:
-        ends = [0]
-        for c in counts:
-            ends.append(ends[-1] + len(c))
-        chunks = pa.array((x for c in counts for x in c), pa.binary()).view(pa.string())
-        n = pa.array((x for c in counts for x in c.values()), pa.int64())
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([chunks, n], ["chunk", "n"]))
-        return pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(counts)) for c in keep), lists], [*keep, "chunks"])
+    def pack(n: dict[tuple, Counter], docs_: dict[tuple, Counter]) -> pa.RecordBatch:
+        ends, keys = [0], list(n)
+        for key in keys:
+            ends.append(ends[-1] + len(n[key]))
+        chunks = pa.array((x for key in keys for x in n[key]), pa.binary()).view(pa.string())
+        counts = [pa.array((x for key in keys for x in of[key].values()), pa.int64()) for of in (n, docs_)]  # both have their chunks in one order
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([chunks, *counts], ["chunk", "n", "docs"]))
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), lists], ["lang", "source", "chunks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, docs_, held = defaultdict(Counter), defaultdict(Counter), 0
         for batch in batches:
-            first, held, size = 0, [], 0
-            for text in batch.column("text"):
-                words = text.as_py()
-                held.append(Counter(words.split()))  # of bytes: the six ASCII spaces
-                size += len(words)
-                if size > FLUSH:
-                    yield pack(batch, first, held)
-                    first, held, size = first + len(held), [], 0
-            if held:
-                yield pack(batch, first, held)
-
-    kinds = ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in keep)
-    rows = docs.select(*keep, F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"{kinds}, chunks array<struct<chunk:string,n:bigint>>").select(*keep, F.inline("chunks"))
+            for text, lang, source in zip(batch.column("text"), batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True):
+                words = text.as_py().split()  # of bytes: the six ASCII spaces
+                own, of_docs = n[lang, source], docs_[lang, source]
+                held -= len(own)
+                own.update(words)
+                of_docs.update(dict.fromkeys(words).keys())
+                held += len(own)
+                if held > HELD:
+                    yield pack(n, docs_)
+                    n, docs_, held = defaultdict(Counter), defaultdict(Counter), 0
+        if n:
+            yield pack(n, docs_)
+
+    rows = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "lang string, source string, chunks array<struct<chunk:string,n:bigint,docs:bigint>>").select("lang", "source", F.inline("chunks")).repartition("lang", "source", "chunk").groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def places(asked: DataFrame) -> bytes:
+    """A bit for the hash of each asked chunk of a language, of 2**BITS bits: what tasks get to leave out most other chunks."""
+    place = F.crc32(F.concat("lang", F.lit(" "), "chunk").cast("binary")) % (1 << BITS)
+    words = asked.withColumn("place", place).groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    for r in words.toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return out.tobytes()
+
+
+def asked_chunks(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """row, lang, chunk: each document's distinct chunks, at least those of asked (lang, chunk; distinct) and few others. docs has row,
+    lang and text."""
+    own, marked = defaultdict(set), None
+    if asked.count() <= SENT:
+        for r in asked.toLocalIterator():
+            own[r["lang"]].add(r["chunk"].encode())
+    else:
+        marked = places(asked)
+    sent = docs.sparkSession.sparkContext.broadcast((dict(own), marked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, marked = sent.value
+        none: set[bytes] = set()
+        for batch in batches:
+            rows, langs, chunks = [], [], []
+            for row, text, lang in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("lang").to_pylist(), strict=True):
+                words = set(text.as_py().split())
+                if marked is None:
+                    found = list(words & own.get(lang, none))
+                else:
+                    start = zlib.crc32(lang.encode() + b" ")
+                    found = [w for w in words if marked[(at := zlib.crc32(w, start) & MASK) >> 3] >> (at & 7) & 1]
+                rows += [row] * len(found)
+                langs += [lang] * len(found)
+                chunks += found
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(langs, pa.string()), pa.array(chunks, pa.binary()).view(pa.string())], ["row", "lang", "chunk"])
+
+    return docs.select("row", "lang", F.col("text").cast("binary").alias("text")).mapInArrow(run, "row long, lang string, chunk string")
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -78,30 +128,18 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk").distinct().select("chunk", F.explode(found).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("times"))
 
 
-def frequent(by_lang: DataFrame, least: int) -> DataFrame:
-    """The chunks of most documents, FREQUENT at most, all of ``least`` documents or more."""
-    scale = F.floor(F.log2("docs")).cast("int")
-    sizes = {r["scale"]: r["n"] for r in by_lang.groupBy(scale.alias("scale")).agg(F.count("*").alias("n")).collect()}  # 63 rows at most
-    cut, total = 63, 0
-    while cut and total + sizes.get(cut - 1, 0) <= FREQUENT:
-        cut -= 1
-        total += sizes.get(cut, 0)
-    return by_lang.filter(F.col("docs") >= max(least, 1 << cut)).select("lang", "chunk")
-
-
 def kept_terms(docs: DataFrame, by_lang: DataFrame, terms: DataFrame, least: int) -> DataFrame:
     """lang, term of the terms in ``least`` documents of their language or more."""
-    parts = materialize(by_lang.join(terms, "chunk").select("lang", "term", "chunk", "docs"), "terms-chunks")
+    parts = materialize(by_lang.join(terms.hint("shuffle_hash"), "chunk").select("lang", "term", "chunk", "docs"), "terms-chunks")
     bounds = parts.groupBy("lang", "term").agg(F.max("docs").alias("low"), F.sum("docs").alias("high"))
     bounds = materialize(bounds.filter(F.col("high") >= least), "terms-bounds")
     sure = bounds.filter(F.col("low") >= least).select("lang", "term")
-    asked = materialize(parts.join(bounds.filter(F.col("low") < least), ["lang", "term"]).select("lang", "chunk", "term"), "terms-asked")
-    often = materialize(frequent(by_lang, least), "chunks-often")
-    rows = chunk_counts(docs.withColumn("row", F.monotonically_increasing_id()), "row", "lang")
-    rare = materialize(rows.select("row", "lang", "chunk").join(F.broadcast(often), ["lang", "chunk"], "left_anti"), "chunks-rare")
+    asked = materialize(parts.join(bounds.filter(F.col("low") < least).hint("shuffle_hash"), ["lang", "term"]).select("lang", "chunk", "term"), "terms-asked")
+    chunks = materialize(asked.select("lang", "chunk").distinct(), "chunks-asked")
+    rare = asked_chunks(docs.withColumn("row", F.monotonically_increasing_id()), chunks)
     found = rare.join(asked, ["lang", "chunk"]).select("lang", "term", "row").distinct().groupBy("lang", "term").agg(F.count("*").alias("docs"))
     kept = materialize(sure.unionByName(found.filter(F.col("docs") >= least).select("lang", "term")), "terms-kept")
-    discard(parts, bounds, asked, often, rare)
+    discard(parts, bounds, asked, chunks)
     return kept
 
 
@@ -121,11 +159,12 @@ def divergence(docs: DataFrame, least: int = MIN_DOCS, top: int = TOP) -> DataFr
     """lang, source, part, item, value, rank: for each source of a language all others (part ``pair``) and its ``top`` terms that
     stand out against the language (part ``term``)."""
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counts = materialize(chunk_counts(docs, "lang", "source").groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.count("*").alias("docs")), "chunks")
-    terms = materialize(chunk_terms(counts), "chunk-terms")
+    counts = materialize(chunk_counts(docs), "chunks")
     by_lang = materialize(counts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs")), "chunks-by-lang")
+    terms = materialize(chunk_terms(by_lang), "chunk-terms")
     kept = kept_terms(docs, by_lang, terms, least)
-    occurrences = counts.join(terms, "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("count"))
+    wanted = terms.join(kept.select("term").distinct(), "term", "left_semi")
+    occurrences = counts.join(wanted.hint("shuffle_hash"), "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("count"))
     found = materialize(occurrences.join(kept, ["lang", "term"]), "terms-counted")
     discard(counts, by_lang, terms)
 
@@ -162,9 +201,8 @@ def pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
     own, other = F.col("source0"), F.col("item0")
     by_share = shares.groupBy("lang", "source", "p").agg(F.count("*").alias("k"))
     single = by_share.join(every, ["lang", "source"]).groupBy("lang", "source", "item").agg(F.sum(F.col("k") * (apart(F.col("p"), other) - apart(own, other))).alias("one"))
-    a, b = (shares.select("lang", "term", F.col("source").alias(s), F.col("p").alias(f"{s}p"), F.col("p0").alias(f"{s}0")) for s in ("source", "item"))
-    p, q = F.col("sourcep"), F.col("itemp")
-    both = a.join(b, ["lang", "term"]).filter("source < item").groupBy("lang", "source", "item").agg(F.sum(apart(p, q) - apart(p, other) - apart(own, q) + apart(own, other)).alias("both"))
+    rows = shares.groupBy("lang", "term").agg(F.collect_list("source").alias("source"), F.collect_list("p").alias("p"), F.collect_list("p0").alias("p0"))  # as long as a row of the result's pairs
+    both = rows.drop("term").mapInPandas(_in_both, "lang string, source string, item string, both long").groupBy("lang", "source", "item").agg(F.sum("both").alias("both"))
     key = ["lang", "source", "item"]
     back = {"source": "item", "item": "source"}
     parts = single.unionByName(single.withColumnsRenamed({"source": "_s"}).withColumnsRenamed({"item": "source", "_s": "item"})).select(*key, F.col("one").alias("value"))
@@ -175,6 +213,25 @@ def pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
     return ranked(summed.withColumn("part", F.lit("pair")))
 
 
+def _in_both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """lang, source, item, both of each two sources: what the terms that both have add to the sums of single ones. A source without
+    a term stands there with its share p0, which makes its part 0."""
+    f = lambda p, q: (p - q) ** 2 // (p + q)
+    for batch in batches:
+        for lang, rows in batch.groupby("lang", sort=False):
+            at = np.repeat(np.arange(len(rows)), rows["source"].map(len))
+            names, of = np.unique(np.concatenate([np.asarray(x, object) for x in rows["source"]]).astype(str), return_inverse=True)
+            p0 = np.zeros(len(names), np.int64)
+            p0[of] = np.concatenate(rows["p0"].to_numpy())
+            p = np.repeat(p0[:, None], len(rows), axis=1)
+            p[of, at] = np.concatenate(rows["p"].to_numpy())
+            for k in range(len(names) - 1):
+                own, others = p[k], p[k + 1 :]
+                base = p0[k + 1 :, None]
+                found = (f(own, others) - f(own, base) - f(p0[k], others) + f(p0[k], base)).sum(axis=1)
+                yield pd.DataFrame({"lang": lang, "source": names[k], "item": names[k + 1 :], "both": found})
+
+
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
