@@ -38,14 +38,19 @@ def _fetches(spark: SparkSession, d: str) -> DataFrame:
 def stream_observations(spark: SparkSession, d: str) -> DataFrame:
     obs = _events(spark, d).select(*CHANGED).withColumn("ts", F.timestamp_micros("us"))
     corrected = obs.filter("seq % 3 > 0").withColumn("price", F.round(F.col("price") * 1.01, 4)).withColumn("seq", F.col("seq") + 1_000_000_000)
-    table = jobs.VersionedTable(spark, shared_path(spark, "stream-observations"), "offer_id string, us long, seq long, price double")
-    late = jobs.VersionedTable(spark, shared_path(spark, "stream-late"), "offer_id string, us long, seq long, price double")
+    schema = "offer_id string, us long, seq long, price double"
+    table = jobs.LogTable(spark, shared_path(spark, "stream-observations"), schema, ["offer_id", "us"], "seq", mark="us")
+    late = jobs.LogTable(spark, shared_path(spark, "stream-late"), schema)
     jobs.stream_observations(obs.union(obs).union(corrected).withWatermark("ts", "40 days"), table, late, 40 * 86_400_000_000)
     return table.read()
 
 
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.drain(jobs.stream_alerts(_events(spark, d).select("offer_id", "us", "day", "seq", "price", "stock_status", "reference_price"), DAYS, target=400.0, min_drop=10.0), "stream-alerts")
+    """Offers and watches of one remainder belong together; an offer has some watches, or none."""
+    number = lambda c: F.substring(c, 2, 9).cast("int")
+    w = A.watches(spark, d).filter("enabled").select((number("watch_id") % 40).alias("k"), "watch_id", F.col("atl_policy").alias("policy"), F.col("target_price").alias("target"), F.col("min_drop_percent").alias("min_drop"))
+    offers = A.observations(spark, d).select("offer_id", (number("offer_id") % 40).alias("k")).distinct()
+    return jobs.drain(jobs.stream_alerts(_events(spark, d), offers.join(w, "k").drop("k"), DAYS), "stream-alerts")
 
 
 def stream_health_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -58,9 +63,7 @@ def stream_dead_man(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_feedback(spark: SparkSession, d: str) -> DataFrame:
     delivered = A.label_log(spark, d).filter("alert_id % 3 <> 0").select("alert_id")
-    table = jobs.VersionedTable(spark, shared_path(spark, "stream-feedback"), "seq long, alert_id long, callback_id string, outcome string")
-    jobs.stream_feedback(A.label_log(_Streamed(spark), d), delivered, table)
-    return table.read().select("seq", "outcome")
+    return jobs.drain(jobs.stream_feedback(A.label_log(_Streamed(spark), d), delivered), "stream-feedback").select("seq", "outcome")
 
 
 def stream_cooldown(spark: SparkSession, d: str) -> DataFrame:
@@ -73,8 +76,12 @@ TWO_HOURS, TEN_MINUTES = 7_200_000_000, 600_000_000
 SQL = {
     "stream_observations": f"""WITH {A.OBS}, b AS (SELECT offer_id, us, seq, price FROM obs UNION ALL SELECT offer_id, us, seq + 1000000000, round(price * 1.01, 4) FROM obs WHERE seq % 3 > 0)
       SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY offer_id, us ORDER BY seq DESC) = 1""",
-    "stream_alerts": f"""WITH {WIN} SELECT seq, previous_price, thirty_day_low, coalesce(price < previous_price AND stock_status <> 'out_of_stock' AND (price < prior_low OR (previous_price - price >= 5 AND price <= 400 AND (previous_price - price) / nullif(previous_price, 0) * 100 >= 10)), false) AS alerts,
-      history_days::BIGINT AS history_days, verdict FROM win LEFT JOIN (SELECT seq, verdict FROM judged) USING (seq)""",
+    "stream_alerts": f"""WITH {WIN}, {A.WATCHES}, on_ AS (SELECT *, substr(watch_id, 2)::INT % 40 AS k FROM watches WHERE enabled),
+      g AS (SELECT *, substr(offer_id, 2)::INT % 40 AS k, price < previous_price AND stock_status <> 'out_of_stock' AS falls, previous_price - price >= 5 AND (previous_price - price) / nullif(previous_price, 0) * 100 >= 2 AS floor_ FROM win)
+      SELECT seq, watch_id, previous_price, thirty_day_low, history_days::BIGINT AS history_days, verdict,
+        coalesce(watch_id IS NOT NULL AND falls AND ((price < prior_low AND (atl_policy = 'aggressive' OR (atl_policy = 'conservative' AND floor_)))
+          OR (floor_ AND NOT coalesce(price > target_price, false) AND NOT coalesce((previous_price - price) / nullif(previous_price, 0) * 100 < min_drop_percent, false))), false) AS alerts
+      FROM g LEFT JOIN (SELECT seq, verdict FROM judged) USING (seq) LEFT JOIN on_ USING (k)""",
     "stream_health_windows": f"""WITH {A.HEALTH}, w AS (SELECT us // {TWO_HOURS} * {TWO_HOURS} AS slot_us, store, count(*) AS requested, count(*) FILTER (WHERE kind = 'view') AS parsed, count(*) FILTER (WHERE kind = 'error') AS failures FROM fetches GROUP BY ALL)
       SELECT * FROM w WHERE slot_us + {TWO_HOURS} <= ((SELECT max(us) FROM fetches) - {TEN_MINUTES}) // 1000 * 1000""",
     "stream_dead_man": f"""WITH {A.HEALTH}, g AS (SELECT store, us, lead(us) OVER (PARTITION BY store ORDER BY us) AS nxt FROM fetches WHERE kind = 'view')

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import deals, feedback, history
+from ..operators import deals, history
 from ..sources.scratch import shared_path
 
 
@@ -28,94 +30,152 @@ def drain_batches(stream: DataFrame, path: str, each: Callable[[DataFrame, int],
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
 
 
-class VersionedTable:
-    """A table at ``path`` of which each micro-batch writes a new version, named by the batch. Which version is the newest is read
-    from storage, so after a restart from its checkpoint a batch that runs again finds its version and does nothing. A version is whole once its success mark is there; the one before the newest is kept for readers, older ones go."""
+#: Runs of one size class that a table holds before they are merged into one of the next class.
+FANIN = 4
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.root, self.schema = spark, path, schema
+
+class LogTable:
+    """A table that micro-batches append to: each writes its own rows only, as a run named by its batch, and FANIN runs of one size
+    class are merged into one, so a row is written about log(batches) times and never with the whole table. With ``keys`` the newest row
+    by ``order`` of each key counts, within a batch, a merge and a read.
+
+    Which runs count is read from storage: a run is whole once its success mark is there, and a merged run stands for those in its
+    range. So a batch that runs again finds its run, or one that covers it, and does nothing. Runs that were merged stay for readers until the next
+    update. Each run keeps ``mark``'s largest value so far beside it, a number, so that it can be asked without a scan.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str] | None = None, order: str | None = None, mark: str | None = None):
+        self.spark, self.root, self.schema, self.keys, self.order, self.mark = spark, path, schema, keys, order, mark
+
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def _files(self):
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return root, root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return self._path().getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
-    def versions(self) -> list[int]:
-        root, fs = self._files()
-        if not fs.exists(root):
+    def _found(self) -> list[tuple[int, int]]:
+        """First and last batch of each whole run, covered ones too."""
+        fs = self._files()
+        if not fs.exists(self._path()):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(int(n) for n in names if n.isdigit() and fs.exists(path(f"{self.root}/{n}/_SUCCESS")))
+        names = [s.getPath().getName() for s in fs.listStatus(self._path())]
+        return sorted(tuple(map(int, n.split("-"))) for n in names if n[0].isdigit() and fs.exists(self._path(f"{n}/_SUCCESS")))
 
-    def read(self) -> DataFrame:
-        found = self.versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
+    def runs(self) -> list[tuple[int, int]]:
+        """The runs that count, by batch."""
+        found = self._found()
+        return [(a, b) for a, b in found if not any((c, d) != (a, b) and c <= a and b <= d for c, d in found)]
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        return history.newest(rows, self.keys, [F.desc(self.order)]) if self.keys else rows
 
-    def update(self, batch: DataFrame, batch_id: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        found = self.versions()
-        if not found or batch_id > found[-1]:
-            merge(self.read(), batch).write.mode("overwrite").parquet(f"{self.root}/{batch_id}")
-            _, fs = self._files()
-            for old in found[:-1]:
-                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{old}"), True)
+    def _rows(self, runs: list[tuple[int, int]]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{a}-{b}" for a, b in runs])
 
+    def read(self) -> DataFrame:
+        runs = self.runs()
+        return self._newest(self._rows(runs)) if runs else self.spark.createDataFrame([], self.schema)
 
-def stream_observations(stream: DataFrame, table: VersionedTable, late: VersionedTable, lateness_us: int) -> None:
+    def newest_mark(self) -> int | None:
+        """The largest value of ``mark`` that was ever written."""
+        runs = self.runs()
+        if not runs:
+            return None
+        return self.spark.read.schema("mark long").parquet(f"{self.root}/mark-{runs[-1][1]}").first()["mark"]
+
+    def update(self, batch: DataFrame, batch_id: int) -> None:
+        runs = self.runs()
+        for a, b in set(self._found()) - set(runs):
+            self._files().delete(self._path(f"{a}-{b}"), True)
+        if any(a <= batch_id <= b for a, b in runs):
+            return
+        if self.mark:
+            rows = batch.agg(F.max(F.col(self.mark)).cast("long").alias("mark"))
+            before = self.newest_mark()
+            rows.select(F.greatest("mark", F.lit(before)).alias("mark")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/mark-{batch_id}")
+        self._newest(batch).write.mode("overwrite").parquet(f"{self.root}/{batch_id}-{batch_id}")
+        runs.append((batch_id, batch_id))
+        while len(group := self._mergeable(runs)) > 1:
+            a, b = group[0][0], group[-1][1]
+            self._newest(self._rows(group)).write.mode("overwrite").parquet(f"{self.root}/{a}-{b}")
+            runs = [*runs[: -len(group)], (a, b)]
+
+    @staticmethod
+    def _mergeable(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The last FANIN runs if they are of one size class by number of batches."""
+        size = lambda run: int(math.log(run[1] - run[0] + 1, FANIN) + 1e-9)
+        last = runs[-FANIN:]
+        return last if len(last) == FANIN and len(set(map(size, last))) == 1 else []
+
+
+def stream_observations(stream: DataFrame, table: LogTable, late: LogTable, lateness_us: int) -> None:
     """Exact replays are dropped, corrections of a stored (offer_id, us) win, and rows older than the newest stored time less the
-    allowed lateness go to ``late``. Rows without a valid price are left out."""
+    allowed lateness go to ``late``. Rows without a valid price are left out. What a batch writes follows the batch; the newest
+    stored time is the table's mark."""
     columns = [c.split()[0] for c in table.schema.split(", ")]
     rows = stream.filter((F.col("price") > 0) & ~F.isnan("price")).dropDuplicatesWithinWatermark(["offer_id", "us", "seq", "price"]).select(columns)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        newest = table.read().agg(F.max("us")).first()[0]
-        on_time = batch if newest is None else batch.filter(F.col("us") >= newest - lateness_us)
-        if newest is not None:
-            late.update(batch.filter(F.col("us") < newest - lateness_us), batch_id, lambda old, new: old.unionByName(new))
-        table.update(on_time, batch_id, history.upsert_observations)
+        newest = table.newest_mark()
+        is_late = F.lit(False) if newest is None else F.col("us") < newest - lateness_us
+        late.update(batch.filter(is_late), batch_id)
+        table.update(batch.filter(~is_late), batch_id)
         batch.unpersist()
 
     drain_batches(rows, table.root, each)
 
 
-ALERTS = "seq long, previous_price double, thirty_day_low double, history_days long, alerts boolean, verdict string"
+ALERTS = "seq long, watch_id string, previous_price double, thirty_day_low double, history_days long, alerts boolean, verdict string"
 ALERT_STATE = "last double, low double, days array<long>, prices array<double>, kept array<long>"
 
 
-def stream_alerts(stream: DataFrame, days: int = history.REFERENCE_DAYS, policy: str = "aggressive", target: float | None = None, min_drop: float | None = None) -> DataFrame:
-    """For each observation as it comes the previous price, the low of the window before it, whether it alerts, and the verdict
-    (null without a usable baseline).
-
-    State of an offer: last price, all-time low, the lows of its last days, one a day, and the days of rows that pruning keeps.
+def judged(price: float, low: float | None, reference: float | None, history_days: int) -> str | None:
+    if low is None or not low > 0:
+        return None
+    if history_days < deals.LEAST_HISTORY_DAYS:
+        return "INSUFFICIENT_HISTORY"
+    if price >= low:
+        return "FALSE_DISCOUNT"
+    if reference is not None and reference > low * deals.INFLATED:
+        return "INFLATED_REFERENCE"
+    return "GENUINE_DEAL" if round((low - price) / low * 100, 2) >= deals.GENUINE_PERCENT else "NORMAL_DROP"
+
+
+def wanted(r, last: float | None, low: float | None, watch: dict) -> bool:
+    """The alert gate for an observation and one watch."""
+    if last is None or r.price >= last or r.stock_status == "out_of_stock":
+        return False
+    percent = (last - r.price) / last * 100
+    floor = last - r.price >= deals.LEAST_DROP and percent >= deals.LEAST_DROP_PERCENT
+    if low is not None and r.price < low and (watch["policy"] == "aggressive" or (watch["policy"] == "conservative" and floor)):
+        return True
+    given = lambda k: watch[k] is not None and not pd.isna(watch[k])
+    return bool(floor and not (given("target") and r.price > watch["target"]) and not (given("min_drop") and percent < watch["min_drop"]))
+
+
+def stream_alerts(stream: DataFrame, watches: DataFrame, days: int = history.REFERENCE_DAYS) -> DataFrame:
+    """For each observation as it comes, and each watch of its offer (or none), the previous price, the low of the window before it,
+    whether it alerts by the watch's rules, and the verdict (null without a usable baseline). watches: offer_id, watch_id, policy,
+    target, min_drop; it is joined as it stands when a batch is read.
+
+    State of an offer, which moves on once an observation: last price, all-time low, the lows of its last days, one a day, and the
+    days of rows that pruning keeps.
     """
 
-    def judged(price: float, low: float | None, reference: float | None, history_days: int) -> str | None:
-        if low is None or not low > 0:
-            return None
-        if history_days < deals.LEAST_HISTORY_DAYS:
-            return "INSUFFICIENT_HISTORY"
-        if price >= low:
-            return "FALSE_DISCOUNT"
-        if reference is not None and reference > low * deals.INFLATED:
-            return "INFLATED_REFERENCE"
-        return "GENUINE_DEAL" if round((low - price) / low * 100, 2) >= deals.GENUINE_PERCENT else "NORMAL_DROP"
-
     def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, low, seen, prices, kept = state.get if state.exists else (None, None, [], [], [])
         lows, kept = dict(zip(seen, prices, strict=True)), list(kept)
-        rows = pd.concat(list(batches)).sort_values(["us", "seq"])
         out = []
-        for r in rows.itertuples():
+        for r in pd.concat(list(batches)).sort_values(["us", "seq"]).itertuples():
             window = [p for d, p in lows.items() if r.day - days <= d <= r.day]
             least = min(window) if window else last
             age = r.day - min(kept) if kept else 0
-            drop = last is not None and r.price < last and r.stock_status != "out_of_stock"
-            percent = (last - r.price) / last * 100 if drop else 0.0
-            floor = drop and last - r.price >= deals.LEAST_DROP and percent >= deals.LEAST_DROP_PERCENT
-            record = drop and low is not None and r.price < low and (policy == "aggressive" or (policy == "conservative" and floor))
-            wanted = floor and not (target is not None and r.price > target) and not (min_drop is not None and percent < min_drop)
             usable = last is not None and last > 0
-            out.append((r.seq, last, least, age, bool(record or wanted), judged(r.price, least, None if pd.isna(r.reference_price) else r.reference_price, age) if usable else None))
+            verdict = judged(r.price, least, None if pd.isna(r.reference_price) else r.reference_price, age) if usable else None
+            own = [] if r.watches is None else json.loads(r.watches)
+            told = [(w["watch_id"], wanted(r, last, low, {"target": None, "min_drop": None, **w})) for w in own] or [(None, False)]
+            out += [(r.seq, watch, last, least, age, alert, verdict) for watch, alert in told]
             lows[r.day] = min(r.price, lows.get(r.day, r.price))
             lows = {d: p for d, p in lows.items() if d >= r.day - days}
             kept.append(r.day)
@@ -123,9 +183,11 @@ def stream_alerts(stream: DataFrame, days: int = history.REFERENCE_DAYS, policy:
             kept = sorted(set(kept[: -history.KEEP_LEAST])) + kept[-history.KEEP_LEAST :]
             last, low = r.price, r.price if low is None else min(low, r.price)
         state.update((last, low, list(lows), list(lows.values()), kept))
-        yield pd.DataFrame(out, columns=["seq", "previous_price", "thirty_day_low", "history_days", "alerts", "verdict"])
+        yield pd.DataFrame(out, columns=["seq", "watch_id", "previous_price", "thirty_day_low", "history_days", "alerts", "verdict"])
 
-    return stream.groupBy("offer_id").applyInPandasWithState(each, ALERTS, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
+    of_offer = watches.groupBy("offer_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("watch_id", "policy", "target", "min_drop")))).alias("watches"))
+    rows = stream.select("offer_id", "us", "day", "seq", "price", "stock_status", "reference_price").join(of_offer, "offer_id", "left")
+    return rows.groupBy("offer_id").applyInPandasWithState(each, ALERTS, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_health_windows(stream: DataFrame, width: str = "2 hours", lateness: str = "10 minutes") -> DataFrame:
@@ -162,9 +224,20 @@ def stream_dead_man(stream: DataFrame, hours: float = 24, lateness: str = "10 mi
     return good.groupBy("store").applyInPandasWithState(each, "store string, last_good_us long, kind string", "last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_feedback(stream: DataFrame, delivered: DataFrame, table: VersionedTable) -> None:
-    """Labels and their outcomes; a batch that runs again changes nothing."""
-    drain_batches(stream, table.root, lambda batch, n: table.update(batch, n, lambda old, new: old.unionByName(feedback.ingest_feedback(old.filter("outcome = 'stored'"), new, delivered).select(old.columns))))
+def stream_feedback(stream: DataFrame, delivered: DataFrame) -> DataFrame:
+    """Each press (seq, alert_id, callback_id) with its outcome: ``duplicate`` if its callback was seen before, ``rejected`` if its
+    alert was not delivered, else ``stored``. What was seen is state, so no batch reads or rewrites what earlier ones wrote."""
+
+    def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("seq")
+        outcome = rows["is_delivered"].map({True: "stored", False: "rejected"}).to_numpy(object)
+        outcome[0 if state.exists else 1 :] = "duplicate"
+        state.update((True,))
+        yield rows[["seq", "alert_id", "callback_id"]].assign(outcome=outcome)
+
+    known = delivered.select("alert_id", F.lit(True).alias("is_delivered")).distinct()
+    rows = stream.select("seq", "alert_id", "callback_id").join(known, "alert_id", "left").withColumn("is_delivered", F.coalesce("is_delivered", F.lit(False)))
+    return rows.groupBy("callback_id").applyInPandasWithState(each, "seq long, alert_id long, callback_id string, outcome string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_cooldown(stream: DataFrame, cooldown_us: int) -> DataFrame:

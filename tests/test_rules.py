@@ -258,14 +258,35 @@ def test_vetoes(spark):
     assert got == {"b": True, "c": True, "d": False, "e": False}
 
 
-def test_versions_of_a_streamed_table_outlive_a_restart(spark, tmp_path):
-    at = f"file://{tmp_path}/table"
-    add = lambda old, new: old.unionByName(new)
-    row = lambda k: spark.createDataFrame([(k,)], "k long")
-    for batch in (0, 1, 1, 2, 2):  # each as if after a restart
-        jobs.VersionedTable(spark, at, "k long").update(row(batch), batch, add)
-    table = jobs.VersionedTable(spark, at, "k long")
-    assert sorted(r["k"] for r in table.read().collect()) == [0, 1, 2] and table.versions() == [1, 2]
+def test_runs_of_a_streamed_table(spark, tmp_path):
+    """Each batch as if after a restart, some twice; runs are merged by size, and the newest row of a key counts."""
+    at, schema = f"file://{tmp_path}/table", "k long, v long, us long"
+    table = lambda: jobs.LogTable(spark, at, schema, ["k"], "v", mark="us")
+    assert table().read().count() == 0 and table().newest_mark() is None
+    for batch in (0, 1, 1, 2, 3, 4, 4, 5, 2, 6):
+        table().update(spark.createDataFrame([(batch, 0, batch * 10), (100, batch, 5), (100, -1, 5)], schema), batch)
+    assert table().runs() == [(0, 3), (4, 4), (5, 5), (6, 6)] and table().newest_mark() == 60
+    got = {r["k"]: r["v"] for r in table().read().collect()}
+    assert got == {**dict.fromkeys(range(7), 0), 100: 6}
+    assert not (tmp_path / "table" / "0-0").exists()  # merged, and out of use since the next update
+    (tmp_path / "table" / "7-7").mkdir()  # a run that was not finished
+    table().update(spark.createDataFrame([(7, 0, 1)], schema), 7)
+    assert table().runs() == [(0, 3), (4, 7)] and table().newest_mark() == 60
+    late = jobs.LogTable(spark, f"file://{tmp_path}/late", "k long")
+    for batch in range(5):
+        late.update(spark.createDataFrame([(1,)], "k long"), batch)
+    assert late.read().count() == 5
+
+
+def test_merging_writes_each_row_a_few_times_only():
+    runs, written = [], 0
+    for batch in range(256):
+        runs.append((batch, batch))
+        written += 1
+        while len(group := jobs.LogTable._mergeable(runs)) > 1:
+            written += group[-1][1] - group[0][0] + 1
+            runs = [*runs[: -len(group)], (group[0][0], group[-1][1])]
+    assert runs == [(0, 255)] and written == 256 * 5
 
 
 def test_rank_over_partitions(spark):
