@@ -19,10 +19,13 @@ POLICIES = ("aggressive", "conservative", "off")
 
 
 def expand_watches(watches: DataFrame, stores: DataFrame) -> DataFrame:
-    """Enabled watches, those of site ``all`` once for each store (a small dimension: its join is by site, not cross)."""
+    """Enabled watches, those of site ``all`` once for each store that is no placeholder; others keep their site, whatever it is.
+
+    stores: store, is_placeholder; a small dimension, of which one row with all names goes to each watch.
+    """
     on = watches.filter("enabled")
     one = on.filter("site <> 'all'").withColumn("store", F.col("site"))
-    names = stores.select("store").distinct().agg(F.array_sort(F.collect_list("store")).alias("stores"))
+    names = stores.filter(~F.col("is_placeholder")).agg(F.array_sort(F.collect_set("store")).alias("stores"))
     every = on.filter("site = 'all'").join(F.broadcast(names)).withColumn("store", F.explode("stores")).drop("stores")
     return one.unionByName(every)
 

@@ -141,9 +141,19 @@ def clean_search_offers(rows: DataFrame) -> DataFrame:
 
 
 def shop_answer_status(counters: DataFrame) -> DataFrame:
-    """Per query and shop one of ok, blocked, no_match, error, unsupported, in this order, and whether the query has any ok."""
-    by = counters.groupBy("query", "shop").agg(*[F.sum(c).alias(c) for c in ("matches", "blocked", "answers", "errors")])
-    status = F.when(F.col("matches") > 0, "ok").when(F.col("blocked") > 0, "blocked").when(F.col("answers") > 0, "no_match").when(F.col("errors") > 0, "error").otherwise("unsupported")
+    """Per query and shop its status, and whether the query has any ok. The first that holds of: unsupported (the shop is not one to
+    ask), ok (offers), blocked, no_match (the listing never appeared), error (a fault, no answer at all, or cards that match and have
+    no price), no_match.
+
+    counters: query, shop, is_supported and counts: offers, blocked, missing, errors, answers, priceless.
+    """
+    counts = ("offers", "blocked", "missing", "errors", "answers", "priceless")
+    by = counters.groupBy("query", "shop").agg(F.bool_and("is_supported").alias("is_supported"), *[F.sum(c).alias(c) for c in counts])
+    some = lambda c: F.col(c) > 0
+    status = (
+        F.when(~F.col("is_supported"), "unsupported").when(some("offers"), "ok").when(some("blocked"), "blocked").when(some("missing"), "no_match")
+        .when(some("errors") | ~some("answers") | some("priceless"), "error").otherwise("no_match")
+    )
     return by.withColumn("status", status).withColumn("answered", F.bool_or(F.col("status") == "ok").over(Window.partitionBy("query"))).select("query", "shop", "status", "answered")
 
 

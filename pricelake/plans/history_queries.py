@@ -136,7 +136,7 @@ def daily_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expand_watches(spark: SparkSession, d: str) -> DataFrame:
-    stores = A.observations(spark, d).select(F.col("retailer").alias("store"))
+    stores = A.observations(spark, d).select(F.col("retailer").alias("store"), (F.col("retailer") == "store_2").alias("is_placeholder"))
     return deals.expand_watches(A.watches(spark, d), stores).select("watch_id", "store")
 
 
@@ -284,7 +284,7 @@ SQL = {
       x AS (SELECT *, coalesce(price < lag(price) OVER (PARTITION BY offer_id ORDER BY day), false) AS is_drop FROM l)
       SELECT offer_id, count(*) AS points, count(*) FILTER (WHERE is_drop) AS drops, min(price) AS low, max(price) AS high,
         string_agg(day || '=' || printf('%.2f', price), ';' ORDER BY day) AS series FROM x GROUP BY offer_id HAVING count(*) >= 3""",
-    "expand_watches": f"WITH {O}, {W}, stores AS (SELECT DISTINCT retailer AS store FROM obs) SELECT watch_id, site AS store FROM watches WHERE enabled AND site <> 'all' UNION ALL SELECT watch_id, store FROM watches, stores WHERE enabled AND site = 'all'",
+    "expand_watches": f"WITH {O}, {W}, stores AS (SELECT DISTINCT retailer AS store FROM obs WHERE retailer <> 'store_2') SELECT watch_id, site AS store FROM watches WHERE enabled AND site <> 'all' UNION ALL SELECT watch_id, store FROM watches, stores WHERE enabled AND site = 'all'",
     "alert_gate": f"""WITH {WIN}, g AS (SELECT *, CASE seq % 3 WHEN 0 THEN 'aggressive' WHEN 1 THEN 'conservative' ELSE 'off' END AS policy, previous_price - price >= 5 AND (previous_price - price) / nullif(previous_price, 0) * 100 >= 2 AS floor_ FROM prior)
       SELECT seq, CASE WHEN previous_price IS NULL OR price >= previous_price OR stock_status = 'out_of_stock' THEN false
         WHEN coalesce(price < prior_low, false) AND policy = 'aggressive' THEN true WHEN coalesce(price < prior_low, false) AND policy = 'conservative' AND floor_ THEN true

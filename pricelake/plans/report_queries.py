@@ -116,8 +116,12 @@ def clean_search_offers(spark: SparkSession, d: str) -> DataFrame:
 
 def shop_answer_status(spark: SparkSession, d: str) -> DataFrame:
     e = A.read(spark, d, "events")
-    is_ = lambda k: (F.col("event_type") == k).cast("int")
-    return watchlist.shop_answer_status(e.select((F.col("user_id") % 30).alias("query"), (F.col("event_id") % 200).alias("shop"), (is_("purchase") * (F.col("event_id") % 7 == 0).cast("int")).alias("matches"), (is_("error") * (F.col("value") > 60).cast("int")).alias("blocked"), (is_("view") * (F.col("value") > 50).cast("int")).alias("answers"), is_("click").alias("errors")))
+    is_ = lambda kind, more: ((F.col("event_type") == kind) & more).cast("int")
+    value, shop = F.col("value"), F.col("event_id") % 200
+    return watchlist.shop_answer_status(e.select(
+        (F.col("user_id") % 30).alias("query"), shop.alias("shop"), (shop % 20 > 0).alias("is_supported"), is_("purchase", F.col("event_id") % 7 == 0).alias("offers"), is_("error", value > 60).alias("blocked"),
+        is_("signup", value > 40).alias("missing"), is_("click", value > 30).alias("errors"), is_("view", value > 20).alias("answers"), is_("view", value > 80).alias("priceless"),
+    ))
 
 
 def _prices(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +145,7 @@ def url_structure_check(spark: SparkSession, d: str) -> DataFrame:
 def _audit(spark: SparkSession, d: str) -> DataFrame:
     """Watches per store against listings that return the offers with a query's first word."""
     w, o = _listing(spark, d)
-    stores = A.observations(spark, d).select(F.col("retailer").alias("store"))
+    stores = A.observations(spark, d).select(F.col("retailer").alias("store"), F.lit(False).alias("is_placeholder"))
     k = F.substring("watch_id", 2, 9).cast("int")
     each = deals.expand_watches(w.withColumn("enabled", F.lit(True)), stores)
     checks = each.select("watch_id", "store", F.when(k % 13 > 0, F.col("query")).alias("query"), (F.col("store") != "store_3").alias("is_supported"), F.concat(F.col("store"), F.lit(".example.com")).alias("host"), (k % 17 == 0).alias("failed"), (k % 19 == 0).alias("challenged"), (k % 2 == 0).alias("extraction_failed"))
@@ -292,8 +296,9 @@ SQL = {
         l_extendedprice AS price, l_returnflag = 'R' AS gone FROM lineitem WHERE l_orderkey % 97 > 1),
       b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY shop, url ORDER BY price, title) = 1)
       SELECT query, shop, url, title, price, row_number() OVER (PARTITION BY query ORDER BY gone, price, shop, title, url)::INT AS rank FROM b""",
-    "shop_answer_status": """WITH b AS (SELECT user_id % 30 AS query, event_id % 200 AS shop, bool_or(event_type = 'purchase' AND event_id % 7 = 0) AS m, bool_or(event_type = 'error' AND value > 60) AS bl, bool_or(event_type = 'view' AND value > 50) AS an, bool_or(event_type = 'click') AS er FROM events GROUP BY ALL),
-      s AS (SELECT query, shop, CASE WHEN m THEN 'ok' WHEN bl THEN 'blocked' WHEN an THEN 'no_match' WHEN er THEN 'error' ELSE 'unsupported' END AS status FROM b)
+    "shop_answer_status": """WITH b AS (SELECT user_id % 30 AS query, event_id % 200 AS shop, bool_or(event_type = 'purchase' AND event_id % 7 = 0) AS offers, bool_or(event_type = 'error' AND value > 60) AS blocked,
+        bool_or(event_type = 'signup' AND value > 40) AS missing, bool_or(event_type = 'click' AND value > 30) AS errors, bool_or(event_type = 'view' AND value > 20) AS answers, bool_or(event_type = 'view' AND value > 80) AS priceless FROM events GROUP BY ALL),
+      s AS (SELECT query, shop, CASE WHEN shop % 20 = 0 THEN 'unsupported' WHEN offers THEN 'ok' WHEN blocked THEN 'blocked' WHEN missing THEN 'no_match' WHEN errors OR NOT answers OR priceless THEN 'error' ELSE 'no_match' END AS status FROM b)
       SELECT *, bool_or(status = 'ok') OVER (PARTITION BY query) AS answered FROM s""",
     "target_price_feasibility": f"""WITH {W}, {A.OFFERS}, {A.SPARSE},
       found AS (SELECT watch_id, offer_id FROM watches JOIN offers ON list_has_all(string_split_regex(lower(title), '\\s+'), string_split_regex(lower(query), '\\s+'))),

@@ -258,6 +258,51 @@ def test_vetoes(spark):
     assert got == {"b": True, "c": True, "d": False, "e": False}
 
 
+@pytest.mark.parametrize(("title", "want"), [
+    ("Ryzen 5 7520U", ["7520u"]), ("AMD Ryzen R5-150", ["150"]), ("Core 3 304", ["304"]), ("Core i5-13420H / 16GB", ["13420h"]), ("i7 1255U", ["1255u"]), ("Intel N150, 8GB", ["150"]), ("Core Ultra 7 155H", ["155h"]),
+    ("Ryzen AI 9 365", ["365"]), ("Celeron N4500", []), ("Laptop 15 8GB 512", []), ("i5 999", []), ("Pentium 6500Y x", ["500y"]), ("core 304", ["304"]), ("", []),
+])
+def test_processor_numbers(spark, title, want):
+    assert spark.createDataFrame([(title,)], "t string").select(identity.cpu_codes(F.col("t"))).first()[0] == want
+
+
+GOOD = '{"verdict": "NORMAL_DROP", "verdict_score": 5, "summary": "s", "is_recommended": false}'
+
+
+@pytest.mark.parametrize(("raw", "found"), [
+    (GOOD, True), ("Sure: " + GOOD + " done", True), ("```json\n" + GOOD + "\n```", True), ("see {x} first\n```\n" + GOOD + "\n``` and {y}", True), ("```json\nnot it\n```\n```" + GOOD + "```", True),
+    ("no object", False), ("", False), (None, False), ("[1, 2]", False), ('{"verdict": "x"}', False), ("{broken", False), ("}{", False),
+])
+def test_answers_hold_one_object(spark, raw, found):
+    got = spark.createDataFrame([(raw,)], "r string").select(responses.answer_object(F.col("r")).isNotNull()).first()[0]
+    assert got is found
+
+
+def test_components_of_long_chains_and_hubs(spark):
+    from pricelake.functions.components import components
+
+    chain = [(f"c{k:04}", f"c{k + 1:04}") for k in range(300)]
+    hub = [("hub", f"leaf{k}") for k in range(500)] + [("leaf3", "leaf3"), ("leaf4", "hub")]
+    got = {r["u"]: r["component"] for r in components(spark.createDataFrame(chain + hub, "a string, b string")).collect()}
+    assert got == {**{f"c{k:04}": "c0000" for k in range(301)}, "hub": "hub", **{f"leaf{k}": "hub" for k in range(500)}}
+    assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_fan_out_leaves_placeholders_out(spark):
+    w = spark.createDataFrame([("w1", "all", True), ("w2", "soon", True), ("w3", "a", False), ("w4", "gone", True)], "watch_id string, site string, enabled boolean")
+    stores = spark.createDataFrame([("a", False), ("b", False), ("b", False), ("soon", True)], "store string, is_placeholder boolean")
+    assert sorted((r["watch_id"], r["store"]) for r in deals.expand_watches(w, stores).collect()) == [("w1", "a"), ("w1", "b"), ("w2", "soon"), ("w4", "gone")]
+
+
+@pytest.mark.parametrize(("counts", "want"), [
+    ((True, 1, 1, 1, 1, 1, 1), "ok"), ((True, 0, 1, 1, 1, 1, 0), "blocked"), ((True, 0, 0, 1, 1, 0, 0), "no_match"), ((True, 0, 0, 0, 1, 1, 0), "error"), ((True, 0, 0, 0, 0, 0, 0), "error"),
+    ((True, 0, 0, 0, 0, 2, 1), "error"), ((True, 0, 0, 0, 0, 2, 0), "no_match"), ((False, 1, 0, 0, 0, 1, 0), "unsupported"),
+])
+def test_answers_of_shops(spark, counts, want):
+    row = spark.createDataFrame([("q", "s", *counts)], "query string, shop string, is_supported boolean, offers int, blocked int, missing int, errors int, answers int, priceless int")
+    assert watchlist.shop_answer_status(row).first()["status"] == want
+
+
 def test_runs_of_a_streamed_table(spark, tmp_path):
     """Each batch as if after a restart, some twice; runs are merged by size, and the newest row of a key counts."""
     at, schema = f"file://{tmp_path}/table", "k long, v long, us long"
