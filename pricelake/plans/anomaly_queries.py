@@ -24,7 +24,8 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     spelled = F.when(F.col("seq") % 8 == 0, F.col("price").cast("long").cast("string")).otherwise(delivery.price_text(F.col("price")))
     alerts = obs.select("seq", delivery.decision_id(delivery.dedup_key(F.col("offer_id"), spelled, F.col("retailer"))).alias("id"))
     votes = feedback.vote_labels(A.label_log(spark, d)).filter("alert_id % 2 = 0").select(F.col("alert_id").alias("seq"), "label")
-    return anomaly.attach_outcomes(rows, ids, alerts.filter("seq % 3 = 0").select("id"), alerts.join(votes, "seq").select("id", "label"))
+    labels = alerts.join(votes, "seq").groupBy("id").agg(F.max("label").alias("label"))  # one offer can alert twice at one price
+    return anomaly.attach_outcomes(rows, ids, alerts.filter("seq % 3 = 0").select("id"), labels)
 
 
 def attach_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +112,7 @@ v AS (SELECT alert_id AS id, (sum(CASE WHEN label IN ('useful','purchased') THEN
   HAVING sum(CASE WHEN label IN ('useful','purchased') THEN 1 WHEN label IN ('fake_discount','wrong_price') THEN -1 ELSE 0 END) <> 0),
 al AS (SELECT seq, {uuid5("'alert-decision:' || sha256(offer_id || ':' || CASE WHEN seq % 8 = 0 THEN price::BIGINT::VARCHAR ELSE price::VARCHAR END || ':' || retailer)")} AS id
   FROM (SELECT seq, offer_id, retailer, CASE WHEN seq % 4 = 0 THEN floor(price) ELSE price END AS price FROM obs)),
-dec AS (SELECT DISTINCT id FROM al WHERE seq % 3 = 0), lab AS (SELECT al.id, v.label FROM al JOIN v ON v.id = al.seq),
+dec AS (SELECT DISTINCT id FROM al WHERE seq % 3 = 0), lab AS (SELECT al.id, max(v.label) AS label FROM al JOIN v ON v.id = al.seq GROUP BY al.id),
 fi AS (SELECT *, {uuid5("'alert-decision:' || sha256(offer_id || ':' || price::VARCHAR || ':' || retailer)")} AS id1, CASE WHEN price = floor(price) THEN {uuid5("'alert-decision:' || sha256(offer_id || ':' || price::BIGINT || ':' || retailer)")} END AS id2 FROM f),
 o AS (SELECT fi.*, coalesce(id1 IN (SELECT id FROM dec), false) OR coalesce(id2 IN (SELECT id FROM dec), false) AS deterministic_alert, coalesce(a.label, b.label) AS label,
   drop_pct > 50 AS forest, relative_to_30d_median < -0.5 AS pelt_flag, -round(greatest(drop_pct, 0), 2) / 200 AS score FROM fi LEFT JOIN lab a ON a.id = id1 LEFT JOIN lab b ON b.id = id2)"""
