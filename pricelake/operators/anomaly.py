@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .deals import spans
 from .history import KEEP_DAYS, by_offer
 
 DAY = 86_400_000_000
@@ -184,22 +185,21 @@ def pelt_drop_flag(obs: DataFrame, keep_days: int = KEEP_DAYS) -> DataFrame:
     The series of a row are the offer's rows that pruning has kept until then: those of the ``keep_days`` days before it. They are
     divided by their median; change points minimise the squared error plus PENALTY for each, exactly.
 
-    An offer's rows are cut into spans of ``keep_days`` days, and a span also gets the rows of the one before: a task holds two spans
-    of an offer, and a row is sent twice at most.
+    An offer's rows are cut into spans of some times ``keep_days`` days, and a span also gets the rows of the ``keep_days`` before it: a
+    task holds one span of an offer, and a row is sent twice at most.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["day", "us", "seq"])
-        own = pdf["own"].to_numpy(bool)
+        own = pdf["_own"].to_numpy(bool)
         if not own.any():
             return pd.DataFrame({"seq": [], "pelt_flag": []})
         flags = fallen(pdf["price"].to_numpy(float), pdf["day"].to_numpy(), own, keep_days)
         return pd.DataFrame({"seq": pdf["seq"].to_numpy()[own], "pelt_flag": flags[own]})
 
     rows = obs.select("offer_id", "day", "us", "seq", "price")
-    span = F.floor(F.col("day") / keep_days)
-    both = rows.withColumn("span", span).withColumn("own", F.lit(True)).unionByName(rows.withColumn("span", span + 1).withColumn("own", F.lit(False)))
-    return both.groupBy("offer_id", "span").applyInPandas(run, "seq long, pelt_flag boolean")
+    here, before = spans(rows, keep_days)
+    return here.unionByName(before).groupBy("offer_id", "_span").applyInPandas(run, "seq long, pelt_flag boolean")
 
 
 #: Rows whose series are partitioned together.

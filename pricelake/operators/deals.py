@@ -16,6 +16,8 @@ LEAST_DROP, LEAST_DROP_PERCENT = 5.0, 2.0
 LEAST_HISTORY_DAYS, INFLATED, GENUINE_PERCENT = 14, 1.25, 5.0
 TRIM = 0.05
 POLICIES = ("aggressive", "conservative", "off")
+#: Windows of days that a task holds of an offer at a time, besides the one before them.
+SPAN = 8
 
 
 def expand_watches(watches: DataFrame, stores: DataFrame) -> DataFrame:
@@ -85,13 +87,12 @@ def window_statistics(obs: DataFrame, days: int = history.REFERENCE_DAYS) -> Dat
     """Statistics of each row's window of earlier prices: n, median, p25, p75 (inclusive quantiles, interpolated), mean, stdev,
     trimmed_mean, mad, z_score, and genuine_savings against the window's low.
 
-    An offer's rows are cut into spans of ``days`` days; a span also gets the rows of the ``days`` before it. So a task holds two
-    spans of an offer at a time, and a row is sent twice at most. Within a span one structure slides over the rows.
+    An offer's rows are cut into spans of SPAN windows; a span also gets the rows of the ``days`` before it. So a task holds few
+    windows of an offer at a time, and a row is sent twice at most, most once. Within a span one structure slides over the rows.
     """
     rows = history.reference_window(obs, days)
-    span = F.floor(F.col("day") / days)
-    here = rows.withColumn("_span", span).withColumn("_own", F.lit(True))
-    before, names = rows.withColumn("_span", span + 1).withColumn("_own", F.lit(False)), rows.columns
+    here, before = spans(rows, days)
+    names = rows.columns
 
     def slide(span_rows: pa.Table) -> pa.Table:
         span_rows = span_rows.sort_by([(c, "ascending") for c in ("day", "us", "seq")])
@@ -108,6 +109,15 @@ def window_statistics(obs: DataFrame, days: int = history.REFERENCE_DAYS) -> Dat
     return out.withColumn("z_score", F.when(F.col("stdev") > 0, (F.col("price") - F.col("mean")) / F.col("stdev"))).withColumn("genuine_savings", savings())
 
 
+def spans(rows: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
+    """The rows in their own span (``_span``, ``_own``), and those of the last ``days`` days of a span in the next one, for which they
+    come before."""
+    width = SPAN * days
+    span = F.floor(F.col("day") / width)
+    late = F.pmod(F.col("day"), F.lit(width)) >= width - days
+    return rows.withColumn("_span", span).withColumn("_own", F.lit(True)), rows.filter(late).withColumn("_span", span + 1).withColumn("_own", F.lit(False))
+
+
 def savings() -> Column:
     """How far a price is below its window's low, in percent."""
     return F.when(F.col("window_low") > 0, (1 - F.col("price") / F.col("window_low")) * 100)
