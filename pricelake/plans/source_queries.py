@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import documents, pages
@@ -44,6 +44,23 @@ def read_price_history(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(rejected.select("url", F.lit(-1).cast("long").alias("n"), F.lit(0).cast("long").alias("no_stock")))
 
 
+def read_large_history(spark: SparkSession, d: str) -> DataFrame:
+    """A document of each site, written entry by entry, so that no task holds one; read in blocks of its file."""
+    products, rows = _history(spark, d)
+    nested = documents.price_history_rows(products, rows)
+    entry = F.to_json(F.struct(*[c for c in nested.columns if c not in ("url", "history")], F.when(~F.col("url").endswith("3"), F.col("history")).alias("history")))
+    first = F.row_number().over(Window.partitionBy("site").orderBy("url")) == 1
+    wrapped = F.col("site") != "store_1"
+    line = F.concat(F.when(first, F.when(wrapped, '{"schema_version": 1, "products": {').otherwise("{")).otherwise(","), F.to_json(F.array("url")).substr(F.lit(2), F.length(F.to_json(F.array("url"))) - 2), F.lit(": "), entry)
+    lines = nested.select("site", F.col("url").alias("place"), line.alias("value"))
+    last = nested.select("site").distinct().select("site", F.lit("~").alias("place"), F.when(wrapped, "}}").otherwise("}").alias("value"))
+    path = shared_path(spark, "large-documents")
+    lines.unionByName(last).repartition("site").sortWithinPartitions("site", "place").select("value", F.col("site").alias("part")).write.partitionBy("part").text(path)
+    got, obs, rejected = documents.read_large_history(spark, path)
+    a = obs.groupBy("url").agg(F.count("*").alias("n"), F.sum(F.col("stock_status").isNull().cast("int")).cast("long").alias("no_stock"))
+    return a.unionByName(rejected.select("url", F.lit(-1).cast("long").alias("n"), F.lit(0).cast("long").alias("no_stock")))
+
+
 def read_event_log(spark: SparkSession, d: str) -> DataFrame:
     e = A.read(spark, d, "events")
     line = F.when(F.col("event_id") % 50 == 0, "{broken").when(F.col("event_id") % 70 == 0, "[1, 2]").when(F.col("event_id") % 90 == 0, "   ").otherwise(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "value")))
@@ -129,7 +146,7 @@ def extraction_failures(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    price_history_round_trip, read_price_history, read_event_log, load_watches, snapshot, migrate_history, reconcile_tables, extract_jsonld, extract_listing_cards, resolve_layered_price, extraction_failures,
+    price_history_round_trip, read_price_history, read_large_history, read_event_log, load_watches, snapshot, migrate_history, reconcile_tables, extract_jsonld, extract_listing_cards, resolve_layered_price, extraction_failures,
 )}
 
 HIST = A.OBS + """,
@@ -159,3 +176,4 @@ SQL = {
     "resolve_layered_price": f"SELECT page_id, round(price, 2) AS price, price_layer FROM ({PRICE})",
     "extraction_failures": f"SELECT 'store_' || (page_id % 4) AS retailer, CASE WHEN page_id % 7 = 0 THEN 'no_price_element' ELSE 'unreadable_price' END AS reason, count(*) AS n FROM ({PRICE}) WHERE price IS NULL GROUP BY ALL",
 }
+SQL["read_large_history"] = SQL["read_price_history"]

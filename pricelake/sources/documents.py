@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scratch import written
 
 ENTRY = "title: string, site: string, seller: string, is_marketplace: boolean, reference_price: double, all_time_low: double, all_time_high: double, first_seen: string, history: array<struct<date: string, observed_at: string, price: double, stock_status: string>>"
 DOCUMENT = f"schema_version int, products map<string, struct<{ENTRY}>>"
@@ -16,14 +17,76 @@ def read_price_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     """(products, observations, rejected) of a folder of nested documents, one per run or shop.
 
     A bare map of products is wrapped; an entry without history, or with a row lacking date or price, is rejected with a reason.
-    A document is one row of a task until its entries are exploded, so it must be smaller than Spark's largest string (2 GB).
+    A document is one row of a task until its entries are exploded, so it must be smaller than Spark's largest string (2 GB);
+    ``read_large_history`` reads larger ones.
     """
     raw = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     doc = F.from_json("value", DOCUMENT)
     both = F.coalesce(doc["products"], F.when(F.get_json_object("value", "$.products").isNull(), F.from_json("value", BARE)))
     docs = raw.select("file", both.alias("products"))
     broken = docs.filter("products is null").select("file", F.lit(None).cast("string").alias("url"), F.lit("not_a_document").alias("reason"))
-    entries = docs.filter("products is not null").select("file", F.explode("products").alias("url", "e"))
+    return _judged(docs.filter("products is not null").select("file", F.explode("products").alias("url", "e")), broken)
+
+
+def read_large_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``read_price_history`` gives, of documents of any size: no task holds more of a document than a block of its file.
+
+    A document is read in pieces that closing braces part, by as many tasks as its file has blocks. Whether a piece starts within a
+    string, and how deep, follows from sums over the pieces before it: within a block, and over the blocks of a file. Pieces of one entry
+    then meet in one group. A document whose braces don't close is rejected whole, an entry that doesn't parse by itself; an empty file has no rows.
+    """
+    pieces = _pieces(spark, path)
+    blocks = pieces.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.sum("out_delta").alias("out_delta"), F.sum("in_delta").alias("in_delta"))
+    by_block = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("starts_in", F.coalesce(F.sum("quotes").over(by_block), F.lit(0)) % 2 == 1)
+    blocks = blocks.withColumn("base", F.coalesce(F.sum(F.when(F.col("starts_in"), F.col("in_delta")).otherwise(F.col("out_delta"))).over(by_block), F.lit(0)))
+    pick = lambda name: F.when(F.col("starts_in"), F.col(f"in_{name}")).otherwise(F.col(f"out_{name}"))
+    known = pieces.join(blocks.select("file", "block", "starts_in", "base"), ["file", "block"])
+    known = known.select("file", "size", "block", "at", "value", pick("delta").alias("delta"), (F.col("base") + pick("before")).alias("before"), pick("ends_in").alias("ends_in"))
+    top = F.col("before") <= 1
+    known = known.withColumn("after", F.col("before") + F.col("delta")).withColumn("head", top & F.col("value").rlike(r'"products"\s*:\s*\{')).withColumn("odd", top & F.col("value").rlike(r'"products"\s*:\s*[^\s{n]'))
+    opened = F.bool_or((F.col("before") == 0) & F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("{"))
+    unclosed = F.sum("delta") + F.when(F.sum(F.octet_length("value")) + F.count("*") > F.first("size"), 1).otherwise(0)
+    files = known.groupBy("file").agg(F.bool_or("head").alias("wrapped"), (opened & (unclosed == 0) & (F.bool_or("head") | ~F.bool_or("odd"))).alias("whole"))
+    broken = files.filter("not whole").select("file", F.lit(None).cast("string").alias("url"), F.lit("not_a_document").alias("reason"))
+    known = known.join(files.filter("whole"), "file").withColumn("level", F.when(F.col("wrapped"), 2).otherwise(1))
+    ends = (~F.col("ends_in") & (F.col("after") == F.col("level"))).cast("int")
+    parts = (F.col("wrapped") & (F.col("after") <= 1)).cast("int")
+    counts = known.groupBy("file", "block").agg(F.sum(ends).alias("entries"), F.sum(parts).alias("members"))
+    counts = counts.select("file", "block", *[F.coalesce(F.sum(c).over(by_block), F.lit(0)).alias(c) for c in ("entries", "members")])
+    in_block = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = known.join(counts, ["file", "block"]).withColumn("entry", F.col("entries") + F.coalesce(F.sum(ends).over(in_block), F.lit(0))).withColumn("member", F.col("members") + F.coalesce(F.sum(parts).over(in_block), F.lit(0)))
+    wanted = placed.filter("head or not wrapped").select("file", "member").distinct()
+    grouped = placed.join(wanted, ["file", "member"]).groupBy("file", "entry", "member").agg(
+        F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("pieces"), F.bool_or("head").alias("head"), F.min("before").alias("before"), F.bool_or(ends == 1).alias("closed"))
+    text = F.array_join(F.transform("pieces", lambda x: x["value"]), "}")
+    text = F.when(F.col("head"), F.regexp_replace(text, r'^[\s\S]*?"products"\s*:\s*\{', "")).when(F.col("before") == 0, F.regexp_replace(text, r"^\s*\{", "")).otherwise(text)
+    entry = F.from_json(F.concat(F.lit("{"), F.regexp_replace(text, r"^\s*,", ""), F.lit("}}")), BARE)
+    parsed = grouped.filter("closed").select("file", entry.alias("products"))
+    unread = parsed.filter("products is null").select(broken.columns[0], F.lit(None).cast("string").alias("url"), F.lit("not_an_entry").alias("reason"))
+    return _judged(parsed.filter("products is not null").select("file", F.explode("products").alias("url", "e")), broken.unionByName(unread))
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """Pieces of documents between closing braces: quotes in them and, if the block started outside (out_) or within (in_) a string, the
+    depth before them, its change, and whether they end within a string."""
+    raw = spark.read.text(path, lineSep="}").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    raw = raw.withColumn("plain", plain).withColumn("quotes", F.length("plain") - F.length(F.replace(F.col("plain"), F.lit('"'), F.lit(""))))
+    before = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    out = raw.withColumn("earlier", F.coalesce(F.sum("quotes").over(before), F.lit(0)))
+    for name, more in (("out", 0), ("in", 1)):
+        within = (F.col("earlier") + more) % 2 == 1
+        bare = F.regexp_replace(F.concat(F.when(within, '"').otherwise(""), "plain"), r'"[^"]*("|\z)', "")
+        ends_in = (F.col("earlier") + F.col("quotes") + more) % 2 == 1
+        opened = F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit("")))
+        out = out.withColumn(f"{name}_ends_in", ends_in).withColumn(f"{name}_delta", opened - (~ends_in).cast("int"))
+        out = out.withColumn(f"{name}_before", F.coalesce(F.sum(f"{name}_delta").over(before), F.lit(0)))
+    return written(out.drop("plain", "earlier"), "history-pieces")
+
+
+def _judged(entries: DataFrame, broken: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Products, observations, and what is rejected with the broken documents."""
     bad_row = F.exists("e.history", lambda r: r["date"].isNull() | T.valid_price(r["price"]).isNull())
     reason = F.when(F.col("e.history").isNull(), "no_history").when(bad_row, "bad_observation")
     judged = entries.withColumn("reason", reason)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
+import random
 import re
 import uuid
 
@@ -615,6 +617,35 @@ def test_documents_of_older_shapes(spark, tmp_path):
     assert sorted((r["url"] or "", r["reason"]) for r in rejected.collect()) == [("", "not_a_document"), ("u2", "no_history"), ("u3", "bad_observation")]
 
 
+@pytest.mark.parametrize("block", ["64", "1000", "128m"])
+def test_large_documents_read_as_small_ones(spark, tmp_path, block):
+    """Blocks may start within strings, entries and escapes; both readers give the same."""
+    rng = random.Random(5)
+    odd = ["plain", 'say "hi"', "{", "}", "a } b { c", '"}', "\\\\", '\\"', '{"products": {', "é} 文字 {", "\n}\t{", "}}}}", "", "[{"]
+
+    def entry(k):
+        history = [{"date": f"2024-01-{d + 1:02d}", "observed_at": None, "price": rng.choice([5, 7.25, None]) if k % 9 == 0 else 5.5, "stock_status": rng.choice(["in_stock", rng.choice(odd)])} for d in range(rng.randrange(5))]
+        return {"title": rng.choice(odd) * rng.randrange(1, 4), "site": "s", **({} if k % 7 == 0 else {"history": history})}
+
+    for k in range(8):
+        products = {f"https://x/{k}/{j}/{rng.choice(odd)}": entry(j) for j in range(rng.randrange(30) if k else 0)}
+        document = [products, {"schema_version": 1, "products": products}, {"meta": {"a": {"b": {"c": 1}}}, "products": products, "after": {"z": {"y": 2}}}][k % 3 if k else 1]
+        (tmp_path / f"{k}.json").write_text(json.dumps(document, indent=k % 3 or None, ensure_ascii=k % 2 == 0) + "\n" * (k % 2))
+    for name, text in {"text": "no json", "list": '[{"u": {"title": "t"}}]', "cut": json.dumps({"u": {"title": "t", "history": []}})[:-1], "number": '{"schema_version": 1, "products": 5}', "bare": "{}"}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = documents.read_price_history(spark, str(tmp_path))
+    try:
+        want = [sorted(map(str, df.collect())) for df in want]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        got = [sorted(map(str, df.collect())) for df in documents.read_large_history(spark, str(tmp_path))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(want[0]) > 50 and len(want[2]) > 10
+    for g, w in zip(got, want, strict=True):
+        assert g == w
+
+
 def test_prompts_are_cut_after_markup_is_gone(spark):
     titles = ["<" * 290 + "word " * 100, "java" * 30 + "javascript:" + "script:" * 30 + "end", "plain"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in titles], "t string").select(T.sanitize(F.col("t"))).collect()]
