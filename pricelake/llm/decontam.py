@@ -5,7 +5,7 @@ Words (lower-cased, ASCII punctuation apart) of documents and benchmark items ar
 string tiling marks the longest matches that don't overlap, again and again, down to ``MIN_TILE`` words. A document is
 contaminated if the tiles cover ``COVERAGE`` of an item's words, in whatever order its parts stand.
 
-Both sides are rows: the seeds of items, and those seeds of documents that a bitmap of ``BITS`` bits over the items' seeds
+Both sides are rows: the seeds of items, and those seeds of documents that a bitmap of at most ``BITS`` bits over the items' seeds
 lets through (a full bitmap lets more through and changes no result). Tiles that cover an item hold at least
 ``COVERAGE * words / seed length`` of its seeds, so the seeds an item can spare, those that most texts have, propose no
 pairs: they are looked up for the pairs that the others proposed. Equal texts are tiled once. Words and runs are compared
@@ -17,7 +17,6 @@ items count once, repeated documents each; an empty benchmark finds nothing. Ext
 
 from __future__ import annotations
 
-import math
 import string
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,15 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 MIN_TILE = 5
 COVERAGE = 0.6
+#: Bits of the bitmap for each seed, and in all, at most.
+BITS_A_SEED = 64
 BITS = 2**26
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
-KEPT_WORDS = 200_000
 SPLIT = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 SEEDS = "item_key string, n int, n_tokens int, hash long, m int"
 HITS = "doc_id long, text_key string, hashes array<long>, places array<array<int>>"
@@ -48,18 +48,10 @@ def words(text: str | None) -> list[bytes]:
     return [] if text is None else text.lower().encode("utf-8", "surrogatepass").translate(SPLIT).split()
 
 
-class Numbers(dict):
-    """Words to hashes of 64 bits; those seen last are kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        number = self[word] = xxhash.xxh64_intdigest(word)
-        return number
-
-    def of(self, text: str | None) -> np.ndarray:
-        own = words(text)
-        return np.fromiter(map(self.__getitem__, own), np.uint64, len(own))
+def numbers(text: str | None) -> np.ndarray:
+    """The text's words as hashes of 64 bits."""
+    own = words(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
 
 
 class Runs:
@@ -150,10 +142,9 @@ def seeds_of(items: DataFrame) -> DataFrame:
     """One row per item and distinct seed, m times in it; seeds are as long as the item where it is shorter than MIN_TILE."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = Numbers()
         for batch in batches:
             for key, text in zip(batch["item_key"], batch["text"], strict=True):
-                ids = numbers.of(text)
+                ids = numbers(text)
                 if len(ids):
                     n = min(MIN_TILE, len(ids))
                     hashes, m = np.unique(Runs(ids).of(n), return_counts=True)
@@ -164,9 +155,10 @@ def seeds_of(items: DataFrame) -> DataFrame:
 
 def bitmap(seeds: DataFrame) -> np.ndarray:
     """A bit for the first bits of each seed's hash: BITS bits at most, whatever the number of seeds."""
-    shift = 64 - int(math.log2(BITS))
+    size = min(BITS, max(128, 1 << (BITS_A_SEED * seeds.count()).bit_length()))
+    shift = 65 - size.bit_length()
     rows = seeds.groupBy(F.shiftrightunsigned("hash", shift + 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(hash, {shift}) & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
@@ -174,15 +166,16 @@ def bitmap(seeds: DataFrame) -> np.ndarray:
 def hits_of(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """One row per document that has seeds which the bitmap lets through: the distinct ones and their places."""
     lengths = sorted(r["n"] for r in seeds.select("n").distinct().collect())  # MIN_TILE of them at most
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(seeds))
-    shift = np.uint64(64 - int(math.log2(BITS)))
+    bits = bitmap(seeds)
+    shift = np.uint64(59 - len(bits).bit_length())
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, bits = Numbers(), sent.value
+        bits = sent.value
         for batch in batches:
             rows = []
             for doc, key, text in zip(batch["doc_id"].astype("Int64"), batch["text_key"], batch["text"], strict=True):
-                ids = numbers.of(text)
+                ids = numbers(text)
                 if not len(ids) or not lengths:
                     continue
                 runs, hashes, places = Runs(ids), [], []
@@ -220,11 +213,10 @@ def tiled(items: DataFrame, seeds: DataFrame, hits: DataFrame) -> DataFrame:
     asked_tiles = pairs.join(size, "item_key").filter(enough).join(items, "item_key").select("text_key", "item_id", "text", "n", "hashes", "places")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = Numbers()
         for batch in batches:
             rows = []
             for key, item, text, n, hashes, places in zip(batch["text_key"], batch["item_id"].astype("Int64"), batch["text"], batch["n"], batch["hashes"], batch["places"], strict=True):
-                ids = numbers.of(text)
+                ids = numbers(text)
                 pattern = np.unique(ids, return_inverse=True)[1]
                 tiles = tile(pattern, regions(ids, pattern, hashes, places, int(n)), int(n))
                 if sum(tiles) >= COVERAGE * len(ids):
@@ -234,24 +226,24 @@ def tiled(items: DataFrame, seeds: DataFrame, hits: DataFrame) -> DataFrame:
     return asked_tiles.mapInPandas(run, TILED)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with seeds of items (doc_id, text_key), and what their texts cover."""
+def sides(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items, their seeds, and the documents with such seeds."""
     items = items_of(benchmark)
     seeds = materialize(seeds_of(items), "decontam-items")
-    hits = materialize(hits_of(docs, seeds), "decontam-hits")
-    return hits.select("doc_id", "text_key"), tiled(items, seeds, hits)
+    return items, seeds, materialize(hits_of(docs, seeds), "decontam-hits")
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that it covers: doc_id, item_id, matched, n_tokens, coverage, tiles."""
-    hits, covered = matches(docs, benchmark)
-    return hits.join(covered, "text_key").select(*FOUND)
+    items, seeds, hits = sides(docs, benchmark)
+    return hits.select("doc_id", "text_key").join(tiled(items, seeds, hits), "text_key").select(*FOUND)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that cover no item enough."""
-    _, covered = matches(docs, benchmark)
-    bad = materialize(covered.select("text_key").distinct(), "decontam-texts")
+    items, seeds, hits = sides(docs, benchmark)
+    bad = materialize(tiled(items, seeds, hits).select("text_key").distinct(), "decontam-texts")
+    discard(seeds, hits)
     return docs.join(bad, key_of(docs["text"]) == bad["text_key"], "left_anti")
 
 
