@@ -49,13 +49,14 @@ def read_large_history(spark: SparkSession, d: str) -> DataFrame:
     products, rows = _history(spark, d)
     nested = documents.price_history_rows(products, rows)
     entry = F.to_json(F.struct(*[c for c in nested.columns if c not in ("url", "history")], F.when(~F.col("url").endswith("3"), F.col("history")).alias("history")))
-    first = F.row_number().over(Window.partitionBy("site").orderBy("url")) == 1
+    of_site = Window.partitionBy("site").orderBy("url")
     wrapped = F.col("site") != "store_1"
-    line = F.concat(F.when(first, F.when(wrapped, '{"schema_version": 1, "products": {').otherwise("{")).otherwise(","), F.to_json(F.array("url")).substr(F.lit(2), F.length(F.to_json(F.array("url"))) - 2), F.lit(": "), entry)
-    lines = nested.select("site", F.col("url").alias("place"), line.alias("value"))
-    last = nested.select("site").distinct().select("site", F.lit("~").alias("place"), F.when(wrapped, "}}").otherwise("}").alias("value"))
+    first, last = F.row_number().over(of_site) == 1, F.lead("url").over(of_site).isNull()
+    name = F.to_json(F.array("url")).substr(F.lit(2), F.length(F.to_json(F.array("url"))) - 2)
+    # A document's end stands with its last entry: rows of a union need not meet in one file.
+    line = F.concat(F.when(first, F.when(wrapped, '{"schema_version": 1, "products": {').otherwise("{")).otherwise(","), name, F.lit(": "), entry, F.when(last, F.when(wrapped, "\n}}").otherwise("\n}")).otherwise(""))
     path = shared_path(spark, "large-documents")
-    lines.unionByName(last).repartition("site").sortWithinPartitions("site", "place").select("value", F.col("site").alias("part")).write.partitionBy("part").text(path)
+    nested.select("site", "url", line.alias("value")).repartition("site").sortWithinPartitions("site", "url").select("value", F.col("site").alias("part")).write.partitionBy("part").text(path)
     got, obs, rejected = documents.read_large_history(spark, path)
     a = obs.groupBy("url").agg(F.count("*").alias("n"), F.sum(F.col("stock_status").isNull().cast("int")).cast("long").alias("no_stock"))
     return a.unionByName(rejected.select("url", F.lit(-1).cast("long").alias("n"), F.lit(0).cast("long").alias("no_stock")))

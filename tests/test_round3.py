@@ -19,3 +19,26 @@ def test_few_labels_have_a_best_threshold(spark):
     assert anomaly.best_f1(rows.filter("label > 1")).count() == 0
     with pytest.raises(ValueError, match="only 4 labelled rows"):
         anomaly.select_threshold(rows, "best_f1")
+
+
+@pytest.mark.parametrize("read", [documents.read_price_history, documents.read_large_history])
+def test_a_price_of_zero_is_a_price(spark, tmp_path, read):
+    row = lambda price: {"date": "2024-01-01", "observed_at": None, "price": price, "stock_status": "in_stock"}
+    (tmp_path / "a.json").write_text(json.dumps({"u1": {"title": "t", "history": [row(0.0), row(2.5)]}, "u2": {"title": "t", "history": [row(None)]}}))
+    _, rows, rejected = read(spark, str(tmp_path))
+    assert sorted((r["url"], r["price"]) for r in rows.collect()) == [("u1", 0.0), ("u1", 2.5)]
+    assert [(r["url"], r["reason"]) for r in rejected.collect()] == [("u2", "bad_observation")]
+
+
+def test_a_large_document_is_one_file_whatever_its_size(spark, monkeypatch):
+    """A small table is coalesced into one partition, so it would not show parts in different files."""
+    files = []
+    read = documents.read_large_history
+    monkeypatch.setattr(documents, "read_large_history", lambda s, path: (files.append(s.read.text(path).select("_metadata.file_path").distinct().count()), read(s, path))[1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        got = source_queries.read_large_history(spark, "/root/testdata/sf0.1").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert files == [4] and got["url"].notna().all()
