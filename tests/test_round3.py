@@ -52,3 +52,10 @@ def test_streamed_observations_keep_a_price_of_zero(spark, tmp_path):
     table = jobs.LogTable(spark, f"file://{tmp_path}/table", schema, ["offer_id", "us"], "seq", mark="us")
     jobs.stream_observations(stream, table, jobs.LogTable(spark, f"file://{tmp_path}/late", schema), 86_400_000_000)
     assert sorted(map(tuple, table.read().collect())) == [("a", 1, 1, 0.0), ("a", 2, 2, 5.0)]
+
+
+def test_watches_fan_out_to_every_given_store(spark):
+    from .conftest import SMALL
+
+    every = deals.expand_watches(history_queries.A.watches(spark, SMALL), spark.createDataFrame([(f"store_{k}", False) for k in range(4)], "store string, is_placeholder boolean"))
+    assert sorted(map(tuple, history_queries.expand_watches(spark, SMALL).collect())) == sorted(map(tuple, every.select("watch_id", "store").collect()))
