@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from pricelake.operators import anomaly, deals
+from pricelake.operators import anomaly, deals, identity
 from pricelake.plans import history_queries, source_queries
 from pricelake.sources import documents
 from pricelake.streaming import jobs
@@ -59,3 +60,27 @@ def test_watches_fan_out_to_every_given_store(spark):
 
     every = deals.expand_watches(history_queries.A.watches(spark, SMALL), spark.createDataFrame([(f"store_{k}", False) for k in range(4)], "store string, is_placeholder boolean"))
     assert sorted(map(tuple, history_queries.expand_watches(spark, SMALL).collect())) == sorted(map(tuple, every.select("watch_id", "store").collect()))
+
+
+def test_keys_of_titles_lose_no_pair(spark):
+    """Titles of 1 to 14 words, with and without codes and processors, against all pairs; copies of a title are one class."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(12)] + ["ab1234q", "cd5678r", "core i5-13420h", "16 gb", "black", "red"]
+    make = lambda kind, shop: [(f"{kind}{k}", shop, " ".join(rng.sample(words, rng.choice((1, 2, 5, 8, 13, 14))))) for k in range(150)]
+    schema = "offer_id string, retailer string, title string"
+    left, right = make("l", "one"), make("r", "two")
+    right += [(f"c{k}", "two", t) for k, (_, _, t) in enumerate(left[:40])] * 1 + [(f"d{k}", "two", t) for k, (_, _, t) in enumerate(left[:40])]
+    left, right = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    parts = ("offer_id", "tokens", "codes", "colors", "cpus", "capacities")
+    a, b = (identity.with_title_parts(df).select(*[F.col(c).alias(f"{x}_{c}") for c in parts]) for x, df in (("a", left), ("b", right)))
+    want = {(r["a_offer_id"], r["b_offer_id"], r["score"]) for r in a.crossJoin(b).withColumn("score", identity.title_score()[0]).filter(F.col("score") >= identity.MATCH).collect()}
+    got = [(r["a_offer_id"], r["b_offer_id"], r["score"]) for r in identity.scored_pairs(left, right).collect()]
+    assert len(want) > 150 and len(got) == len(want) and set(got) == want
+
+
+def test_candidates_of_few_words_are_near_the_matches(spark):
+    """A code, and words, that thousands of titles share: candidates stay a small multiple of what is accepted."""
+    title = F.concat_ws(" ", F.lit("ring brand ab1234q"), *[F.concat(F.lit(x), (F.floor(F.col("id") / d) % m).cast("string")) for x, d, m in (("a", 1, 9), ("b", 9, 8), ("c", 72, 25), ("d", 1800, 7))])
+    left, right = (spark.range(n).select(F.concat(F.lit(x), "id").alias("offer_id"), F.lit(x).alias("retailer"), title.alias("title")) for x, n in (("l", 3000), ("r", 1000)))
+    (_, a), (_, b) = identity.title_classes(left), identity.title_classes(right)
+    assert identity.candidate_pairs(a, b).count() < 3 * identity.scored_classes(a, b).count()
