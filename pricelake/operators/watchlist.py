@@ -21,6 +21,8 @@ STOCK_RULES = {
     "labels": (("out_of_stock", None, None, "epuizat|indisponibil"), ("out_of_stock", None, "*outofstock", None), ("supplier_stock", None, None, "furnizor"), ("supplier_stock", None, "*insupplierstock", None), ("limited_stock", None, None, "limitat"), ("in_stock", None, "*instock", None)),
 }
 SAMPLES = 5
+#: Queries that are sent to every task, counted first; more are joined by a shuffle of the titles' words.
+FEW = 20_000
 
 
 def _words(text: Column) -> Column:
@@ -63,6 +65,13 @@ def _at_site(site: Column, retailer: Column, any_site: bool) -> Column:
     return F.lit(True) if any_site else (site == "all") | (site == retailer)
 
 
+def _sent(asked: DataFrame) -> tuple[DataFrame, bool]:
+    """Queries with their keys, and whether they are few: then they go to the titles, which no shuffle moves and whose frequent words fill no task."""
+    asked = written(asked, "asked")
+    few = asked.count() <= FEW
+    return F.broadcast(asked) if few else asked, few
+
+
 def match_titles(watches: DataFrame, offers: DataFrame, any_site: bool = False) -> DataFrame:
     """watch_id, offer_id where every word of the query is a word of the title, at the watch's site or at any.
 
@@ -74,7 +83,7 @@ def match_titles(watches: DataFrame, offers: DataFrame, any_site: bool = False)
     keyed = w.select("watch_id", "site", "q", F.explode("q").alias("word")).join(often, "word", "left")
     # A query with a word that no title has matches nothing.
     key = keyed.groupBy("watch_id").agg(F.min_by("word", F.struct("n", "word")).alias("key"), F.count_if(F.col("n").isNull()).alias("unknown")).filter("unknown = 0")
-    w = w.join(key.select("watch_id", "key"), "watch_id")
+    w = _sent(w.join(key.select("watch_id", "key"), "watch_id"))[0]
     hits = o.withColumn("key", F.explode("t")).join(w, "key")
     return hits.filter((F.size(F.array_except("q", "t")) == 0) & _at_site(F.col("site"), F.col("retailer"), any_site)).select("watch_id", "offer_id")
 
@@ -98,10 +107,14 @@ def match_titles_loosely(watches: DataFrame, offers: DataFrame, any_site: bool =
     rarest = counted.groupBy("watch_id", "at", "is_joined").agg(F.min_by("form", F.struct("n", "form")).alias("form"), F.min("n").alias("n"))
     cost = rarest.groupBy("watch_id", "at").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > 0, F.col("form"))).alias("keys"))  # two at most
     best = cost.groupBy("watch_id").agg(F.min_by("keys", F.struct("n", "at")).alias("keys"))
-    asked = w.join(best, "watch_id").withColumn("form", F.explode(F.array_distinct("keys")))
-    pairs = asked.join(index, "form").select("watch_id", "site", "q", "offer_id").dropDuplicates(["watch_id", "offer_id"])
+    asked, few = _sent(w.join(best, "watch_id").withColumn("form", F.explode(F.array_distinct("keys"))).drop("keys"))
     held = F.forall("q", lambda x: (F.size(F.array_except(x.parts, F.col("t"))) == 0) | F.coalesce(F.array_contains(F.col("t"), x.joined), F.lit(False)))
-    loose = pairs.join(titles, "offer_id").filter(held & _at_site(F.col("site"), F.col("retailer"), any_site)).select("watch_id", "offer_id", F.lit("normalized").alias("how"))
+    held = held & _at_site(F.col("site"), F.col("retailer"), any_site)
+    if few:
+        found = titles.withColumn("form", F.explode("t")).join(asked, "form").filter(held).select("watch_id", "offer_id").distinct()
+    else:
+        found = asked.join(index, "form").select("watch_id", "site", "q", "offer_id").dropDuplicates(["watch_id", "offer_id"]).join(titles, "offer_id").filter(held)
+    loose = found.select("watch_id", "offer_id", F.lit("normalized").alias("how"))
     both = loose.unionByName(match_titles(watches, offers, any_site).withColumn("how", F.lit("strict")))
     return both.groupBy("watch_id", "offer_id").agg(F.max("how").alias("how"))  # strict comes last
 

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pricelake.operators import anomaly, deals, identity
+from pricelake.operators import anomaly, deals, identity, watchlist
 from pricelake.plans import history_queries, source_queries
 from pricelake.sources import documents
 from pricelake.streaming import jobs
@@ -84,3 +84,21 @@ def test_candidates_of_few_words_are_near_the_matches(spark):
     left, right = (spark.range(n).select(F.concat(F.lit(x), "id").alias("offer_id"), F.lit(x).alias("retailer"), title.alias("title")) for x, n in (("l", 3000), ("r", 1000)))
     (_, a), (_, b) = identity.title_classes(left), identity.title_classes(right)
     assert identity.candidate_pairs(a, b).count() < 3 * identity.scored_classes(a, b).count()
+
+
+@pytest.mark.parametrize("match", [watchlist.match_titles, watchlist.match_titles_loosely])
+def test_few_queries_go_to_the_titles(spark, monkeypatch, match):
+    """No exchange of the titles' words, and the same matches as by one."""
+    w = spark.createDataFrame([("w1", "all", "red ring"), ("w2", "s1", "ring-16 gb"), ("w3", "all", "ring")], "watch_id string, site string, query string")
+    o = spark.createDataFrame([(f"o{k}", f"s{k % 2}", ("Red ring 16 GB", "ring 16gb", "blue rod", "red-ring")[k % 4]) for k in range(40)], "offer_id string, retailer string, title string")
+    few = match(w, o)
+    want = sorted(map(tuple, few.collect()))
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert want and "BroadcastHashJoin [key" in plan and "hashpartitioning(key" not in plan and "hashpartitioning(form" not in plan
+    monkeypatch.setattr(watchlist, "FEW", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert sorted(map(tuple, match(w, o).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
