@@ -34,7 +34,7 @@ CHUNK = 32_768
 BATCH_CHARS = 3_000_000
 BANDS = 16
 BAND_SLOTS = 5
-#: Classes that a band may have before it is split.
+#: Classes that a task holds of a band.
 CROWD = 20_000
 NEAR = 0.75
 SEED = 5
@@ -132,10 +132,10 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_chars long, fingerprint string")
 
 
-def band_keys(prints: list[bytes], extra: int = 0) -> np.ndarray:
-    """A row of BANDS keys for each print: hashes of BAND_SLOTS (and ``extra``) slots that each band samples."""
+def band_keys(prints: list[bytes]) -> np.ndarray:
+    """A row of BANDS keys for each print: hashes of BAND_SLOTS slots that each band samples."""
     rng = np.random.default_rng(SEED + 3)
-    slots = np.stack([rng.permutation(SLOTS)[: BAND_SLOTS + 3][: BAND_SLOTS + extra] for _ in range(BANDS)])
+    slots = np.stack([rng.permutation(SLOTS)[:BAND_SLOTS] for _ in range(BANDS)])
     raw = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, SLOTS)[:, slots].astype(np.uint64) + np.uint64(1)
     weights = np.random.default_rng(SEED + 4).integers(1, 2**63, slots.shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     h = (raw * weights).sum(axis=2, dtype=np.uint64)
@@ -144,12 +144,12 @@ def band_keys(prints: list[bytes], extra: int = 0) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def banded(classes: DataFrame, extra: int = 0) -> DataFrame:
+def banded(classes: DataFrame) -> DataFrame:
     """band, rep: the bands of each class (rep, print) that another class is in too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = band_keys([bytes(p) for p in batch["print"]], extra) if len(batch) else np.zeros((0, BANDS), np.int64)
+            keys = band_keys([bytes(p) for p in batch["print"]]) if len(batch) else np.zeros((0, BANDS), np.int64)
             yield pd.DataFrame({"band": keys.ravel(), "rep": np.repeat(batch["rep"].to_numpy(np.int64), BANDS)})
 
     rows = classes.mapInPandas(run, "band long, rep long")
@@ -158,8 +158,8 @@ def banded(classes: DataFrame, extra: int = 0) -> DataFrame:
 
 
 def _led(batches: Iterator[pd.DataFrame], near: float) -> Iterator[pd.DataFrame]:
-    """leader, rep for members (band, rep, print) that come sorted: each goes to the first leader of its band that it is near, or
-    leads itself."""
+    """band, leader (a), rep (b) for members (band, rep, print) that come sorted: each goes to all leaders of its band that it is near, or
+    leads itself (a = b)."""
     band, leaders, ids = None, np.zeros((0, SLOTS), np.uint8), []
     for batch in batches:
         out = []
@@ -168,33 +168,71 @@ def _led(batches: Iterator[pd.DataFrame], near: float) -> Iterator[pd.DataFrame]
                 band, ids, leaders = own, [], np.zeros((16, SLOTS), np.uint8)
             p = np.frombuffer(raw, np.uint8)
             hit = np.flatnonzero((leaders[: len(ids)] == p).sum(axis=1) >= near * SLOTS)
-            out += [(ids[k], rep) for k in hit.tolist()]
+            out += [(band, ids[k], rep) for k in hit.tolist()]
             if not len(hit):
+                out.append((band, rep, rep))
                 if len(ids) == len(leaders):
                     leaders = np.concatenate([leaders, np.zeros_like(leaders)])
                 leaders[len(ids)] = p
                 ids.append(rep)
+        yield pd.DataFrame(out, columns=["band", "a", "b"]).astype("int64")
+
+
+def _met(batches: Iterator[pd.DataFrame], near: float) -> Iterator[pd.DataFrame]:
+    """a, b: each member (tile, leads false, rep, print) with all leaders of its tile that it is near; leaders come first."""
+    tile, leaders, ids, waiting = None, None, [], []
+    for batch in batches:
+        out = []
+        for own, leads, rep, raw in zip(batch["tile"].tolist(), batch["leads"].tolist(), batch["rep"].tolist(), batch["print"], strict=True):
+            if own != tile:
+                tile, ids, waiting, leaders = own, [], [], None
+            p = np.frombuffer(raw, np.uint8)
+            if leads:
+                ids.append(rep)
+                waiting.append(p)
+                continue
+            if leaders is None:
+                leaders, waiting = np.array(waiting, np.uint8).reshape(-1, SLOTS), []
+            out += [(ids[k], rep) for k in np.flatnonzero((leaders == p).sum(axis=1) >= near * SLOTS).tolist()]
         yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _lead(members: DataFrame, near: float) -> DataFrame:
+    asked = members.repartition("band").sortWithinPartitions("band", "rep")
+    return asked.mapInPandas(lambda batches: _led(batches, near), "band long, a long, b long")
+
+
+def crowded_links(members: DataFrame, near: float) -> DataFrame:
+    """a, b: links within bands (band, rep, print, n) of more than CROWD classes. A band is cut into parts of about CROWD, each with its own leaders, and
+    each part's members also meet the leaders of every other part, a task a pair of parts: nobody is compared with fewer leaders."""
+    parts = F.ceil(F.col("n") / CROWD).cast("int")
+    cut = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("key", F.xxhash64("band", "part"))
+    cut = materialize(cut, "bands-cut")
+    own = materialize(_lead(cut.select(F.col("key").alias("band"), "rep", "print"), near), "bands-led")
+    leaders = cut.join(own.filter("a = b").select(F.col("band").alias("key"), F.col("a").alias("rep")), ["key", "rep"], "left_semi")
+    others = lambda df: df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
+    tiles = others(leaders).select(F.xxhash64("band", "part", "other").alias("tile"), F.lit(True).alias("leads"), "rep", "print")
+    tiles = tiles.unionByName(others(cut).select(F.xxhash64("band", "other", "part").alias("tile"), F.lit(False).alias("leads"), "rep", "print"))
+    tiles = tiles.repartition("tile").sortWithinPartitions("tile", F.desc("leads"), "rep")
+    return own.select("a", "b").unionByName(tiles.mapInPandas(lambda batches: _met(batches, near), "a long, b long"))
+
+
 def near_classes(prints: DataFrame, near: float = NEAR) -> DataFrame:
     """doc_id and class_id: the smallest id that links between near prints reach; null for a null id without an equal print.
 
     Equal prints are a class. Bands take BAND_SLOTS slots sampled at random; within a band each class is verified against the band's
-    leaders, and links to all that it is near. Bands of more than CROWD classes are split by further sampled slots. The
+    leaders, and links to all that it is near. Bands of more than CROWD classes are cut into parts whose members meet all leaders. The
     index loses a link where no band holds both, or where two members of a band are near each other but have no leader in common.
     """
     prints = prints.select("doc_id", F.unhex("fingerprint").alias("print"))
     classes = prints.groupBy("print").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes.filter("rep is not null"), "prints")
     members = materialize(banded(classes), "bands")
-    crowded = members.filter(F.col("n") > CROWD)
-    if not crowded.isEmpty():
-        within = classes.join(crowded.select("rep").distinct(), "rep", "left_semi").select("rep", "print")
-        members = members.filter(F.col("n") <= CROWD).unionByName(banded(within, extra=3))
-    asked = members.select("band", "rep").join(classes, "rep").select("band", "rep", "print")
-    asked = asked.repartition("band").sortWithinPartitions("band", "rep")
-    links = materialize(asked.mapInPandas(lambda batches: _led(batches, near), "a long, b long").distinct(), "bands-links")
+    asked = members.join(classes, "rep").select("band", "rep", "print", "n")
+    links = _lead(asked.filter(F.col("n") <= CROWD).select("band", "rep", "print"), near).select("a", "b")
+    if not members.filter(F.col("n") > CROWD).isEmpty():
+        links = links.unionByName(crowded_links(asked.filter(F.col("n") > CROWD), near))
+    links = materialize(links.filter("a <> b").distinct(), "bands-links")
     labels = components(links)
     named = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("class_id"))
     return prints.join(named, "print", "left").select("doc_id", "class_id")
