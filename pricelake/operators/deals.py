@@ -18,6 +18,8 @@ TRIM = 0.05
 POLICIES = ("aggressive", "conservative", "off")
 #: Windows of days that a task holds of an offer at a time, besides the one before them.
 SPAN = 8
+#: Rows of offers in a task that sorts them several times.
+TASK_ROWS = 100_000
 
 
 def expand_watches(watches: DataFrame, stores: DataFrame) -> DataFrame:
@@ -89,9 +91,9 @@ def window_statistics(obs: DataFrame, days: int = history.REFERENCE_DAYS) -> Dat
 
     An offer's rows are cut into spans of SPAN windows; a span also gets the rows of the ``days`` before it. So a task holds few
     windows of an offer at a time, and a row is sent twice at most, most once. Within a span one structure slides over the rows.
+    The number of tasks follows the number of rows, so that what a task sorts does not grow with the table.
     """
-    rows = history.reference_window(obs, days)
-    here, before = spans(rows, days)
+    rows = history.reference_window(in_tasks(obs), days)
     names = rows.columns
 
     def slide(span_rows: pa.Table) -> pa.Table:
@@ -105,17 +107,24 @@ def window_statistics(obs: DataFrame, days: int = history.REFERENCE_DAYS) -> Dat
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     made = ", ".join(f"{x} {'int' if x == 'n' else 'double'}" for x in STATISTICS)
-    out = here.unionByName(before).groupBy("offer_id", "_span").applyInArrow(slide, f"{kind}, {made}")
+    out = spans(rows, days).groupBy("offer_id", "_span").applyInArrow(slide, f"{kind}, {made}")
     return out.withColumn("z_score", F.when(F.col("stdev") > 0, (F.col("price") - F.col("mean")) / F.col("stdev"))).withColumn("genuine_savings", savings())
 
 
-def spans(rows: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
-    """The rows in their own span (``_span``, ``_own``), and those of the last ``days`` days of a span in the next one, for which they
-    come before."""
+def in_tasks(obs: DataFrame) -> DataFrame:
+    """The rows by offer, about TASK_ROWS in a task and at least one task for each core."""
+    tasks = max(obs.sparkSession.sparkContext.defaultParallelism, -(-obs.count() // TASK_ROWS))
+    return obs.repartition(tasks, "offer_id")
+
+
+def spans(rows: DataFrame, days: int) -> DataFrame:
+    """The rows in their own span (``_span``, ``_own``), and those of the last ``days`` days of a span once more in the next one, for
+    which they come before."""
     width = SPAN * days
     span = F.floor(F.col("day") / width)
     late = F.pmod(F.col("day"), F.lit(width)) >= width - days
-    return rows.withColumn("_span", span).withColumn("_own", F.lit(True)), rows.filter(late).withColumn("_span", span + 1).withColumn("_own", F.lit(False))
+    at = lambda number, own: F.struct(number.alias("_span"), F.lit(own).alias("_own"))
+    return rows.select("*", F.inline(F.when(late, F.array(at(span, True), at(span + 1, False))).otherwise(F.array(at(span, True)))))
 
 
 def savings() -> Column:
