@@ -114,8 +114,9 @@ RULES = {f"store_{k}": {"card": f"card{k}", "title": f"t{k}", "price": f"p{k}",
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """A page per part: a card, some with structured data, some with a semantic value, some without a price."""
-    p, k = A.read(spark, d, "part"), F.col("p_partkey")
+    """A page per part: a card, some with structured data, some with a semantic value, some without a price. A page is ten times the
+    size of its row and slow to read, so the rows of a small file are dealt to all tasks first."""
+    p, k = A.read(spark, d, "part").select("p_partkey", "p_name", "p_retailprice").repartition(8 * spark.sparkContext.defaultParallelism, "p_partkey"), F.col("p_partkey")
     q = (k % 4).cast("string")
     url = F.concat(F.lit("https://www.shop.example.com/p/"), k.cast("string"))
     price = F.format_string("%.2f", F.col("p_retailprice"))
