@@ -65,7 +65,7 @@ def _at_site(site: Column, retailer: Column, any_site: bool) -> Column:
     return F.lit(True) if any_site else (site == "all") | (site == retailer)
 
 
-def _sent(asked: DataFrame) -> tuple[DataFrame, bool]:
+def sent(asked: DataFrame) -> tuple[DataFrame, bool]:
     """Queries with their keys, and whether they are few: then they go to the titles, which no shuffle moves and whose frequent words fill no task."""
     asked = written(asked, "asked")
     few = asked.count() <= FEW
@@ -83,7 +83,7 @@ def match_titles(watches: DataFrame, offers: DataFrame, any_site: bool = False)
     keyed = w.select("watch_id", "site", "q", F.explode("q").alias("word")).join(often, "word", "left")
     # A query with a word that no title has matches nothing.
     key = keyed.groupBy("watch_id").agg(F.min_by("word", F.struct("n", "word")).alias("key"), F.count_if(F.col("n").isNull()).alias("unknown")).filter("unknown = 0")
-    w = _sent(w.join(key.select("watch_id", "key"), "watch_id"))[0]
+    w = sent(w.join(key.select("watch_id", "key"), "watch_id"))[0]
     hits = o.withColumn("key", F.explode("t")).join(w, "key")
     return hits.filter((F.size(F.array_except("q", "t")) == 0) & _at_site(F.col("site"), F.col("retailer"), any_site)).select("watch_id", "offer_id")
 
@@ -107,7 +107,7 @@ def match_titles_loosely(watches: DataFrame, offers: DataFrame, any_site: bool =
     rarest = counted.groupBy("watch_id", "at", "is_joined").agg(F.min_by("form", F.struct("n", "form")).alias("form"), F.min("n").alias("n"))
     cost = rarest.groupBy("watch_id", "at").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > 0, F.col("form"))).alias("keys"))  # two at most
     best = cost.groupBy("watch_id").agg(F.min_by("keys", F.struct("n", "at")).alias("keys"))
-    asked, few = _sent(w.join(best, "watch_id").withColumn("form", F.explode(F.array_distinct("keys"))).drop("keys"))
+    asked, few = sent(w.join(best, "watch_id").withColumn("form", F.explode(F.array_distinct("keys"))).drop("keys"))
     held = F.forall("q", lambda x: (F.size(F.array_except(x.parts, F.col("t"))) == 0) | F.coalesce(F.array_contains(F.col("t"), x.joined), F.lit(False)))
     held = held & _at_site(F.col("site"), F.col("retailer"), any_site)
     if few:
@@ -207,15 +207,17 @@ def audit_watches(checks: DataFrame, results: DataFrame) -> DataFrame:
 
     checks: watch_id, store, query, is_supported, host, failed, challenged, extraction_failed; results: watch_id, store, at, title, url.
     """
-    query = checks.select("watch_id", "store", "host", _words(F.col("query")).alias("q"))
-    valid = [c for c in _url_checks(F.col("url"), F.col("host"))]
-    rows = results.join(query, ["watch_id", "store"]).withColumn("matches", F.size(F.array_except("q", _words(F.col("title")))) == 0).withColumn("valid", valid[0] & valid[1] & valid[2])
-    nth = F.row_number().over(Window.partitionBy("watch_id", "store").orderBy(~F.col("matches"), "at"))
-    rows = rows.withColumn("nth", nth).withColumn("sample", F.col("matches") & (F.col("nth") <= SAMPLES))
-    found = rows.groupBy("watch_id", "store").agg(
-        F.count("*").alias("results"), F.count_if("matches").alias("n"), F.count_if(F.col("sample") & ~F.col("valid")).alias("odd"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("sample"), F.struct("nth", "title")))), lambda x: x["title"]).alias("samples"),
+    query = sent(checks.select("watch_id", "store", "host", _words(F.col("query")).alias("q")))[0]
+    rows = results.join(query, ["watch_id", "store"]).withColumn("matches", F.size(F.array_except("q", F.split(F.lower("title"), r"\s+"))) == 0)
+    counts = rows.groupBy("watch_id", "store").agg(F.count("*").alias("results"), F.count_if("matches").alias("n"))
+    # Tasks keep the first matches of a watch before a shuffle; only their addresses are taken apart.
+    nth = F.row_number().over(Window.partitionBy("watch_id", "store").orderBy("at"))
+    first = rows.filter("matches").select("watch_id", "store", "at", "title", "url", "host", nth.alias("nth")).filter(F.col("nth") <= SAMPLES)
+    valid = _url_checks(F.col("url"), F.col("host"))
+    first = first.groupBy("watch_id", "store").agg(
+        F.count_if(~(valid[0] & valid[1] & valid[2])).alias("odd"), F.transform(F.array_sort(F.collect_list(F.struct("nth", "title"))), lambda x: x["title"]).alias("samples"),
     )
+    found = counts.join(first, ["watch_id", "store"], "left")
     out = checks.join(found, ["watch_id", "store"], "left")
     n, results_ = F.coalesce("n", F.lit(0)), F.coalesce("results", F.lit(0))
     query_ = F.coalesce(F.trim("query"), F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import deals, history, retro, watchlist
+from ..sources.scratch import written
 from . import adapters as A
 from .history_queries import DAYS, WIN
 from .operations_queries import CUR, EFF, H, L, NOW, W, WEEK, X, _health
@@ -149,8 +150,9 @@ def _audit(spark: SparkSession, d: str) -> DataFrame:
     k = F.substring("watch_id", 2, 9).cast("int")
     each = deals.expand_watches(w.withColumn("enabled", F.lit(True)), stores)
     checks = each.select("watch_id", "store", F.when(k % 13 > 0, F.col("query")).alias("query"), (F.col("store") != "store_3").alias("is_supported"), F.concat(F.col("store"), F.lit(".example.com")).alias("host"), (k % 17 == 0).alias("failed"), (k % 19 == 0).alias("challenged"), (k % 2 == 0).alias("extraction_failed"))
+    checks = written(checks, "checks")
     first = F.lower(F.substring_index(F.col("query"), " ", 1))
-    asked = checks.filter((k % 23 > 0) & F.col("query").isNotNull()).select("watch_id", "store", first.alias("word"))
+    asked = watchlist.sent(checks.filter((k % 23 > 0) & F.col("query").isNotNull()).select("watch_id", "store", first.alias("word")))[0]
     sku = F.col("sku").cast("int")
     listed = o.filter((sku % 3 == 0) & (F.col("retailer") != "store_2") | (sku % 29 == 0)).select(F.col("retailer").alias("store"), F.lower(F.substring_index("title", " ", 1)).alias("word"), F.col("offer_id").alias("at"), "title", F.when(sku % 87 == 0, F.concat(F.lit("https://other.example.org/p/"), "sku")).otherwise(F.col("url")).alias("url"))
     return watchlist.audit_watches(checks, listed.join(asked, ["store", "word"]).select("watch_id", "store", "at", "title", "url"))
