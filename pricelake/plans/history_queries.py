@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import deals, history
+from ..sources.scratch import written
 from . import adapters as A
 
 #: The given events span 30 days, so queries over them use windows of 7 days.
@@ -98,7 +99,7 @@ def _documents(spark: SparkSession, d: str) -> tuple[history.History, ...]:
     the tip, and every 6th has no row left in incoming."""
     part = F.substring_index("offer_id", "-", 1).cast("int")
     base, incoming, tip = (x.withColumn("k", part).withColumnRenamed("offer_id", "product_id") for x in _sides(spark, d))
-    all_ids = A.sparse_observations(spark, d).select(F.col("offer_id").alias("product_id"), part.alias("k")).distinct()
+    all_ids = written(A.sparse_observations(spark, d).select(F.col("offer_id").alias("product_id"), part.alias("k")).distinct(), "products")
     knows = {"base": F.col("k") % 9 > 0, "incoming": F.col("k") % 8 > 0, "tip": (F.col("k") % 7 > 0) & (F.col("k") % 9 > 0)}
 
     def document(name: str, rows: DataFrame) -> history.History:
@@ -116,9 +117,9 @@ def three_way_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def three_way_merge_products(spark: SparkSession, d: str) -> DataFrame:
     """The products of the same merge, with the number of rows that each has."""
-    merged = history.three_way_merge(*_documents(spark, d))
-    rows = merged.rows.groupBy("product_id").agg(F.count("*").alias("n"))
-    return merged.products.join(rows, "product_id", "left").select("product_id", "title", "all_time_low", "all_time_high", "first_seen", F.coalesce("n", F.lit(0)).alias("n"))
+    base, incoming, tip = _documents(spark, d)
+    rows = history.merged_copies(base, incoming, tip).groupBy("product_id").agg(F.sum("copies").alias("n"))
+    return history.merge_products(incoming.products, tip.products).join(rows, "product_id", "left").select("product_id", "title", "all_time_low", "all_time_high", "first_seen", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def merge_products(spark: SparkSession, d: str) -> DataFrame:
