@@ -50,7 +50,8 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     number = lambda c: F.substring(c, 2, 9).cast("int")
     w = A.watches(spark, d).filter("enabled").select((number("watch_id") % 40).alias("k"), "watch_id", F.col("atl_policy").alias("policy"), F.col("target_price").alias("target"), F.col("min_drop_percent").alias("min_drop"))
     offers = A.observations(spark, d).select("offer_id", (number("offer_id") % 40).alias("k")).distinct()
-    return jobs.drain(jobs.stream_alerts(_events(spark, d), offers.join(w, "k").drop("k"), DAYS), "stream-alerts")
+    groups = A.observations(spark, d).agg(F.approx_count_distinct("offer_id")).first()[0] // jobs.GROUP_OFFERS + 1
+    return jobs.drain(jobs.stream_alerts(_events(spark, d), offers.join(w, "k").drop("k"), groups, DAYS), "stream-alerts")
 
 
 def stream_health_windows(spark: SparkSession, d: str) -> DataFrame:
